@@ -132,7 +132,7 @@ class Model:
 class _Vocabulary:
     """What is known of each word a worker has met, computed once; at most ``limit`` words between batches."""
 
-    def __init__(self, model: Model, limit: int = 300_000) -> None:
+    def __init__(self, model: Model, limit: int = 200_000) -> None:
         self.model, self.limit = model, limit
         self._clear()
 
@@ -158,7 +158,7 @@ class _Vocabulary:
 COUNTS = "n int, h long, c long"
 
 
-def count_ngrams(texts: DataFrame, flush: int = 2_000_000) -> DataFrame:
+def count_ngrams(texts: DataFrame, flush: int = 1_000_000) -> DataFrame:
     """Exact counts of words (n = 1) and of pairs of neighbours (n = 2) by hash, over a column ``text``."""
 
     def count(batches: Iterator) -> Iterator:
@@ -166,7 +166,7 @@ def count_ngrams(texts: DataFrame, flush: int = 2_000_000) -> DataFrame:
 
         from timberline.llm.common import WordHasher
 
-        hasher = WordHasher()
+        hasher = WordHasher(200_000)
         held: list[np.ndarray] = []
         size = 0
 
@@ -180,7 +180,7 @@ def count_ngrams(texts: DataFrame, flush: int = 2_000_000) -> DataFrame:
                     part = values[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), n, np.int32)), pa.array(part.view(np.int64)), pa.array(counts[at : at + 100_000])], names=["n", "h", "c"])
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, 500):
             words: list[bytes] = []
             for text in batch.column(0).to_pylist():
                 words += lower_words(text)
@@ -197,6 +197,19 @@ def count_ngrams(texts: DataFrame, flush: int = 2_000_000) -> DataFrame:
     return texts.select("text").mapInArrow(count, COUNTS).groupBy("n", "h").agg(F.sum("c").alias("c"))
 
 
+def _packed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Columns h and c of a bounded table as arrays. They travel as a few long byte strings, not as a row object each."""
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["h", "c"])
+
+    parts = rows.select("h", "c").mapInArrow(pack, "h binary, c binary").collect()
+    return np.frombuffer(b"".join(r["h"] for r in parts), np.uint64), np.frombuffer(b"".join(r["c"] for r in parts), np.int64)
+
+
 def train(docs: DataFrame, text_col: str = "text", base: float = 1.5, least_pair: int = 2, mu: float = 20.0, bits: int = 12, max_filter_bytes: int = 256 << 20, head_size: int = 1_000_000) -> tuple[Model, DataFrame]:
     """The model of a training set, and the exact counts (h, c) of the words beyond its head."""
     spark = docs.sparkSession
@@ -223,8 +236,8 @@ def train(docs: DataFrame, text_col: str = "text", base: float = 1.5, least_pair
     for r in filled.toLocalIterator():
         whole[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     known = counts.filter("n = 1").select("h", "c")
-    head = known.filter(F.col("c") >= least_head).toPandas()  # at most head_size rows
-    order = np.argsort(head["h"].to_numpy().view(np.uint64), kind="stable")
+    head_hash, head_count = _packed(known.filter(F.col("c") >= least_head))  # at most head_size rows
+    order = np.argsort(head_hash, kind="stable")
     model = Model(
         whole.reshape(-1),
         n_blocks,
@@ -234,8 +247,8 @@ def train(docs: DataFrame, text_col: str = "text", base: float = 1.5, least_pair
         words,
         neighbours,
         mu,
-        head["h"].to_numpy().view(np.uint64)[order],
-        head["c"].to_numpy()[order],
+        head_hash[order],
+        head_count[order],
     )
     return model, known.filter(F.col("c") < least_head)
 
@@ -279,7 +292,7 @@ def score(docs: DataFrame, model: Model, tail: DataFrame, id_col: str = "doc_id"
 
         os.environ.setdefault("OMP_NUM_THREADS", "1")
         vocabulary = _Vocabulary(shared.value)
-        for batch in chunks(batches, 1000):
+        for batch in chunks(batches, 500):
             n, known, part, total, rest = _scores(shared.value, vocabulary, batch.column(1).to_pylist())
             others = pa.array([[{"h": int(h), "k": int(k)} for h, k in zip(r[0].view(np.int64), r[1], strict=True)] for r in rest], pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(known), pa.array(part), pa.array(total), others], names=["doc_id", "n_tokens", "n_head", "head_sum", "score", "rest"])
