@@ -222,8 +222,11 @@ def stale(months_since: Column, most: float = 18.0) -> Column:
 
 
 def market_status(text: Column) -> Column:
-    t = F.lower(F.trim(text))
-    return F.when(t.startswith("in commercial"), "marketed").when(t.startswith("not in"), "withdrawn").when(t.startswith("discontinued"), "withdrawn").when(t.isNotNull() & (t != ""), "other")
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    out = F.lit("unknown")
+    for status in ("withdrawn", "discontinued", "active"):
+        out = F.when(t.startswith(status), status).otherwise(out)
+    return out
 
 
 def prevalent_early(gradient: Column, first_gradient: Column, grade: Column, first_grade: Column) -> Column:
@@ -231,7 +234,47 @@ def prevalent_early(gradient: Column, first_gradient: Column, grade: Column, fir
     return _yes(gradient - first_gradient >= 10) | _yes(grade - first_grade >= 1)
 
 
-def agreement(status: Column, alert: Column) -> Column:
-    """Agreement of the rule (positive, negative, indeterminate) with the model's alert: six categories."""
-    model = F.when(alert, "model_high").otherwise("model_low")
-    return F.concat_ws("_", F.concat(F.lit("rule_"), status), model)
+def agreement(status: Column, flagged: Column, model_available: Column) -> Column:
+    """How the rule's status and the model's flag go together, in six categories (fixed values)."""
+    positive = status == "positive"
+    return (
+        F.when(~_yes(model_available), "comparison_incomplete_model_unavailable")
+        .when(~_yes(status.isin("positive", "negative")), "comparison_incomplete_comparator_unavailable")
+        .when(flagged.isNull(), "comparison_incomplete_model_flag_unavailable")
+        .when(positive & flagged, "both_flagged")
+        .when(positive, "rule_positive_model_not_flagged")
+        .when(flagged, "rule_negative_model_flagged")
+        .otherwise("neither_flagged")
+    )
+
+
+def guideline_interval(jurisdiction: str, route: Column, valve_age: Column) -> Column:
+    """Months between studies: yearly, or for surgical valves under the sparse schedule at 5 and 10 years, then yearly."""
+    if jurisdiction == "ESC_EACTS":
+        return F.lit(12.0)
+    return F.when(route == "TAVR", 12.0).otherwise(interval_months(valve_age, (5, 10), 10))
+
+
+def months_message(p12: Column, months_since: Column, interval: Column, stage_now: Column, threshold: float = 0.02, grace: float = 3.0) -> Column:
+    """Messages of a scored request: current abnormality, earlier assessment, overdue study."""
+    return F.array_compact(
+        F.array(
+            F.when(stage_now.isin("2", "3"), F.lit("current_abnormality")),
+            F.when(p12 >= threshold, F.lit("earlier_assessment")),
+            F.when(overdue(months_since, interval, grace), F.lit("overdue")),
+        )
+    )
+
+
+def marker_status(value: Column, is_stale: Column, in_model: Column) -> Column:
+    return F.when(value.isNull(), "not_measured").when(_yes(is_stale), "stale").when(~_yes(in_model), "not_in_model").otherwise("used")
+
+
+def reliability(evidence_level: Column, inputs: dict[str, Column]) -> Column:
+    """struct(level, completeness, missing): the device's evidence and the share of inputs that are present."""
+    present = F.lit(0)
+    for c in inputs.values():
+        present = present + c.isNotNull().cast("int")
+    share = present / F.lit(len(inputs))
+    level = F.when((evidence_level == "high") & (share >= 0.8), "high").when(share >= 0.5, "moderate").otherwise("low")
+    return F.struct(level.alias("level"), share.alias("completeness"), F.array_compact(F.array(*(F.when(c.isNull(), F.lit(n)) for n, c in inputs.items()))).alias("missing"))

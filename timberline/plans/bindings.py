@@ -65,11 +65,31 @@ select o.o_orderkey as row_id, o.o_custkey as patient_id, case when o.o_custkey
 from orders o join (select o_custkey, max(o_orderdate) as last_date from orders group by o_custkey) m on o.o_custkey = m.o_custkey
 """
 
+#: A note per order, written from its keys.
+NOTES = """
+select o_custkey as patient_id, o_orderkey as seq, cast(o_orderdate as date) as note_date, cast(year(o_orderdate) as int) as year,
+       case when o_orderkey % 4 < 2 then 'Operative Report' else 'Progress Notes' end as type, case when o_orderkey % 23 = 0 then 'Deleted' else 'Signed' end as status,
+       case o_orderkey % 4 when 0 then 'Transcatheter aortic valve SAPIEN 3 implanted, implant size: 2' || cast(o_orderkey % 10 as string) || '. ' when 1 then 'Sternotomy. Magna Ease prosthesis, size #2' || cast(o_orderkey % 9 as string) || '. ' else '' end
+       || 'Prosthetic valve: mean gradient is ' || cast(o_orderkey * 7 % 60 as string) || ' mmHg, DVI 0.' || cast(10 + o_orderkey % 80 as string) || ', EOA 1.' || cast(o_orderkey % 10 as string) || ' cm2, '
+       || case o_orderkey % 3 when 0 then 'moderate' when 1 then 'trace' else 'severe' end || ' aortic regurgitation.'
+       || case o_orderkey % 9 when 0 then ' Valve in Valve: No.' when 1 then ' Prior valve-in-valve.' else '' end || case when o_orderkey % 13 = 0 then ' Treated for endocarditis.' else '' end as text
+from orders
+"""
+
+#: Research observations: line items as dated records whose parent is the record half as far back.
+OBSERVATIONS = """
+select cast(o.o_custkey as string) as person_id, o.o_custkey * 10000 + r.k as record_id, case when r.k > 1 then o.o_custkey * 10000 + r.k div 2 end as parent_id,
+       case when o.o_orderkey % 19 = 0 then 'placeholder' when o.o_orderkey % 3 = 0 then 'derived' else 'observed' end as value_origin,
+       case o.o_orderkey % 2 when 0 then 'gradient' else 'area' end as variable, cast(5 + o.o_orderkey * 11 % 37 as double) as value, cast(null as string) as value_text,
+       cast(cast(o.o_orderdate as date) as string) as date, 'day' as date_precision, case when o.o_orderkey % 29 = 0 then 'exact_duplicate' else 'unique' end as duplicate_status, o.o_orderkey % 31 = 0 as suppressed
+from orders o join (select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as k from orders) r on o.o_orderkey = r.o_orderkey
+"""
+
 SPARK_DAYS = ("epoch_days(m.last_date) - epoch_days(o.o_orderdate)", "datediff(m.last_date, o.o_orderdate)")
 DUCK_DAYS = (SPARK_DAYS[0], "datediff('day', o.o_orderdate, m.last_date)")
 
-ROLES = {"patients": PATIENTS, "studies": STUDIES, "labs": LABS, "exposures": EXPOSURES, "terminal": TERMINAL, "mechanism": MECHANISM, "surv": SURVIVAL}
-_READS = {"patients": ("customer", "orders"), "studies": ("orders",), "labs": ("lineitem", "orders"), "exposures": ("lineitem", "orders"), "terminal": ("orders",), "mechanism": ("orders",), "surv": ("orders",)}
+ROLES = {"patients": PATIENTS, "studies": STUDIES, "labs": LABS, "exposures": EXPOSURES, "terminal": TERMINAL, "mechanism": MECHANISM, "surv": SURVIVAL, "notes": NOTES, "obs": OBSERVATIONS}
+_READS = {"patients": ("customer", "orders"), "studies": ("orders",), "labs": ("lineitem", "orders"), "exposures": ("lineitem", "orders"), "terminal": ("orders",), "mechanism": ("orders",), "surv": ("orders",), "notes": ("orders",), "obs": ("orders",)}
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,10 +97,10 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = ROLES[name].replace("/ 1000.0", "/ 1000D").replace("/ 365.25", "/ 365.25D").replace(*SPARK_DAYS)
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _READS[name]}
     for t in frames:
-        text = text.replace(f"from {t} ", f"from {{{t}}} ").replace(f"join {t} ", f"join {{{t}}} ").replace(f"from {t}\n", f"from {{{t}}}\n")
+        text = text.replace(f"from {t})", f"from {{{t}}})").replace(f"from {t} ", f"from {{{t}}} ").replace(f"join {t} ", f"join {{{t}}} ").replace(f"from {t}\n", f"from {{{t}}}\n")
     return spark.sql(text, **frames)
 
 
 def with_roles(*names: str) -> str:
     """The roles as common table expressions of a SQL text."""
-    return "with " + ",\n".join(f"{n} as ({ROLES[n].replace(*DUCK_DAYS).replace('/ 1000.0', '/ 1000.0::double').replace('/ 365.25', '/ 365.25::double')})" for n in names)
+    return "with " + ",\n".join(f"{n} as ({ROLES[n].replace(*DUCK_DAYS).replace('/ 1000.0', '/ 1000.0::double').replace('/ 365.25', '/ 365.25::double').replace(' div ', ' // ')})" for n in names)
