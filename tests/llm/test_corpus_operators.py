@@ -13,7 +13,7 @@ from conftest_llm import LOWER, SF
 from pyspark.sql import functions as F
 
 from timberline.llm import lm_score, mixing, near_dup, packing, queries, shard, token_output
-from timberline.llm.tokens import PieceEncoder, default_path
+from timberline.llm.tokens import WordEncoder, default_path
 
 
 # -- sharding
@@ -150,12 +150,14 @@ def test_mixing_takes_token_prefixes(spark, documents, awkward, empty):
 
 # -- packing and token files
 
-def test_piecewise_ids_are_whole_text_ids(awkward, documents):
+def test_word_ids_are_whole_text_ids(awkward, documents):
     from tokenizers import Tokenizer
 
-    texts = [r["text"] or "" for r in awkward.union(awkward).collect()] + [r["text"] for r in documents.collect()] + ["a  b\n\n c \n", " \n", "a\t\n b", "l'été  d'or", "x́ ́y"]
+    texts = [r["text"] or "" for r in awkward.union(awkward).collect()] + [r["text"] for r in documents.collect()] + ["a  b\n\n c \n", " \n", "a\t\n b", "l'été  d'or", "x́ ́y", "IT'S we'll 'Tis 12a 3²", "ŒUVRE ÷ × µ"]
+    r = random.Random(8)
+    texts += ["".join(r.choice("ab Zé'sÀ19.,!\n  <|>ß") for _ in range(r.randrange(60))) for _ in range(2000)]
     for name, keeps in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
-        whole, encoder = Tokenizer.from_file(default_path(name)), PieceEncoder(default_path(name), keeps)
+        whole, encoder = Tokenizer.from_file(default_path(name)), WordEncoder(default_path(name), keeps)
         for t in texts:
             assert encoder.encode(t) == np.asarray(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.llm.common import chunks, stage
-from timberline.llm.tokens import PieceEncoder, default_path
+from timberline.llm.tokens import default_path, word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, salt long"
 
@@ -110,7 +110,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end, width = PieceEncoder(tokenizer, keeps_space=False), np.asarray([end_id], "<u4").tobytes(), 4 * window
+        encoder, end, width = word_encoder(tokenizer, False), np.asarray([end_id], "<u4").tobytes(), 4 * window
         for batch in chunks(batches):
             rows: list[tuple] = []
             for doc, text, salt in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import chunks, new_folder
-from timberline.llm.tokens import PieceEncoder, default_path
+from timberline.llm.tokens import default_path, word_encoder
 
 MANIFEST = "part int, file string, n_docs long, n_tokens long, first_id long, last_id long"
 _HEAD = "<qBI"  # id, flags (1: null id, 2: 32-bit ids), number of ids
@@ -91,7 +91,7 @@ def write_tokens(
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part = TaskContext.get().partitionId()
-        encoder, end = PieceEncoder(tokenizer, keeps_space=True), np.asarray([end_id], "<u4").tobytes()
+        encoder, end = word_encoder(tokenizer, True), np.asarray([end_id], "<u4").tobytes()
         system, base = _files(folder)
         system.create_dir(base, recursive=True)
         name = f"part-{part:05d}-{uuid.uuid4().hex}"

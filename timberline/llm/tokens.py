@@ -1,51 +1,76 @@
-"""Token ids of whole texts with a ready-made tokenizer, at word-cache speed.
+"""Token ids of whole texts with a ready-made byte-pair tokenizer, at word-cache speed.
 
-Both tokenizers used here split a text at white space before they merge bytes, so the ids of a text are the ids of its
-pieces, cut before each white-space run, in order. Pieces repeat, so each is encoded once per worker and remembered (at
-most ``LIMIT`` of them). A text with white space other than space and line feed, or with a special token's string, is
-encoded as a whole.
+Both tokenizers used here cut a text into words before they merge bytes, so the ids of a text are the ids of its words in
+order. Words repeat, so the library merges each word once and the worker remembers its ids: at most two generations of
+``LIMIT`` words; when one is full the older is forgotten, but for the words met since. The
+cut itself is one regular expression for plain texts: printable ASCII, the letters of Latin-1, space and line feed, without
+a special token's string. Any other text goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import struct
 
 import numpy as np
 
-LIMIT = 300_000
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_WORD = re.compile(r"[^ \n]+")
-#: White space (by any library's definition) other than space and line feed; bytes that may mean a special token.
-_UNUSUAL = re.compile(r"[^\S \n]|[\x1c-\x1f\x85​﻿]|<\|")
+LIMIT = 400_000
+_LOWER, _UPPER = "a-zß-öø-ÿ", "A-ZÀ-ÖØ-Þ"
+_NOT_PLAIN = re.compile(rf"[^ \n\x21-\x7e{_LOWER}{_UPPER}]|<\|")
+# How the two tokenizers cut plain texts, the first after lower-casing.
+_CUT_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^\s0-9{_LOWER}]+")
+_CUT_WITH_SPACE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LOWER}{_UPPER}]+| ?[0-9]+| ?[^\s0-9{_LOWER}{_UPPER}]+|\s+(?!\S)|\s+")
 
 
-class PieceEncoder:
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: itself where it is printable, else the
+    next free letter from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(rest)) for b in range(256)}
+
+
+class WordEncoder:
     """``encode(text)`` gives ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, keeps_space: bool) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._pattern = _PIECE if keeps_space else _WORD
+        self._merge = self._tokenizer.model.tokenize
+        self._letters = _byte_letters()
+        self._lower = not keeps_space
+        self._cut = (_CUT_WITH_SPACE if keeps_space else _CUT_WORDS).findall
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        spelled = word.encode().decode("latin-1").translate(self._letters)
+        ids = [t.id for t in self._merge(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
-            return self._whole(text)
-        pieces = self._pattern.findall(text)
+        if _NOT_PLAIN.search(text):
+            return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = self._cut(text.lower() if self._lower else text)
         known = self._known
         try:
-            return b"".join(map(known.__getitem__, pieces))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
             if len(known) > LIMIT:
-                known.clear()
-            new = list(set(pieces).difference(known))
-            for piece, e in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[piece] = np.asarray(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, pieces))
+                self._older, known = known, {}
+                self._known = known
+            older = self._older
+            for word in set(words).difference(known):
+                known[word] = older.get(word) or self._word(word)
+            return b"".join(map(known.__getitem__, words))
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str, keeps_space: bool) -> WordEncoder:
+    """One encoder per worker process, so that its words outlive a task."""
+    return WordEncoder(path, keeps_space)
 
 
 def default_path(name: str) -> str:
