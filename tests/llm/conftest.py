@@ -1,17 +1,9 @@
 """Small document tables with the awkward cases every operator must handle."""
 
-import random
-
 import pytest
+from llm_helpers import SF, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-SF = "/root/testdata/sf0.001"
-
-
-def words(n: int, seed: int) -> str:
-    r = random.Random(seed)
-    return " ".join(r.choice(("the of and to in stone river bright cloud seven window paper north light engine")
-                             .split()) + ("" if r.random() < 0.6 else str(r.randrange(400))) for _ in range(n))
 
 
 @pytest.fixture(scope="session")

@@ -8,8 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import words
-from conftest_llm import LOWER, SF
+from llm_helpers import LOWER, SF, words
 from pyspark.sql import functions as F
 
 from timberline.llm import lm_score, mixing, near_dup, packing, queries, shard, token_output

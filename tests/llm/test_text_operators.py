@@ -4,7 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
-from conftest_llm import LOWER, SF, oracle
+from llm_helpers import LOWER, SF, oracle
 from pyspark.sql import functions as F
 
 from timberline.llm import exact_dedup, html_extract, line_dedup, quality, queries
