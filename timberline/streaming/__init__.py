@@ -1,0 +1 @@
+"""No operator of the library is a stream: landmarks, models and reports are batch jobs over dated tables."""
