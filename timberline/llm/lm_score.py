@@ -130,19 +130,23 @@ class Model:
 
 
 class _Vocabulary:
-    """What is known of each word a worker has met, computed once; at most ``limit`` words between batches."""
+    """What is known of each word a worker has met, computed once. Beyond ``limit`` words only the more frequent half of
+    them is remembered for the next batch."""
 
     def __init__(self, model: Model, limit: int = 200_000) -> None:
         self.model, self.limit = model, limit
-        self._clear()
-
-    def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.hash, self.exact, self.level = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _forget(self) -> None:
+        keep = np.sort(np.argpartition(-self.exact, self.limit // 2)[: self.limit // 2])
+        words = list(self.index)  # in the order of their numbers
+        self.index = {words[k]: i for i, k in enumerate(keep)}
+        self.hash, self.exact, self.level = self.hash[keep], self.exact[keep], self.level[keep]
+
     def look_up(self, words: list[bytes]) -> np.ndarray:
         if len(self.index) > self.limit:
-            self._clear()
+            self._forget()
         new = list(set(words).difference(self.index))
         if new:
             m, h = self.model, _hash(new)
@@ -254,7 +258,8 @@ def train(docs: DataFrame, text_col: str = "text", base: float = 1.5, least_pair
 
 
 def _scores(model: Model, vocabulary: _Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Per text: tokens, head tokens, sum of log10(c + 0.1) over these, score, and the hashes of the other tokens."""
+    """Per text: tokens, head tokens, sum of log10(c + 0.1) over these, score; then the other tokens of all texts (where each
+    text's begin, their hashes and how often each occurs)."""
     words: list[bytes] = []
     ends = []
     for text in texts:
@@ -277,7 +282,11 @@ def _scores(model: Model, vocabulary: _Vocabulary, texts: list[str | None]) -> t
     together = np.minimum(model.pairs.low(level), np.minimum(high[own], high[before]))
     p = (together + model.mu * alone[own]) / (high[before] + model.mu)
     add = lambda x: np.add.reduceat(x, begins)
-    rest = [np.unique(vocabulary.hash[own[a:b][~in_head[a:b]]], return_counts=True) for a, b in zip(begins, ends, strict=True)]
+    other = np.flatnonzero(~in_head)
+    of = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))[other]
+    # a text and a word as one number
+    pair, times = np.unique(of * len(vocabulary.hash) + own[other], return_counts=True)
+    rest = (np.searchsorted(pair, np.arange(len(ends) + 1) * len(vocabulary.hash)), vocabulary.hash[pair % len(vocabulary.hash)], times)
     return np.diff(np.r_[begins, len(own)]), add(in_head.astype(np.int64)), add(np.where(in_head, np.log10(np.maximum(exact, 0) + 0.1), 0.0)), add(np.log10(p)), rest
 
 
@@ -294,7 +303,8 @@ def score(docs: DataFrame, model: Model, tail: DataFrame, id_col: str = "doc_id"
         vocabulary = _Vocabulary(shared.value)
         for batch in chunks(batches, 500):
             n, known, part, total, rest = _scores(shared.value, vocabulary, batch.column(1).to_pylist())
-            others = pa.array([[{"h": int(h), "k": int(k)} for h, k in zip(r[0].view(np.int64), r[1], strict=True)] for r in rest], pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int64())])))
+            at, h, k = rest
+            others = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(k.astype(np.int64))], names=["h", "k"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(known), pa.array(part), pa.array(total), others], names=["doc_id", "n_tokens", "n_head", "head_sum", "score", "rest"])
 
     read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
