@@ -17,12 +17,17 @@ import numpy as np
 
 LIMIT = 400_000
 _LOWER, _UPPER = "a-zß-öø-ÿ", "A-ZÀ-ÖØ-Þ"
-_NOT_PLAIN = re.compile(rf"[^ \n\x21-\x7e{_LOWER}{_UPPER}]|<\|")
+#: UTF-8 bytes of plain texts: the first byte of any other letter is not among them.
+_PLAIN_BYTES = bytes([10, *range(32, 127), 0xC3, *range(0x80, 0xC0)])
 # How the two tokenizers cut plain texts, the first after lower-casing.
 _CUT_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^\s0-9{_LOWER}]+")
 _CUT_WITH_SPACE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LOWER}{_UPPER}]+| ?[0-9]+| ?[^\s0-9{_LOWER}{_UPPER}]+|\s+(?!\S)|\s+")
 
 
+def is_plain(text: str) -> bool:
+    return not text.encode().translate(None, _PLAIN_BYTES) and "<|" not in text and "×" not in text and "÷" not in text
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary: itself where it is printable, else the
     next free letter from 256 on."""
@@ -51,7 +56,7 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if _NOT_PLAIN.search(text):
+        if not is_plain(text):
             return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self._cut(text.lower() if self._lower else text)
         known = self._known
