@@ -92,8 +92,8 @@ def note_hits(text: Column) -> Column:
                     out.append((field, value, word if kind == "word" else f"{word}+" if kind == "grade" else None, m.start(), m.end(), bool(near.search(around)), bool(native.search(around)) and not thick.search(around)))
         return out
 
-    @F.pandas_udf(HIT, functionType=F.PandasUDFType.SCALAR)
-    def all_hits(notes):
+    @F.pandas_udf(HIT)
+    def all_hits(notes: pd.Series) -> pd.Series:
         names = ("field", "value", "word", "start", "end", "prosthetic", "native")
         return notes.map(lambda n: [dict(zip(names, h, strict=True)) for h in hits(n)])
 
