@@ -15,7 +15,7 @@ import struct
 
 import numpy as np
 
-LIMIT = 400_000
+LIMIT = 700_000
 _LOWER, _UPPER = "a-zß-öø-ÿ", "A-ZÀ-ÖØ-Þ"
 #: UTF-8 bytes of plain texts: the first byte of any other letter is not among them.
 _PLAIN_BYTES = bytes([10, *range(32, 127), 0xC3, *range(0x80, 0xC0)])
