@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import rules
 from timberline.operators.asof import DAY
+from timberline.operators.staging import stage as write_out
 from timberline.schema import DAYS_PER_YEAR
 
 MECHANISM_DAYS = 90
@@ -47,6 +48,7 @@ def adjudicate(patients: DataFrame, staged: DataFrame, windows: DataFrame, mecha
     next_ = F.min(F.when(stage.isin("0", "1", "2", "3"), F.struct("day", F.col(seq).alias("s"), "date", stage.alias("stage")))).over(ahead)
     c = after.withColumn("day", DAY(F.col("date"))).withColumn("next", next_).filter(stage.isin("2", "3"))
     c = c.select(patient, "date", F.col(seq).alias("seq"), stage.alias("stage"), "phenotype", "next", F.col("staged.reason").alias("reason"))
+    c = write_out(c, "candidates")  # few of the studies, read three times below
     w = windows.select(F.col(patient).alias("__p"), "win_start", "win_end")
     keys = [patient, "seq"]
     in_window = c.join(w, (F.col(patient) == F.col("__p")) & F.col("date").between(F.col("win_start"), F.col("win_end")), "left_semi").select(*keys).distinct().withColumn("in_window", F.lit(True))

@@ -104,12 +104,14 @@ def eligibility(patients: DataFrame, studies: DataFrame, reference: DataFrame, e
     return rows.withColumn("exclusion_reason", reason).drop("__events", "__echo", "ref_date")
 
 
-def build_landmarks(patients: DataFrame, studies: DataFrame, labs: DataFrame, exposures: DataFrame, events: DataFrame, horizon: float = 5.0, least_days: int = 1, label_policy: str = "primary", override: DataFrame | None = None, with_features: bool = True, patient: str = "patient_id", seq: str = "seq") -> DataFrame:
-    """Landmark rows. A landmark lies on or after the reference and strictly before the endpoint, a censoring candidate,
+def build_landmarks(patients: DataFrame, studies: DataFrame, labs: DataFrame, exposures: DataFrame, events: DataFrame, horizon: float = 5.0, least_days: int = 1, label_policy: str = "primary", override: DataFrame | None = None, with_features: bool = True, patient: str = "patient_id", seq: str = "seq", staged: DataFrame | None = None) -> DataFrame:
+    """Landmark rows; ``staged`` (from :func:`adjudicate.staged_studies`) saves staging the studies again. A landmark lies on or after the reference and strictly before the endpoint, a censoring candidate,
     death, replacement and the end of follow-up."""
-    reference = asof.select_reference(studies, patients, patient=patient, seq=seq)
+    if staged is None:
+        staged = adj.staged_studies(studies, asof.select_reference(studies, patients, patient=patient, seq=seq), patient)
+    reference = staged.select(patient, "ref_date").distinct()
     eligible = eligibility(patients, studies, reference, events, label_policy, override, patient).filter("exclusion_reason is null").drop("exclusion_reason")
-    rows = series_features(adj.staged_studies(studies, reference, patient), patient=patient, seq=seq).join(eligible, patient)
+    rows = series_features(staged, patient=patient, seq=seq).join(eligible, patient)
     rows = rows.filter((F.col("landmark_date") >= F.col("ref_date")) & (F.col("landmark_date") < F.least("svd_date", "censor_date", "death_date", "replacement_date", "end_date")))
     rows = thin(rows, least_days, patient)
     end = F.least("end_date", "censor_date")

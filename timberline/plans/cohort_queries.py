@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timberline.functions import rules
 from timberline.operators import adjudicate as adj
 from timberline.operators import asof, landmark, survival
+from timberline.operators.staging import stage
 from timberline.plans.bindings import role, with_roles
 from timberline.plans.registry import query, r6
 
@@ -132,22 +133,31 @@ def staged_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return patients, studies, adj.staged_studies(studies, reference)
 
 
-def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patients, _, staged = staged_of(spark, sf_dir)
+def written_staged_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`staged_of`, with the staged studies written out for the several passes of adjudication and landmarks."""
+    patients, studies, staged = staged_of(spark, sf_dir)
+    return patients, studies, stage(staged, "staged")
+
+
+def records_of(spark: SparkSession, sf_dir: str, staged: DataFrame | None = None) -> DataFrame:
+    patients = role(spark, sf_dir, "patients")
+    staged = written_staged_of(spark, sf_dir)[2] if staged is None else staged
     exposures, mechanism, terminal = roles(spark, sf_dir, "exposures", "mechanism", "terminal")
     return adj.adjudicate(patients, staged, adj.thrombosis_windows(exposures, staged), mechanism, terminal)
 
 
-def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_of(spark: SparkSession, sf_dir: str, staged: DataFrame | None = None) -> DataFrame:
     """The events table: the adjudication record, the first single positive study and the terminal dates."""
-    _, _, staged = staged_of(spark, sf_dir)
+    staged = written_staged_of(spark, sf_dir)[2] if staged is None else staged
     first = adj.candidate_flags(staged).groupBy("patient_id").agg(F.min("date").alias("svd_first_positive_date"))
-    return records_of(spark, sf_dir).join(first, "patient_id", "left").join(role(spark, sf_dir, "terminal"), "patient_id")
+    events = records_of(spark, sf_dir, staged).join(first, "patient_id", "left").join(role(spark, sf_dir, "terminal"), "patient_id")
+    return stage(events, "events")
 
 
 def landmarks_of(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    patients, studies, labs, exposures = roles(spark, sf_dir, "patients", "studies", "labs", "exposures")
-    return landmark.build_landmarks(patients, studies, labs, exposures, events_of(spark, sf_dir), **options)
+    patients, studies, staged = written_staged_of(spark, sf_dir)
+    labs, exposures = roles(spark, sf_dir, "labs", "exposures")
+    return landmark.build_landmarks(patients, studies, labs, exposures, events_of(spark, sf_dir, staged), staged=staged, **options)
 
 
 @query(with_roles("patients", "studies") + _REF + " select patient_id, date as ref_date, seq as ref_seq, mean_gradient as ref_mean_gradient, eoa as ref_eoa, dvi as ref_dvi from ref")
