@@ -90,6 +90,21 @@ def _measures(text):
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
+def test_words_are_cut_at_six_white_bytes():
+    import random
+
+    import pyarrow as pa
+
+    from timberline.llm.common import lower_words, split_words
+
+    r = random.Random(1)
+    texts = [None, "", " ", "a", *("".join(r.choice("aB É\t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003 ") for _ in range(r.randrange(30))) for _ in range(500))]
+    words, numbers, ends = split_words(pa.array(texts))
+    begins = [0, *ends[:-1]]
+    for t, a, b in zip(texts, begins, ends):
+        assert [words[k] for k in numbers[a:b]] == lower_words(t) == [w.translate(LOWER).encode() for w in WORD.findall(t or "")]
+
+
 def test_quality_ledger(spark, awkward, empty):
     out = quality.ledger(awkward.withColumn("doc_id", F.struct("doc_id", "text"))).collect()
     assert len(out) == awkward.count()

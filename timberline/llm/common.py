@@ -50,6 +50,20 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_LOWER_BYTES).split() if text else []
 
 
+def split_words(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words (A-Z lower-cased) of an Arrow string column, the number of each word in it, and where each text's
+    words end. Null texts have none. Arrow's ASCII white space is exactly the six white bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+    ends = np.r_[0, np.cumsum(real)][lists.offsets.to_numpy()[1:]]
+    coded = words.filter(pa.array(real)).dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), ends
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash

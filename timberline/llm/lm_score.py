@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import GOLDEN, chunks, lower_words, mix, stage
+from timberline.llm.common import GOLDEN, chunks, mix, split_words, stage
 
 BLOCK_BITS = 19
 PROBES = 4
@@ -145,9 +145,10 @@ class _Vocabulary:
         self.hash, self.exact, self.level = self.hash[keep], self.exact[keep], self.level[keep]
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of distinct words."""
         if len(self.index) > self.limit:
             self._forget()
-        new = list(set(words).difference(self.index))
+        new = [w for w in words if w not in self.index]
         if new:
             m, h = self.model, _hash(new)
             at = np.minimum(np.searchsorted(m.head_hash, h), max(len(m.head_hash) - 1, 0))
@@ -168,15 +169,12 @@ def count_ngrams(texts: DataFrame, flush: int = 1_000_000) -> DataFrame:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from timberline.llm.common import WordHasher
-
-        hasher = WordHasher(200_000)
         held: list[np.ndarray] = []
         size = 0
+        end = _hash([END])[0]
 
         def sums() -> Iterator:
             tokens = np.concatenate(held)
-            end = hasher([END])[0]
             before = np.r_[end, tokens[:-1]]
             for n, h in ((1, tokens), (2, pairs(before, tokens))):
                 values, counts = np.unique(h, return_counts=True)
@@ -184,13 +182,10 @@ def count_ngrams(texts: DataFrame, flush: int = 1_000_000) -> DataFrame:
                     part = values[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), n, np.int32)), pa.array(part.view(np.int64)), pa.array(counts[at : at + 100_000])], names=["n", "h", "c"])
 
-        for batch in chunks(batches, 500):
-            words: list[bytes] = []
-            for text in batch.column(0).to_pylist():
-                words += lower_words(text)
-                words.append(END)
-            held.append(hasher(words))
-            size += len(words)
+        for batch in chunks(batches, 1000):
+            words, numbers, ends = split_words(batch.column(0))
+            held.append(np.insert(_hash(words)[numbers], ends, end))
+            size += len(held[-1])
             if size >= flush:
                 yield from sums()
                 held.clear()
@@ -257,16 +252,13 @@ def train(docs: DataFrame, text_col: str = "text", base: float = 1.5, least_pair
     return model, known.filter(F.col("c") < least_head)
 
 
-def _scores(model: Model, vocabulary: _Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Per text: tokens, head tokens, sum of log10(c + 0.1) over these, score; then the other tokens of all texts (where each
-    text's begin, their hashes and how often each occurs)."""
-    words: list[bytes] = []
-    ends = []
-    for text in texts:
-        words += lower_words(text)
-        words.append(END)
-        ends.append(len(words))
-    own = vocabulary.look_up(words)
+def _scores(model: Model, vocabulary: _Vocabulary, texts) -> tuple[np.ndarray, ...]:
+    """Per text of an Arrow column: tokens, head tokens, sum of log10(c + 0.1) over these, score; then the other tokens of all
+    texts (where each text's begin, their hashes and how often each occurs)."""
+    words, numbers, ends = split_words(texts)
+    numbered = vocabulary.look_up([*words, END])
+    own = np.insert(numbered[numbers], ends, numbered[-1])
+    ends = ends + np.arange(1, len(ends) + 1)
     begins = np.r_[0, ends[:-1]].astype(np.int64)
     exact = vocabulary.exact[own]
     in_head = exact > 0
@@ -302,7 +294,7 @@ def score(docs: DataFrame, model: Model, tail: DataFrame, id_col: str = "doc_id"
         os.environ.setdefault("OMP_NUM_THREADS", "1")
         vocabulary = _Vocabulary(shared.value)
         for batch in chunks(batches, 500):
-            n, known, part, total, rest = _scores(shared.value, vocabulary, batch.column(1).to_pylist())
+            n, known, part, total, rest = _scores(shared.value, vocabulary, batch.column(1))
             at, h, k = rest
             others = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(k.astype(np.int64))], names=["h", "k"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(known), pa.array(part), pa.array(total), others], names=["doc_id", "n_tokens", "n_head", "head_sum", "score", "rest"])
