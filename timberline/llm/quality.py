@@ -22,7 +22,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "n_lines > 0 and 10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "2 * n_dup_lines > n_lines"),
     ("short_words", "word_chars < 3 * n_words"),
     ("long_words", "word_chars > 12 * n_words"),
     ("shouting", "10 * n_exclamations > 3 * n_words"),

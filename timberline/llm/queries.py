@@ -148,7 +148,7 @@ m as (
 ),
 f as (
   select *, ((n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (10 * n_symbols > n_words)::int
-    + 8 * (n_lines > 0 and 10 * n_dup_lines > 3 * n_lines)::int + 16 * (word_chars < 3 * n_words)::int + 32 * (word_chars > 12 * n_words)::int
+    + 8 * (2 * n_dup_lines > n_lines)::int + 16 * (word_chars < 3 * n_words)::int + 32 * (word_chars > 12 * n_words)::int
     + 64 * (10 * n_exclamations > 3 * n_words)::int)::int as failed_rules
   from m
 )
