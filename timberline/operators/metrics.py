@@ -192,9 +192,8 @@ def net_benefit(rows: DataFrame, thresholds: Sequence[float], action: Column | N
 
 
 def balanced_weight(patient: str = "patient_id", group: Sequence[str] = ()) -> Column:
-    """1 / rows of the patient, scaled so that the weights of a group add up to its rows (window expression)."""
-    own = 1.0 / F.count("*").over(Window.partitionBy(*group, patient))
-    return own
+    """1 / rows of the patient (window expression)."""
+    return 1.0 / F.count("*").over(Window.partitionBy(*group, patient))
 
 
 def paired_strategies(rows: DataFrame, threshold: float, status: str = "status", risk: str = "pred", patient: str = "patient_id") -> DataFrame:
@@ -219,9 +218,9 @@ def pairing_coverage(rows: DataFrame, status: str = "status", risk: str = "pred"
     return rows.agg(F.count("*").alias("n_total"), n(rule & model).alias("n_common"), n(rule & ~model).alias("n_rule_only"), n(~rule & model).alias("n_model_only"), n(~rule & ~model).alias("n_neither"), n(F.col(status) == "positive").alias("n_rule_positive"))
 
 
-def concordance(rows: DataFrame, group: Sequence[str] = (), time: str = "time", event: str = "event", pred: str = "pred", blocks: int = 32) -> DataFrame:
-    """Harrell's concordance. Cells of (time, score) are counted first; each event cell meets the cells of later times, block
-    by block of times, so the joined rows follow distinct cells and not pairs of rows."""
+def concordance(rows: DataFrame, group: Sequence[str] = (), time: str = "time", event: str = "event", pred: str = "pred") -> DataFrame:
+    """Harrell's concordance. Cells of (time, score) are counted first and each event cell meets the cells of later times of its
+    group, so the joined rows follow distinct cells and not pairs of rows: meant for groups with few distinct values."""
     rows, keys = _keyed(rows, group)
     cells = stage(rows.filter(F.col(pred).isNotNull()).groupBy(*keys, F.col(time).alias("t"), F.col(pred).alias("s")).agg(F.sum((F.col(event) != 0).cast("long")).alias("d"), F.count("*").alias("n")), "cells")
     a, b = cells.filter("d > 0"), cells.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("t").alias("t2"), F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("d").alias("d2"))

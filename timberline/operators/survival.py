@@ -98,14 +98,12 @@ def competing_frame(times: dict[int, Column], end: Column) -> Column:
 def calendar_comparator(rows: DataFrame, horizons: Sequence[float], least: int = 30, age: float = 5.0) -> DataFrame:
     """Aalen-Johansen risk per route and valve-age cell; cells under ``least`` rows fall back to the route, then to all."""
     r = rows.withColumn("cell", F.when(F.col("valve_age_years") < age, f"<{age:g}").otherwise(f">={age:g}"))
-    levels = (["route", "cell"], ["route"], [])
-    base = r.select("route", "cell").distinct().select("*", F.explode(F.array(*(F.lit(float(h)) for h in horizons))).alias("horizon"))
-    out = base
-    for i, group in enumerate(levels):
-        found = at_horizons(aalen_johansen(r, group), group, horizons, r if group else r.select(F.lit(1).alias("one")).limit(1)).join(r.groupBy(*group).agg(F.count("*").alias("n")), group) if group else at_horizons(aalen_johansen(r.withColumn("__all", F.lit(1)), ["__all"]), ["__all"], horizons, r.withColumn("__all", F.lit(1))).drop("__all").crossJoin(r.agg(F.count("*").alias("n")))
-        found = found.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("horizon").alias("__h"), *(F.when(F.col("n") >= (least if group else 0), F.col(c)).alias(f"{c}_{i}") for c in ("cif1", "cif2", "cif3", "survival")))
-        on = F.col("horizon") == F.col("__h")
-        for g in group:
-            on = on & (F.col(g) == F.col(f"__{g}"))
-        out = out.join(found, on, "left").drop("__h", *(f"__{g}" for g in group))
+    out = r.select("route", "cell").distinct().select("*", F.explode(F.array(*(F.lit(float(h)) for h in horizons))).alias("horizon"))
+    r = r.withColumn("everyone", F.lit("all"))
+    out = out.withColumn("everyone", F.lit("all"))
+    for i, group in enumerate((["route", "cell"], ["route"], ["everyone"])):
+        curve = at_horizons(aalen_johansen(r, group), group, horizons, r).join(r.groupBy(*group).agg(F.count("*").alias("n")), group)
+        enough = F.col("n") >= (0 if group == ["everyone"] else least)
+        values = [F.when(enough, F.col(c)).alias(f"{c}_{i}") for c in ("cif1", "cif2", "cif3", "survival")]
+        out = out.join(curve.select(*group, "horizon", *values), [*group, "horizon"], "left")
     return out.select("route", "cell", "horizon", *(F.coalesce(*(F.col(f"{c}_{i}") for i in range(3))).alias(c) for c in ("cif1", "cif2", "cif3", "survival")))
