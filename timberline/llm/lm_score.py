@@ -133,7 +133,7 @@ class _Vocabulary:
     """What is known of each word a worker has met, computed once. Beyond ``limit`` words only the more frequent half of
     them is remembered for the next batch."""
 
-    def __init__(self, model: Model, limit: int = 200_000) -> None:
+    def __init__(self, model: Model, limit: int = 150_000) -> None:
         self.model, self.limit = model, limit
         self.index: dict[bytes, int] = {}
         self.hash, self.exact, self.level = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -163,7 +163,7 @@ class _Vocabulary:
 COUNTS = "n int, h long, c long"
 
 
-def count_ngrams(texts: DataFrame, flush: int = 1_000_000) -> DataFrame:
+def count_ngrams(texts: DataFrame, flush: int = 600_000) -> DataFrame:
     """Exact counts of words (n = 1) and of pairs of neighbours (n = 2) by hash, over a column ``text``."""
 
     def count(batches: Iterator) -> Iterator:
@@ -182,7 +182,7 @@ def count_ngrams(texts: DataFrame, flush: int = 1_000_000) -> DataFrame:
                     part = values[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), n, np.int32)), pa.array(part.view(np.int64)), pa.array(counts[at : at + 100_000])], names=["n", "h", "c"])
 
-        for batch in chunks(batches, 1000):
+        for batch in chunks(batches, 400):
             words, numbers, ends = split_words(batch.column(0))
             held.append(np.insert(_hash(words)[numbers], ends, end))
             size += len(held[-1])
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: Model, tail: DataFrame, id_col: str = "doc_id"
 
         os.environ.setdefault("OMP_NUM_THREADS", "1")
         vocabulary = _Vocabulary(shared.value)
-        for batch in chunks(batches, 500):
+        for batch in chunks(batches, 300):
             n, known, part, total, rest = _scores(shared.value, vocabulary, batch.column(1))
             at, h, k = rest
             others = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(k.astype(np.int64))], names=["h", "k"]))
