@@ -326,3 +326,15 @@ def test_pipeline_handles_awkward_and_empty_rows(spark, awkward, empty):
         for _, stage in p.STAGES:
             docs = stage(spark, docs, SF)
         docs.count()
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    """Thirty copies in a host of a hundred pages: one leaves the near-duplicate stage with its text, and the footer still goes."""
+    import corpus_pipeline as p
+
+    copied = "\n".join(words(20, 900 + k) for k in range(5))
+    rows = [(i, copied if i < 30 else words(60, i) + "\nfooter of the site", "en", "host", 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = p.near_duplicates(spark, p.line_dedup_stage(spark, docs, SF), SF).collect()
+    assert sum(r["text"] == copied for r in out) == 1
+    assert {r["text"] for r in out} == {copied} | {words(60, i) for i in range(30, 100)} and len(out) == 71
