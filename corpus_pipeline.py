@@ -23,8 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go. Exact copies count as one page: the next stage keeps one of them, text and all."""
-    out = line_dedup.drop_boilerplate(docs, F.col("source"), copies_once=True)
+    """Lines that are boilerplate of their source go. Exact copies count as one page: the next stage keeps one of them, text and all.
+    Sites of any size are cleaned: a line needs three pages of its own, not its site twenty."""
+    out = line_dedup.drop_boilerplate(docs, F.col("source"), min_pages=1, min_count=3, copies_once=True)
     return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 

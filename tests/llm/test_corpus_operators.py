@@ -338,3 +338,12 @@ def test_pipeline_keeps_one_of_many_copies(spark):
     out = p.near_duplicates(spark, p.line_dedup_stage(spark, docs, SF), SF).collect()
     assert sum(r["text"] == copied for r in out) == 1
     assert {r["text"] for r in out} == {copied} | {words(60, i) for i in range(30, 100)} and len(out) == 71
+
+
+def test_pipeline_cleans_small_hosts(spark):
+    """A footer on all pages of a small host goes; a line that two of its pages share stays."""
+    import corpus_pipeline as p
+
+    own = [words(30, i) + ("\nshared by two" if i < 2 else "") for i in range(19)]
+    docs = spark.createDataFrame([(i, own[i] + "\nfooter of the site", "en", "host", 0) for i in range(19)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in p.line_dedup_stage(spark, docs, SF).collect()} == dict(enumerate(own))

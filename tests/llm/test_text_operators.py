@@ -82,6 +82,14 @@ def test_line_dedup_without_broadcast(spark, monkeypatch):
     oracle(spark, "op6_line_dedup")
 
 
+def test_line_dedup_equals_sql_where_lines_go(spark, monkeypatch):
+    import llm_helpers
+
+    monkeypatch.setattr(llm_helpers, "SF", "/root/testdata/sf0.1")
+    assert queries.op6_line_dedup(spark, llm_helpers.SF).filter("n_dropped > 0").count() > 0
+    oracle(spark, "op6_line_dedup")
+
+
 def _measures(text):
     w = WORD.findall(text or "")
     windows = Counter(zip(w, w[1:], w[2:]))
