@@ -33,6 +33,21 @@ def test_extraction_without_semantic_tags():
     assert text.split("\n") == ["The river", prose.strip(), "Short.", f"{prose} éé".replace("  ", " ")]
 
 
+def test_extraction_reads_names_of_layout_as_no_boilerplate():
+    prose = "This is the story of a river and of the people who lived by it for a long time, as it was told to me. " * 3
+    for opened, closed in (
+        ("<main class='has-sidebar'>", "</main>"), ("<div class='content with-sidebar'>", "</div>"), ("<article class='post tag-social'>", "</article>"), ("<section class='post-share-enabled'><article>", "</article></section>"),
+        ("<div class='sidebar-right'><article>", "</article></div>"), ("<div class='sidebar'><main>", "</main></div>"), ("<div id='page-widget'><div role='main'>", "</div></div>"),
+    ):
+        assert html_extract.main_text(f"<body>{opened}<p>{prose}</p>{closed}</body>") == prose.strip(), opened
+    # what the names do say still holds
+    for opened, closed in (
+        ("<div class='ad'>", "</div>"), ("<div class='site-footer'>", "</div>"), ("<div class='comments-area'><article class='comment-body'>", "</article></div>"), ("<div class='related-posts'><article>", "</article></div>"),
+        ("<div id='sidebar'>", "</div>"), ("<div class='share-buttons'>", "</div>"), ("<aside><article>", "</article></aside>"),
+    ):
+        assert html_extract.main_text(f"<body><article><p>{prose}</p></article>{opened}<p>{prose} Not this.</p>{closed}</body>") == prose.strip(), opened
+
+
 def test_extraction_edges(spark):
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<p></p><!-- open") == ""
     assert html_extract.main_text("<article><p>One") == "One"

@@ -45,6 +45,15 @@ BOILERPLATE_NAMES = frozenset(
     replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget
     """.split()
 )
+#: Those of them whose containers hold articles that are not the page's, and that make an article itself one of these.
+LISTED_NAMES = frozenset(
+    """
+    ad ads adv advert adverts advertisement advertising adsense comment comments commentlist disqus promo promotion recommended
+    related reply replies respond sponsor sponsored widget
+    """.split()
+)
+#: First parts of names that tell of a page or post (has-sidebar, tag-social), not of what the container is.
+MODIFIERS = frozenset("has with without no not is tag category layout template format".split())
 CONTENT_NAMES = frozenset("articlebody article-body article-content article-text entry-content post-content post-body story-body main-content".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog".split())
@@ -77,8 +86,21 @@ class Block:
     label: str = ""
 
 
+def _suspicion(names: set[str]) -> tuple[set[str], set[str]]:
+    """Boilerplate words that are whole class or id names, and those that are the first or last part of one. Words in the
+    middle, and last parts after a modifier, say nothing."""
+    parts: set[str] = set()
+    for name in names:
+        first, *rest = _NAME_PARTS.split(name)
+        parts.add(first)
+        if rest and first not in MODIFIERS:
+            parts.add(rest[-1])
+    return names & BOILERPLATE_NAMES, parts & BOILERPLATE_NAMES
+
+
 def _kind(tag: str, attributes: str, inside: str) -> str:
-    """What a container makes of the text in it: silent, boilerplate, content or what surrounds it."""
+    """What a container makes of the text in it: silent, boilerplate, content, form or what surrounds it. By its names alone it
+    is suspected, and an article or main part in it is content again, or listed, and only a main part is."""
     if tag in SILENT_TAGS:
         return "silent"
     names: set[str] = set()
@@ -87,9 +109,7 @@ def _kind(tag: str, attributes: str, inside: str) -> str:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                for word in value.split():
-                    names.add(word)
-                    names.update(_NAME_PARTS.split(word))
+                names.update(value.split())
             elif name == "role":
                 role = value
             elif name == "itemprop" and value == "articlebody":
@@ -100,13 +120,21 @@ def _kind(tag: str, attributes: str, inside: str) -> str:
         return inside
     if tag in BOILERPLATE_TAGS and tag != "form" or role in BOILERPLATE_ROLES:
         return "boilerplate"
-    if names & BOILERPLATE_NAMES and not names & CONTENT_NAMES:
-        return "boilerplate"
-    if tag == "header" and inside != "content" or "header" in names and tag in ("div", "section") and inside != "content":
-        return "boilerplate"
-    if tag in ("article", "main") or role in ("main", "article") or names & CONTENT_NAMES:
+    if tag == "main" or role == "main":
         return "content"
-    if tag == "form":
+    whole, parts = _suspicion(names) if names else (names, names)
+    named_content = any(not CONTENT_NAMES.isdisjoint((n, *_NAME_PARTS.split(n))) for n in names)
+    if tag == "article" or role == "article":
+        if inside == "listed" or not named_content and (whole | parts) & LISTED_NAMES:
+            return "listed"
+        return "content"
+    if named_content:
+        return "listed" if inside == "listed" else "content"
+    if whole or parts:
+        return "listed" if inside == "listed" or whole or parts & LISTED_NAMES else "suspected"
+    if tag == "header" and inside != "content" or any("header" in _NAME_PARTS.split(n) for n in names) and tag in ("div", "section") and inside != "content":
+        return "boilerplate"
+    if tag == "form" and inside != "listed":
         return "form"
     return inside
 
@@ -122,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 kind, region = stack[-1][1], stack[-1][2]
-                out.append(Block(text, state["linked"], state["tag"], -1 if kind in ("boilerplate", "form") else region if kind == "content" else 0))
+                out.append(Block(text, state["linked"], state["tag"], -1 if kind in ("boilerplate", "suspected", "listed", "form") else region if kind == "content" else 0))
             parts.clear()
         state["linked"] = state["breaks"] = 0
 
