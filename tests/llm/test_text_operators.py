@@ -80,6 +80,16 @@ def test_exact_dedup(spark, awkward, empty):
     index.drop()
 
 
+def test_first_batch_meets_the_index(spark, monkeypatch):
+    """The first batch, too, is judged against the (empty) bucketed index, and the query leaves no table."""
+    read = []
+    table = exact_dedup.DigestIndex.table
+    monkeypatch.setattr(exact_dedup.DigestIndex, "table", lambda self: read.append(self.name) or table(self))
+    out = queries.op3_digest_index_dedup(spark, SF)
+    assert read and not any(spark.catalog.tableExists(name) for name in read)
+    assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_line_dedup(spark, awkward, empty):
     rows = [(i, f"common line\n{'rare' if i % 40 == 0 else 'own'} {i}\n\n  common line  \n", "a") for i in range(100)] + [(200 + i, "common line", "b") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit("clash"))

@@ -34,8 +34,16 @@ class DigestIndex:
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
+    def create(self, rows: DataFrame) -> None:
+        """An empty index for rows like these, unless there is one."""
+        if not self.exists():
+            self._write(self.spark.createDataFrame([], rows.schema))
+
     def append(self, rows: DataFrame) -> None:
-        rows.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        self._write(rows.repartition(self.buckets, "digest"))
+
+    def _write(self, rows: DataFrame) -> None:
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def deduplicate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Judge a batch and append its new digests.
@@ -46,13 +54,11 @@ class DigestIndex:
         text = lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
         digests = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
         groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        if self.exists():
-            groups = stage(groups, "groups")
-            fresh = groups.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
-            known = groups.hint("merge").join(self.table().select("digest", F.col("keep_id").alias("held")), "digest")
-            judged = fresh.withColumn("new", F.lit(True)).unionByName(known.select("digest", F.col("held").alias("keep_id"), "group_size", F.lit(False).alias("new")))
-        else:
-            judged = groups.withColumn("new", F.lit(True))
+        groups = stage(groups, "groups")
+        self.create(groups)
+        fresh = groups.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
+        known = groups.hint("merge").join(self.table().select("digest", F.col("keep_id").alias("held")), "digest")
+        judged = fresh.withColumn("new", F.lit(True)).unionByName(known.select("digest", F.col("held").alias("keep_id"), "group_size", F.lit(False).alias("new")))
         judged = stage(judged, "judged")
         self.append(judged.filter("new").drop("new"))
         return digests.join(judged.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).select(
