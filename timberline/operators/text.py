@@ -118,13 +118,19 @@ def note_flags(notes: DataFrame, text: str = "text") -> DataFrame:
     return out
 
 
+#: A reference table of more patterns is an error, never cut.
+MOST_PATTERNS = 5000
+
+
 def device_matches(notes: DataFrame, aliases: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
     """(keep..., model, specific): models whose patterns a note holds. ``aliases``: model, pattern, guarded. A guarded
     pattern needs device words, and no record-system words, within 100 characters.
 
     Patterns are a small reference table; the notes are scanned once per pattern by one native expression.
     """
-    patterns = [(r["model"], r["pattern"], bool(r["guarded"])) for r in aliases.select("model", "pattern", "guarded").orderBy("model", "pattern").limit(5000).collect()]
+    patterns = [(r["model"], r["pattern"], bool(r["guarded"])) for r in aliases.select("model", "pattern", "guarded").orderBy("model", "pattern").limit(MOST_PATTERNS + 1).collect()]
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} device patterns")
     t = F.coalesce(F.col(text), F.lit(""))
     found: dict[str, Column] = {}
     for model, pattern, guarded in patterns:

@@ -54,13 +54,19 @@ def flatten_outcomes(trials: DataFrame, relevant: str, strict: str) -> DataFrame
     )
 
 
+#: A reference table of more patterns is an error, never cut.
+MOST_PATTERNS = 5000
+
+
 def roll_up_devices(records: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(models, aliases): registry records grouped under the first matching brand pattern.
 
     ``brands``: model, pattern, priority, route, design_class. Sizes come from the size value, else the size text, else the
     description. Confidence is high with sizes and a route, moderate with one of them, else low.
     """
-    patterns = [(r["model"], r["pattern"]) for r in brands.orderBy("priority", "model").limit(5000).collect()]
+    patterns = [(r["model"], r["pattern"]) for r in brands.orderBy("priority", "model").limit(MOST_PATTERNS + 1).collect()]
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} brand patterns")
     text = F.concat_ws(" ", "brand", "description", "model_number")
     model = F.lit(None).cast("string")
     for name, pattern in reversed(patterns):
