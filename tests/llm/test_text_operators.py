@@ -80,6 +80,25 @@ def test_exact_dedup(spark, awkward, empty):
     index.drop()
 
 
+def test_batches_meet_a_bucketed_index(spark, awkward):
+    """Batches of any split give the verdicts of one; a batch run twice changes nothing; the index side is not shuffled."""
+    index = exact_dedup.DigestIndex(spark, "digests_batches", buckets=4)
+    index.drop()
+    newer = F.coalesce(F.col("doc_id") > 50, F.lit(False))
+    parts = [awkward.filter(newer), awkward.filter(~newer & F.col("doc_id").isNotNull()), awkward.filter("doc_id is null")]
+    got = sorted(map(str, index.deduplicate_batches(parts).collect()))
+    rows = index.table().count()
+    index.drop()
+    assert got == sorted(map(str, index.deduplicate(awkward, "all").collect())) and index.table().count() == rows
+    assert sorted(map(str, index.deduplicate(awkward, "all").collect())) == got and index.table().count() == rows
+    again = index.deduplicate_batches(parts).collect()
+    assert not any(r["kept"] for r in again) and index.table().count() == rows
+    groups = spark.createDataFrame([(b"x",)], "digest binary").hint("merge")
+    plan = groups.join(index.table().select("digest"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1
+    index.drop()
+
+
 def test_first_batch_meets_the_index(spark, monkeypatch):
     """The first batch, too, is judged against the (empty) bucketed index, and the query leaves no table."""
     read = []

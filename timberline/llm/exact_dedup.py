@@ -1,19 +1,24 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table bucketed and sorted by digest: one row per distinct normalised text, with the id that stays and the
-number of rows seen. A batch is digested, reduced to one row per digest (map-side, so a text that fills a third of the
+batch that brought it. A batch is digested, reduced to one row per digest (map-side, so a text that fills a third of the
 batch shuffles as one row per task), anti-joined with the index by sort-merge, and the new digests are appended. The index
 side of that join is read in bucket order and not shuffled.
 
 Defined results: a null text counts as empty; texts are equal when identical after lower-casing A-Z; of equal texts of one
-batch the largest id stays (nulls lose; all null: null stays); a text the index already holds keeps the index's id, so all
-its rows in the batch are duplicates. Rows that repeat an id and its text share one verdict. An empty batch appends
+batch the largest id stays (nulls lose; all null: null stays); a text an earlier batch brought keeps that batch's id, so all
+its rows in the batch are duplicates. A batch that is run again under its own name (after a failure, say) gets the verdicts
+of its first run and appends nothing twice. Rows that repeat an id and its text share one verdict. An empty batch appends
 nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import lower_ascii, stage
@@ -34,10 +39,10 @@ class DigestIndex:
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-    def create(self, rows: DataFrame) -> None:
-        """An empty index for rows like these, unless there is one."""
+    def create(self) -> None:
+        """An empty index, unless there is one."""
         if not self.exists():
-            self._write(self.spark.createDataFrame([], rows.schema))
+            self._write(self.spark.createDataFrame([], "digest binary, keep_id long, batch string"))
 
     def append(self, rows: DataFrame) -> None:
         self._write(rows.repartition(self.buckets, "digest"))
@@ -45,26 +50,44 @@ class DigestIndex:
     def _write(self, rows: DataFrame) -> None:
         rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
-    def deduplicate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Judge a batch and append its new digests.
-
-        Returns one row per row of the batch: doc_id, keep_id, group_size (rows of the batch with this text), kept,
-        text_sha256.
-        """
+    def ingest(self, docs: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+        """Judge a batch against the index and append what is new. Returns the digest of each row (doc_id, digest), and one
+        row per digest of the batch: digest, keep_id, n (rows of the batch), new."""
         text = lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-        digests = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        groups = stage(groups, "groups")
-        self.create(groups)
-        fresh = groups.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
-        known = groups.hint("merge").join(self.table().select("digest", F.col("keep_id").alias("held")), "digest")
-        judged = fresh.withColumn("new", F.lit(True)).unionByName(known.select("digest", F.col("held").alias("keep_id"), "group_size", F.lit(False).alias("new")))
-        judged = stage(judged, "judged")
-        self.append(judged.filter("new").drop("new"))
-        return digests.join(judged.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-        )
+        digests = stage(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
+        groups = stage(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "groups")
+        self.create()
+        earlier = self.table().filter(F.col("batch") != batch)
+        fresh = groups.hint("merge").join(earlier.select("digest"), "digest", "left_anti").withColumn("new", F.lit(True))
+        known = groups.drop("keep_id").hint("merge").join(earlier.select("digest", "keep_id"), "digest").withColumn("new", F.lit(False))
+        judged = stage(fresh.unionByName(known), "judged")
+        unwritten = judged.filter("new").hint("merge").join(self.table().select("digest"), "digest", "left_anti")
+        self.append(unwritten.select("digest", "keep_id", F.lit(batch).alias("batch")))
+        return digests, judged
+
+    def deduplicate(self, docs: DataFrame, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """One row per row of a batch: doc_id, keep_id, group_size (rows of the batch with this text), kept, text_sha256."""
+        digests, judged = self.ingest(docs, batch or uuid.uuid4().hex, id_col, text_col)
+        return verdicts(digests, judged, F.col("new"))
+
+    def deduplicate_batches(self, batches: Iterable[DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Batches one after the other, as they would arrive; ``group_size`` counts the rows of all of them."""
+        name = uuid.uuid4().hex
+        done = [self.ingest(docs, f"{name}-{k}", id_col, text_col) for k, docs in enumerate(batches)]
+        digests = reduce(DataFrame.unionByName, (d.withColumn("batch", F.lit(k)) for k, (d, _) in enumerate(done)))
+        judged = reduce(DataFrame.unionByName, (j.withColumn("batch", F.lit(k)) for k, (_, j) in enumerate(done)))
+        # one id stays of a digest, the one its first batch brought or the index held, so keep_id is the same in all batches
+        first = F.min(F.when(F.col("new"), F.col("batch"))).alias("first")
+        totals = judged.groupBy("digest").agg(F.first("keep_id", ignorenulls=True).alias("keep_id"), F.sum("n").alias("n"), first)
+        return verdicts(digests, totals, F.coalesce(F.col("batch") == F.col("first"), F.lit(False)))
+
+
+def verdicts(digests: DataFrame, judged: DataFrame, new: Column) -> DataFrame:
+    """Hand the verdict of a digest to its rows."""
+    return digests.join(judged.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).select(
+        "doc_id",
+        "keep_id",
+        F.col("n").alias("group_size"),
+        (new & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
