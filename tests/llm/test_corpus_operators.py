@@ -293,9 +293,56 @@ def test_near_duplicates_against_all_pairs(spark, awkward, empty, monkeypatch):
     assert near_dup.join(empty).count() == 0 and near_dup.keep_one(empty).count() == 0
 
 
-def test_prefix_is_shortened_to_the_recall():
-    depth = near_dup.prefix_depth(0.8, 16, 0.999)
-    assert near_dup.expected_recall(0.8, 16, depth) >= 0.999 > near_dup.expected_recall(0.8, 16, depth + 1)
+def test_prefixes_end_where_the_threshold_has_the_recall():
+    depths = near_dup.prefix_depths(0.8, 16, 0.9995)
+    assert depths[0] == 8 and depths == sorted(depths, reverse=True)
+    assert near_dup.expected_recall(0.8, 16, depths[-1]) >= 0.9995 > near_dup.expected_recall(0.8, 16, depths[-1] + 1)
+
+
+def test_prefixes_are_shortened_by_measured_recall(spark):
+    """Texts with many close copies stay under long prefixes; texts with few links, or with links near the threshold, go on
+    to shorter ones. No link is lost: neither among the many, nor from a looser copy to them."""
+    r = random.Random(5)
+    base = words(400, 77).split()
+    rows = [" ".join(base[:k] + [f"own{k}"] + base[k + 1 :]) for k in range(0, 400, 2)]  # 200 texts, similar by 0.95 and more
+    for n in (6, 8):  # looser copies
+        w = list(base)
+        for _ in range(n):
+            w[r.randrange(len(w))] = f"loose{r.random()}"
+        rows.append(" ".join(w))
+    rows += _near_copies(5, 200, 78) + [words(120, 700 + i) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {x["doc_id"]: x for x in near_dup.join(docs).collect()}
+    links, _ = _brute(docs.orderBy("doc_id").collect())
+    assert [out[i]["n_links"] for i in range(len(rows))] == links
+    assert sum(out[i]["prefix_length"] > 4 for i in range(200)) > 100
+    assert {out[i]["prefix_length"] for i in range(202, len(rows))} == {4}
+    assert all(x["recall"] >= 0.9995 for x in out.values())
+
+
+def test_recall_of_queries_against_all_rows(spark, monkeypatch):
+    """Links of every row whose id is divisible by 20, against all rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = {r["doc_id"]: _shingle_set(r["text"]) for r in rows}
+    holders = defaultdict(list)
+    for i, shingles in sets.items():
+        for x in shingles:
+            holders[x].append(i)
+    want = {}
+    for i in (i for i in sets if i % 20 == 0):
+        common = Counter(j for x in sets[i] for j in holders[x] if j != i)
+        want[i] = sum(c >= 0.8 * (len(sets[i]) + len(sets[j]) - c) - 1e-9 for j, c in common.items())
+    got = {r["doc_id"]: r["n_links"] for r in near_dup.join(docs).filter("doc_id % 20 = 0").collect()}
+    assert sum(want.values()) > 0 and all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.99 * sum(want.values())
+
+
+def test_lookups_deal_a_frequent_key(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"))
+    table = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    out = near_dup.salted_lookup(rows, "k", table, F.col("id")).collect()
+    assert len(out) == 3000 and all(r["v"] == 2 * r["k"] for r in out)
 
 
 def test_components(spark):

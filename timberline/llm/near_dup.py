@@ -1,14 +1,22 @@
 """N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
 
 Texts are sets of word 5-grams (words lower-cased A-Z). Equal sets form one *text*, and only texts are compared. Each text
-gets ``trees`` MinHash prefixes, one per tree of the forest. The prefix is shortened from ``max_depth`` until the expected
-share of pairs at the threshold that meet in a tree reaches ``recall``; sorting by prefix is then a shuffle by (tree,
-prefix), and texts under one prefix are candidates of each other.
-
-Pairs never become rows. Prefix groups with the same members are merged, and large groups are cut into cells of two blocks
-of at most ``BLOCK`` texts. A cell holds its texts' shingles and counts the pairs it is first to see (those that meet in no
-earlier tree) whose exact Jaccard similarity reaches the threshold. It returns a row per linked text: its number of links and
-the smallest text of its cell it is connected to. Connected components over these rows give the classes.
+gets a signature of ``depth`` MinHash values per tree; in a tree the signatures form a trie, whose nodes are the groups of
+texts that share a prefix. Texts alone in every shortest prefix have no partner and leave at once.
+
+All others are first compared under their whole signatures, the deepest nodes. Verification is exact, so the links found are
+known, and in how many trees each was met. Links met in one or two trees alone tell of links met in none, so a text's
+measured recall (:func:`recall_of`) counts one missing link for each of them, and one more link right at the threshold for
+every text, so that few links are no evidence of many. A text short of the target has its prefixes shortened and is compared
+again, with all texts it newly meets; texts that reached the target are left where they are. So the members of a large group
+of close copies stay under long prefixes, and a text without links goes down to the length that gives the target at the
+threshold itself.
+
+Pairs never become rows. Nodes with the same members are merged, and large ones are cut into cells of two blocks of bounded
+size. A cell holds its texts' shingles and counts the pairs it is first to see (those that meet in no earlier tree and met at
+no longer prefix). It returns a row per linked text: its number of links, how many of them met in few trees, and
+the smallest text of its cell it is connected to. Connected components over these rows give the classes. Joins on class labels are salted, since one class may
+hold a third of all texts.
 
 Defined results: a null text, and one without words, has no shingles: it is a class of its own without links. A text of one
 to four words has one shingle, all its words. Repeated rows count as copies; a null id is a document like others. An empty
@@ -17,15 +25,18 @@ table gives no rows. Extra columns are ignored by :func:`join` and pass through
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.llm.common import chunks, lower_words, mix, stage
 
 BLOCK = 256
+BLOCK_SHINGLES = 2_000_000  # 16 MB
+WEAK = 2
 SHINGLE = 5
 _POWERS = np.asarray([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
 
@@ -35,12 +46,17 @@ def expected_recall(threshold: float, trees: int, depth: int) -> float:
     return 1 - (1 - threshold**depth) ** trees
 
 
-def prefix_depth(threshold: float, trees: int, recall: float, max_depth: int = 8) -> int:
-    """The longest prefix, shortened from ``max_depth``, that reaches the target recall."""
-    for depth in range(max_depth, 1, -1):
-        if expected_recall(threshold, trees, depth) >= recall:
-            return depth
-    return 1
+def prefix_depths(threshold: float, trees: int, recall: float, longest: int = 8, step: int = 2) -> list[int]:
+    """Prefix lengths to be tried in turn: from ``longest`` down by ``step`` to the one that gives the target recall at the
+    threshold itself, where every text stops."""
+    last = next((k for k in range(longest, 1, -1) if expected_recall(threshold, trees, k) >= recall), 1)
+    return [*range(longest, last, -step), last]
+
+
+def recall_of(links: Column, weak: Column, threshold: float, trees: int, depth: int) -> Column:
+    """Measured recall of a text: its links, over these and as many missing ones as met in one or two trees alone (``weak``),
+    with one more link at the threshold on both sides."""
+    return (links + 1) / (links + weak + 1 / expected_recall(threshold, trees, depth))
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -67,26 +83,29 @@ class _Hashed:
         return shingles(self._hasher(lower_words(text)))
 
 
-def signature(own: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The prefix of each tree, as one 64-bit number."""
-    if not len(own):
-        return np.zeros(trees, np.uint64)
-    number = np.arange(1, trees * depth + 1, dtype=np.uint64)
+def signature(own: np.ndarray, trees: int, depths: Sequence[int]) -> np.ndarray:
+    """For each prefix length (rows) and tree (columns) the prefix as one 64-bit number."""
+    longest = max(depths)
+    number = np.arange(1, trees * longest + 1, dtype=np.uint64)
     a, b = mix(number) | np.uint64(1), mix(number + np.uint64(1 << 32))
-    least = np.full(trees * depth, np.iinfo(np.uint64).max)
+    least = np.full(trees * longest, np.iinfo(np.uint64).max)
     for at in range(0, len(own), 2048):
         least = np.minimum(least, (own[at : at + 2048, None] * a + b).min(axis=0))
-    out = np.zeros(trees, np.uint64)
-    for column in least.reshape(trees, depth).T:
-        out = mix(out ^ column)
+    out = np.zeros((len(depths), trees), np.uint64)
+    node = np.zeros(trees, np.uint64)
+    for k, column in enumerate(least.reshape(trees, longest).T, 1):
+        node = mix(node ^ column)
+        if k in depths:
+            out[list(depths).index(k)] = node
     return out
 
 
-SIGNED = "doc_id {id}, th long, text_id binary, n_shingles int, prefixes array<long>"
+SIGNED = "doc_id {id}, th long, text_id binary, n_shingles int, prefixes binary"
 
 
-def signed_texts(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int) -> DataFrame:
-    """Per document: its id, a hash of its text, the digest of its shingle set (null: none), its size and prefixes."""
+def signed_texts(docs: DataFrame, id_col: str, text_col: str, trees: int, depths: Sequence[int]) -> DataFrame:
+    """Per document: its id, a hash of its text, the digest of its shingle set (null: none), its size, and its prefixes of all
+    lengths as one byte string."""
     kind = dict(docs.dtypes)[id_col]
 
     def sign(batches: Iterator) -> Iterator:
@@ -102,7 +121,7 @@ def signed_texts(docs: DataFrame, id_col: str, text_col: str, trees: int, depth:
                     batch.column(1),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([signature(s, trees, depth).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([signature(s, trees, depths).astype(">u8").tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
                 names=["doc_id", "th", "text_id", "n_shingles", "prefixes"],
             )
@@ -111,26 +130,36 @@ def signed_texts(docs: DataFrame, id_col: str, text_col: str, trees: int, depth:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(sign, SIGNED.format(id=kind))
 
 
-def _links(own: list[np.ndarray], prefixes: np.ndarray, tree: int, block: np.ndarray, cell: tuple[int, int], threshold: float) -> np.ndarray:
-    """Matrix of the cell's pairs (row before column) that are similar and meet in no earlier tree."""
+def _nodes(texts: DataFrame, level: int, trees: int) -> DataFrame:
+    """A row per text and tree: the trie node the text is under at the ``level``-th prefix length."""
+    at = F.col("tree") * 8 + 8 * trees * level + 1
+    return texts.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.substring("prefixes", at, F.lit(8)))
+
+
+def _links(own: list[np.ndarray], prefixes: np.ndarray, level: int, tree: int, open_: np.ndarray, block: np.ndarray, cell: tuple[int, int], threshold: float) -> np.ndarray:
+    """Similarities of the cell's pairs (row before column; 0: no link) that are similar, have a text that is still open, met
+    at no longer prefix, and meet in no earlier tree. ``prefixes`` is texts x lengths x trees."""
     n = len(own)
     sizes = np.asarray([len(s) for s in own], np.float64)
     pairs = np.triu(np.ones((n, n), bool), 1)
     if cell[0] != cell[1]:
         pairs &= block[:, None] != block[None, :]
     pairs &= np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
-    for earlier in range(tree):
+    pairs &= open_[:, None] | open_[None, :]
+    seen = [(level, t) for t in range(tree)] + [(level - 1, t) for t in range(prefixes.shape[2]) if level]
+    for k, t in seen:
         if not pairs.any():
-            return pairs
-        pairs &= prefixes[:, None, earlier] != prefixes[None, :, earlier]
+            return np.zeros((n, n))
+        pairs &= prefixes[:, None, k, t] != prefixes[None, :, k, t]
     first, second = np.nonzero(pairs)
     if len(first) <= 4 * n:
         common = np.asarray([len(np.intersect1d(own[i], own[j], assume_unique=True)) for i, j in zip(first, second, strict=True)], np.float64)
     else:
         common = _overlaps(own)[first, second]
-    similar = common >= threshold * (sizes[first] + sizes[second] - common) - 1e-9
-    out = np.zeros((n, n), bool)
-    out[first[similar], second[similar]] = True
+    together = sizes[first] + sizes[second] - common
+    similar = common >= threshold * together - 1e-9
+    out = np.zeros((n, n))
+    out[first[similar], second[similar]] = common[similar] / together[similar]
     return out
 
 
@@ -152,16 +181,18 @@ def _overlaps(own: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.float64)
 
 
-def _verify_cells(threshold: float):
+def _verify_cells(threshold: float, trees: int, depths: Sequence[int], level: int):
     def verify(key, rows):
         import pandas as pd
 
         tree, cell = int(key[0]), (int(key[2]), int(key[3]))
         rows = rows.drop_duplicates("text_id").sort_values("text_id", ignore_index=True)
         own = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        linked = _links(own, np.stack(rows["prefixes"].to_numpy()), tree, rows["block"].to_numpy(), cell, threshold)
+        prefixes = np.stack([np.frombuffer(x, ">u8").reshape(len(depths), trees) for x in rows["prefixes"]])
+        found = _links(own, prefixes, level, tree, rows["open"].to_numpy(bool), rows["block"].to_numpy(), cell, threshold)
+        found = found + found.T
+        both = found > 0
         copies = rows["n_copies"].to_numpy()
-        both = linked | linked.T
         root = np.arange(len(own))  # smallest text of the cell each is connected to
         while True:
             lower = np.minimum(root, np.where(both, root[None, :], len(own)).min(axis=1, initial=len(own)))
@@ -171,9 +202,15 @@ def _verify_cells(threshold: float):
         texts, documents = both.sum(axis=1), both @ copies
         some = np.flatnonzero(texts)
         ids = rows["text_id"].to_numpy()
-        return pd.DataFrame({"text_id": ids[some], "links": texts[some].astype(np.int64), "doc_links": documents[some].astype(np.int64), "parent": ids[root[some]]})
+        out = pd.DataFrame({"text_id": ids[some], "links": texts[some].astype(np.int64), "doc_links": documents[some].astype(np.int64), "parent": ids[root[some]]})
+        first, second = np.nonzero(both)
+        for k in range(len(depths)):
+            few = (prefixes[first, k] == prefixes[second, k]).sum(axis=1) <= WEAK
+            out[f"w{k}"] = np.bincount(first[few], minlength=len(own))[some].astype(np.int64)
+        return out
 
-    return verify
+    weak = ", ".join(f"w{k} long" for k in range(len(depths)))
+    return verify, f"text_id binary, links long, doc_links long, parent binary, {weak}"
 
 
 def _with_shingles(rows: DataFrame) -> DataFrame:
@@ -193,16 +230,24 @@ def _with_shingles(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", shingles binary")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def salted_lookup(rows: DataFrame, key: str, table: DataFrame, salt: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (unique by ``key``) that deals the rows of a frequent key to many tasks: the
+    table meets one row per key and salt, and these meet the rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(n)))
+    meeting = salted.select(key, "__salt").distinct().join(table, key)
+    return salted.join(meeting, [key, "__salt"]).drop("__salt")
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``(a, b)``: rows (node, label), label the smallest node. Distributed label propagation."""
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct(), "edges")
     labels = stage(both.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node"), "labels")
     for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("label"))
+        near = salted_lookup(both, "b", labels.select(F.col("node").alias("b"), "label"), F.col("a")).groupBy("a").agg(F.min("label").alias("label"))
         near = stage(near, "near")
-        far = labels.select(F.col("node").alias("n"), F.col("label").alias("further"))
-        after = near.join(far, F.col("label") == F.col("n")).select(F.col("a").alias("node"), F.least("label", "further").alias("label"))
-        after = stage(after, "labels")
+        after = salted_lookup(near, "label", labels.select(F.col("node").alias("label"), F.col("label").alias("further")), F.col("a"))
+        after = stage(after.select(F.col("a").alias("node"), F.least("label", "further").alias("label")), "labels")
         moved = after.join(labels.withColumnRenamed("label", "was"), "node").filter("label != was").limit(1).count()
         labels = after
         if not moved:
@@ -210,47 +255,67 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def join(docs: DataFrame, threshold: float = 0.8, trees: int = 16, recall: float = 0.999, max_depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, text_doc_id, n_copies, n_text_links, n_links.
+def join(docs: DataFrame, threshold: float = 0.8, trees: int = 16, recall: float = 0.9995, longest: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id, class_size, text_doc_id, n_copies, n_text_links, n_links, prefix_length,
+    recall.
 
     ``class_id`` is the smallest id of the documents connected by links; ``text_doc_id`` the smallest with the same
-    shingles; ``n_links`` the other documents of similarity ``threshold`` or more, copies included.
+    shingles; ``n_links`` the other documents of similarity ``threshold`` or more, copies included; ``prefix_length`` the
+    length to which the text's prefixes were shortened, and ``recall`` the measured recall there (null without words).
     """
-    return _decide(docs, threshold, trees, recall, max_depth, id_col, text_col).drop("th", "stays")
-
-
-def _decide(docs: DataFrame, threshold: float, trees: int, recall: float, max_depth: int, id_col: str, text_col: str) -> DataFrame:
-    depth = prefix_depth(threshold, trees, recall, max_depth)
-    signed = stage(signed_texts(docs, id_col, text_col, trees, depth), "signed")
-    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
-    texts = stage(
-        signed.filter("text_id is not null").groupBy("text_id").agg(F.min(own).alias("first"), F.count("*").alias("n_copies"), F.min("prefixes").alias("prefixes")),
-        "texts",
-    )
-    entries = texts.select("text_id", F.posexplode("prefixes").alias("tree", "prefix"))
-    fingerprint = (F.bit_xor(F.xxhash64("text_id")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "text_id")).alias("f2"))
-    groups = entries.groupBy("tree", "prefix").agg(F.count("*").alias("n"), *fingerprint).filter("n > 1")
-    # groups with the same members are looked at once, in the first of their trees
-    groups = groups.groupBy("n", "f1", "f2").agg(F.min(F.struct("tree", "prefix")).alias("at")).select(F.col("at.tree").alias("t"), F.col("at.prefix").alias("p"), "n")
-    groups = stage(groups, "groups")
-    members = entries.join(groups, (F.col("tree") == F.col("t")) & (F.col("prefix") == F.col("p"))).select("text_id", "tree", "prefix", "n")
-    members = stage(members, "members")
-    wanted = stage(members.select("text_id").distinct().join(texts, "text_id").select("text_id", "prefixes", "n_copies", F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")), "wanted")
+    return _decide(docs, threshold, trees, recall, longest, id_col, text_col).drop("th", "stays")
+
+
+def _linked(docs: DataFrame, texts: DataFrame, threshold: float, trees: int, recall: float, depths: Sequence[int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Compare texts from the longest prefixes to the shortest. Returns the cells' rows, and the state of each text that had
+    company: text_id, links, doc_links, prefix_length, recall."""
+    last = len(depths) - 1
+    shortest = _nodes(texts.select("text_id", "prefixes"), last, trees).select("text_id", "tree", "node")
+    shared = shortest.groupBy("tree", "node").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    company = stage(shortest.join(shared, ["tree", "node"]).select("text_id").distinct(), "company")
+    wanted = company.join(texts, "text_id").select("text_id", "prefixes", "n_copies", "n_shingles", F.col("first.doc_id").alias("d"), F.col("first.th").alias("h"))
+    wanted = stage(wanted, "wanted")
     text = F.col(f"`{text_col}`")
     fetched = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
-    loaded = _with_shingles(fetched.select("text_id", "prefixes", "n_copies", "text"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
-    cells = placed.select("text_id", "tree", "prefix", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("text_id", "tree", "prefix", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    checked = cells.join(loaded, "text_id").groupBy("tree", "prefix", "i", "j").applyInPandas(_verify_cells(threshold), "text_id binary, links long, doc_links long, parent binary")
-    checked = stage(checked, "links")
+    loaded = stage(_with_shingles(fetched.select("text_id", "prefixes", "n_copies", "text")), "shingles")
+    weak = [f"w{k}" for k in range(len(depths))]
+    state = wanted.select("text_id", F.lit(True).alias("open"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("doc_links"), *(F.lit(0).cast("long").alias(w) for w in weak), F.lit(0).alias("prefix_length"), F.lit(0.0).alias("recall"))
+    found = []
+    for level, depth in enumerate(depths):
+        entries = _nodes(state.select("text_id", "open").join(wanted.select("text_id", "prefixes", "n_shingles"), "text_id"), level, trees).select("text_id", "open", "n_shingles", "tree", "node")
+        fingerprint = (F.bit_xor(F.xxhash64("text_id")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "text_id")).alias("f2"))
+        nodes = entries.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles").cast("long")).alias("size"), F.max("open").alias("any_open"), *fingerprint).filter("n > 1 and any_open")
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        # nodes with the same members are looked at once, in the first of their trees
+        nodes = nodes.groupBy("n", "size", "f1", "f2").agg(F.min(F.struct("tree", "node")).alias("at")).select("at.tree", "at.node", blocks)
+        members = entries.join(stage(nodes, "nodes"), ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
+        members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = members.select("text_id", "open", "tree", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        verify, kinds = _verify_cells(threshold, trees, depths, level)
+        found.append(stage(cells.join(loaded, "text_id").groupBy("tree", "node", "i", "j").applyInPandas(verify, kinds), "links"))
+        sums = found[-1].groupBy("text_id").agg(*(F.sum(c).alias(f"+{c}") for c in ("links", "doc_links", *weak)))
+        added = [(F.col(c) + F.coalesce(F.col(f"`+{c}`"), F.lit(0))).alias(c) for c in ("links", "doc_links", *weak)]
+        reached = recall_of(F.col("links"), F.col(f"w{level}"), threshold, trees, depth)
+        state = state.join(sums, "text_id", "left").select("text_id", F.col("open").alias("was"), *added, "prefix_length", "recall")
+        state = state.select("text_id", (F.col("was") & (reached < recall)).alias("open"), "links", "doc_links", *weak, F.when(F.col("was"), depth).otherwise(F.col("prefix_length")).alias("prefix_length"), F.when(F.col("was"), reached).otherwise(F.col("recall")).alias("recall"))
+        state = stage(state, "state")
+    return reduce(DataFrame.unionByName, found), state
+
+
+def _decide(docs: DataFrame, threshold: float, trees: int, recall: float, longest: int, id_col: str, text_col: str) -> DataFrame:
+    depths = prefix_depths(threshold, trees, recall, longest)
+    signed = stage(signed_texts(docs, id_col, text_col, trees, depths), "signed")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    texts = signed.filter("text_id is not null").groupBy("text_id").agg(F.min(own).alias("first"), F.count("*").alias("n_copies"), F.min("prefixes").alias("prefixes"), F.min("n_shingles").alias("n_shingles"))
+    texts = stage(texts, "texts")
+    checked, state = _linked(docs, texts, threshold, trees, recall, depths, id_col, text_col)
     classes = components(checked.select(F.col("text_id").alias("a"), F.col("parent").alias("b")).distinct())
-    links = checked.groupBy("text_id").agg(F.sum("links").alias("links"), F.sum("doc_links").alias("doc_links"))
-    known = texts.select("text_id", "first", "n_copies").join(links, "text_id", "left").join(classes.withColumnRenamed("node", "text_id"), "text_id", "left")
+    company = state.select("text_id", "links", "doc_links", "prefix_length", "recall")
+    known = texts.select("text_id", "first", "n_copies").join(company, "text_id", "left").join(classes.withColumnRenamed("node", "text_id"), "text_id", "left")
     known = stage(known.withColumn("label", F.coalesce("label", "text_id")), "known")
     sizes = known.groupBy("label").agg(F.min("first").alias("head"), F.sum("n_copies").alias("class_size"))
-    known = stage(known.join(sizes, "label"), "classes").withColumnRenamed("text_id", "tid")
+    known = stage(salted_lookup(known, "label", stage(sizes, "sizes"), F.col("text_id")), "classes").withColumnRenamed("text_id", "tid")
+    alone = expected_recall(threshold, trees, depths[-1])
     return signed.join(known, F.col("text_id") == F.col("tid"), "left").select(
         "doc_id",
         "th",
@@ -260,17 +325,20 @@ def _decide(docs: DataFrame, threshold: float, trees: int, recall: float, max_de
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"),
         (F.coalesce("doc_links", F.lit(0)) + F.coalesce("n_copies", F.lit(1)) - 1).cast("long").alias("n_links"),
+        F.when(F.col("tid").isNotNull(), F.coalesce("prefix_length", F.lit(depths[-1]))).alias("prefix_length"),
+        F.when(F.col("tid").isNotNull(), F.coalesce("recall", F.lit(alone))).alias("recall"),
         (F.col("tid").isNull() | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th")))).alias("stays"),
     )
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.8, trees: int = 16, recall: float = 0.999, max_depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one document of each class (the one with the smallest id stays)."""
-    stays = _decide(docs, threshold, trees, recall, max_depth, id_col, text_col).filter("stays").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+def keep_one(docs: DataFrame, threshold: float = 0.8, trees: int = 16, recall: float = 0.9995, longest: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one document of each class (the one with the smallest id stays; of rows that
+    share id and text, the one whose columns come first by hash)."""
+    stays = _decide(docs, threshold, trees, recall, longest, id_col, text_col).filter("stays").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     stays = stage(stays, "stays")
     marked = docs.withColumn("__hash", F.xxhash64(F.col(f"`{text_col}`")))
     kept = marked.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")))
-    once = Window.partitionBy("__id", "__th").orderBy(F.lit(0))
+    once = Window.partitionBy("__id", "__th").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     # rows that repeat an id and a text with words are copies, too
     numbered = kept.withColumn("__n", F.row_number().over(once))
     return numbered.filter((F.col("__n") == 1) | ~F.coalesce(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select(*(F.col(f"`{c}`") for c in docs.columns))
