@@ -48,6 +48,41 @@ def test_extraction_reads_names_of_layout_as_no_boilerplate():
         assert html_extract.main_text(f"<body><article><p>{prose}</p></article>{opened}<p>{prose} Not this.</p>{closed}</body>") == prose.strip(), opened
 
 
+PROSE = "This is the story of a river and of the people who lived by it for a long time, as it was told to me. " * 3
+SOUP = "Quartz lantern anvil copper saddle kettle pewter ledger thimble bellows gantry trestle sluice hopper mandrel. " * 3
+LINKS = "<ul>" + "".join(f"<li><a href={i}>Another story of the river, number {i}, with more of it to read and to look at on the way</a>" for i in range(3)) + "</ul>"
+
+
+def test_density_decides_without_tags():
+    """Pages without semantic tags or telling names: each feature decides."""
+    page = f"<body><div><p>{PROSE}</p></div><div>{SOUP}</div><div>{LINKS}</div><div><p>{PROSE} Again.</p></div><div>Posted at noon</div></body>"
+    assert html_extract.main_text(page).split("\n") == [PROSE.strip(), PROSE + "Again."]
+
+
+def test_each_feature_changes_pages(monkeypatch):
+    """Switched off one by one, stop words, link density and length each change a page, in an article and outside it."""
+    outside = f"<body><div><p>{PROSE}</p></div><div>{LINKS}</div><div>{SOUP}</div><div>{LINKS}</div><div>An aside of the editor, short and plain.</div><div>{LINKS}</div></body>"
+    within = f"<body><article>{LINKS}<p>{PROSE}</p><p>Short.</p><p>{SOUP}</p><p>x</p><p>y</p>{LINKS}</article></body>"
+    want = {page: html_extract.main_text(page) for page in (outside, within)}
+    assert want[outside] == PROSE.strip() and want[within].split("\n") == [PROSE.strip(), "Short.", SOUP.strip()]
+    for name, off in (("STOP_WORDS", frozenset()), ("LINKED", 2.0), ("LONG", 1e9)):
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, name, off)
+            if name == "LINKED":
+                m.setattr(html_extract, "LINKED_INSIDE", off)
+            for page in want:
+                assert html_extract.main_text(page) != want[page], (name, page[:20])
+
+
+def test_extraction_takes_linear_time():
+    import time
+
+    begin = time.time()
+    for unit in ('<b "', "<b a='", '<b a="', "<script ", "<script>", "</", "<!", "<!--", "<", "<p>x", "<div>", "<div></section>", "<b a=>", "=", "<a href=x>y", "<li>x</li>", "</script", "&", " "):
+        html_extract.main_text("<body><p>a" + unit * (1_000_000 // len(unit)))
+    assert time.time() - begin < 60  # 19 MB
+
+
 def test_extraction_edges(spark):
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<p></p><!-- open") == ""
     assert html_extract.main_text("<article><p>One") == "One"

@@ -1,19 +1,25 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand (menus, footers, forms,
-adverts, comments ... are boilerplate), by link density, length and stop-word density; short or middling blocks stay
-undecided. In the second pass an undecided block takes the label of its nearest decided neighbours, looked for inside its
-own article first, so a headline or a one-word paragraph stays with the text it belongs to.
+A page is cut into blocks at block-level tags. The first pass decides blocks by link density, length and stop-word density:
+link lists are boilerplate, long runs of ordinary sentences are text, short or middling blocks stay undecided. In the second
+pass an undecided block takes the label of its nearest decided neighbours, so a headline or a one-word paragraph goes with
+the text, or the link list, it belongs to.
+
+Where a block stands is a prior. Menus, footers, sidebars, forms, adverts and comments that say so by tag, role or name are
+boilerplate whatever they hold. In an article or main part half the length and density is asked, undecided blocks look for
+neighbours in their own article, and stay when there are none. On a page that has such a part, blocks elsewhere need twice
+the length and more stop words. Everywhere else density alone decides.
 
 Defined results: null or empty html gives an empty text; unclosed tags end where their container ends; an unclosed comment,
-script or style runs to the end of the page; markup without text gives an empty text; repeated rows give repeated results.
-Extra columns are ignored.
+script or style runs to the end of the page; a tag whose quotes do not end ends at the next angle bracket; markup without text
+gives an empty text; repeated rows give repeated results. Extra columns are ignored. Time is linear in the length of a page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,20 +66,19 @@ BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog".split())
 SILENT_TAGS = frozenset("head script style noscript template svg math iframe object select button textarea canvas video audio map datalist title".split())
 CONTAINERS = frozenset("article main nav footer aside form menu dialog header section div ul ol dl table blockquote figure details fieldset".split()) | SILENT_TAGS
 BLOCKS = CONTAINERS | frozenset("html body p h1 h2 h3 h4 h5 h6 li dt dd tr caption figcaption pre address hr legend summary tbody thead tfoot hgroup center option".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>?|<[!?][^>]*>?|</[^a-zA-Z][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r">|=\s*[\"']")
+_ANGLE = re.compile(r"[<>]")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style", "noscript", "template", "textarea", "svg", "iframe")}
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.15, 0.30
-LINKED = 0.5
+LINKED, LINKED_INSIDE = 0.5, 0.8
 GOOD, BAD, NEAR, BRIEF = "good", "bad", "near", "brief"
 
 
@@ -139,6 +144,51 @@ def _kind(tag: str, attributes: str, inside: str) -> str:
     return inside
 
 
+def _tag_end(page: str, at: int, quoted: bool) -> tuple[int, int, bool]:
+    """Where a tag's attributes and the tag itself end, and whether quotes are still to be trusted: they are not once a tag's
+    quotes have not ended, so a page is looked through to its end at most once."""
+    pos = at
+    while quoted:
+        m = _STOP.search(page, pos)
+        if not m:
+            break
+        if m[0] == ">":
+            return m.start(), m.end(), True
+        pos = page.find(m[0][-1], m.end()) + 1
+        if not pos:
+            break
+    m = _ANGLE.search(page, at)
+    if not m:
+        return len(page), len(page), False
+    return m.start(), m.end() if m[0] == ">" else m.start(), False
+
+
+def _markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Tags, comments and declarations: where each begins and ends, whether it is an end tag, its name and its attributes
+    (empty for what is no tag). A script, style or other part without text of the page is one piece with its content."""
+    at, quoted = 0, True
+    while (start := page.find("<", at)) >= 0:
+        m = _NAME.match(page, start)
+        if m:
+            tag = m[2].lower()
+            inner, at, quoted = _tag_end(page, m.end(), quoted)
+            if tag in _RAW_END and not m[1]:
+                ending = _RAW_END[tag].search(page, at)
+                at = _tag_end(page, ending.end(), False)[1] if ending else len(page)
+                yield start, at, False, "", ""
+            else:
+                yield start, at, bool(m[1]), tag, page[m.end() : inner]
+        elif page.startswith("<!--", start):
+            at = page.find("-->", start + 4) + 3
+            at = at if at > 2 else len(page)
+            yield start, at, False, "", ""
+        elif page[start + 1 : start + 2] in ("!", "?", "/"):
+            at = page.find(">", start) + 1 or len(page)
+            yield start, at, False, "", ""
+        else:
+            at = start + 1
+
+
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str, int]] = [("", "plain", 0)]
@@ -164,13 +214,12 @@ def blocks_of(page: str) -> list[Block]:
                 state["linked"] += len(text)
 
     at = 0
-    for m in _MARKUP.finditer(page):
-        put(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+    open_tags: Counter[str] = Counter()
+    for begins, ends, ending, tag, attributes in _markup(page):
+        put(page[at:begins])
+        at = ends
         if not tag:
             continue
-        ending = bool(m[2] or m[5])
         if tag == "br":
             state["breaks"] += 1
             if state["breaks"] > 1:
@@ -187,74 +236,92 @@ def blocks_of(page: str) -> list[Block]:
             state["link"] = 0
             if tag == "body" and not ending:
                 while len(stack) > 1 and stack[-1][0] == "head":
-                    stack.pop()
+                    open_tags[stack.pop()[0]] -= 1
             if tag in CONTAINERS:
                 if ending:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
+                    while open_tags[tag]:
+                        closed = stack.pop()[0]
+                        open_tags[closed] -= 1
+                        if closed == tag:
                             break
-                elif not (m[4] or m[7] or "").endswith("/"):
-                    kind = _kind(tag, m[4] or m[7] or "", stack[-1][1])
+                elif not attributes.endswith("/"):
+                    kind = _kind(tag, attributes, stack[-1][1])
                     region = stack[-1][2]
                     if kind == "content" and stack[-1][1] != "content":
                         state["regions"] += 1
                         region = state["regions"]
                     stack.append((tag, kind, region))
+                    open_tags[tag] += 1
     put(page[at:])
     close()
     return out
 
 
-def _first_pass(blocks: list[Block]) -> None:
+def _stop_density(text: str) -> float:
+    words = [_EDGES.sub("", w) for w in text.lower().split()]
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def _first_pass(blocks: list[Block]) -> bool:
+    """Decide blocks by links, length and stop words; where they stand scales what is asked of them. Tells whether the page
+    says where its article is."""
     inside = sum(len(b.text) for b in blocks if b.region > 0)
     elsewhere = sum(len(b.text) for b in blocks if b.region == 0)
-    has_article = inside > 0 and 3 * inside >= elsewhere
+    marked = inside > 0 and 3 * inside >= elsewhere
     for b in blocks:
         n = len(b.text)
-        density = min(1.0, b.linked / n)
-        if b.region < 0 or b.region == 0 and has_article:
+        links = min(1.0, b.linked / n)
+        strict = 0.5 if b.region > 0 else 2.0 if marked else 1.0
+        heading = b.region > 0 and b.tag in HEADINGS
+        if b.region < 0:
             b.label = BAD
-        elif density > (0.8 if b.region else LINKED):
+        elif links > (LINKED_INSIDE if b.region else LINKED) and not heading:
             b.label = BAD
         elif not b.region and n < LONG and ("©" in b.text or "all rights reserved" in b.text.lower()):
             b.label = BAD
         elif n < SHORT:
-            b.label = BAD if density > 0.2 and not b.region else BRIEF
+            b.label = BAD if not b.region and (links > 0.2 or marked) else BRIEF
         else:
-            words = [_EDGES.sub("", w) for w in b.text.lower().split()]
-            stops = sum(w in STOP_WORDS for w in words) / len(words)
-            if stops >= MANY_STOPS and n > LONG:
+            stops = _stop_density(b.text)
+            if n > LONG * strict and stops >= (FEW_STOPS * strict if b.region else min(MANY_STOPS, MANY_STOPS * strict)):
                 b.label = GOOD
-            elif stops >= FEW_STOPS:
-                b.label = GOOD if n > LONG and b.region else NEAR
+            elif stops >= FEW_STOPS * strict:
+                b.label = NEAR
             else:
                 b.label = BRIEF if b.region else BAD
+    return marked
+
+
+def _decided(blocks: list[Block], order: range, marked: bool) -> list[tuple[str, int]]:
+    """Label and distance of the nearest decided block before each in this order: within an article for its blocks, and on a
+    page that marks its article, within the stretch around it for all others."""
+    out = [("", len(blocks))] * len(blocks)
+    anywhere = own = None
+    region = 0
+    for i in order:
+        b = blocks[i]
+        if b.region != region:
+            own, region = None, b.region
+        last = own if b.region > 0 or marked else anywhere
+        if last is not None:
+            out[i] = (blocks[last].label, abs(i - last))
+        if b.label in (GOOD, BAD):
+            anywhere = own = i
+    return out
 
 
-def _nearest(blocks: list[Block], i: int, step: int, region: int) -> tuple[str, int]:
-    """Label and distance of the nearest decided block on one side, within the block's article."""
-    k = i + step
-    while 0 <= k < len(blocks) and (blocks[k].region == region or not region):
-        if blocks[k].label in (GOOD, BAD):
-            return blocks[k].label, abs(k - i)
-        k += step
-    return "", len(blocks)
-
-
-def _second_pass(blocks: list[Block]) -> list[bool]:
+def _second_pass(blocks: list[Block], marked: bool) -> list[bool]:
+    """Undecided blocks inherit from their nearest decided neighbours."""
     out = []
-    for i, b in enumerate(blocks):
+    forward, back = _decided(blocks, range(len(blocks)), marked), _decided(blocks, range(len(blocks) - 1, -1, -1), marked)
+    for b, (before, far_before), (after, far_after) in zip(blocks, forward, back, strict=True):
         if b.label in (GOOD, BAD):
             out.append(b.label == GOOD)
-            continue
-        (before, far_before), (after, far_after) = _nearest(blocks, i, -1, b.region), _nearest(blocks, i, 1, b.region)
-        if b.region:  # in an article only its own link lists are boilerplate
-            labels = [x for x in ((far_before, before), (far_after, after)) if x[1]]
-            out.append(not labels or min(labels)[0] == max(labels)[0] and GOOD in (before, after) or min(labels)[1] == GOOD)
+        elif b.region:  # in an article only its own link lists are boilerplate
+            out.append(not (before or after) or GOOD in (before if far_before <= far_after else "", after if far_after <= far_before else ""))
         elif b.label == NEAR:
-            out.append(GOOD in (before, after) or not (before or after))
-        elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            out.append(GOOD in (before, after) or not (before or after or marked))
+        elif b.tag in HEADINGS:
             out.append(after == GOOD)
         elif before == after:
             out.append(before == GOOD)
@@ -270,8 +337,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    _first_pass(blocks)
-    return "\n".join(b.text for b, good in zip(blocks, _second_pass(blocks), strict=True) if good)
+    marked = _first_pass(blocks)
+    return "\n".join(b.text for b, good in zip(blocks, _second_pass(blocks, marked), strict=True) if good)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -281,7 +348,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     def extract(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, 200):
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
