@@ -1,56 +1,65 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 N-gram counts (words, and pairs of neighbours) of the training documents are summed exactly, then quantised to powers of
-``base``. An n-gram of quantised level q is entered in one Bloom filter under its levels 1..q; probing the levels in turn
-until one is missing gives its count back, rounded down. The filter is broadcast. Its size follows the number of n-grams
-(``bits`` a level) up to ``max_filter_bytes``; beyond that bound nothing is left out, only the filter's error grows. Errors
-are one-sided; a pair's count is bounded by the counts of its words, which removes most of them.
+``base``. An n-gram of quantised level q is entered in a Bloom filter under its levels 1..q; probing the levels in turn until
+one is missing gives its count back, rounded down. Every n-gram is entered, pairs seen once too: a text whose copy was trained on
+differs from others by these alone. Errors are one-sided; a pair's count is bounded by the counts of its words.
 
     P1(w)   = (1 - p0) * count(w) / N, and p0 for the unknown word;  p0 = (once-seen words + 1) / (N + 2)
     P(w|v)  = (count(v w) + mu * P1(w)) / (upper(count(v)) + mu)
 
 Counts are rounded down and ``upper`` is their level's upper end, so the probabilities of all words add up to one at most.
 
-The unigram baseline needs exact counts: the most frequent words (at most ``head_size``) are broadcast, the counts of all
-others are joined by hash.
+Such a filter grows with the corpus (``bits`` a level), and no bound on a broadcast would hold it without raising its error or
+leaving n-grams out. So it is cut into segments by ranges of the hash, and is not sent to the texts: the texts' distinct n-grams
+are sent to the segments. Documents are read once and gathered into chunks; a chunk sends each segment one byte string of its
+n-grams with their training counts. A segment's task adds the counts, fills its part of the filter, probes it for the n-grams
+of all chunks and answers with a level for each. Chunks and answers meet again, and scores are summed document by document.
+A chunk has at most ``flush`` tokens and one document more, and the number of segments follows the corpus, so no task grows
+with it.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored, and counted in training, each on its
 own; with nothing to train on every token is unknown; an empty table gives no rows. Extra columns are ignored. Words are told
-apart by 64-bit hashes.
+apart by 64-bit hashes, pairs by their segment and 40 bits more.
 """
 
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.common import GOLDEN, chunks, mix, split_words, stage
 
-BLOCK_BITS = 19
 PROBES = 4
 END = b"\n"  # holds white space, so no word equals it
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
+_LOW = np.uint64((1 << 40) - 1)
+_IS_PAIR = np.uint64(1 << 40)
 
 
-def _hash(words: list[bytes]) -> np.ndarray:
+def hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * _PAIR + mix(second))
 
 
-def thresholds(least: int, base: float, most: int = 1 << 40) -> np.ndarray:
-    """The smallest count of each level: distinct integers from ``least`` upwards."""
-    out, x = [], float(least)
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of a hash; segments are ranges, so sorted hashes come segment by segment."""
+    return ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+
+
+def thresholds(base: float, most: int = 1 << 40) -> np.ndarray:
+    """The smallest count of each level: distinct integers from 1 upwards."""
+    out, x = [], 1.0
     while x <= most:
         if not out or math.ceil(x - 1e-9) > out[-1]:
             out.append(math.ceil(x - 1e-9))
@@ -60,7 +69,7 @@ def thresholds(least: int, base: float, most: int = 1 << 40) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Levels:
-    """Quantisation of the counts of one n-gram order."""
+    """Quantisation of counts."""
 
     starts: np.ndarray
 
@@ -74,259 +83,241 @@ class Levels:
         return np.r_[0, self.starts[1:] - 1, self.starts[-1]].astype(np.float64)[levels]
 
 
-def _start(h: np.ndarray, level: int, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where an n-gram's block begins (in bits), and the two numbers its bits inside the block follow from."""
-    block = ((h >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
-    g = mix(h + np.uint64(level * GOLDEN % (1 << 64)))
-    return block << np.uint64(BLOCK_BITS), g, (g >> np.uint64(32)) | np.uint64(1)
-
-
-def _bit(g: np.ndarray, step: np.ndarray, i: int) -> np.ndarray:
-    return (g + np.uint64(i) * step) & np.uint64((1 << BLOCK_BITS) - 1)
+class Filter:
+    """One segment's part of the Bloom filter."""
 
+    def __init__(self, entries: int, bits: int) -> None:
+        self.size = np.uint64(max(64, entries * bits))
+        self.bytes = np.zeros((int(self.size) + 7) // 8, np.uint8)
 
-def fill_block(h: np.ndarray, levels: np.ndarray, n_blocks: int) -> bytes:
-    """The bits of one block, for the n-grams that belong to it."""
-    block = np.zeros(1 << (BLOCK_BITS - 3), np.uint8)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        _, g, step = _start(h[levels >= level], level, n_blocks)
+    def _places(self, keys: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        g = mix(keys + np.uint64(level * GOLDEN % (1 << 64)))
+        step = mix(g) | np.uint64(1)
         for i in range(PROBES):
-            at = _bit(g, step, i)
-            np.bitwise_or.at(block, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
-    return block.tobytes()
-
-
-def probe(bits: np.ndarray, h: np.ndarray, n_blocks: int, most: int) -> np.ndarray:
-    """Quantised levels of n-grams: their levels are probed in turn until one is missing."""
-    out = np.zeros(len(h), np.int64)
-    alive = np.arange(len(h))
-    for level in range(1, most + 1):
-        if not len(alive):
-            break
-        begins, g, step = _start(h[alive], level, n_blocks)
-        for i in range(PROBES):
-            at = begins | _bit(g, step, i)
-            hit = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
-            if not hit.all():
-                alive, begins, g, step = alive[hit], begins[hit], g[hit], step[hit]
-        out[alive] = level
+            at = (g + np.uint64(i) * step) % self.size
+            yield (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
+
+    def enter(self, keys: np.ndarray, levels: np.ndarray) -> None:
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            for byte, bit in self._places(keys[levels >= level], level):
+                np.bitwise_or.at(self.bytes, byte, np.left_shift(np.uint8(1), bit))
+
+    def probe(self, keys: np.ndarray, most: int) -> np.ndarray:
+        """Levels of n-grams: their levels are probed in turn until one is missing."""
+        out = np.zeros(len(keys), np.int64)
+        alive = np.arange(len(keys))
+        for level in range(1, most + 1):
+            hit = np.ones(len(alive), bool)
+            for byte, bit in self._places(keys[alive], level):
+                hit &= ((self.bytes[byte] >> bit) & np.uint8(1)).astype(bool)
+            alive = alive[hit]
+            if not len(alive):
+                break
+            out[alive] = level
+        return out
+
+
+# -- byte strings of a chunk
+
+def pack_counts(c: np.ndarray) -> bytes:
+    """Counts as a byte each; those of 255 and more follow in full."""
+    return np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype("<i8").tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
     return out
 
 
-@dataclass(frozen=True)
-class Model:
-    """What the workers need to score: the filter, totals, and exact counts of the most frequent words."""
-
-    bits: np.ndarray
-    n_blocks: int
-    tokens: int
-    distinct: int
-    once: int
-    words: Levels
-    pairs: Levels
-    mu: float
-    head_hash: np.ndarray
-    head_count: np.ndarray
-
-
-class _Vocabulary:
-    """What is known of each word a worker has met, computed once. Beyond ``limit`` words only the more frequent half of
-    them is remembered for the next batch."""
-
-    def __init__(self, model: Model, limit: int = 150_000) -> None:
-        self.model, self.limit = model, limit
-        self.index: dict[bytes, int] = {}
-        self.hash, self.exact, self.level = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _forget(self) -> None:
-        keep = np.sort(np.argpartition(-self.exact, self.limit // 2)[: self.limit // 2])
-        words = list(self.index)  # in the order of their numbers
-        self.index = {words[k]: i for i, k in enumerate(keep)}
-        self.hash, self.exact, self.level = self.hash[keep], self.exact[keep], self.level[keep]
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of distinct words."""
-        if len(self.index) > self.limit:
-            self._forget()
-        new = [w for w in words if w not in self.index]
-        if new:
-            m, h = self.model, _hash(new)
-            at = np.minimum(np.searchsorted(m.head_hash, h), max(len(m.head_hash) - 1, 0))
-            exact = np.where(m.head_hash[at] == h, m.head_count[at], -1) if len(m.head_hash) else np.full(len(h), -1)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.hash = np.r_[self.hash, h]
-            self.exact = np.r_[self.exact, exact]
-            self.level = np.r_[self.level, probe(m.bits, h, m.n_blocks, len(m.words.starts))]
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-
-
-COUNTS = "n int, h long, c long"
-
-
-def count_ngrams(texts: DataFrame, flush: int = 600_000) -> DataFrame:
-    """Exact counts of words (n = 1) and of pairs of neighbours (n = 2) by hash, over a column ``text``."""
-
-    def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def pack_low(h: np.ndarray) -> bytes:
+    """The low 40 bits of hashes."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack_low(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """32-bit numbers, the low halves first, since the high halves are nearly all zero."""
+    return x.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes()
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "<u2").reshape(2, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
 
+def _pair_hashes(words: np.ndarray, tokens: np.ndarray, begins: np.ndarray, end: np.uint64) -> np.ndarray:
+    """The pair each token ends, as hashes. Before a text's first token stands the end token."""
+    own = words[tokens]
+    before = np.r_[end, own[:-1]]
+    before[begins] = end
+    return pairs(before, own)
+
+
+CHUNK = "chunk long, seg int, ids array<struct<doc_id: {id}, held_out: boolean>>, lengths binary, tokens binary, words binary, word_counts binary, pairs binary, pair_counts binary"
+
+
+def chunk_table(docs: DataFrame, held_out: Column, segments: int, flush: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks of documents: a row (seg = -1) with its texts as word numbers, and a row per segment with the chunk's distinct
+    n-grams of that segment and how often each occurs in training documents."""
+    import pyarrow as pa
+
+    own = docs.select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), held_out.alias("held_out")).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    columns = CHUNK.format(id=dict(docs.dtypes)[id_col])
+
+    def cut(batches: Iterator) -> Iterator:
+        from pyspark import TaskContext
+
+        end = hashes([END])[0]
+        part, number = TaskContext.get().partitionId(), 0
+        ids: list = []
         held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         size = 0
-        end = _hash([END])[0]
-
-        def sums() -> Iterator:
-            tokens = np.concatenate(held)
-            before = np.r_[end, tokens[:-1]]
-            for n, h in ((1, tokens), (2, pairs(before, tokens))):
-                values, counts = np.unique(h, return_counts=True)
-                for at in range(0, len(values), 100_000):
-                    part = values[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), n, np.int32)), pa.array(part.view(np.int64)), pa.array(counts[at : at + 100_000])], names=["n", "h", "c"])
-
-        for batch in chunks(batches, 400):
-            words, numbers, ends = split_words(batch.column(0))
-            held.append(np.insert(_hash(words)[numbers], ends, end))
+
+        def rows():
+            n = np.concatenate(lengths)
+            words, tokens = np.unique(np.concatenate(held), return_inverse=True)
+            begins = np.r_[0, np.cumsum(n)[:-1]]
+            trained = np.repeat(~pa.concat_arrays(ids).field("held_out").to_numpy(zero_copy_only=False).astype(bool), n)
+            found, at = np.unique(_pair_hashes(words, tokens, begins, end), return_inverse=True)
+            word_counts, pair_counts = np.bincount(tokens[trained], minlength=len(words)), np.bincount(at[trained], minlength=len(found))
+            chunk = (part << 32) + number
+            out = [(chunk, -1, pack_numbers(n), pack_numbers(tokens), words.astype("<u8").tobytes(), None, None, None)]
+            edges = np.arange(segments + 1)
+            w, p = np.searchsorted(segment_of(words, segments), edges), np.searchsorted(segment_of(found, segments), edges)
+            for s in range(segments):
+                a, b, c, d = w[s], w[s + 1], p[s], p[s + 1]
+                if a < b or c < d:
+                    out.append((chunk, s, None, None, words[a:b].astype("<u8").tobytes(), pack_counts(word_counts[a:b]), pack_low(found[c:d]), pack_counts(pair_counts[c:d])))
+            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
+            chunk_, seg, *blobs = (pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))
+            everyone = pa.concat_arrays(ids)
+            listed = pa.ListArray.from_arrays(pa.array([0] + [len(everyone)] * len(out), pa.int32()), everyone)
+            return pa.RecordBatch.from_arrays([chunk_, seg, listed, *blobs], names=["chunk", "seg", "ids", "lengths", "tokens", "words", "word_counts", "pairs", "pair_counts"])
+
+        for batch in chunks(batches, 300):
+            words, numbers, ends = split_words(batch.column(1))
+            held.append(np.insert(hashes(words)[numbers], ends, end))
+            lengths.append(np.diff(np.r_[0, ends]) + 1)
+            ids.append(batch.column(0))
             size += len(held[-1])
             if size >= flush:
-                yield from sums()
-                held.clear()
-                size = 0
+                yield rows()
+                number, size = number + 1, 0
+                for kept in (ids, held, lengths):
+                    kept.clear()
         if held:
-            yield from sums()
-
-    return texts.select("text").mapInArrow(count, COUNTS).groupBy("n", "h").agg(F.sum("c").alias("c"))
-
-
-def _packed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Columns h and c of a bounded table as arrays. They travel as a few long byte strings, not as a row object each."""
-
-    def pack(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["h", "c"])
-
-    parts = rows.select("h", "c").mapInArrow(pack, "h binary, c binary").collect()
-    return np.frombuffer(b"".join(r["h"] for r in parts), np.uint64), np.frombuffer(b"".join(r["c"] for r in parts), np.int64)
-
-
-def train(docs: DataFrame, text_col: str = "text", base: float = 1.5, least_pair: int = 2, mu: float = 20.0, bits: int = 12, max_filter_bytes: int = 256 << 20, head_size: int = 1_000_000) -> tuple[Model, DataFrame]:
-    """The model of a training set, and the exact counts (h, c) of the words beyond its head."""
-    spark = docs.sparkSession
-    counts = stage(count_ngrams(docs.select(F.col(f"`{text_col}`").alias("text"))).filter((F.col("n") == 1) | (F.col("c") >= least_pair)), "ngrams")
-    words, neighbours = Levels(thresholds(1, base)), Levels(thresholds(least_pair, base))
-    # how often each count occurs: a few thousand rows whatever the corpus, since large counts are rare
-    spread = counts.groupBy("n", "c").agg(F.count("*").alias("times")).toPandas()
-    ones = spread[spread["n"] == 1].sort_values("c", ascending=False)
-    entries = sum(int((levels.level(part["c"].to_numpy()) * part["times"]).sum()) for levels, part in ((words, ones), (neighbours, spread[spread["n"] == 2])))
-    n_blocks = max(1, min(math.ceil(entries * bits / (1 << BLOCK_BITS)), max_filter_bytes >> (BLOCK_BITS - 3)))
-    fits = ones["times"].cumsum() <= head_size
-    least_head = int(ones["c"][fits].min()) if fits.any() else 1 << 62
-
-    def fill(rows):
-        import pandas as pd
-
-        h, n, c = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy(), rows["c"].to_numpy()
-        level = np.where(n == 1, words.level(c), neighbours.level(c))
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "bits": [fill_block(h, level, n_blocks)]})
-
-    block = F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(n_blocks), 32)
-    filled = counts.withColumn("block", block).groupBy("block").applyInPandas(fill, "block long, bits binary")
-    whole = np.zeros((n_blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
-    for r in filled.toLocalIterator():
-        whole[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    known = counts.filter("n = 1").select("h", "c")
-    head_hash, head_count = _packed(known.filter(F.col("c") >= least_head))  # at most head_size rows
-    order = np.argsort(head_hash, kind="stable")
-    model = Model(
-        whole.reshape(-1),
-        n_blocks,
-        int((ones["c"] * ones["times"]).sum()),
-        int(ones["times"].sum()),
-        int(ones["times"][ones["c"] == 1].sum()),
-        words,
-        neighbours,
-        mu,
-        head_hash[order],
-        head_count[order],
-    )
-    return model, known.filter(F.col("c") < least_head)
-
-
-def _scores(model: Model, vocabulary: _Vocabulary, texts) -> tuple[np.ndarray, ...]:
-    """Per text of an Arrow column: tokens, head tokens, sum of log10(c + 0.1) over these, score; then the other tokens of all
-    texts (where each text's begin, their hashes and how often each occurs)."""
-    words, numbers, ends = split_words(texts)
-    numbered = vocabulary.look_up([*words, END])
-    own = np.insert(numbered[numbers], ends, numbered[-1])
-    ends = ends + np.arange(1, len(ends) + 1)
-    begins = np.r_[0, ends[:-1]].astype(np.int64)
-    exact = vocabulary.exact[own]
-    in_head = exact > 0
-    levels = vocabulary.level
-    unknown = (model.once + 1) / (model.tokens + 2)
-    low, high = model.words.low(levels), model.words.high(levels)
-    alone = np.where(levels > 0, (1 - unknown) * low / max(model.tokens, 1), unknown)
-    before = np.r_[0, own[:-1]]
-    before[begins] = vocabulary.index[END]
-    seen = np.flatnonzero((levels[own] > 0) & (levels[before] > 0) & (np.minimum(high[own], high[before]) >= model.pairs.starts[0]))
-    level = np.zeros(len(own), np.int64)
-    level[seen] = probe(model.bits, pairs(vocabulary.hash[before[seen]], vocabulary.hash[own[seen]]), model.n_blocks, len(model.pairs.starts))
-    together = np.minimum(model.pairs.low(level), np.minimum(high[own], high[before]))
-    p = (together + model.mu * alone[own]) / (high[before] + model.mu)
-    add = lambda x: np.add.reduceat(x, begins)
-    other = np.flatnonzero(~in_head)
-    of = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))[other]
-    # a text and a word as one number
-    pair, times = np.unique(of * len(vocabulary.hash) + own[other], return_counts=True)
-    rest = (np.searchsorted(pair, np.arange(len(ends) + 1) * len(vocabulary.hash)), vocabulary.hash[pair % len(vocabulary.hash)], times)
-    return np.diff(np.r_[begins, len(own)]), add(in_head.astype(np.int64)), add(np.where(in_head, np.log10(np.maximum(exact, 0) + 0.1), 0.0)), add(np.log10(p)), rest
-
-
-def score(docs: DataFrame, model: Model, tail: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+            yield rows()
+
+    return stage(own.mapInArrow(cut, columns), "chunks")
+
+
+ANSWER = (
+    "chunk long, seg int, word_counts binary, word_levels binary, pair_levels binary, tokens long, distinct long, once long, entries long, filter_bytes long, absent long, false_hits long"
+)
+
+
+def _segment(base: float, bits: int):
+    """Add up a segment's counts, fill its part of the filter, and answer for the n-grams of every chunk."""
+    import pyarrow as pa
+
+    levels = Levels(thresholds(base))
+
+    def answer(key, table):
+        words = [np.frombuffer(x, "<u8").astype(np.uint64) for x in table["words"].to_pylist()]
+        couples = [unpack_low(x) for x in table["pairs"].to_pylist()]
+        sums, at = [], []
+        for found, counts in ((words, table["word_counts"]), (couples, table["pair_counts"])):
+            own = np.concatenate([unpack_counts(x, len(h)) for x, h in zip(counts.to_pylist(), found, strict=True)])
+            distinct, inverse = np.unique(np.concatenate(found), return_inverse=True)
+            sums.append((distinct, np.bincount(inverse, weights=own, minlength=len(distinct)).astype(np.int64)))
+            at.append(inverse)
+        (word, word_sum), (couple, couple_sum) = sums
+        keys, total = np.r_[word & _LOW, couple | _IS_PAIR], np.r_[word_sum, couple_sum]
+        true = levels.level(total)
+        part = Filter(int(true.sum()), bits)
+        part.enter(keys, true)
+        seen = part.probe(keys, len(levels.starts)).astype(np.uint8)
+        word_level, couple_level = seen[: len(word)], seen[len(word) :]
+        out, w, p = [], 0, 0
+        for chunk, h, k in zip(table["chunk"].to_pylist(), words, couples, strict=True):
+            mine, ours = at[0][w : w + len(h)], at[1][p : p + len(k)]
+            w, p = w + len(h), p + len(k)
+            out.append((chunk, key[0].as_py(), pack_counts(word_sum[mine]), word_level[mine].tobytes(), couple_level[ours].tobytes(), *[None] * 7))
+        absent = total == 0
+        facts = (int(word_sum.sum()), int((word_sum > 0).sum()), int((word_sum == 1).sum()), int(true.sum()), len(part.bytes), int(absent.sum()), int((seen[absent] > 0).sum()))
+        out.append((-1, key[0].as_py(), None, None, None, *facts))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 7)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ANSWER.split(", ")])
+
+    return answer
+
+
+SCORES = "id struct<doc_id: {id}, held_out: boolean>, n_tokens long, n_known long, base_score double, score double"
+
+
+def _chunk_scores(facts: dict, base: float, mu: float):
+    """The documents of a chunk, scored with what the segments answered."""
+    import pyarrow as pa
+
+    levels = Levels(thresholds(base))
+    n, v, once = (int(facts[k] or 0) for k in ("tokens", "distinct", "once"))
+
+    def score(chunk, answers):
+        end = hashes([END])[0]
+        answers = answers.sort_by("seg")
+        words = np.frombuffer(chunk["words"][0].as_py(), "<u8").astype(np.uint64)
+        tokens, lengths = unpack_numbers(chunk["tokens"][0].as_py()), unpack_numbers(chunk["lengths"][0].as_py())
+        begins = np.r_[0, np.cumsum(lengths)[:-1]]
+        word_level = np.frombuffer(b"".join(answers["word_levels"].to_pylist()), np.uint8)
+        counts = np.concatenate([unpack_counts(c, len(k)) for c, k in zip(answers["word_counts"].to_pylist(), answers["word_levels"].to_pylist(), strict=True)])
+        pair_level = np.frombuffer(b"".join(answers["pair_levels"].to_pylist()), np.uint8)
+        _, at = np.unique(_pair_hashes(words, tokens, begins, end), return_inverse=True)
+        unknown = (once + 1) / (n + 2)
+        low, high = levels.low(word_level), levels.high(word_level)
+        alone = np.where(word_level > 0, (1 - unknown) * low / max(n, 1), unknown)
+        before = np.r_[0, tokens[:-1]]
+        before[begins] = np.searchsorted(words, end)
+        together = np.minimum(levels.low(pair_level[at]), np.minimum(high[tokens], high[before]))
+        p = (together + mu * alone[tokens]) / (high[before] + mu)
+        baseline = np.log10(counts + 0.1) - math.log10(n + 0.1 * (v + 1))
+        columns = [chunk["ids"].combine_chunks().flatten(), pa.array(lengths)]
+        columns += [pa.array(np.add.reduceat(x, begins)) for x in ((counts > 0).astype(np.int64)[tokens], baseline[tokens], np.log10(p))]
+        return pa.Table.from_arrays(columns, names=["id", "n_tokens", "n_known", "base_score", "score"])
+
+    return score
+
+
+def train_and_score(
+    docs: DataFrame,
+    held_out: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    base: float = 1.5,
+    mu: float = 5.0,
+    bits: int = 12,
+    flush: int = 600_000,
+    segment_bytes: int = 16 << 20,
+    report: dict | None = None,
+) -> DataFrame:
+    """Learn from the rows where ``held_out`` is false and score all rows: doc_id, held_out, n_tokens, n_known, train_tokens,
+    base_score, score. ``report`` receives the filter's entries, bytes, and how many absent n-grams were probed and found."""
     kind = dict(docs.dtypes)[id_col]
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        os.environ.setdefault("OMP_NUM_THREADS", "1")
-        vocabulary = _Vocabulary(shared.value)
-        for batch in chunks(batches, 300):
-            n, known, part, total, rest = _scores(shared.value, vocabulary, batch.column(1))
-            at, h, k = rest
-            others = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(k.astype(np.int64))], names=["h", "k"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(known), pa.array(part), pa.array(total), others], names=["doc_id", "n_tokens", "n_head", "head_sum", "score", "rest"])
-
-    read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    scored = read.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_head long, head_sum double, score double, rest array<struct<h: long, k: long>>")
-    scored = stage(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    others = (
-        scored.select("row", F.inline("rest"))
-        .join(tail, "h")
-        .groupBy("row")
-        .agg(F.sum("k").alias("n_tail"), F.sum(F.col("k") * F.log10(F.col("c") + 0.1)).alias("tail_sum"))
-    )
-    n_tail, tail_sum = F.coalesce("n_tail", F.lit(0)), F.coalesce("tail_sum", F.lit(0.0))
-    n_known = F.col("n_head") + n_tail
-    log_total = math.log10(model.tokens + 0.1 * (model.distinct + 1))
-    return (
-        scored.drop("rest")
-        .join(others, "row", "left")
-        .select(
-            "doc_id",
-            "n_tokens",
-            n_known.cast("long").alias("n_known"),
-            F.lit(model.tokens).cast("long").alias("train_tokens"),
-            (F.col("head_sum") + tail_sum - (F.col("n_tokens") - n_known) - F.col("n_tokens") * F.lit(log_total)).alias("base_score"),
-            "score",
-        )
-    )
-
-
-def train_and_score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Learn from the rows where ``held_out`` is false and score all rows; adds ``held_out``."""
-    model, tail = train(docs.filter(~held_out), text_col, **options)
-    scored = score(docs.withColumn("__id", F.struct(F.col(f"`{id_col}`").alias("doc_id"), held_out.alias("held_out"))), model, tail, "__id", text_col)
-    return scored.select("doc_id.doc_id", "doc_id.held_out", *(c for c in scored.columns if c != "doc_id"))
+    size = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
+    segments = max(1, math.ceil(size / segment_bytes))
+    table = chunk_table(docs, F.coalesce(held_out, F.lit(False)), segments, flush, id_col, text_col)
+    ngrams = table.filter("seg >= 0").select("chunk", "seg", "words", "word_counts", "pairs", "pair_counts")
+    answers = stage(ngrams.groupBy("seg").applyInArrow(_segment(base, bits), ANSWER), "answers")
+    names = ("tokens", "distinct", "once", "entries", "filter_bytes", "absent", "false_hits")
+    facts = answers.filter("chunk = -1").agg(*(F.sum(c).alias(c) for c in names)).first().asDict()
+    if report is not None:
+        report.update(facts)
+    texts = table.filter("seg = -1").select("chunk", "ids", "lengths", "tokens", "words")
+    levels = answers.filter("chunk >= 0").select("chunk", "seg", "word_counts", "word_levels", "pair_levels")
+    scored = texts.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_chunk_scores(facts, base, mu), SCORES.format(id=kind))
+    return scored.select("id.doc_id", "id.held_out", "n_tokens", "n_known", F.lit(facts["tokens"] or 0).cast("long").alias("train_tokens"), "base_score", "score")
