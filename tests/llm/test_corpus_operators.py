@@ -206,6 +206,36 @@ def test_mixing_takes_token_prefixes(spark, documents, awkward, empty):
     assert mixing.mix_sources(empty, labels).count() == 0
 
 
+def test_mixing_takes_the_documents_brute_force_takes(spark, documents, awkward):
+    """Which documents each leaf takes in its last, partial epoch: in the order of their seeded places, one by one."""
+    for docs, total in ((documents, None), (documents, 20_000), (awkward, None)):
+        labels = {"domain": queries.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+        key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
+        places = F.array(*(F.xxhash64(F.lit(17), F.lit(e), key) for e in range(5)))
+        rows = docs.select(labels["domain"].alias("domain"), "lang", "source", "doc_id", "text", places.alias("places")).collect()
+        leaves = defaultdict(list)
+        for r in rows:
+            leaves[(r["domain"], r["lang"], r["source"])].append((r["doc_id"], len((r["text"] or "").encode().split()), [p % (1 << 64) for p in r["places"]]))
+        supply = {leaf: sum(n for _, n, _ in own) for leaf, own in leaves.items()}
+        want = Counter()
+        for leaf, budget in mixing.budgets(supply, queries.weight_of, total or sum(supply.values()), 4).items():
+            whole = min(int(budget // supply[leaf]) if supply[leaf] else int(budget > 0), 4)
+            rest = budget - whole * supply[leaf] if supply[leaf] else 0.0
+            for doc, _, _ in leaves[leaf]:
+                want.update((doc, e) for e in range(whole))
+            at = defaultdict(list)
+            for doc, n, places in leaves[leaf]:
+                at[places[whole]].append((doc, n))
+            taken = 0
+            for place in sorted(at):
+                if taken >= rest:
+                    break
+                taken += sum(n for _, n in at[place])
+                want.update((doc, whole) for doc, _ in at[place])
+        got = mixing.mix_sources(docs, labels, queries.weight_of, total_tokens=total).select("doc_id", "__epoch").collect()
+        assert Counter((r["doc_id"], r["__epoch"]) for r in got) == want
+
+
 # -- packing and token files
 
 def test_word_ids_are_whole_text_ids(awkward, documents):
@@ -272,6 +302,11 @@ def test_token_files_round_trip(spark, awkward, empty, documents, tmp_path):
         assert [r["doc_id"] for r in out] == sorted((r["doc_id"] for r in out), key=lambda i: (i is not None, i or 0))
         assert [r["start"] for r in out] == [0, *np.cumsum([r["n_tokens"] for r in out])[:-1].tolist()]
         assert all(r["ids_crc32"] == zlib.crc32(r["ids"]) and 4 * r["n_tokens"] == len(r["ids"]) for r in out)
+        # shuffled reads by the index: the same records, in an order of their own each epoch
+        orders = [[(r["start"], bytes(r["ids"])) for r in token_output.read_shuffled(spark, folder, 1, e).collect()] for e in (0, 1)]
+        assert sorted(orders[0]) == sorted(orders[1]) == [(r["start"], bytes(r["ids"])) for r in out]
+        assert orders[0] != orders[1] != sorted(orders[1]) != orders[0]
+        assert [x["start"] for x in token_output.read_shuffled(spark, folder, 1).collect()] == [s for s, _ in orders[0]]
     assert token_output.round_trip(empty).count() == 0
     # a flipped byte is noticed
     file = next((tmp_path / "t1").glob("*.bin"))

@@ -4,7 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
-from llm_helpers import LOWER, SF, oracle
+from llm_helpers import LOWER, SF, oracle, words
 from pyspark.sql import functions as F
 
 from timberline.llm import exact_dedup, html_extract, line_dedup, quality, queries
@@ -200,13 +200,13 @@ def test_quality_ledger(spark, awkward, empty):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, rep)
         assert bool(r["failed"] & 3) == (n < 50 or 100 * rep > 50 * n)
     kept = quality.keep_good(awkward)
-    assert kept.columns == awkward.columns and kept.count() == sum(not r["failed"] for r in out)
+    assert kept.columns == awkward.columns and kept.count() == sum(not r["failed"] & quality.mask_of("v3") for r in out)
     assert quality.ledger(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
 def test_quality_ablation(spark, awkward):
     rows = quality.ledger(awkward)
-    bits = [r["failed"] for r in rows.collect()]
+    bits = [r["failed"] & quality.mask_of("v3") for r in rows.collect()]
     for r in quality.ablation(rows).collect():
         bit = quality.BITS[r["rule"]]
         assert r["n_failed"] == sum(bool(b & bit) for b in bits)
@@ -214,6 +214,15 @@ def test_quality_ablation(spark, awkward):
         assert r["n_kept_without"] == sum(not b & ~bit for b in bits)
 
 
+def test_policies_keep_their_versions(spark):
+    """Four lines of which two repeat one: half is not above a half, but above three tenths."""
+    text = "\n".join([words(30, 1), words(30, 2), words(30, 3), words(30, 3)])
+    few = "\n".join([words(60, 1), "stone path", "stone path"])
+    rows = quality.ledger(spark.createDataFrame([(1, text), (2, few)], "doc_id long, text string"))
+    verdicts = {p: [r["kept"] for r in quality.with_verdict(rows, p).orderBy("doc_id").collect()] for p in quality.POLICIES}
+    assert verdicts["v2"] == verdicts["v1"] == [True, False] and verdicts["v3"] == verdicts["base"] == [True, True]
+
+
 def test_sql(spark):
     for name in ("op3_digest_index_dedup", "op10_quality_rules"):
         oracle(spark, name)

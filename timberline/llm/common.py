@@ -15,8 +15,11 @@ GOLDEN = 0x9E3779B97F4A7C15
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one beside the warehouse where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, one beside the warehouse of a local
+    session; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
@@ -94,8 +97,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def chunks(batches: Iterable, rows: int = 2000) -> Iterable:
-    """Arrow batches cut to at most ``rows`` rows, so that a worker holds few long texts as Python objects."""
+def chunks(batches: Iterable, rows: int = 2000, size: int = 16 << 20) -> Iterable:
+    """Arrow batches cut to at most ``rows`` rows and, by their mean length, about ``size`` bytes, so that a worker holds few
+    long texts as Python objects."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, int(batch.num_rows * size / max(batch.nbytes, 1))))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

@@ -10,7 +10,8 @@ hash buckets per leaf, three times, then the rows of the last bucket), so no lea
 chosen rows follow from the cut without a shuffle of texts.
 
 Defined results: a null text has no tokens; documents without tokens ride along with the epochs that cover them; null
-labels are a node of their own; rows with the same id and text share a place in the order and are taken together; an empty
+labels are a node of their own; rows with the same id (or, without one, the same text) share a
+place in the order and are taken together; an empty
 table or a zero budget gives no rows. Columns other than the labels pass through.
 """
 
@@ -32,15 +33,17 @@ def water_fill(budget: float, weights: Mapping, capacity: Mapping) -> dict:
     """Split a budget in proportion to weights under capacities; what one cannot hold goes to the others."""
     given = dict.fromkeys(weights, 0.0)
     active = {k for k in weights if weights[k] > 0 and capacity[k] > 0}
-    left = min(budget, sum(capacity[k] for k in active))
+    ordered = [k for k in weights if k in active]  # sums in one order, whatever the hash seed
+    left = min(budget, sum(capacity[k] for k in ordered))
     while active and left > 1e-9:
-        total = sum(weights[k] for k in active)
-        full = {k for k in active if given[k] + left * weights[k] / total >= capacity[k]}
+        ordered = [k for k in ordered if k in active]
+        total = sum(weights[k] for k in ordered)
+        full = {k for k in ordered if given[k] + left * weights[k] / total >= capacity[k]}
         if not full:
-            for k in active:
+            for k in ordered:
                 given[k] += left * weights[k] / total
             break
-        for k in full:
+        for k in (k for k in ordered if k in full):
             left -= capacity[k] - given[k]
             given[k] = float(capacity[k])
         active -= full

@@ -87,17 +87,17 @@ def signature(own: np.ndarray, trees: int, depths: Sequence[int]) -> np.ndarray:
     """For each prefix length (rows) and tree (columns) the prefix as one 64-bit number."""
     longest = max(depths)
     number = np.arange(1, trees * longest + 1, dtype=np.uint64)
-    a, b = mix(number) | np.uint64(1), mix(number + np.uint64(1 << 32))
-    least = np.full(trees * longest, np.iinfo(np.uint64).max)
-    for at in range(0, len(own), 2048):
-        least = np.minimum(least, (own[at : at + 2048, None] * a + b).min(axis=0))
-    out = np.zeros((len(depths), trees), np.uint64)
-    node = np.zeros(trees, np.uint64)
-    for k, column in enumerate(least.reshape(trees, longest).T, 1):
-        node = mix(node ^ column)
-        if k in depths:
-            out[list(depths).index(k)] = node
-    return out
+    a, b = ((x >> np.uint64(32)).astype(np.uint32) for x in (mix(number), mix(number + np.uint64(1 << 32))))
+    a |= np.uint32(1)
+    short = (own >> np.uint64(32)).astype(np.uint32)
+    least = np.full(trees * longest, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(short), 2048):
+        x = short[at : at + 2048, None] * a
+        x += b
+        np.minimum(least, x.min(axis=0), out=least)
+    # a prefix is the wrapping sum of its values, each mixed with its place
+    values = mix(least.astype(np.uint64) + (number << np.uint64(32))).reshape(trees, longest)
+    return mix(np.cumsum(values, axis=1, dtype=np.uint64)[:, np.asarray(depths) - 1].T)
 
 
 SIGNED = "doc_id {id}, th long, text_id binary, n_shingles int, prefixes binary"
@@ -280,15 +280,20 @@ def _linked(docs: DataFrame, texts: DataFrame, threshold: float, trees: int, rec
     loaded = stage(_with_shingles(fetched.select("text_id", "prefixes", "n_copies", "text")), "shingles")
     weak = [f"w{k}" for k in range(len(depths))]
     state = wanted.select("text_id", F.lit(True).alias("open"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("doc_links"), *(F.lit(0).cast("long").alias(w) for w in weak), F.lit(0).alias("prefix_length"), F.lit(0.0).alias("recall"))
-    found = []
+    found, seen = [], None
     for level, depth in enumerate(depths):
         entries = _nodes(state.select("text_id", "open").join(wanted.select("text_id", "prefixes", "n_shingles"), "text_id"), level, trees).select("text_id", "open", "n_shingles", "tree", "node")
         fingerprint = (F.bit_xor(F.xxhash64("text_id")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "text_id")).alias("f2"))
         nodes = entries.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles").cast("long")).alias("size"), F.max("open").alias("any_open"), *fingerprint).filter("n > 1 and any_open")
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-        # nodes with the same members are looked at once, in the first of their trees
-        nodes = nodes.groupBy("n", "size", "f1", "f2").agg(F.min(F.struct("tree", "node")).alias("at")).select("at.tree", "at.node", blocks)
-        members = entries.join(stage(nodes, "nodes"), ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
+        # nodes with the same members are looked at once: under the longest prefix they share, in the first of their trees
+        same = ["n", "size", "f1", "f2"]
+        nodes = nodes.groupBy(*same).agg(F.min(F.struct("tree", "node")).alias("at"))
+        if seen is not None:
+            nodes = nodes.join(seen, same, "left_anti")
+        nodes = stage(nodes.select("at.tree", "at.node", blocks, *same), "nodes")
+        seen = nodes.select(*same) if seen is None else seen.union(nodes.select(*same))
+        members = entries.join(nodes.select("tree", "node", "blocks"), ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = members.select("text_id", "open", "tree", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         verify, kinds = _verify_cells(threshold, trees, depths, level)

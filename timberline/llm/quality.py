@@ -22,18 +22,21 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "2 * n_dup_lines > n_lines"),
+    ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
     ("short_words", "word_chars < 3 * n_words"),
     ("long_words", "word_chars > 12 * n_words"),
     ("shouting", "10 * n_exclamations > 3 * n_words"),
+    ("mostly_duplicate_lines", "2 * n_dup_lines > n_lines"),
 )
 BITS = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 
-#: Versioned policies: the rules whose failure rejects a document.
+#: Versioned policies: the rules whose failure rejects a document. A version is never changed; ``v3`` keeps short texts that repeat
+#: a line, which ``v2`` rejects.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbols", "duplicate_lines", "short_words", "long_words"),
-    "v2": tuple(name for name, _ in RULES),
+    "v2": ("few_words", "repeated_words", "symbols", "duplicate_lines", "short_words", "long_words", "shouting"),
+    "v3": ("few_words", "repeated_words", "symbols", "mostly_duplicate_lines", "short_words", "long_words", "shouting"),
 }
 
 
@@ -80,9 +83,9 @@ def _repeated_words(words: Column) -> Column:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id, the measurements and ``failed``, the bits of the rules it fails."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     measured = (
-        docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
+        docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("t"))
         .withColumn("words", F.filter(F.split("t", _SPACE_RUN), lambda w: w != ""))
         .withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
         .select(
@@ -102,12 +105,12 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.withColumn("failed", bits)
 
 
-def with_verdict(rows: DataFrame, policy: str = "v2", into: str = "kept") -> DataFrame:
+def with_verdict(rows: DataFrame, policy: str = "v3", into: str = "kept") -> DataFrame:
     """Apply a versioned policy: ``into`` is true when no rule of the policy failed."""
     return rows.withColumn(into, F.col("failed").bitwiseAND(F.lit(mask_of(policy))) == 0)
 
 
-def ablation(rows: DataFrame, policy: str = "v2") -> DataFrame:
+def ablation(rows: DataFrame, policy: str = "v3") -> DataFrame:
     """Per rule of a policy: documents failing it, failing it alone, and kept if it were left out.
 
     Runs on counts per distinct bit pattern (at most 2 ** rules of them), not on documents.
@@ -124,7 +127,7 @@ def ablation(rows: DataFrame, policy: str = "v2") -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, policy: str = "v2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, policy: str = "v3", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with their columns unchanged.
 
     The verdict is computed beside the row, so nothing is joined back and repeated ids are judged row by row.

@@ -154,9 +154,9 @@ m as (
 ),
 f as (
   select *, ((n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (10 * n_symbols > n_words)::int
-    + 8 * (2 * n_dup_lines > n_lines)::int + 16 * (word_chars < 3 * n_words)::int + 32 * (word_chars > 12 * n_words)::int
-    + 64 * (10 * n_exclamations > 3 * n_words)::int)::int as failed_rules
+    + 8 * (10 * n_dup_lines > 3 * n_lines)::int + 16 * (word_chars < 3 * n_words)::int + 32 * (word_chars > 12 * n_words)::int
+    + 64 * (10 * n_exclamations > 3 * n_words)::int + 128 * (2 * n_dup_lines > n_lines)::int)::int as failed_rules
   from m
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 as base_failed, failed_rules = 0 as kept, failed_rules from f
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 as base_failed, (failed_rules & 247) = 0 as kept, failed_rules from f
 """

@@ -77,13 +77,16 @@ def write_tokens(
     text_col: str = "text",
     tokenizer: str | None = None,
     end_id: int = 2,
-    vocabulary: int = 50_257,
     partitions: int | None = None,
+    file_bytes: int = 256 << 20,
 ) -> DataFrame:
-    """Write the files and return the manifest (one row per file, also kept as ``manifest`` in the folder)."""
+    """Write the files and return the manifest (one row per file, also kept as ``manifest`` in the folder). There are as many
+    files as shuffle partitions, and more where a file would take more than ``file_bytes`` of text."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     tokenizer = tokenizer or default_path("byte_bpe_50k.json")
-    wide = vocabulary > 1 << 16
+    wide = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) > 1 << 16
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -120,7 +123,8 @@ def write_tokens(
 
     read = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = 0 if partitions else read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
     read.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -165,6 +169,57 @@ def read_tokens(spark: SparkSession, folder: str, digest_only: bool = False) ->
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The offset index of all files, a row per record: doc_id (0 where null), file, offset, start (its place among all tokens)."""
+    manifest = sorted(spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect(), key=lambda r: r["part"])  # a row per file
+    bases, total = [], 0
+    for r in manifest:
+        bases.append((r["file"], total))
+        total += r["n_tokens"]
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        system, base = _files(folder)
+        for batch in batches:
+            for name, begins in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with system.open_input_stream(f"{base}/{name}.idx") as f:
+                    index = np.frombuffer(f.read(), _INDEX)
+                columns = [pa.array([name] * len(index)), pa.array(index["offset"].copy()), pa.array(index["token"] + begins)]
+                yield pa.RecordBatch.from_arrays([pa.array(index["doc_id"].copy()), *columns], names=["doc_id", "file", "offset", "start"])
+
+    files = spark.createDataFrame(bases, "file string, base long").repartition(max(1, len(bases)))
+    return files.mapInArrow(read, "doc_id long, file string, offset long, start long")
+
+
+def read_shuffled(spark: SparkSession, folder: str, seed: int, epoch: int = 0) -> DataFrame:
+    """All records in a seeded order that differs from epoch to epoch: doc_id, start, n_tokens, ids_crc32, ids. The index is put
+    in order, not the records; each task seeks its own records and verifies their checksums."""
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        system, base = _files(folder)
+        opened: dict = {}
+        for batch in chunks(batches, 1000):
+            rows = []
+            for name, offset, begins in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name not in opened:
+                    if len(opened) >= 64:
+                        opened.pop(next(iter(opened))).close()
+                    opened[name] = system.open_input_file(f"{base}/{name}.bin")
+                opened[name].seek(offset)
+                payload = next(unframe(opened[name]))
+                doc, flags, n = struct.unpack_from(_HEAD, payload)
+                ids = np.frombuffer(payload, "<u4" if flags & 2 else "<u2", n, struct.calcsize(_HEAD)).astype("<u4").tobytes()
+                rows.append((None if flags & 1 else doc, begins, n, zlib.crc32(ids), ids))
+            yield _batch(pa, rows)
+
+    place = F.xxhash64(F.lit(seed), F.lit(epoch), "start")
+    ordered = read_index(spark, folder).orderBy(place, "start").select("file", "offset", "start")
+    return ordered.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+
+
 def _batch(pa, rows):
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
