@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions import rules
+from timberline.operators.staging import broadcast_if_small, equal_keys, last_before
 from timberline.schema import DAYS_PER_YEAR
 
 DAY = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
@@ -54,50 +55,70 @@ def carry_forward(value: Column, day: Column, at: Column, months: float = 12.0)
 
 
 def slope_as_of(points: DataFrame, values: DataFrame, analyte: str, out: str, least_span: float = 0.5, patient: str = "patient_id", at: str = "landmark_date") -> DataFrame:
-    """OLS slope per year of an analyte up to each point: at least two values over ``least_span`` years."""
-    t, v = F.datediff("date", F.lit("1970-01-01").cast("date")) / DAYS_PER_YEAR, F.col("value")
-    one = values.filter(F.col("analyte") == analyte).select(F.col(patient).alias("__p"), "date", "value")
-    gate = (F.count(v) >= 2) & (F.max(F.when(v.isNotNull(), t)) - F.min(F.when(v.isNotNull(), t)) >= least_span)
-    slopes = (
-        points.select(patient, at).distinct()
-        .join(one, (F.col(patient) == F.col("__p")) & (F.col("date") <= F.col(at)))
-        .groupBy(F.col(patient).alias("__q"), F.col(at).alias("__at"))
-        .agg(F.when(gate, F.regr_slope(v, t)).alias(out))
-    )
+    """OLS slope per year of an analyte up to each point: at least two values over ``least_span`` years.
+
+    Running sums over one window sorted by patient and day; days count from the patient's first value, so the sums stay small.
+    """
+    marks = points.select(F.col(patient).alias("__q"), F.col(at).alias("__at")).distinct().select("__q", "__at", DAY(F.col("__at")).alias("__d"), F.lit(1).alias("__kind"), F.lit(None).cast("double").alias("__v"))
+    one = values.filter((F.col("analyte") == analyte) & F.col("value").isNotNull() & F.col("date").isNotNull())
+    one = one.select(F.col(patient).alias("__q"), F.lit(None).cast(dict(points.dtypes)[at]).alias("__at"), DAY(F.col("date")).alias("__d"), F.lit(0).alias("__kind"), F.col("value").cast("double").alias("__v"))
+    upto = Window.partitionBy("__q").orderBy("__d", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = marks.unionByName(one).withColumn("__t", F.when(F.col("__kind") == 0, (F.col("__d") - F.min(F.when(F.col("__kind") == 0, F.col("__d"))).over(upto)) / DAYS_PER_YEAR))
+    t, v = F.col("__t"), F.col("__v")
+    sums = {"n": F.count(v), "st": F.sum(t), "sv": F.sum(v), "stt": F.sum(t * t), "stv": F.sum(t * v), "span": F.max(t)}
+    run = both.select("__q", "__at", "__kind", *(x.over(upto).alias(f"__{k}") for k, x in sums.items())).filter("__kind = 1")
+    slope = (F.col("__n") * F.col("__stv") - F.col("__st") * F.col("__sv")) / (F.col("__n") * F.col("__stt") - F.col("__st") ** 2)
+    slopes = run.select("__q", "__at", F.when((F.col("__n") >= 2) & (F.col("__span") >= least_span), slope).alias(out))
     return points.join(slopes, (F.col(patient) == F.col("__q")) & (F.col(at) == F.col("__at")), "left").drop("__q", "__at")
 
 
 def exposure_features(points: DataFrame, exposures: DataFrame, patient: str = "patient_id", at: str = "landmark_date", seq: str = "seq") -> DataFrame:
-    """Antithrombotic features at each point. A patient without any record gets NULL, not "none"."""
-    oac = F.col("class").isin(*rules.OAC)
-    current = F.col("stop_date").isNull() | (F.col("stop_date") > F.col(at))
-    started = F.col("start_date") <= F.col(at)
-    lived = F.greatest(F.datediff(F.least(F.coalesce("stop_date", at), at), "start_date") / DAYS_PER_YEAR, F.lit(0.0))
-    antiplatelet = F.col("class").isin("SAPT", "DAPT")
-    changed = F.least(F.datediff(at, "start_date"), F.when(F.col("stop_date") <= F.col(at), F.datediff(at, "stop_date")))
-    any_ = lambda c: F.coalesce(F.bool_or(F.coalesce(started & c, F.lit(False))), F.lit(False))
-    first = F.min_by(F.when(started & current & oac, F.struct("class", "indication")), F.when(started & current & oac, F.col(seq)))
-    e = exposures.withColumnRenamed(patient, "__p")
-    grouped = (
-        points.select(patient, at).distinct()
-        .join(e, F.col(patient) == F.col("__p"))
-        .groupBy(F.col(patient).alias("__q"), F.col(at).alias("__at"))
-        .agg(
-            first.alias("__first"),
-            any_(current & (F.col("class") == "DAPT")).alias("__dapt"),
-            any_(current & antiplatelet).alias("on_antiplatelet"),
-            any_(oac).alias("__ever"),
-            F.round(F.coalesce(F.sum(F.when(started & (F.col("class") == "VKA"), lived)), F.lit(0.0)), 3).alias("ac_cum_vka_years"),
-            F.round(F.coalesce(F.sum(F.when(started & oac, lived)), F.lit(0.0)), 3).alias("ac_cum_oac_years"),
-            F.min(F.when(started, changed)).cast("double").alias("ac_days_since_change"),
-            any_(oac & F.col("post_suspicion")).alias("ac_post_suspicion"),
-        )
-        .withColumn("ac_class_current", F.coalesce("__first.class", F.when(F.col("__dapt"), "DAPT").when(F.col("on_antiplatelet"), "SAPT").otherwise("none")))
+    """Antithrombotic features at each point. A patient without any record gets NULL, not "none".
+
+    Starts, ends and points are merged in one window sorted by patient and day, where counts, days lived and last changes are
+    running sums and maxima. Only the class in use needs its episode; episodes meet points by patient and year, so pairs follow
+    the episodes that overlap a point's year and not all a patient ever had.
+    """
+    oac, antiplatelet = F.col("class").isin(*rules.OAC), F.col("class").isin("SAPT", "DAPT")
+    start, stop = DAY(F.col("start_date")), DAY(F.col("stop_date"))
+    marks = points.select(F.col(patient).alias("__q"), F.col(at).alias("__at")).distinct()
+    flags = {"dapt": F.col("class") == "DAPT", "plate": antiplatelet, "oac": oac, "vka": F.col("class") == "VKA", "late": oac & F.col("post_suspicion")}
+    episodes = exposures.select(F.col(patient).alias("__q"), start.alias("__s"), F.when(stop.isNotNull(), F.greatest(start, stop)).alias("__e"), F.col(seq).alias("__seq"), "class", "indication", *(F.coalesce(c, F.lit(False)).cast("long").alias(f"__{k}") for k, c in flags.items()))
+    none = F.lit(0).cast("long")
+    # a day's starts (1) and ends (-1) come before its points (0); an episode without a start only tells that there is a record
+    begun = episodes.select("__q", F.col("__s").alias("__d"), F.lit(0).alias("__kind"), F.lit(1).alias("__sign"), F.col("__s").alias("__day"), *(f"__{k}" for k in flags))
+    ended = episodes.filter("__s is not null and __e is not null").select("__q", F.col("__e").alias("__d"), F.lit(0).alias("__kind"), F.lit(-1).alias("__sign"), F.col("__e").alias("__day"), *(f"__{k}" for k in flags))
+    asked = marks.select("__q", DAY(F.col("__at")).alias("__d"), F.lit(1).alias("__kind"), F.lit(0).alias("__sign"), F.lit(None).cast("int").alias("__day"), *(none.alias(f"__{k}") for k in flags))
+    whole = Window.partitionBy("__q")
+    upto = whole.orderBy(F.asc_nulls_first("__d"), "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    real, sign = F.col("__day").isNotNull(), F.col("__sign")
+    active = lambda k: F.coalesce(F.sum(F.when(real, sign * F.col(f"__{k}"))).over(upto), F.lit(0))
+    # days lived up to d: of those in use, d less their starts; of those ended, end less start
+    lived = lambda k: active(k) * F.col("__d") - F.coalesce(F.sum(F.when(real, sign * F.col(f"__{k}") * F.col("__day"))).over(upto), F.lit(0))
+    ever = lambda k: F.coalesce(F.max(F.when(real & (sign > 0), F.col(f"__{k}"))).over(upto), F.lit(0)) > 0
+    years = lambda k: F.round(lived(k) / DAYS_PER_YEAR, 3)
+    merged = begun.unionByName(ended).unionByName(asked).withColumn("__has", F.max((F.col("__kind") == 0).cast("int")).over(whole) > 0)
+    run = merged.select(
+        "__q", "__d", "__kind", "__has",
+        (active("dapt") > 0).alias("__dapt"), (active("plate") > 0).alias("on_antiplatelet"), ever("oac").alias("__ever"), years("vka").alias("ac_cum_vka_years"), years("oac").alias("ac_cum_oac_years"),
+        (F.col("__d") - F.max("__day").over(upto)).cast("double").alias("ac_days_since_change"), ever("late").alias("ac_post_suspicion"),
+    ).filter("__kind = 1 and __has")
+    # the first episode in input order of those in use, by patient and year
+    span = marks.groupBy("__q").agg(F.min(DAY(F.col("__at"))).alias("__lo"), F.max(DAY(F.col("__at"))).alias("__hi"))
+    used = episodes.filter("__oac = 1 and __s is not null").join(span, "__q").filter("__s <= __hi and (__e is null or __e > __lo)")
+    year = lambda d: F.floor(d / F.lit(366))
+    used = used.withColumn("__y", F.explode(F.sequence(year(F.greatest("__s", "__lo")), year(F.least(F.coalesce("__e", "__hi"), "__hi")))))
+    in_use = (F.col("__s") <= F.col("__m")) & (F.col("__e").isNull() | (F.col("__e") > F.col("__m")))
+    asked = marks.select(F.col("__q"), DAY(F.col("__at")).alias("__m"), year(DAY(F.col("__at"))).alias("__y"))
+    first = asked.join(used.select("__q", "__y", "__s", "__e", "__seq", "class", "indication"), ["__q", "__y"]).filter(in_use).groupBy("__q", "__m").agg(F.min_by(F.struct("class", "indication"), "__seq").alias("__first"))
+    found = run.join(first.withColumnsRenamed({"__q": "__p", "__m": "__n"}), (F.col("__q") == F.col("__p")) & (F.col("__d") == F.col("__n")), "left")
+    found = (
+        found.withColumn("ac_class_current", F.coalesce("__first.class", F.when(F.col("__dapt"), "DAPT").when(F.col("on_antiplatelet"), "SAPT").otherwise("none")))
         .withColumn("ac_indication", F.coalesce("__first.indication", F.lit("none")))
         .withColumn("ac_current_status", F.when(F.col("__first").isNotNull(), "current").when(F.col("__ever"), "past").otherwise("never"))
-        .drop("__first", "__dapt", "__ever")
+        .drop("__first", "__dapt", "__ever", "__kind", "__has", "__p", "__n")
     )
-    return points.join(grouped, (F.col(patient) == F.col("__q")) & (F.col(at) == F.col("__at")), "left").drop("__q", "__at")
+    return points.join(found, (F.col(patient) == F.col("__q")) & (DAY(F.col(at)) == F.col("__d")), "left").drop("__q", "__d")
 
 
 def flag_within(candidates: DataFrame, intervals: DataFrame, condition: Column, out: str, keys: list[str], patient: str = "patient_id") -> DataFrame:
@@ -128,12 +149,13 @@ def comparator_pairs(studies: DataFrame, patients: DataFrame, requests: DataFram
 def step_lookup(rows: DataFrame, at: Column, knots: DataFrame, group: list[str], before: float, strict: bool = False, time: str = "time", value: str = "value", out: str = "looked_up") -> DataFrame:
     """Value of a step function at the last knot on or before ``at`` (strictly before, with ``strict``); ``before`` earlier.
 
-    Knots become intervals and are joined by range within the group; Spark broadcasts them while they are small.
+    The distinct times asked for are merged with the knots by one sort (:func:`last_before`), and the answers meet the rows by
+    equality: broadcast behind a check of their number, by hash beyond it.
     """
-    order = Window.partitionBy(*group).orderBy(time)
-    spans = knots.select(*(F.col(g).alias(f"__{g}") for g in group), F.col(time).alias("__lo"), F.lead(time).over(order).alias("__hi"), F.col(value).alias("__value"))
-    inside = ((F.col("__lo") < at) & (F.col("__hi").isNull() | (at <= F.col("__hi")))) if strict else ((F.col("__lo") <= at) & (F.col("__hi").isNull() | (at < F.col("__hi"))))
-    on = inside
-    for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    return rows.join(spans, on, "left").withColumn(out, F.coalesce("__value", F.lit(before))).drop("__lo", "__hi", "__value", *(f"__{g}" for g in group))
+    keyed = rows.withColumn("__at", at.cast("double") + 0.0)
+    asked = keyed.select(*group, F.col("__at").alias("__t")).distinct()
+    steps = knots.select(*group, F.col(time).cast("double").alias("__t"), F.col(value).alias("__value"))
+    answers = last_before(asked, steps, group, "__t", "__value", "__found", strict).select(*(F.col(g).alias(f"__{g}") for g in group), "__t", "__found")
+    on = F.col("__at").eqNullSafe(F.col("__t")) & equal_keys(group, [f"__{g}" for g in group])
+    found = keyed.join(broadcast_if_small(answers, name="steps"), on, "left")
+    return found.withColumn(out, F.coalesce("__found", F.lit(before))).drop("__at", "__t", "__found", *(f"__{g}" for g in group))

@@ -1,12 +1,14 @@
-"""Competing-risk integration: cumulative hazards on a shared grid to state probabilities, with array expressions only."""
+"""Competing-risk integration: cumulative hazards on a shared grid to state probabilities."""
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 CAUSE_NAMES = ("svd", "death", "replacement")
 STATES = (*CAUSE_NAMES, "alive_intact")
@@ -42,37 +44,42 @@ def _part(k: int):
     return lambda x: x["f"][k]
 
 
-def _clean(h: Column) -> Column:
-    """Running maximum from 0: removes round-off decreases."""
-    return F.transform(
-        F.sequence(F.lit(1), F.size(h)),
-        lambda i: F.greatest(F.lit(0.0), F.array_max(F.slice(h, 1, i))),
-    )
-
-
 def combine(rows: DataFrame, causes: Sequence[str] = CAUSE_NAMES, clean: bool = False) -> DataFrame:
-    """Adds ``F_<cause>`` and ``S`` arrays: with D the summed increments, S = exp(-sum D) and
-    dF_k = S_prev * (1 - exp(-D)) * dH_k / D. The fold keeps its state in one struct and is linear in the grid."""
-    hs = [_clean(F.col(c)) if clean else F.col(c) for c in causes]
-    n = len(causes)
-    table = rows.withColumn("__z", F.transform(F.sequence(F.lit(0), F.size(hs[0]) - 1), lambda i: F.array(*(F.get(h, i) for h in hs))))
-    zero = F.array(*(F.lit(0.0) for _ in range(n)))
-    start = F.struct(F.lit(1.0).alias("s"), F.lit(0.0).alias("total"), zero.alias("h"), zero.alias("f"), F.array().cast("array<struct<s:double,f:array<double>>>").alias("out"))
-
-    def step(acc: Column, h: Column) -> Column:
-        d = [h[k] - acc["h"][k] for k in range(n)]
-        all_ = d[0]
-        for x in d[1:]:
-            all_ = all_ + x
-        total = acc["total"] + all_
-        share = F.when(all_ > 0, acc["s"] * -F.expm1(-all_) / all_).otherwise(0.0)
-        f = F.array(*(acc["f"][k] + share * d[k] for k in range(n)))
-        s = F.exp(-total)
-        return F.struct(s.alias("s"), total.alias("total"), h.alias("h"), f.alias("f"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), f.alias("f")))).alias("out"))
-
-    folded = F.aggregate("__z", start, step, lambda acc: acc["out"])
-    out = table.withColumn("__o", folded)
-    return out.select(*rows.columns, F.transform("__o", lambda x: x["s"]).alias("S"), *(F.transform("__o", _part(k)).alias(f"F_{c}") for k, c in enumerate(causes)))
+    """Adds ``S`` and ``F_<cause>`` arrays: with D the summed increments, S = exp(-sum D) and
+    dF_k = S_prev * (1 - exp(-D)) * dH_k / D, from 0 before the first point.
+
+    Running sums over an array have no built-in function, so a batch of rows is one matrix per cause, and the work is linear in
+    rows and grid. A row that lacks a hazard gets NULL arrays.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    causes = list(causes)
+    names = ["S", *(f"F_{c}" for c in causes)]
+
+    def integrate(batches: Iterator) -> Iterator:
+        for batch in batches:
+            lists = [batch.column(batch.schema.names.index(c)) for c in causes]
+            sizes = np.stack([np.where(x.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False), -1) for x in lists])
+            sizes = np.where((sizes == sizes[0]).all(axis=0), sizes[0], -1)
+            out = [[None] * batch.num_rows for _ in range(len(causes) + 1)]
+            for n in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == n)
+                h = np.stack([x.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n) for x in lists])
+                if clean:
+                    h = np.maximum.accumulate(np.maximum(h, 0.0), axis=2)
+                d = np.diff(h, axis=2, prepend=0.0)
+                total = d.sum(axis=0)
+                s = np.exp(-np.cumsum(total, axis=1))
+                before = np.concatenate([np.ones((len(at), 1)), s[:, :-1]], axis=1)
+                share = np.where(total > 0, before * -np.expm1(-total) / np.where(total > 0, total, 1.0), 0.0)
+                for column, values in zip(out, (s, *np.cumsum(share * d, axis=2)), strict=True):
+                    for i, row in zip(at, values, strict=True):
+                        column[i] = row
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.list_(pa.float64())) for c in out)], names=[*batch.schema.names, *names])
+
+    schema = StructType([*rows.schema.fields, *(StructField(n, ArrayType(DoubleType())) for n in names)])
+    return rows.mapInArrow(integrate, schema)
 
 
 def product_limit(rows: DataFrame, causes: Sequence[str] = CAUSE_NAMES, cap: float = 0.999) -> DataFrame:

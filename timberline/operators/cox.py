@@ -1,21 +1,21 @@
 """Cause-specific proportional hazards with distributed Newton steps.
 
-Each step makes one pass: partitions sum exp(eta), its first and second moments and the events per (stratum, time); the sums
-of all partitions, bounded by the distinct times, are accumulated backwards in time on the driver. Ties follow Breslow; the
-ridge penalty is on the summed log partial likelihood.
+Each step is one query for all causes still moving: sums of exp(eta) and its first and second moments per (cause, stratum,
+time), running sums of these backwards in time, and one row per cause with likelihood, gradient and Hessian. Running sums are
+windows while distinct times are few, and prefix sums over range partitions beyond. Ties follow Breslow; the ridge penalty is
+on the summed log partial likelihood.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.staging import stage
+from timberline.operators.staging import prefix_sum, stage
 from timberline.operators.survival import nelson_aalen
 
 GATES = {"fit_min_unique_events": 30, "baseline_min_unique_events": 5, "min_at_risk": 10}
@@ -37,85 +37,101 @@ class CoxFit:
         return max(0.0, 2 * (self.loglik - self.loglik_start))
 
 
-def _sums(rows: DataFrame, columns: Sequence[str], beta: np.ndarray) -> list:
-    """Per (stratum, time): events, sum of eta and of z over events, and risk-set moments."""
-    p = len(columns)
-    b = beta.tolist()
-
-    def fold(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        held: dict[tuple, list] = {}
-        for batch in batches:
-            z = batch[list(columns)].to_numpy(float)
-            eta = batch["offset"].to_numpy(float) + z @ np.asarray(b)
-            w = np.exp(eta) * batch["weight"].to_numpy(float)
-            ew = batch["event"].to_numpy(float) * batch["weight"].to_numpy(float)
-            keys = pd.MultiIndex.from_arrays([batch["stratum"], batch["time"]])
-            codes, unique = pd.factorize(keys)
-            parts = np.zeros((len(unique), 3 + 2 * p + p * p))
-            np.add.at(parts, codes, np.column_stack([ew, ew * eta, w, ew[:, None] * z, w[:, None] * z, (w[:, None, None] * z[:, :, None] * z[:, None, :]).reshape(len(z), p * p)]))
-            for k, row in zip(unique, parts, strict=True):
-                held[k] = row if k not in held else held[k] + row
-        if held:
-            yield pd.DataFrame({"stratum": [k[0] for k in held], "time": [k[1] for k in held], "sums": list(held.values())})
-
-    partial = rows.select("stratum", "time", "event", "weight", "offset", *columns).mapInPandas(fold, "stratum string, time double, sums array<double>")
-    width = 3 + 2 * p + p * p
-    return partial.groupBy("stratum", "time").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width))).collect()
-
-
-def _likelihood(found: list, p: int) -> tuple[float, np.ndarray, np.ndarray]:
-    ll, g, h = 0.0, np.zeros(p), np.zeros((p, p))
-    by_stratum: dict[str, list] = {}
-    for r in found:
-        by_stratum.setdefault(r["stratum"], []).append((r["time"], np.asarray(r[2:], float)))
-    for times in by_stratum.values():
-        times.sort(key=lambda x: -x[0])
-        risk = np.cumsum([x[1] for x in times], axis=0)
-        for (_, own), at in zip(times, risk, strict=True):
-            d = own[0]
-            if not d:
-                continue
-            s0, s1, s2 = at[2], at[3 + p : 3 + 2 * p], at[3 + 2 * p :].reshape(p, p)
-            mean = s1 / s0
-            ll += own[1] - d * math.log(s0)
-            g += own[3 : 3 + p] - d * mean
-            h -= d * (s2 / s0 - np.outer(mean, mean))
-    return ll, g, h
+def _objectives(data: DataFrame, columns: Sequence[str], betas: dict[int, np.ndarray], few_times: bool) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Per cause (an index into ``hits``): log partial likelihood, gradient and Hessian at its coefficients."""
+    p = range(len(columns))
 
+    def eta(beta: np.ndarray) -> Column:
+        out = F.col("offset")
+        for c, b in zip(columns, beta, strict=True):
+            out = out + float(b) * F.col(c)
+        return out
 
-def fit_cox(rows: DataFrame, columns: Sequence[str], event: Column, time: str = "time", strata: Column | None = None, offset: Column | None = None, weight: Column | None = None, penalizer: float = 0.05, max_iter: int = 50, tol: float = 1e-8) -> CoxFit:
-    """Ridge Cox for ``columns`` with a fixed offset; ``event`` is a condition, other causes are censored."""
+    causes = F.array(*(F.struct(F.lit(k).alias("cause"), F.col("hits")[k].alias("hit"), eta(b).alias("eta")) for k, b in betas.items()))
+    z = [F.col(c) for c in columns]
+    w, d = F.exp("eta") * F.col("weight"), F.col("hit") * F.col("weight")
+    upper = [(i, j) for i in p for j in p if i <= j]
+    risk = {"s0": w, **{f"a{i}": w * z[i] for i in p}, **{f"b{i}_{j}": w * z[i] * z[j] for i, j in upper}}
+    own = {"d": d, "de": d * F.col("eta"), **{f"g{i}": d * z[i] for i in p}}
+    long = data.select("stratum", "time", "weight", *columns, F.inline(causes))
+    sums = long.groupBy("cause", "stratum", "time").agg(*(F.sum(x).alias(k) for k, x in (own | risk).items()))
+    if few_times:
+        later = Window.partitionBy("cause", "stratum").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sets = sums.select("cause", *own, *(F.sum(k).over(later).alias(f"r_{k}") for k in risk))
+    else:
+        sets = prefix_sum(sums.withColumn("back", -F.col("time")), ["cause", "stratum"], "back", {f"r_{k}": k for k in risk})
+    r = lambda k: F.col(f"r_{k}")
+    parts = {"ll": F.col("de") - F.col("d") * F.log(r("s0")), **{f"g{i}": F.col(f"g{i}") - F.col("d") * r(f"a{i}") / r("s0") for i in p}}
+    parts |= {f"h{i}_{j}": -F.col("d") * (r(f"b{i}_{j}") / r("s0") - r(f"a{i}") * r(f"a{j}") / r("s0") ** 2) for i, j in upper}
+    found = {x["cause"]: x for x in sets.filter("d > 0").groupBy("cause").agg(*(F.sum(x).alias(k) for k, x in parts.items())).collect()}
+    out = {}
+    for k in betas:
+        x, h = found.get(k), np.zeros((len(columns), len(columns)))
+        for i, j in upper:
+            h[i, j] = h[j, i] = x[f"h{i}_{j}"] if x else 0.0
+        out[k] = (x["ll"] if x else 0.0, np.asarray([x[f"g{i}"] if x else 0.0 for i in p], float), h)
+    return out
+
+
+def fit_cox_causes(
+    rows: DataFrame,
+    columns: Sequence[str],
+    events: Sequence[Column],
+    time: str = "time",
+    strata: Column | None = None,
+    offset: Column | None = None,
+    weight: Column | None = None,
+    penalizer: float = 0.05,
+    max_iter: int = 50,
+    tol: float = 1e-8,
+) -> list[CoxFit]:
+    """A ridge Cox fit of ``columns`` for each of the event conditions, all of them in the same passes over the rows; other
+    events are censored. A column without variation keeps the coefficient 0, with an infinite standard error."""
+    number = lambda c, x: F.lit(x) if c is None else c.cast("double")
     data = rows.select(
-        (F.lit("all") if strata is None else strata.cast("string")).alias("stratum"), F.col(time).cast("double").alias("time"), event.cast("double").alias("event"),
-        (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"), (F.lit(0.0) if offset is None else offset.cast("double")).alias("offset"), *(F.col(c).cast("double").alias(c) for c in columns),
-    )
+        (F.lit("all") if strata is None else strata.cast("string")).alias("stratum"), (F.col(time).cast("double") + 0.0).alias("time"), F.array(*(F.coalesce(e, F.lit(False)).cast("double") for e in events)).alias("hits"),
+        number(weight, 1.0).alias("weight"), number(offset, 0.0).alias("offset"), *(F.col(c).cast("double").alias(c) for c in columns),
+    )
     data = stage(data, "cox")
-    p = len(columns)
-    n, n_events = data.agg(F.count("*"), F.coalesce(F.sum("event"), F.lit(0.0))).first()
+    counts = data.agg(F.count("*").alias("n"), F.approx_count_distinct("time").alias("times"), *(F.coalesce(F.sum(F.col("hits")[k]), F.lit(0.0)).alias(f"e{k}") for k in range(len(events)))).first()
+    few_times = counts["times"] <= 200_000
+    everyone, p = range(len(events)), len(columns)
 
-    def objective(b: np.ndarray) -> tuple:
-        ll, g, h = _likelihood(_sums(data, columns, b), p)
-        return ll - 0.5 * penalizer * b @ b, g - penalizer * b, h - penalizer * np.eye(p), ll
+    def objectives(betas: dict[int, np.ndarray]) -> dict[int, tuple]:
+        return {k: (ll - 0.5 * penalizer * betas[k] @ betas[k], g - penalizer * betas[k], h - penalizer * np.eye(p), ll) for k, (ll, g, h) in _objectives(data, columns, betas, few_times).items()}
 
-    beta = np.zeros(p)
-    value, g, h, ll = objective(beta)
-    start, converged = ll, False
+    beta = {k: np.zeros(p) for k in everyone}
+    state = objectives(beta)
+    start = {k: state[k][3] for k in everyone}
+    moving, done = set(everyone) if p else set(), set() if p else set(everyone)
     for _ in range(max_iter):
-        step, size = np.linalg.solve(h, -g), 1.0
-        while True:
-            new = objective(beta + size * step)
-            if new[0] >= value - 1e-12 or size <= 1e-6:
-                break
-            size /= 2
-        change = abs(new[0] - value)
-        beta, (value, g, h, ll) = beta + size * step, new
-        if change < tol:
-            converged = True
+        if not moving:
             break
-    se = np.sqrt(np.clip(np.diag(np.linalg.inv(-h)), 0, None)) if p else np.zeros(0)
-    return CoxFit(list(columns), beta, se, ll, start, converged, int(n), int(n_events))
+        step = {k: np.linalg.lstsq(state[k][2], -state[k][1], rcond=None)[0] for k in moving}
+        size, trying = dict.fromkeys(moving, 1.0), set(moving)
+        tried: dict[int, tuple] = {}
+        while trying:
+            tried |= objectives({k: beta[k] + size[k] * step[k] for k in trying})
+            trying = {k for k in trying if tried[k][0] < state[k][0] - 1e-12 and size[k] > 1e-6}
+            size |= {k: size[k] / 2 for k in trying}
+        for k in list(moving):
+            change = abs(tried[k][0] - state[k][0])
+            beta[k], state[k] = beta[k] + size[k] * step[k], tried[k]
+            if change < tol:
+                moving.discard(k)
+                done.add(k)
+    out = []
+    for k in everyone:
+        information = -state[k][2]
+        flat = np.diag(information) < 1e-12
+        se = np.sqrt(np.clip(np.diag(np.linalg.pinv(information)), 0, None)) if p else np.zeros(0)
+        out.append(CoxFit(list(columns), beta[k], np.where(flat, np.inf, se), state[k][3], start[k], k in done, int(counts["n"]), int(counts[f"e{k}"])))
+    return out
+
+
+def fit_cox(rows: DataFrame, columns: Sequence[str], event: Column, **options) -> CoxFit:
+    """Ridge Cox for ``columns`` with a fixed offset; ``event`` is a condition, other causes are censored."""
+    return fit_cox_causes(rows, columns, [event], **options)[0]
 
 
 def linear_predictor(fit: CoxFit, means: dict[str, float] | None = None) -> Column:
@@ -170,10 +186,12 @@ class CauseSpecificCox:
         self.means = {c: float(moments[f"m_{c}"]) for c in used}
         counts = rows.groupBy(self.stratum).agg(*(F.countDistinct(F.when(F.col("event") == code, F.col(patient))).alias(name) for name, code in self.causes.items())).collect()
         total = rows.agg(*(F.countDistinct(F.when(F.col("event") == code, F.col(patient))).alias(name) for name, code in self.causes.items())).first()
+        fitted = [name for name in self.causes if total[name] >= self.gates["fit_min_unique_events"]]
+        fits = dict(zip(fitted, fit_cox_causes(rows, used, [F.col("event") == self.causes[n] for n in fitted], strata=F.col(self.stratum), penalizer=self.penalizer), strict=True)) if fitted else {}
         for name, code in self.causes.items():
             n = total[name]
-            if n >= self.gates["fit_min_unique_events"]:
-                fit = fit_cox(rows, used, F.col("event") == code, strata=F.col(self.stratum), penalizer=self.penalizer)
+            if name in fits:
+                fit = fits[name]
                 scored = rows.withColumn("__risk", F.exp(linear_predictor(fit, self.means)))
                 model = CauseModel("ok", "", fit, nelson_aalen(scored, [self.stratum], "__risk", code))
             elif n >= self.gates["baseline_min_unique_events"]:

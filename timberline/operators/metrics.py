@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.staging import prefix_sum, stage
+from timberline.operators.staging import broadcast_if_small, equal_keys, prefix_sum, stage
 
 EPS_LOGIT = 1e-6
 
@@ -38,10 +38,7 @@ def brier(rows: DataFrame, marginal: DataFrame, group: Sequence[str] = (), weigh
     sw = F.lit(1.0) if weight is None else F.col(weight)
     m = marginal.select(*(F.col(g).alias(f"__{g}") for g in group), "observed")
     if group:
-        on = F.lit(True)
-        for g in group:
-            on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
-        joined = rows.join(m, on, "left")
+        joined = rows.join(broadcast_if_small(m, name="marginal"), equal_keys(group, [f"__{g}" for g in group]), "left")
     else:
         joined = rows.crossJoin(F.broadcast(m.limit(1)))
     loss = lambda p: F.sum(sw * F.col("w") * (F.col("y") - p) ** 2) / F.sum(sw)
@@ -122,9 +119,8 @@ def quantile_bins(rows: DataFrame, bins: int, group: Sequence[str] = (), pred: s
     rows, keys = _keyed(rows, group)
     edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile(pred, [i / bins for i in range(bins + 1)])).alias("__edges"))
     edges = edges.select(*(F.col(k).alias(f"__{k}") for k in keys), "__edges")
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    on = equal_keys(keys, [f"__{k}" for k in keys])
+    edges = broadcast_if_small(edges, name="edges")
     at = F.size(F.filter("__edges", lambda e: e <= F.col(pred))) - 1
     return rows.join(edges, on).withColumn("bin", F.greatest(F.least(at, F.size("__edges") - 2), F.lit(0))).drop("__edges", "__all", *(f"__{k}" for k in keys))
 
@@ -219,19 +215,29 @@ def pairing_coverage(rows: DataFrame, status: str = "status", risk: str = "pred"
 
 
 def concordance(rows: DataFrame, group: Sequence[str] = (), time: str = "time", event: str = "event", pred: str = "pred") -> DataFrame:
-    """Harrell's concordance. Cells of (time, score) are counted first and each event cell meets the cells of later times of its
-    group, so the joined rows follow distinct cells and not pairs of rows: meant for groups with few distinct values."""
+    """Harrell's concordance of a whole group in n log n steps.
+
+    Distinct times are numbered; an event and a later row first differ in one binary digit of their numbers, and share all
+    digits before it. So under each digit's leading part (a node) the events with a 0 there meet the rows with a 1, which takes
+    one running count over their scores. At an equal time only censored rows are comparable with an event.
+    """
     rows, keys = _keyed(rows, group)
-    cells = stage(rows.filter(F.col(pred).isNotNull()).groupBy(*keys, F.col(time).alias("t"), F.col(pred).alias("s")).agg(F.sum((F.col(event) != 0).cast("long")).alias("d"), F.count("*").alias("n")), "cells")
-    a, b = cells.filter("d > 0"), cells.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("t").alias("t2"), F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("d").alias("d2"))
-    on = F.col("t2") >= F.col("t")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    # at an equal time only censored rows are comparable with an event
-    pairs = F.col("d") * F.when(F.col("t2") == F.col("t"), F.col("n2") - F.col("d2")).otherwise(F.col("n2"))
-    j = a.join(b, on)
-    s = j.groupBy(*keys).agg(F.sum(pairs * F.when(F.col("s") > F.col("s2"), 1.0).when(F.col("s") == F.col("s2"), 0.5).otherwise(0.0)).alias("num"), F.sum(pairs).alias("den"))
-    return s.select(*group, (F.col("num") / F.col("den")).alias("concordance"))
+    censored = F.sum((F.col(event) == 0).cast("long"))
+    cells = stage(rows.filter(F.col(pred).isNotNull()).groupBy(*keys, (F.col(time) + F.lit(0.0)).alias("t"), F.col(pred).alias("s")).agg(F.sum((F.col(event) != 0).cast("long")).alias("d"), F.count("*").alias("n"), censored.alias("c")), "cells")
+    times = stage(prefix_sum(cells.select(*keys, "t").distinct().withColumn("__one", F.lit(1).cast("long")), keys, "t", {"rank": "__one"}).drop("__one"), "times")
+    digits = max(1, int(times.agg(F.max("rank")).first()[0] or 0).bit_length())
+    ranked = cells.join(broadcast_if_small(times.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("t").alias("__t"), "rank"), name="ranks"), equal_keys([*keys, "t"], [*(f"__{k}" for k in keys), "__t"]))
+    level = ranked.withColumn("level", F.explode(F.sequence(F.lit(-1), F.lit(digits - 1))))
+    one = F.expr("shiftrightunsigned(rank, greatest(level, 0))").bitwiseAND(F.lit(1)) == 1
+    here = level.select(
+        *keys, "s", "level",
+        F.when(F.col("level") < 0, F.col("rank")).otherwise(F.expr("shiftrightunsigned(rank, level + 1)")).alias("node"),
+        F.when(F.col("level") < 0, F.col("d")).when(~one, F.col("d")).otherwise(0).alias("d"), F.when(F.col("level") < 0, F.col("c")).when(one, F.col("n")).otherwise(0).alias("n"),
+    )
+    scores = here.groupBy(*keys, "level", "node", "s").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    upto = prefix_sum(scores, [*keys, "level", "node"], "s", {"upto": "n"})
+    nodes = upto.groupBy(*keys, "level", "node").agg(F.sum(F.col("d") * (F.col("upto") - 0.5 * F.col("n"))).alias("num"), (F.sum("d") * F.sum("n")).alias("den"))
+    return nodes.groupBy(*keys).agg((F.sum("num") / F.sum("den")).alias("concordance")).select(*group, "concordance")
 
 
 def coverage(rows: DataFrame, valid: Column, group: Sequence[str] = (), patient: str = "patient_id") -> DataFrame:

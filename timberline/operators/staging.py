@@ -5,15 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the folder all executors share (``spark.checkpoint.dir``, or one beside the warehouse) and read it
-    back: later passes do not recompute it, and a lost executor loses none of it. Removed when the application ends."""
+    """Write ``df`` to the folder all executors share (``spark.checkpoint.dir``; in a local session without one, beside the
+    warehouse) and read it back: later passes do not recompute it, and a lost executor loses none of it. Removed when the
+    application ends."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     path = f"{root.rstrip('/')}/timberline-{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -21,6 +25,42 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 100_000, name: str = "side") -> DataFrame:
+    """``df``, written out, and marked for broadcast when it has at most ``most`` rows; else left to a shuffled join."""
+    written = stage(df, name)
+    return F.broadcast(written) if written.limit(most + 1).count() <= most else written
+
+
+def equal_keys(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Join condition over key columns; nulls are equal to each other."""
+    on = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
+
+
+def last_before(marks: DataFrame, knots: DataFrame, group: Sequence[str], time: str, value: str, out: str, strict: bool = False, partitions: int | None = None) -> DataFrame:
+    """Adds to ``marks`` (group columns and ``time``) the value of the last knot on or before their time, or strictly before it.
+
+    Knots and marks are range-partitioned together by group and time, and the last value is carried inside a partition; what
+    a partition begins with is the last value of the group's earlier ones (one row per partition and group). So the work is
+    one sort, whatever the number of distinct times.
+    """
+    spark = marks.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = F.lit(1 if strict else -1)
+    both = marks.select(*group, time, F.lit(0).alias("__kind"), F.lit(None).cast(dict(knots.dtypes)[value]).alias("__v")).unionByName(knots.select(*group, F.col(time).cast(dict(marks.dtypes)[time]).alias(time), kind.alias("__kind"), F.col(value).alias("__v")))
+    ranged = stage(both.repartitionByRange(n, *group, time).withColumn("__part", F.spark_partition_id()), "knots")
+    known = F.when(F.col("__kind") != 0, F.struct("__v"))
+    local = Window.partitionBy("__part", *group).orderBy(time, "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranged.groupBy(*group, "__part").agg(F.max_by(known, F.when(F.col("__kind") != 0, F.struct(time, "__kind"))).alias("__l"))
+    carried = carried.select(F.col("__part").alias("__q"), *(F.col(g).alias(f"__{g}") for g in group), F.last("__l", ignorenulls=True).over(earlier).alias("__c"))
+    found = ranged.withColumn("__own", F.last(known, ignorenulls=True).over(local)).filter("__kind = 0")
+    joined = found.join(carried, (F.col("__part") == F.col("__q")) & equal_keys(group, [f"__{g}" for g in group]))
+    return joined.select(*group, time, F.coalesce("__own", "__c")["__v"].alias(out))
+
+
 def prefix_sum(df: DataFrame, group: Sequence[str], order: str, values: dict[str, str], partitions: int | None = None) -> DataFrame:
     """Sums over the rows before and including each row, per group and in the order of ``order`` (unique within a group).
 
