@@ -144,9 +144,12 @@ def test_filter_gives_rounded_counts_back():
 def test_byte_strings_give_their_numbers_back():
     r = np.random.default_rng(2)
     for n in (0, 1, 1000):
-        c, h, x = r.integers(0, 600, n), r.integers(0, 1 << 63, n).astype(np.uint64), r.integers(0, 1 << 20, n)
-        assert (lm_score.unpack_counts(lm_score.pack_counts(c), n) == c).all()
-        assert (lm_score.unpack_low(lm_score.pack_low(h)) == h & np.uint64((1 << 40) - 1)).all()
+        c, h, x = r.integers(0, 1 << 45, n), np.sort(r.integers(0, 1 << 64, n, dtype=np.uint64)), r.integers(0, 1 << 20, n)
+        assert (lm_score.unpack_counts(lm_score.pack_counts(c)) == c).all()
+        assert (lm_score.unpack_sorted(lm_score.pack_sorted(h)) == h).all()
+        for depth in (0, 1, 9):
+            segment, place = lm_score.segment_of(h, depth), lm_score.place_in_segment(h, depth)
+            assert ((segment >= 0) & (segment < 1 << depth)).all() and (np.diff(segment * (1 << 32) + place.astype(np.int64)) >= 0).all()
         assert (lm_score.unpack_numbers(lm_score.pack_numbers(x)) == x).all()
 
 

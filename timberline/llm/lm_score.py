@@ -20,7 +20,7 @@ with it.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored, and counted in training, each on its
 own; with nothing to train on every token is unknown; an empty table gives no rows. Extra columns are ignored. Words are told
-apart by 64-bit hashes, pairs by their segment and 40 bits more.
+apart by 64-bit hashes, pairs by their segment and 32 bits more. Byte strings are sorted numbers as compressed differences.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ PROBES = 4
 END = b"\n"  # holds white space, so no word equals it
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64((1 << 40) - 1)
+_TOP = np.uint64(32)
 _IS_PAIR = np.uint64(1 << 40)
 
 
@@ -52,9 +53,14 @@ def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * _PAIR + mix(second))
 
 
-def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    """The segment of a hash; segments are ranges, so sorted hashes come segment by segment."""
-    return ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+def segment_of(h: np.ndarray, depth: int) -> np.ndarray:
+    """The segment of a hash, its first ``depth`` bits; sorted hashes come segment by segment."""
+    return (h >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(h), np.int64)
+
+
+def place_in_segment(h: np.ndarray, depth: int) -> np.ndarray:
+    """The 32 bits of a hash after those of its segment."""
+    return (h << np.uint64(depth)) >> _TOP
 
 
 def thresholds(base: float, most: int = 1 << 40) -> np.ndarray:
@@ -119,35 +125,45 @@ class Filter:
 
 # -- byte strings of a chunk
 
+def _squeeze(x: np.ndarray, width: int) -> bytes:
+    """Numbers byte plane by byte plane, compressed: high planes are nearly all zero."""
+    import zstandard
+
+    return zstandard.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+
+
+def _swell(data: bytes, width: int) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
 def pack_counts(c: np.ndarray) -> bytes:
-    """Counts as a byte each; those of 255 and more follow in full."""
-    return np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype("<i8").tobytes()
+    return _squeeze(c, 6)
 
 
-def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
-    return out
+def unpack_counts(data: bytes) -> np.ndarray:
+    return _swell(data, 6).astype(np.int64)
 
 
-def pack_low(h: np.ndarray) -> bytes:
-    """The low 40 bits of hashes."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers, as differences."""
+    return _squeeze(np.diff(x, prepend=np.uint64(0)), 8)
 
 
-def unpack_low(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1).astype(np.uint64)
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_swell(data, 8), dtype=np.uint64)
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
-    """32-bit numbers, the low halves first, since the high halves are nearly all zero."""
-    return x.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes()
+    return _squeeze(x, 4)
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, "<u2").reshape(2, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    return _swell(data, 4).astype(np.int64)
 
 
 def _pair_hashes(words: np.ndarray, tokens: np.ndarray, begins: np.ndarray, end: np.uint64) -> np.ndarray:
@@ -161,7 +177,7 @@ def _pair_hashes(words: np.ndarray, tokens: np.ndarray, begins: np.ndarray, end:
 CHUNK = "chunk long, seg int, ids array<struct<doc_id: {id}, held_out: boolean>>, lengths binary, tokens binary, words binary, word_counts binary, pairs binary, pair_counts binary"
 
 
-def chunk_table(docs: DataFrame, held_out: Column, segments: int, flush: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunk_table(docs: DataFrame, held_out: Column, depth: int, flush: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks of documents: a row (seg = -1) with its texts as word numbers, and a row per segment with the chunk's distinct
     n-grams of that segment and how often each occurs in training documents."""
     import pyarrow as pa
@@ -187,13 +203,14 @@ def chunk_table(docs: DataFrame, held_out: Column, segments: int, flush: int, id
             found, at = np.unique(_pair_hashes(words, tokens, begins, end), return_inverse=True)
             word_counts, pair_counts = np.bincount(tokens[trained], minlength=len(words)), np.bincount(at[trained], minlength=len(found))
             chunk = (part << 32) + number
-            out = [(chunk, -1, pack_numbers(n), pack_numbers(tokens), words.astype("<u8").tobytes(), None, None, None)]
-            edges = np.arange(segments + 1)
-            w, p = np.searchsorted(segment_of(words, segments), edges), np.searchsorted(segment_of(found, segments), edges)
-            for s in range(segments):
+            out = [(chunk, -1, pack_numbers(n), pack_numbers(tokens), pack_sorted(words), None, None, None)]
+            edges = np.arange((1 << depth) + 1)
+            w, p = np.searchsorted(segment_of(words, depth), edges), np.searchsorted(segment_of(found, depth), edges)
+            places = place_in_segment(found, depth)
+            for s in range(1 << depth):
                 a, b, c, d = w[s], w[s + 1], p[s], p[s + 1]
                 if a < b or c < d:
-                    out.append((chunk, s, None, None, words[a:b].astype("<u8").tobytes(), pack_counts(word_counts[a:b]), pack_low(found[c:d]), pack_counts(pair_counts[c:d])))
+                    out.append((chunk, s, None, None, pack_sorted(words[a:b]), pack_counts(word_counts[a:b]), pack_sorted(places[c:d]), pack_counts(pair_counts[c:d])))
             kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
             chunk_, seg, *blobs = (pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))
             everyone = pa.concat_arrays(ids)
@@ -229,11 +246,10 @@ def _segment(base: float, bits: int):
     levels = Levels(thresholds(base))
 
     def answer(key, table):
-        words = [np.frombuffer(x, "<u8").astype(np.uint64) for x in table["words"].to_pylist()]
-        couples = [unpack_low(x) for x in table["pairs"].to_pylist()]
+        words, couples = ([unpack_sorted(x) for x in table[c].to_pylist()] for c in ("words", "pairs"))
         sums, at = [], []
         for found, counts in ((words, table["word_counts"]), (couples, table["pair_counts"])):
-            own = np.concatenate([unpack_counts(x, len(h)) for x, h in zip(counts.to_pylist(), found, strict=True)])
+            own = np.concatenate([unpack_counts(x) for x in counts.to_pylist()])
             distinct, inverse = np.unique(np.concatenate(found), return_inverse=True)
             sums.append((distinct, np.bincount(inverse, weights=own, minlength=len(distinct)).astype(np.int64)))
             at.append(inverse)
@@ -248,7 +264,7 @@ def _segment(base: float, bits: int):
         for chunk, h, k in zip(table["chunk"].to_pylist(), words, couples, strict=True):
             mine, ours = at[0][w : w + len(h)], at[1][p : p + len(k)]
             w, p = w + len(h), p + len(k)
-            out.append((chunk, key[0].as_py(), pack_counts(word_sum[mine]), word_level[mine].tobytes(), couple_level[ours].tobytes(), *[None] * 7))
+            out.append((chunk, key[0].as_py(), pack_counts(word_sum[mine]), _squeeze(word_level[mine], 1), _squeeze(couple_level[ours], 1), *[None] * 7))
         absent = total == 0
         facts = (int(word_sum.sum()), int((word_sum > 0).sum()), int((word_sum == 1).sum()), int(true.sum()), len(part.bytes), int(absent.sum()), int((seen[absent] > 0).sum()))
         out.append((-1, key[0].as_py(), None, None, None, *facts))
@@ -271,12 +287,11 @@ def _chunk_scores(facts: dict, base: float, mu: float):
     def score(chunk, answers):
         end = hashes([END])[0]
         answers = answers.sort_by("seg")
-        words = np.frombuffer(chunk["words"][0].as_py(), "<u8").astype(np.uint64)
+        words = unpack_sorted(chunk["words"][0].as_py())
         tokens, lengths = unpack_numbers(chunk["tokens"][0].as_py()), unpack_numbers(chunk["lengths"][0].as_py())
         begins = np.r_[0, np.cumsum(lengths)[:-1]]
-        word_level = np.frombuffer(b"".join(answers["word_levels"].to_pylist()), np.uint8)
-        counts = np.concatenate([unpack_counts(c, len(k)) for c, k in zip(answers["word_counts"].to_pylist(), answers["word_levels"].to_pylist(), strict=True)])
-        pair_level = np.frombuffer(b"".join(answers["pair_levels"].to_pylist()), np.uint8)
+        word_level, pair_level = (np.concatenate([_swell(x, 1) for x in answers[c].to_pylist()]).astype(np.int64) for c in ("word_levels", "pair_levels"))
+        counts = np.concatenate([unpack_counts(x) for x in answers["word_counts"].to_pylist()])
         _, at = np.unique(_pair_hashes(words, tokens, begins, end), return_inverse=True)
         unknown = (once + 1) / (n + 2)
         low, high = levels.low(word_level), levels.high(word_level)
@@ -301,16 +316,16 @@ def train_and_score(
     base: float = 1.5,
     mu: float = 5.0,
     bits: int = 12,
-    flush: int = 600_000,
-    segment_bytes: int = 16 << 20,
+    flush: int = 500_000,
+    segment_bytes: int = 8 << 20,
     report: dict | None = None,
 ) -> DataFrame:
     """Learn from the rows where ``held_out`` is false and score all rows: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score. ``report`` receives the filter's entries, bytes, and how many absent n-grams were probed and found."""
     kind = dict(docs.dtypes)[id_col]
     size = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
-    segments = max(1, math.ceil(size / segment_bytes))
-    table = chunk_table(docs, F.coalesce(held_out, F.lit(False)), segments, flush, id_col, text_col)
+    depth = max(0, math.ceil(math.log2(max(size, 1) / segment_bytes)))
+    table = chunk_table(docs, F.coalesce(held_out, F.lit(False)), depth, flush, id_col, text_col)
     ngrams = table.filter("seg >= 0").select("chunk", "seg", "words", "word_counts", "pairs", "pair_counts")
     answers = stage(ngrams.groupBy("seg").applyInArrow(_segment(base, bits), ANSWER), "answers")
     names = ("tokens", "distinct", "once", "entries", "filter_bytes", "absent", "false_hits")
