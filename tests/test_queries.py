@@ -6,7 +6,8 @@ from oracles import SF, connection, rows_of, rows_of_sql
 import timberline.plans.cohort_queries
 import timberline.plans.data_queries
 import timberline.plans.late_queries
-import timberline.plans.model_queries  # noqa: F401
+import timberline.plans.model_queries
+import timberline.plans.record_queries  # noqa: F401
 from timberline.plans.registry import QUERIES, SQL
 
 

@@ -10,11 +10,23 @@ from pyspark.sql import functions as F
 
 from timberline.functions import rules
 from timberline.operators.staging import broadcast_if_small, equal_keys, last_before
-from timberline.schema import DAYS_PER_YEAR
+from timberline.schema import DAYS_PER_YEAR, parse_date
 
 DAY = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
 
 
+def normalise_studies(studies: DataFrame, location: str = "location", grade: str = "ar_grade", date: str = "date", seq: str = "seq") -> DataFrame:
+    """Studies of the prosthetic valve with a date: the grade becomes an ordinal ``ar``, dates are parsed, rows keep their
+    input order in ``seq``. Without a location column every study counts as prosthetic."""
+    kept = studies.filter(F.col(location) == "prosthetic") if location in studies.columns else studies
+    kind = dict(studies.dtypes)[date]
+    day = parse_date(F.col(date)) if kind == "string" else F.col(date).cast("date")
+    out = kept.withColumn(date, day).filter(F.col(date).isNotNull())
+    if grade in studies.columns:
+        out = out.withColumn("ar", rules.regurgitation_grade(F.col(grade))).drop(grade)
+    return out.drop(*([location] if location in studies.columns else []))
+
+
 def select_reference(studies: DataFrame, patients: DataFrame, window: tuple[int, int] = (30, 180), patient: str = "patient_id", seq: str = "seq") -> DataFrame:
     """The first adequate study (gradient, and area or index) in the window after implantation, by date then input order."""
     days = F.datediff("date", "implant_date")
@@ -146,6 +158,31 @@ def comparator_pairs(studies: DataFrame, patients: DataFrame, requests: DataFram
     return pairs.withColumn("verdict", F.when(F.col("ref_date").isNotNull() & F.col("cur_date").isNotNull(), rules.comparator(cur, ref, context.__getitem__)))
 
 
+#: Other names of a study's values in tables that hold both studies of a request side by side.
+STUDY_ALIASES = {
+    "mean_gradient": ("mean_gradient", "mean_gradient_mmhg", "gradient"), "eoa": ("eoa", "eoa_cm2"), "dvi": ("dvi",), "ar": ("ar", "ar_ordinal"), "date": ("date", "study_date"),
+    "lvef": ("lvef", "lvef_pct"), "svi": ("svi", "svi_ml_m2"), "valve_id": ("valve_id", "index_valve_id"),
+}
+
+
+def comparator_rows(rows: DataFrame, at: str = "prediction_date", fresh_days: int = 548, out: str = "verdict") -> DataFrame:
+    """The comparator over a table with columns ``reference_*`` and ``current_*`` under any of their names; input columns stay.
+    Of several names of one value the first that is present and not null counts."""
+
+    def side(prefix: str):
+        def value(name: str) -> Column:
+            found = [F.col(f"{prefix}_{a}") for a in STUDY_ALIASES.get(name, (name,)) if f"{prefix}_{a}" in rows.columns]
+            empty = F.lit(None).cast("string" if name == "valve_id" else "date" if name == "date" else "double")
+            return F.coalesce(*found) if found else empty
+
+        return value
+
+    current, reference = side("current"), side("reference")
+    fresh = F.datediff(at, current("date")) <= fresh_days
+    context = {"prediction_date": F.col(at), "valve_id": F.lit(None).cast("string"), "ar_confirmed": F.lit(True), "fresh": fresh}
+    return rows.withColumn(out, F.when(reference("date").isNotNull() & current("date").isNotNull(), rules.comparator(current, reference, context.__getitem__)))
+
+
 def step_lookup(rows: DataFrame, at: Column, knots: DataFrame, group: list[str], before: float, strict: bool = False, time: str = "time", value: str = "value", out: str = "looked_up") -> DataFrame:
     """Value of a step function at the last knot on or before ``at`` (strictly before, with ``strict``); ``before`` earlier.
 

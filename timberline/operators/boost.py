@@ -79,14 +79,19 @@ def log_effect(rows: DataFrame, column: str, event: Column) -> tuple[float, floa
     return float(fit.beta[0]), float(fit.se[0])
 
 
-def marker_terms(rows: DataFrame, marker: str, cumulative: str, knots: Sequence[float]) -> tuple[DataFrame, list[str]]:
-    """Spline main effect of a marker and its product with cumulative exposure, standardised on the measured rows."""
+def marker_columns(rows: DataFrame, marker: str, cumulative: str, knots: Sequence[float]) -> dict[str, Column]:
+    """Spline main effect of a marker and its product with cumulative exposure, standardised on ``rows``; as expressions, so that
+    other rows are scaled alike."""
     basis = {f"{marker}__r{i}": b for i, b in enumerate(rcs_basis(F.col(marker), knots))}
     basis[f"{marker}__x_{cumulative}"] = F.col(marker) * F.col(cumulative)
-    out = rows.withColumns(basis)
-    r = out.agg(*(f(F.col(c)).alias(f"{n}_{c}") for c in basis for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    scaled = {c: (F.col(c) - float(r[f"m_{c}"] or 0.0)) / (float(r[f"s_{c}"]) if r[f"s_{c}"] and r[f"s_{c}"] > 1e-9 else 1.0) for c in basis}
-    return out.withColumns(scaled), list(basis)
+    r = rows.agg(*(f(c).alias(f"{n}_{k}") for k, c in basis.items() for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    return {k: (c - float(r[f"m_{k}"] or 0.0)) / (float(r[f"s_{k}"]) if r[f"s_{k}"] and r[f"s_{k}"] > 1e-9 else 1.0) for k, c in basis.items()}
+
+
+def marker_terms(rows: DataFrame, marker: str, cumulative: str, knots: Sequence[float]) -> tuple[DataFrame, list[str]]:
+    """The marker's terms added to the measured rows, and their names."""
+    terms = marker_columns(rows, marker, cumulative, knots)
+    return rows.withColumns(terms), list(terms)
 
 
 def offset_model(rows: DataFrame, columns: Sequence[str], offset: Column, event: Column, least_rows: int = 150, least_events: int = 15, strata: Column | None = None, penalizer: float = 0.05) -> cox.CoxFit | None:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions import rules
 from timberline.operators import adjudicate as adj
-from timberline.operators import asof, cif, cox, metrics, resample, survival
+from timberline.operators import asof, cif, cox, landmark, metrics, resample, survival
 from timberline.operators.staging import stage
 from timberline.schema import years_between
 
@@ -120,6 +120,73 @@ def score_status(requests: DataFrame, patients: DataFrame, studies: DataFrame, e
     return out.select(patient, "prediction_date", status.alias("score_status"), F.col("cur.stage").alias("current_stage"), rules.stale(months).alias("stale_echo"))
 
 
+def request_features(requests: DataFrame, patients: DataFrame, studies: DataFrame, patient: str = "patient_id") -> DataFrame:
+    """The landmark columns of each request from its last study on or before its time: the same features as at a landmark,
+    with the request's own date for ages and gaps. Requests without a reference study give no row."""
+    keyed = requests.select(patient, "prediction_date").distinct()
+    key = F.concat_ws("@", F.col(patient).cast("string"), F.col("prediction_date").cast("string"))
+    r = keyed.withColumn("request_id", key).withColumnRenamed(patient, "__p")
+    own = studies.join(r.select("request_id", "__p", "prediction_date"), (F.col(patient) == F.col("__p")) & (F.col("date") <= F.col("prediction_date"))).drop(patient, "__p", "prediction_date")
+    p = r.join(patients, F.col("__p") == F.col(patient)).drop("__p")
+    staged = adj.staged_studies(own, asof.select_reference(own, p, patient="request_id"), "request_id")
+    series = landmark.series_features(staged, patient="request_id")
+    newest = series.groupBy("request_id").agg(F.max_by(F.struct(*(c for c in series.columns if c != "request_id")), "landmark_date").alias("x")).select("request_id", "x.*")
+    rows = newest.join(p.select("request_id", patient, "prediction_date", *(c for c in patients.columns if c not in (patient, *series.columns))), "request_id")
+    since = lambda c: years_between(F.col("prediction_date"), F.col(c))
+    return rows.withColumn("time_since_last_echo_years", since("landmark_date")).withColumn("t_lm", since("ref_date")).withColumn("valve_age_years", since("implant_date")).drop("landmark_date")
+
+
+def score_requests(requests: DataFrame, tables: Mapping[str, DataFrame], model: cox.CauseSpecificCox, features: Mapping[str, Column], grid: Sequence[float], horizons: Sequence[float], patient: str = "patient_id") -> DataFrame:
+    """Batch scoring as of each request's time: (patient, prediction_date, horizon, score_status, probabilities).
+
+    ``tables``: patients, studies, exposures, mechanism; only their rows on or before the time are read. ``features`` are the
+    model's columns over :func:`request_features`. A request that cannot be scored keeps its status and NULL probabilities:
+    endpoint_met, no_reference_echo, prediction_time_invalid, missing_features, or why the model does not support it.
+    """
+    status = score_status(requests, *(tables[t] for t in ("patients", "studies", "exposures", "mechanism")), patient)
+    rows = request_features(requests, tables["patients"], tables["studies"], patient).withColumns(dict(features))
+    complete = F.lit(True)
+    for c in features:
+        complete = complete & F.col(c).isNotNull()
+    key = F.concat_ws("@", F.col(patient).cast("string"), F.col("prediction_date").cast("string")).alias("row_id")
+    ready = status.filter("score_status = 'ok'").select(patient, "prediction_date").join(rows.withColumn("__complete", complete), [patient, "prediction_date"])
+    hazards = stage(model.hazards(ready.select(key, patient, "prediction_date", "__complete", model.stratum, *features), grid), "scored")
+    causes = list(model.causes)
+    able = hazards.filter("__complete and support = ''").select("row_id", *causes)
+    points = cif.at_horizons(cif.combine(able, causes), grid, horizons, causes).withColumnRenamed("row_id", "__id")
+    why = hazards.select("row_id", F.when(~F.col("__complete"), "missing_features").when(F.col("support") != "", F.col("support")).alias("__why"))
+    asked = status.withColumn("horizon", F.explode(F.array(*(F.lit(float(h)) for h in horizons)))).withColumn("row_id", key)
+    out = asked.join(why, "row_id", "left").withColumn("score_status", F.when(F.col("score_status") == "ok", F.coalesce("__why", F.lit("ok"))).otherwise(F.col("score_status"))).drop("__why")
+    points = points.withColumnRenamed("horizon", "__h")
+    return out.join(points, (F.col("row_id") == F.col("__id")) & (F.col("horizon") == F.col("__h")), "left").select(patient, "prediction_date", "horizon", "score_status", *causes, "alive_intact")
+
+
+def what_if(requests: DataFrame, tables: Mapping[str, DataFrame], study: Mapping[str, Column] | None = None, days_before: int = 30, exposure: Mapping[str, Column] | None = None, patient: str = "patient_id") -> dict[str, DataFrame]:
+    """The tables with a hypothetical study per request, and a hypothetical change of exposure: episodes in use stop at the
+    request's time and the new one starts there. Score both sets of tables to see the difference."""
+    out = dict(tables)
+    if study:
+        extra = requests.select(patient, F.date_sub("prediction_date", days_before).alias("date"), F.lit(1 << 60).cast("long").alias("seq"), *(v.alias(k) for k, v in study.items()))
+        out["studies"] = tables["studies"].unionByName(extra, allowMissingColumns=True)
+    if exposure:
+        at = requests.groupBy(F.col(patient).alias("__p")).agg(F.max("prediction_date").alias("__at"))
+        stopped = tables["exposures"].join(at, F.col(patient) == F.col("__p"), "left")
+        running = F.coalesce((F.col("start_date") < F.col("__at")) & (F.col("stop_date").isNull() | (F.col("stop_date") > F.col("__at"))), F.lit(False))
+        stopped = stopped.withColumn("stop_date", F.when(running, F.col("__at")).otherwise(F.col("stop_date"))).drop("__p", "__at")
+        new = at.select(F.col("__p").alias(patient), F.col("__at").alias("start_date"), F.lit(1 << 60).cast("long").alias("seq"), *(v.alias(k) for k, v in exposure.items()))
+        out["exposures"] = stopped.unionByName(new, allowMissingColumns=True)
+    return out
+
+
+def implant_time_risk(model: cox.CauseSpecificCox, patients: DataFrame, grid: Sequence[float], horizon: float, valve_age_years: float = 0.25, key: str = "patient_id") -> DataFrame:
+    """(key, risk) at a fixed valve age, as at the reference study; NULL where the model does not support the patient."""
+    rows = patients.withColumn("valve_age_years", F.lit(float(valve_age_years)))
+    hazards = stage(model.hazards(rows.select(F.col(key).alias("row_id"), model.stratum, *model.columns), grid), "risk")
+    causes = list(model.causes)
+    at = cif.at_horizons(cif.combine(hazards.filter("support = ''").select("row_id", *causes), causes), grid, [horizon], causes)
+    return hazards.select("row_id", "support").join(at.select("row_id", F.col(causes[0]).alias("risk")), "row_id", "left").withColumnRenamed("row_id", key)
+
+
 def visit_weights(rows: DataFrame, covariates: Sequence[str], patient: str = "patient_id") -> DataFrame:
     """Stabilised inverse visit-intensity weights from an exponential gap model, cut at the training 1st and 99th percentiles."""
     from pyspark.ml.feature import VectorAssembler
@@ -170,6 +237,124 @@ def evaluate_ladder(rows: DataFrame, predictions: Mapping[str, DataFrame], horiz
     return out
 
 
+def comparator_ladder(rows: DataFrame, steps: Mapping[str, Sequence[str]], pairs: Sequence[tuple[str, str]], horizon: float, causes: Mapping[str, int], grid: Sequence[float], folds: int = 5, replicates: int = 200, seed: int = 0, stratum: str = "route") -> tuple[DataFrame, DataFrame]:
+    """Simple and full predictors scored on the same out-of-fold rows: (comparator, brier, auc, n_rows), and the paired Brier
+    differences (challenger, reference, difference, ci_low, ci_high, patients) with patient bootstraps."""
+    state = next(iter(causes))
+    scored = None
+    for name, columns in steps.items():
+        own = out_of_fold(rows, columns, folds, [horizon], causes, grid, seed, stratum=stratum).select("row_id", F.col(state).alias(name))
+        scored = own if scored is None else scored.join(own, "row_id")
+    known = survival.with_ipcw(rows, horizon, [stratum], causes[state])
+    known = stage(known.drop(*(set(steps) & set(known.columns))).join(scored, "row_id"), "ladder")
+    table, paired = None, None
+    for name in steps:
+        one = known.agg((F.sum(F.col("w") * (F.col("y") - F.col(name)) ** 2) / F.count("*")).alias("brier"), F.count("*").alias("n_rows")).crossJoin(metrics.auc(known, pred=name)).withColumn("comparator", F.lit(name))
+        table = one if table is None else table.unionByName(one)
+    for challenger, reference in pairs:
+        d = resample.paired_brier_difference(known, challenger, reference, replicates, seed).withColumns({"challenger": F.lit(challenger), "reference": F.lit(reference)})
+        paired = d if paired is None else paired.unionByName(d)
+    return table, paired
+
+
+def observation_sensitivity(tables: Mapping[str, DataFrame], steps: Mapping[str, Sequence[str]], horizons: Sequence[float], causes: Mapping[str, int], grid: Sequence[float], folds: int = 5, seed: int = 0, patient: str = "patient_id") -> tuple[DataFrame, DataFrame]:
+    """The ladder on landmark tables that differ in how onset was observed, on the patients common to all and with common folds
+    (folds follow patient and seed): (analysis, step, horizon, brier, auc, n_rows), and (analysis, dropped_patients)."""
+    ids = {name: stage(t.select(patient).distinct(), "patients") for name, t in tables.items()}
+    common = None
+    for own in ids.values():
+        common = own if common is None else common.join(own, patient)
+    common = stage(common, "common")
+    results, dropped = None, None
+    for name, t in tables.items():
+        rows = stage(t.join(common, patient), "analysis")
+        predictions = {step: out_of_fold(rows, columns, folds, horizons, causes, grid, seed, patient) for step, columns in steps.items()}
+        one = evaluate_ladder(rows, predictions, horizons).withColumn("analysis", F.lit(name))
+        lost = ids[name].join(common, patient, "left_anti").agg(F.count("*").alias("dropped_patients")).withColumn("analysis", F.lit(name))
+        results, dropped = (one, lost) if results is None else (results.unionByName(one), dropped.unionByName(lost))
+    return results, dropped
+
+
+def nested_tuning(rows: DataFrame, columns: Sequence[str], grid: Mapping[str, Sequence], causes: Mapping[str, int], horizons: Sequence[float], folds: int = 3, seed: int = 0, tol: float = 1e-6, patient: str = "patient_id", stratum: str = "route") -> tuple[DataFrame, DataFrame]:
+    """Inner patient folds for boosted hazards: every (depth, trees, rate) is fitted without a fold and scored on it, by the mean
+    Brier score over folds, causes and horizons. Returns the simplest setting within ``tol`` of the best, and the scores.
+
+    One fit per (fold, cause, depth, rate) serves all numbers of trees by its staged scores.
+    """
+    from timberline.operators.boost import BoostedCox
+
+    folded = stage(rows.join(resample.patient_folds(rows, folds, seed, patient), patient), "tuning")
+    trees = sorted(grid["trees"])
+    cells = None
+    for k in range(folds):
+        train, test = folded.filter(F.col("fold") != k), folded.filter(F.col("fold") == k)
+        for cause, code in causes.items():
+            known = {tau: stage(survival.with_ipcw(test, tau, [stratum], code), "known") for tau in horizons}
+            for depth in grid["depth"]:
+                for rate in grid["rate"]:
+                    model = BoostedCox(list(columns), trees=trees[-1], depth=depth, rate=rate).fit(train, F.col("event") == code)
+                    base = stage(survival.nelson_aalen(model.staged(train, trees).withColumns({f"__r{t}": F.exp(f"score_{t}") for t in trees}), [stratum], f"__r{trees[-1]}", code), "baseline")
+                    for tau in horizons:
+                        scored = asof.step_lookup(model.staged(known[tau], trees), F.lit(float(tau)), base, [stratum], 0.0, value="cumulative_hazard", out="__h0")
+                        loss = lambda t: F.sum(F.col("w") * (F.col("y") - (1 - F.exp(-F.col("__h0") * F.exp(f"score_{t}")))) ** 2) / F.count("*")
+                        parts = F.array(*(F.struct(F.lit(t).alias("trees"), loss(t).alias("brier")) for t in trees))
+                        one = scored.agg(parts.alias("x")).select(F.lit(depth).alias("depth"), F.lit(float(rate)).alias("rate"), F.inline("x"))
+                        cells = one if cells is None else cells.unionByName(one)
+    table = stage(cells, "cells").groupBy("depth", "trees", "rate").agg(F.avg("brier").alias("mean_brier"), F.count("*").alias("scored_cells"))
+    table = stage(table, "table")
+    return simplest_within(table, "mean_brier", ["depth", "trees", "rate"], tol), table
+
+
+def marker_increment(rows: DataFrame, base: Sequence[str], marker: Callable[[DataFrame], Mapping[str, Column]], measured: Column, horizons: Sequence[float], folds: int = 3, replicates: int = 30, seed: int = 0, cause: int = 1, stratum: str = "route", patient: str = "patient_id") -> DataFrame:
+    """What a marker adds on the rows where it is measured, out of fold: per horizon the Brier score of the base model and of the
+    base model with the marker's offset model, their difference and its patient-bootstrap interval.
+
+    ``marker`` gives the marker's terms as expressions scaled on the rows it is shown. The base is fitted on all training rows; the terms on the measured ones, over the base predictor as offset.
+    """
+    from timberline.operators.boost import offset_model
+
+    folded = stage(rows.join(resample.patient_folds(rows, folds, seed, patient), patient), "increment")
+    event, strata = F.col("event") == cause, F.col(stratum)
+    out = None
+    for k in range(folds):
+        train, test = folded.filter(F.col("fold") != k), folded.filter((F.col("fold") == k) & measured)
+        fit = cox.fit_cox(train, list(base), event, strata=strata)
+        columns = dict(marker(train.filter(measured)))
+        terms = train.filter(measured).withColumns(columns)
+        extra = offset_model(terms, list(columns), cox.linear_predictor(fit), event, strata=strata)
+        held = test.withColumns(columns)
+        lp = cox.linear_predictor(fit)
+        more = lp if extra is None else lp + cox.linear_predictor(extra)
+        own = train.withColumn("__r", F.exp(lp))
+        base_h = stage(survival.nelson_aalen(own, [stratum], "__r", cause), "base")
+        more_h = base_h if extra is None else stage(survival.nelson_aalen(terms.withColumn("__r", F.exp(more)), [stratum], "__r", cause), "more")
+        for tau in horizons:
+            both = asof.step_lookup(held, F.lit(float(tau)), base_h, [stratum], 0.0, value="cumulative_hazard", out="__b")
+            both = asof.step_lookup(both, F.lit(float(tau)), more_h, [stratum], 0.0, value="cumulative_hazard", out="__m")
+            one = both.select("row_id", F.lit(float(tau)).alias("horizon"), (1 - F.exp(-F.col("__b") * F.exp(lp))).alias("p_base"), (1 - F.exp(-F.col("__m") * F.exp(more))).alias("p_marker"))
+            one = stage(one, "increment")
+            out = one if out is None else out.unionByName(one)
+    result = None
+    for tau in horizons:
+        known = survival.with_ipcw(rows.filter(measured), tau, [stratum], cause)
+        scored = stage(known.join(out.filter(F.col("horizon") == tau).drop("horizon"), "row_id"), "scored")
+        brier = lambda p: (F.sum(F.col("w") * (F.col("y") - F.col(p)) ** 2) / F.count("*"))
+        one = scored.agg(F.lit(float(tau)).alias("horizon"), F.count("*").alias("n_rows"), brier("p_base").alias("brier_base"), brier("p_marker").alias("brier_marker"))
+        one = one.crossJoin(resample.paired_brier_difference(scored, "p_marker", "p_base", replicates, seed))
+        result = one if result is None else result.unionByName(one)
+    return result
+
+
+def mechanism_check(rows: DataFrame, columns: Sequence[str], marker_columns: Sequence[str], exposure: str, on: float = 1.0, off: float = 0.0, cause: int = 1, least: float = 0.05) -> dict:
+    """The exposure's log hazard contrast over exposed rows with and without the marker in the model, and the share of it that the
+    marker takes up (None where the contrast is too small to divide by)."""
+    event = F.col("event") == cause
+    at = lambda fit: float(fit.beta[fit.columns.index(exposure)]) * (on - off)
+    without = at(cox.fit_cox(rows, list(columns), event))
+    joint = at(cox.fit_cox(rows, [*columns, *marker_columns], event))
+    return {"without_marker": without, "with_marker": joint, "shrinkage": 1 - joint / without if abs(without) > least else None}
+
+
 def report_pivot(results: DataFrame, index: Sequence[str], column: str, value: str, levels: Sequence[str]) -> DataFrame:
     return results.groupBy(*index).pivot(column, list(levels)).agg(F.first(value))
 

@@ -3,13 +3,15 @@ outcome after it, and the reason for every patient that gives no row."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions import rules
 from timberline.operators import adjudicate as adj
 from timberline.operators import asof
-from timberline.schema import DAYS_PER_YEAR, years_between
+from timberline.schema import DAYS_PER_YEAR, FORBIDDEN_FEATURES, years_between
 
 #: In the order in which they apply; one reason per patient (fixed values).
 EXCLUSION_REASONS = (
@@ -143,3 +145,18 @@ def exclusions(patients: DataFrame, studies: DataFrame, events: DataFrame, label
     counts = status.join(has, patient, "left").select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
     all_reasons = spark.createDataFrame([(r,) for r in EXCLUSION_REASONS], "reason string")
     return all_reasons.join(counts, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).cast("long").alias("n_patients"))
+
+
+def contract(rows: DataFrame, events: DataFrame, features: Sequence[str], patient: str = "patient_id") -> DataFrame:
+    """(check_name, n) of a landmark table: rows on or after the endpoint, forbidden features, rows without a positive time,
+    and its support (rows, patients, event patients per cause). The first three must be 0."""
+    ends = events.select(F.col(patient).alias("__p"), "svd_adjudicated_date")
+    j = rows.join(ends, F.col(patient) == F.col("__p"), "left")
+    late = F.coalesce(F.col("landmark_date") >= F.col("svd_adjudicated_date"), F.lit(False))
+    n = {
+        "rows_on_or_after_endpoint": F.sum(late.cast("long")), "rows_without_time": F.sum((~F.coalesce(F.col("time") > 0, F.lit(False))).cast("long")),
+        "landmark_rows": F.count("*"), "landmark_patients": F.countDistinct(patient), **{f"{c}_patients": F.countDistinct(F.when(F.col("event") == k, F.col(patient))) for c, k in adj.CAUSES.items()},
+    }
+    forbidden = F.lit(len(set(features) & FORBIDDEN_FEATURES)).cast("long")
+    parts = [F.struct(F.lit(k).alias("check_name"), F.coalesce(x, F.lit(0)).cast("long").alias("n")) for k, x in n.items()]
+    return j.agg(F.array(F.struct(F.lit("forbidden_features").alias("check_name"), forbidden.alias("n")), *parts).alias("x")).select(F.inline("x"))

@@ -258,6 +258,22 @@ def policy_summary(results: DataFrame) -> DataFrame:
     return out.filter("__none = 0").withColumn("route", F.when(F.col("__all") == 1, "all").otherwise(F.col("route"))).drop("__all", "__none")
 
 
+def paired_policies(results: DataFrame, policy: str, reference: str, group: Sequence[str] = (), patient: str = "patient_id") -> DataFrame:
+    """One policy against another on the same patients: lead time in months where both detect a crossing after it, crossings
+    only one of them detects, and studies per 1,000 patient-years more than the other's."""
+    hit = F.coalesce((F.col("crossing") > F.col("t0")) & (F.col("crossing") < F.col("t_end")) & (F.col("detect") >= F.col("crossing")), F.lit(False))
+    keep = [F.col("detect"), F.col("n_echoes"), F.col("surveillance_years"), hit.alias("hit")]
+    a = results.filter(F.col("policy") == policy).select(patient, *group, F.struct(*keep).alias("a"))
+    b = results.filter(F.col("policy") == reference).select(patient, F.struct(*keep).alias("b"))
+    both, n = F.col("a.hit") & F.col("b.hit"), lambda c: F.sum(c.cast("long"))
+    lead = F.when(both, (F.col("b.detect") - F.col("a.detect")) * 12)
+    rate = lambda s: 1000 * F.sum(f"{s}.n_echoes") / F.sum(f"{s}.surveillance_years")
+    return a.join(b, patient).groupBy(*group).agg(
+        F.count("*").alias("patients"), n(both).alias("both_detected"), n(F.col("a.hit") & ~F.col("b.hit")).alias("only_policy"), n(~F.col("a.hit") & F.col("b.hit")).alias("only_reference"),
+        F.avg(lead).alias("lead_mean_months"), F.percentile(lead, 0.5).alias("lead_median_months"), (rate("a") - rate("b")).alias("extra_echoes_per_1000py"),
+    )
+
+
 def visit_schedule(patients: DataFrame, base: str) -> DataFrame:
     """Scheduled study times after the reference: yearly, or at 5 and 10 years and then yearly for surgical valves."""
     yearly = F.transform(F.sequence(F.lit(1), F.lit(99)), lambda k: F.col("t0") + k)

@@ -18,41 +18,51 @@ class SnapshotRejected(ValueError):
     """A snapshot that cannot be used as observed evidence."""
 
 
-def admitted_records(observations: DataFrame, accepted: Sequence[str] = ACCEPTED_ORIGINS, rounds: int = 60) -> DataFrame:
+def admitted_records(observations: DataFrame, accepted: Sequence[str] = ACCEPTED_ORIGINS) -> DataFrame:
     """(record_id, admitted, reason): a record is admitted if its origin and every ancestor's are accepted.
 
-    Rejection spreads along parent edges by one join per generation until nothing changes. A parent that is not in the
-    table, and a cycle, are errors.
+    Each record points to its parents, then to their parents' parents, and so on in doubling steps; at each step rejection
+    passes along the pointers. So a lineage of depth n takes log n joins. A parent that is not in the table, and a cycle
+    (pointers that outlast the number of records), are errors.
     """
     edges = stage(observations.select("record_id", F.explode("parent_record_ids").alias("parent")), "lineage")
     ids = observations.select(F.col("record_id").alias("parent"))
     if edges.join(ids, "parent", "left_anti").limit(1).count():
         raise SnapshotRejected("lineage references records that are not in the snapshot")
-    # topological progress: drop records all of whose parents are gone; what never goes is a cycle or descends from one
-    left = edges
-    for _ in range(rounds):
-        waiting = left.select(F.col("record_id").alias("parent")).distinct()
-        still = stage(left.join(waiting, "parent", "left_semi"), "waiting")
-        n = still.count()
-        if not n:
+    status = observations.select("record_id", F.col("value_origin").isin(*accepted).alias("own"))
+    bad = stage(status.filter(~F.coalesce("own", F.lit(False))).select("record_id").distinct(), "bad")
+    pointers = edges
+    for _ in range(observations.count().bit_length() + 1):
+        if not pointers.limit(1).count():
             break
-        if n == left.count():
+        if pointers.filter(F.col("record_id") == F.col("parent")).limit(1).count():
             raise SnapshotRejected("lineage cycle")
-        left = still
-    else:
-        raise SnapshotRejected("lineage deeper than expected")
-    status = observations.select("record_id", F.col("value_origin").isin(*accepted).alias("own"))
-    bad = stage(status.filter(~F.coalesce("own", F.lit(False))).select("record_id"), "bad")
-    frontier = bad
-    while frontier.limit(1).count():
-        reached = edges.join(frontier.withColumnRenamed("record_id", "parent"), "parent").select("record_id").distinct()
-        frontier = stage(reached.join(bad, "record_id", "left_anti"), "frontier")
-        bad = bad.unionByName(frontier)
-    marked = status.join(bad.distinct().withColumn("bad", F.lit(True)), "record_id", "left")
+        reached = pointers.join(bad.withColumnRenamed("record_id", "parent"), "parent").select("record_id")
+        bad = stage(bad.union(reached).distinct(), "bad")
+        further = pointers.select(F.col("record_id").alias("parent"), F.col("parent").alias("next"))
+        pointers = stage(pointers.join(further, "parent").select("record_id", F.col("next").alias("parent")).distinct(), "pointers")
+    if pointers.limit(1).count():
+        raise SnapshotRejected("lineage cycle")
+    marked = status.join(bad.withColumn("bad", F.lit(True)), "record_id", "left")
     reason = F.when(~F.coalesce("own", F.lit(False)), "non_observed_origin").when(F.col("bad"), "non_observed_ancestor")
     return marked.select("record_id", F.col("bad").isNull().alias("admitted"), reason.alias("reason"))
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node each node of the edges ``(a, b)`` is connected to. Labels pass to neighbours and then
+    jump to their own label's label, so long chains settle in few rounds; ends only when nothing moves."""
+    both = stage(edges.union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct(), "overlaps")
+    labels = stage(both.groupBy("a").agg(F.min("b").alias("label")), "labels")
+    while True:
+        near = stage(both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label")), "near")
+        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("further"))
+        after = stage(near.join(jump, "label").select("a", F.least("label", "further").alias("label")), "labels")
+        moved = after.join(labels.withColumnRenamed("label", "was"), "a").filter("label != was").limit(1).count()
+        labels = after
+        if not moved:
+            return labels.select(F.col("a").alias("node"), "label")
+
+
 def first_in_window(observations: DataFrame, persons: DataFrame, window: tuple[int, int] = (-30, 180)) -> DataFrame:
     """Per person and variable the first record: inside the window where dates are exact to the day, else cross-sectional."""
     j = observations.join(persons.select("person_id", "index_date", "index_date_precision"), "person_id")
@@ -181,23 +191,15 @@ def evidence_decisions(targets: DataFrame, units: Mapping[str, str], causes: Seq
     return out.withColumn("status", F.when(F.col("__o"), "fit_holdout_overlap").otherwise(F.col("status"))).withColumn("role", F.when(F.col("__o"), "excluded").otherwise(F.col("role"))).drop("__o")
 
 
-def study_group_weights(targets: DataFrame, cap: float = 1.0, rounds: int = 60) -> DataFrame:
-    """Weight per target: study groups connected by declared overlaps share one cap in proportion to the declared weights.
-    Components come from label propagation over the group edges."""
+def study_group_weights(targets: DataFrame, cap: float = 1.0) -> DataFrame:
+    """Weight per target: study groups connected by declared overlaps share one cap in proportion to the declared weights."""
     groups = targets.select(F.col("study_group_id").alias("a"), F.explode_outer("overlapping_groups").alias("b"))
-    edges = groups.select("a", F.coalesce("b", "a").alias("b"))
-    both = stage(edges.union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct(), "overlaps")
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("label")), "labels")
-    for _ in range(rounds):
-        after = stage(both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label")), "labels")
-        moved = after.join(labels.withColumnRenamed("label", "was"), "a").filter("label != was").limit(1).count()
-        labels = after
-        if not moved:
-            break
+    labels = connected(groups.select("a", F.coalesce("b", "a").alias("b")))
     w = F.coalesce("weight", F.lit(1.0))
-    j = targets.join(labels.withColumnRenamed("a", "study_group_id"), "study_group_id")
-    total = F.sum(w).over(Window.partitionBy("label"))
-    return j.select("target_id", F.col("label").alias("component"), F.when(total > 0, w / total * cap).otherwise(0.0).alias("share"))
+    j = targets.join(labels.select(F.col("node").alias("study_group_id"), "label"), "study_group_id")
+    totals = j.groupBy("label").agg(F.sum(w).alias("__total"))
+    share = F.when(F.col("__total") > 0, w / F.col("__total") * cap).otherwise(0.0)
+    return j.join(totals, "label").select("target_id", F.col("label").alias("component"), share.alias("share"))
 
 
 def expand_curve_targets(targets: DataFrame, curves: DataFrame) -> DataFrame:
@@ -257,20 +259,39 @@ def structural_violations(tables: Mapping[str, DataFrame], required: Mapping[str
     return out.unionByName(spark.createDataFrame(missing, "check_name string, n long")) if missing else out
 
 
-def nearest_source(released: DataFrame, source: DataFrame, columns: Sequence[str], key: str, blocks: int = 8) -> DataFrame:
+def nearest_source(released: DataFrame, source: DataFrame, columns: Sequence[str], key: str, per_cell: int = 8, block: int = 50_000) -> DataFrame:
     """Per released row the distance to the nearest source row, each column scaled by the source's sd.
 
-    A stated query set (the released rows) against all source rows, block by block: every released row meets one block of
-    the source per task and keeps its minimum only.
+    A stated query set (the released rows) against all source rows. Distinct source points lie in a grid over the first two
+    columns, and a released row first meets the cells around its own: a neighbour no farther than a cell is wide is the
+    nearest. Rows without one meet the whole source, block by block, and keep their minimum only.
     """
-    sds = source.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
-    scale = {c: float(sds[c]) if sds[c] and sds[c] > 1e-9 else 1.0 for c in columns}
-    s = source.select(F.pmod(F.xxhash64(*columns), F.lit(blocks)).alias("__b"), *(F.col(c).alias(f"__{c}") for c in columns))
-    r = released.select(key, *columns, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__rb"))
+    stats = source.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
+    scale = {c: float(stats[c]) if stats[c] and stats[c] > 1e-9 else 1.0 for c in columns}
+    flat = list(columns)[:2]
+    points = stage(source.select(*((F.col(c) / scale[c]).alias(f"__{c}") for c in columns)).distinct(), "points")
+    spans = points.agg(F.count("*").alias("n"), *((F.max(f"__{c}") - F.min(f"__{c}")).alias(c) for c in flat)).first()
+    area = 1.0
+    for c in flat:
+        area *= max(float(spans[c] or 0.0), 1e-9)
+    width = max((area * per_cell / max(spans["n"], 1)) ** (1 / len(flat)), 1e-9)
+    cell = lambda c: F.floor(c / width)
+    rows = released.select(key, *((F.col(c) / scale[c]).alias(c) for c in columns))
     square = F.lit(0.0)
     for c in columns:
-        square = square + ((F.col(c) - F.col(f"__{c}")) / scale[c]) ** 2
-    return r.join(s, F.col("__rb") == F.col("__b")).groupBy(key).agg(F.sqrt(F.min(square)).alias("distance"))
+        square = square + (F.col(c) - F.col(f"__{c}")) ** 2
+    around = rows
+    for c in flat:
+        around = around.withColumn(f"cell_{c}", F.explode(F.array(*(cell(F.col(c)) + d for d in (-1, 0, 1)))))
+    gridded = points.withColumns({f"cell_{c}": cell(F.col(f"__{c}")) for c in flat})
+    near = around.join(gridded, [f"cell_{c}" for c in flat]).groupBy(key).agg(F.sqrt(F.min(square)).alias("distance"))
+    near = stage(near.filter(F.col("distance") <= width), "near")
+    rest = stage(rows.join(near, key, "left_anti"), "rest")
+    blocks = max(1, -(-spans["n"] // block))
+    blocked = points.withColumn("__b", F.pmod(F.xxhash64(*(f"__{c}" for c in columns)), F.lit(blocks)))
+    asked = rest.withColumn("__rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    far = asked.join(blocked, F.col("__rb") == F.col("__b")).groupBy(key).agg(F.sqrt(F.min(square)).alias("distance"))
+    return near.unionByName(far)
 
 
 def rare_combinations(released: DataFrame, source: DataFrame, columns: Sequence[str], least: int = 5) -> DataFrame:
@@ -278,3 +299,27 @@ def rare_combinations(released: DataFrame, source: DataFrame, columns: Sequence[
     rare = source.groupBy(*columns).agg(F.count("*").alias("n_source")).filter(F.col("n_source") < least)
     mine = released.groupBy(*columns).agg(F.count("*").alias("n_released"))
     return mine.join(rare, list(columns))
+
+
+STATISTICS = ("proportion", "mean", "sd", "quantile", "correlation")
+
+
+def report(rows: DataFrame, requests: Sequence[tuple[str, str, dict]]) -> DataFrame:
+    """(name, statistic, value, se, n) for reporting requests ``(name, statistic, options)``, all in one pass. Options:
+    ``column``, and ``q`` (quantile), ``other`` (correlation) or ``condition`` (proportion)."""
+    parts = []
+    for name, statistic, o in requests:
+        if statistic not in STATISTICS:
+            raise ValueError(f"unknown statistic: {statistic}")
+        c = F.col(o["column"]).cast("double") if "column" in o else F.when(o["condition"], 1.0).otherwise(0.0)
+        n = F.count(c)
+        value = {
+            "proportion": lambda c=c: F.avg(c), "mean": lambda c=c: F.avg(c), "sd": lambda c=c: F.stddev_samp(c),
+            "quantile": lambda c=c, o=o: F.percentile(c, o["q"]), "correlation": lambda c=c, o=o: F.corr(c, F.col(o["other"])),
+        }[statistic]()
+        error = {
+            "proportion": F.sqrt(F.avg(c) * (1 - F.avg(c)) / n), "mean": F.stddev_samp(c) / F.sqrt(n), "sd": F.stddev_samp(c) / F.sqrt(2 * (n - 1)),
+            "quantile": F.lit(None).cast("double"), "correlation": (1 - value**2) / F.sqrt(n - 1) if statistic == "correlation" else F.lit(None).cast("double"),
+        }[statistic]
+        parts.append(F.struct(F.lit(name).alias("name"), F.lit(statistic).alias("statistic"), value.alias("value"), error.alias("se"), n.alias("n")))
+    return rows.agg(F.array(*parts).alias("x")).select(F.inline("x"))

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from timberline.operators.staging import prefix_sum, stage
 
 
+def seeded(seed: int, value: Column) -> Column:
+    """A seeded hash that other engines can repeat: md5 of "seed:value" in hexadecimal."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), value.cast("string")).cast("binary"))
+
+
 def patient_ranks(rows: DataFrame, seed: int, patient: str = "patient_id") -> DataFrame:
     """Distinct patients numbered 0.. in a seeded order, by prefix sums instead of one global sort in one task."""
-    ids = rows.select(patient).distinct().withColumn("__h", F.concat(F.hex(F.xxhash64(F.lit(seed), patient)), F.lit("-"), F.col(patient).cast("string"))).withColumn("__one", F.lit(1)).withColumn("__g", F.lit(1))
+    ids = rows.select(patient).distinct().withColumn("__h", F.concat(seeded(seed, F.col(patient)), F.lit("-"), F.col(patient).cast("string"))).withColumn("__one", F.lit(1)).withColumn("__g", F.lit(1))
     return prefix_sum(ids, ["__g"], "__h", {"rank": "__one"}).select(patient, (F.col("rank") - 1).alias("rank"))
 
 
@@ -41,7 +46,7 @@ def bootstrap_weights(ids: DataFrame, replicates: int, seed: int = 0, patient: s
     n = ranks.count()
     if not n:
         return ranks.select(F.lit(0).alias("rep"), patient, F.lit(0).cast("long").alias("k"))
-    draws = spark.range(replicates * n).select((F.col("id") / n).cast("int").alias("rep"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(n)).alias("rank"))
+    draws = spark.range(replicates * n).select((F.col("id") / n).cast("int").alias("rep"), (F.conv(F.substring(seeded(seed + 1, F.col("id")), 1, 15), 16, 10).cast("long") % n).alias("rank"))
     return draws.groupBy("rep", "rank").agg(F.count("*").alias("k")).join(ranks, "rank").select("rep", patient, "k")
 
 
@@ -51,6 +56,13 @@ def bootstrap(rows: DataFrame, metric: Callable[[DataFrame, list[str], str], Dat
     return metric(drawn, ["rep"], "k")
 
 
+def bootstrap_ratio(rows: DataFrame, numerator: Column, denominator: Column, replicates: int, seed: int = 0, patient: str = "patient_id", out: str = "value") -> DataFrame:
+    """(rep, value) of a ratio of sums. Both sums are taken per patient first, so a replicate multiplies patients and not rows."""
+    sums = stage(rows.groupBy(patient).agg(F.sum(numerator).alias("__a"), F.sum(denominator).alias("__b")), "sums")
+    drawn = sums.join(bootstrap_weights(sums, replicates, seed, patient), patient)
+    return drawn.groupBy("rep").agg((F.sum(F.col("k") * F.col("__a")) / F.sum(F.col("k") * F.col("__b"))).alias(out))
+
+
 def intervals(values: DataFrame, columns: Sequence[str], requested: int, least_valid: int = 10, least_share: float = 0.0, group: Sequence[str] = ()) -> DataFrame:
     """Percentile intervals per metric; NULL where too few replicates are valid."""
     parts = []

@@ -5,15 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the folder all executors share (``spark.checkpoint.dir``; in a local session without one, beside the
-    warehouse) and read it back: later passes do not recompute it, and a lost executor loses none of it. Removed when the
-    application ends."""
-    spark = df.sparkSession
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder all executors share (``spark.checkpoint.dir``; in a local session without one, beside the
+    warehouse). Removed when the application ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
@@ -21,8 +19,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{root.rstrip('/')}/timberline-{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later passes do not recompute it, and a lost executor loses none of
+    it."""
+    path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, most: int = 100_000, name: str = "side") -> DataFrame:

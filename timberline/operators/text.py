@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.operators.resample import seeded
+from timberline.operators.staging import broadcast_if_small
+
 # Patterns that decide what counts as a mention.
 TRANSCATHETER = r"(?i)transcatheter aortic valve|\bTAVR\b|\bTAVI\b|sapien|evolut|corevalve|corevalue"
 SURGICAL = r"(?i)aortic valve replacement with|\bAVR\b\s*\(?#|sternotomy|bioprosthesis via|tissue implant type|replacement type: tissue"
@@ -38,8 +41,8 @@ NUMERIC_PATTERNS = (
     ("eoa", 0.2, 6.0, r"(?:effective orifice area|EOA)\s*(?:\([^)]{0,20}\))?\s*(?:is|of|was|=|:)?\s*(\d\.\d{1,2})\s*cm"),
     ("eoa", 0.2, 6.0, r"(?:aortic valve area|AVA)\s*(?:is|of|was|=|:)?\s*(\d\.\d{1,2})\s*cm"),
     ("eoa", 0.2, 6.0, r"valve area\s*(?:is|of|was|=|:)?\s*(\d\.\d{1,2})\s*cm"),
-    ("lvef", 5.0, 90.0, r"(?:LVEF|ejection fraction)[^0-9]{0,12}(\d{1,2})\s*%"),
-    ("velocity", 0.5, 8.0, r"peak velocity[^0-9]{0,12}(\d(?:\.\d{1,2})?)\s*m/s"),
+    ("lvef", 5.0, 90.0, r"(?:LVEF|ejection fraction|\bEF\b)\s*(?:is|of|=|:)?\s*(?:approximately|about|~)?\s*(\d{2})\s*%"),
+    ("velocity", 0.5, 8.0, r"(?:peak|maximum|max)\s+(?:aortic\s+)?(?:jet\s+)?velocity\s*(?:is|of|=|:)?\s*(\d(?:\.\d{1,2})?)\s*m/s"),
 )
 _GRADE_WORD = r"(none|trivial|trace|mild(?:-to-moderate)?|moderate(?:-to-severe)?|severe)"
 GRADE_PATTERNS = (
@@ -61,7 +64,8 @@ NATIVE_CONTEXT = r"(?i)native"
 DEVICE_CONTEXT = r"(?i)valve|bioprosth|porcine|pericardial|stent|tissue implant|prosthesis|prosthetic|\d{2}\s?mm|supra\b|transcatheter|TAVR|TAVI|implant"
 RECORD_CONTEXT = r"(?i)documented in|reviewed in|per epic|in epic\b|epic (?:chart|flowsheet|record|system|note)|chart review"
 BEFORE, AFTER, NEARBY = 260, 60, 100
-PRESCREEN = r"(?i)prosthe|bioprosth|TAVR|TAVI|\bAVR\b|valve replacement"
+PRESCREEN = r"(?i)bioprosth|prosthetic (?:aortic )?valve|aortic valve replacement|\bTAVR\b|\bTAVI\b|\bSAVR\b|\bAVR\b|transcatheter aortic|valve[- ]in[- ]valve|tissue (?:valve|implant)"
+IMPLANT_YEAR = r"(?:implant\w*|placed|replacement|\bTAVR\b|\bTAVI\b|\bAVR\b|\bSAVR\b)[^.\n]{0,60}?\b(?:in|on|since|from)\s+(?:\d{1,2}/\d{1,2}/)?((?:19|20)\d{2})\b"
 
 HIT = "array<struct<field:string,value:double,word:string,start:int,end:int,prosthetic:boolean,native:boolean>>"
 
@@ -102,7 +106,7 @@ def note_hits(text: Column) -> Column:
 
 def hits_table(notes: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
     """One row per hit. Notes that mention no prosthesis, gradient, index, area or grade are screened out natively first."""
-    screened = notes.filter(F.col(text).rlike(r"(?i)gradient|\bMG\b|mean PG|DVI|dimensionless|EOA|orifice|valve area|AVA|LVEF|ejection|velocity|regurgitation|insufficiency|\bAR\b"))
+    screened = notes.filter(F.col(text).rlike(r"(?i)gradient|\bMG\b|mean PG|DVI|dimensionless|EOA|orifice|valve area|AVA|LVEF|\bEF\b|ejection|velocity|regurgitation|insufficiency|\bAR\b"))
     return screened.select(*keep, F.explode(note_hits(F.col(text))).alias("h")).select(*keep, "h.*")
 
 
@@ -152,11 +156,81 @@ def most_specific(models: Column) -> Column:
 
 def observations(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per note and class (prosthetic, native, uncertain): the first hit of each field. Ejection fraction and velocity
-    are not taken for native valves."""
+    belong to the note: every class but native has them, and a note with nothing else is uncertain."""
     cls = F.when(F.col("prosthetic") & ~F.col("native"), "prosthetic").when(F.col("native") & ~F.col("prosthetic"), "native").otherwise("uncertain")
-    h = hits.withColumn("class", cls).filter(~((F.col("class") == "native") & F.col("field").isin("lvef", "velocity")))
-    first = lambda f: F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.struct("start", "end")))
-    return h.groupBy(*keys, "class").agg(*(first(f).alias(f) for f in ("gradient", "dvi", "eoa", "lvef", "velocity", "regurgitation")))
+    first = lambda f: F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.struct("start", "end"))).alias(f)
+    shared = F.col("field").isin("lvef", "velocity")
+    own = hits.filter(~shared).withColumn("class", cls).groupBy(*keys, "class").agg(*map(first, ("gradient", "dvi", "eoa", "regurgitation")))
+    note = hits.filter(shared).groupBy(*keys).agg(*map(first, ("lvef", "velocity")))
+    out = own.join(note, list(keys), "full_outer").withColumn("class", F.coalesce("class", F.lit("uncertain")))
+    taken = lambda f: F.when(F.col("class") != "native", F.col(f)).alias(f)
+    out = out.select(*keys, "class", "gradient", "dvi", "eoa", taken("lvef"), taken("velocity"), "regurgitation")
+    return out.filter(F.coalesce(*(F.col(c) for c in ("gradient", "dvi", "eoa", "lvef", "velocity", "regurgitation"))).isNotNull())
+
+
+SPAN = "array<struct<field:string,value:string,start:int,end:int>>"
+
+
+def spans(text: Column, patterns: Sequence[tuple[str, str, int]]) -> Column:
+    """Every match of ``(field, pattern, group)`` with its place: the group's text, and the span of the whole match."""
+    compiled = [(f, re.compile(p, re.IGNORECASE), g) for f, p, g in patterns]
+
+    @F.pandas_udf(SPAN)
+    def find(notes: pd.Series) -> pd.Series:
+        return notes.map(lambda n: [{"field": f, "value": m[g], "start": m.start(), "end": m.end()} for f, p, g in compiled for m in p.finditer(n or "")])
+
+    return find(text)
+
+
+def extract_passports(notes: DataFrame, aliases: DataFrame, devices: DataFrame, keep: Sequence[str], text: str = "text", near: int = 80) -> DataFrame:
+    """One row per note: route, model, size and implant year with confidences, evidence spans, events and warnings.
+
+    ``notes`` has columns type and year; ``aliases`` model, pattern, guarded; ``devices`` model, route. Confidences are fixed:
+    route 0.9 or 0.85 from an implant note, 0.7 from the device, 0.5 from a mention; model 0.9, guarded 0.75; size 0.8 within
+    ``near`` characters of the device name, 0.6 farther, 0.5 without one.
+    """
+    listed = [(r["model"], r["pattern"], bool(r["guarded"])) for r in aliases.select("model", "pattern", "guarded").orderBy("model", "pattern").limit(MOST_PATTERNS + 1).collect()]
+    if len(listed) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} device patterns")
+    plain = lambda p: p.removeprefix("(?i)")
+    wanted = [("transcatheter", plain(TRANSCATHETER), 0), ("surgical", plain(SURGICAL), 0), ("implant_year", IMPLANT_YEAR, 1), ("negated", plain(NEGATED_FIELDS), 0)]
+    wanted += [("size", plain(p), 1) for p in SIZE_PATTERNS] + [(f"event:{n}", plain(p), 0) for n, p in EVENT_PATTERNS.items()]
+    wanted += [(f"model:{int(g)}:{m}", p, 0) for m, p, g in listed]
+    t = F.coalesce(F.col(text), F.lit(""))
+    n = notes.select(*keep, "type", "year", t.alias("__t"), spans(t, wanted).alias("__h"))
+    of = lambda prefix: F.filter("__h", lambda h: h["field"].startswith(prefix))
+    place = lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))
+    first = lambda a: F.get(F.array_sort(F.transform(a, place)), 0)
+    around = lambda h: F.substr(F.col("__t"), F.greatest(h["start"] - NEARBY, F.lit(0)) + 1, h["end"] - h["start"] + 2 * NEARBY)
+    usable = F.filter(of("model:"), lambda h: (F.substring(h["field"], 7, 1) == "0") | (around(h).rlike(DEVICE_CONTEXT) & ~around(h).rlike(RECORD_CONTEXT)))
+    named = F.transform(usable, lambda h: F.struct((-F.length(F.substring(h["field"], 9, 1000))).alias("n"), F.substring(h["field"], 9, 1000).alias("model"), (F.substring(h["field"], 7, 1) == "1").alias("guarded"), h["start"].alias("start"), h["end"].alias("end")))
+    n = n.withColumn("__m", F.get(F.array_sort(named), 0)).withColumn("__all", F.array_sort(F.array_distinct(F.transform(named, lambda m: m["model"]))))
+    n = n.withColumn("__tc", first(of("transcatheter"))).withColumn("__sg", first(of("surgical"))).withColumn("__year", F.get(F.array_sort(F.transform(of("implant_year"), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value")))), 0))
+    sizes = F.filter(F.transform(of("size"), lambda h: F.struct(h["value"].cast("int").alias("mm"), h["start"].alias("start"), h["end"].alias("end"))), lambda h: h["mm"].between(17, 34))
+    by_distance = F.transform(sizes, lambda h: F.struct(F.coalesce(F.abs(h["start"] - F.col("__m.start")), F.lit(0)).alias("away"), h["start"].alias("start"), h["mm"].alias("mm"), h["end"].alias("end")))
+    n = n.withColumn("__s", F.get(F.array_sort(by_distance), 0)).withColumn("__sizes", F.array_distinct(F.transform(sizes, lambda h: h["mm"])))
+    negated = of("negated")
+    events = F.filter(of("event:"), lambda h: ~F.exists(negated, lambda x: (h["start"] >= x["start"]) & (h["start"] < x["end"])))
+    n = n.withColumn("__e", events)
+    device = broadcast_if_small(devices.groupBy(F.col("model").alias("__d")).agg(F.first("route", ignorenulls=True).alias("__dr")), name="devices")
+    n = n.join(device, F.col("__m.model") == F.col("__d"), "left")
+    known = F.when(F.col("__dr").isin("SAVR", "TAVR"), F.col("__dr"))
+    implant = F.col("type").isin("Operative Report", "Procedures")
+    mention = F.when(F.col("__tc").isNotNull(), "TAVR").when(F.col("__sg").isNotNull(), "SAVR")
+    route = F.when(implant & mention.isNotNull(), mention).otherwise(F.coalesce(known, mention, F.lit("unknown")))
+    sure = F.when(implant & mention.isNotNull(), F.when(mention == "TAVR", 0.9).otherwise(0.85)).when(known.isNotNull(), 0.7).when(mention.isNotNull(), 0.5).otherwise(0.0)
+    size_sure = F.when(F.col("__s").isNull(), 0.0).when(F.col("__m").isNull(), 0.5).when(F.col("__s.away") <= near, 0.8).otherwise(0.6)
+    piece = lambda field, h: F.when(h.isNotNull(), F.struct(F.lit(field).alias("field"), h["start"].alias("start"), h["end"].alias("end")))
+    route_span = F.when((implant & mention.isNotNull()) | known.isNull(), F.coalesce("__tc", "__sg"))
+    evidence = F.array_compact(F.array(piece("canonical_model", F.col("__m")), piece("route", route_span), piece("size_mm", F.col("__s")), piece("implant_year", F.when(~(implant & mention.isNotNull()), F.col("__year")))))
+    evidence = F.concat(evidence, F.transform("__e", lambda h: F.struct(h["field"].alias("field"), h["start"].alias("start"), h["end"].alias("end"))))
+    warnings = F.array_compact(F.array(F.when(known.isNotNull() & (route != "unknown") & (known != route), "route_differs_from_device"), F.when(F.size("__sizes") > 1, "more_than_one_size")))
+    year = F.when(implant & (route != "unknown"), F.col("year")).otherwise(F.col("__year.value").cast("int"))
+    return n.select(
+        *keep, route.alias("route"), F.col("__m.model").alias("canonical_model"), F.col("__s.mm").alias("size_mm"), year.alias("implant_year"), sure.alias("route_confidence"),
+        F.when(F.col("__m").isNull(), 0.0).when(F.col("__m.guarded"), 0.75).otherwise(0.9).alias("model_confidence"), size_sure.alias("size_confidence"), F.col("__all").alias("models_mentioned"),
+        F.array_sort(F.array_distinct(F.transform("__e", lambda h: F.substring(h["field"], 7, 1000)))).alias("events"), evidence.alias("evidence"), warnings.alias("warnings"),
+    )
 
 
 def passport(notes: DataFrame, hits: DataFrame, models: DataFrame, patient: str = "patient_id") -> DataFrame:
@@ -222,7 +296,7 @@ def audit_sample(rows: DataFrame, stratum: str, sizes: dict[str, int], fields: S
     n = F.lit(0)
     for level, size in sizes.items():
         n = F.when(F.col(stratum) == level, size).otherwise(n)
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(seed, F.col(key)), key))
     return rows.withColumn("__r", rank).filter(F.col("__r") <= n).select(key, stratum, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))))
 
 

@@ -300,10 +300,46 @@ def c4_d8_exposures_at_landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.exposure_features(studies.select("patient_id", F.col("date").alias("landmark_date")).distinct(), exposures)
 
 
-@query()
+_F9 = (
+    with_roles(*_ALL, "labs")
+    + _RECORDS
+    + _PRIMARY
+    + """, hist as (
+  select l.patient_id, l.date, count(*) as n_echoes, count(s.mean_gradient) as ng, max(case when s.mean_gradient is not null then s.date end) as hi, min(case when s.mean_gradient is not null then s.date end) as lo,
+    regr_slope(s.mean_gradient, datediff('day', date '1970-01-01', s.date) / 365.25::double) as slope from outcomes l join studies s on s.patient_id = l.patient_id and s.date <= l.date group by l.patient_id, l.date
+), prev as (select patient_id, date, seq, lag(mean_gradient) over w as pg, lag(date) over w as pd from studies window w as (partition by patient_id order by date, seq)),
+lab as (select s.patient_id, s.date, max_by(value, {'d': l.date, 's': l.seq}) filter (where analyte = 'egfr') as egfr, max_by(value, {'d': l.date, 's': l.seq}) filter (where analyte = 'hb') as hb, max_by(value, {'d': l.date, 's': l.seq}) filter (where analyte = 'ldh') as ldh,
+  case when count(value) filter (where analyte = 'egfr') >= 2 and datediff('day', min(l.date) filter (where analyte = 'egfr'), max(l.date) filter (where analyte = 'egfr')) / 365.25 >= 0.5 then regr_slope(value, datediff('day', date '1970-01-01', l.date) / 365.25::double) filter (where analyte = 'egfr') end as egfr_slope
+  from outcomes s join labs l on l.patient_id = s.patient_id and l.date <= s.date group by s.patient_id, s.date),
+j as (
+  select s.patient_id, s.date as lm, e.*, e.start_date <= s.date as st, e.stop_date is null or e.stop_date > s.date as cur, e.class in ('VKA', 'FXa', 'DTI') as oac, e.class in ('SAPT', 'DAPT') as ap,
+    greatest(datediff('day', e.start_date, least(coalesce(e.stop_date, s.date), s.date)) / 365.25::double, 0) as lived, least(datediff('day', e.start_date, s.date), case when e.stop_date <= s.date then datediff('day', e.stop_date, s.date) end) as ch
+  from outcomes s join exposures e on e.patient_id = s.patient_id),
+ac as (select patient_id, lm as date, coalesce(min_by(class, seq) filter (where st and cur and oac), case when bool_or(st and cur and class = 'DAPT') then 'DAPT' when bool_or(st and cur and ap) then 'SAPT' else 'none' end) as ac_class_current,
+  coalesce(min_by(indication, seq) filter (where st and cur and oac), 'none') as ac_indication, case when bool_or(st and cur and oac) then 'current' when bool_or(st and oac) then 'past' else 'never' end as ac_current_status,
+  round(coalesce(sum(lived) filter (where st and class = 'VKA'), 0), 3) as ac_cum_vka_years, round(coalesce(sum(lived) filter (where st and oac), 0), 3) as ac_cum_oac_years, cast(min(ch) filter (where st) as double) as ac_days_since_change,
+  coalesce(bool_or(st and oac and post_suspicion), false) as ac_post_suspicion, coalesce(bool_or(st and cur and ap), false) as on_antiplatelet from j group by patient_id, lm),
+thr as (select *, coalesce(first_thrombosis_date > date and first_thrombosis_date <= end_date, false) as seen from outcomes)
+select l.patient_id, l.date as landmark_date, l.rg as ref_gradient, l.re as ref_eoa, l.rd as ref_dvi, l.rar as ref_ar, l.rl as ref_lvef, l.rs as ref_svi, l.mean_gradient as current_gradient, l.eoa as current_eoa, l.dvi as current_dvi, l.ar as current_ar, l.lvef as current_lvef, l.svi as current_svi,
+  l.mean_gradient - l.rg as delta_gradient, round(l.eoa - l.re, 6) as delta_eoa, round(l.dvi - l.rd, 6) as delta_dvi, l.ar - l.rar as delta_ar, l.mean_gradient - p.pg as last_change_gradient, round(datediff('day', p.pd, l.date) / 365.25::double, 6) as last_change_interval_years, h.n_echoes,
+  0.0::double as time_since_last_echo_years, false as stale_echo, false as overdue_flag, case when l.date > l.ref_date then l.stage else '0' end as current_stage, round(case when h.ng >= 3 and h.hi > h.lo then h.slope end, 4) as gradient_slope, round(l.time, 6) as time, l.event,
+  round(case when seen then least(greatest(datediff('day', l.date, l.first_thrombosis_date) / 365.25::double, 0.001::double), 5.0::double) else least(greatest(datediff('day', l.date, l.end_date) / 365.25::double, 0.001::double), 5.0::double) end, 6) as time_thromb,
+  case when seen and datediff('day', l.date, l.first_thrombosis_date) / 365.25 <= 5 then 1 else 0 end as event_thromb, round(datediff('day', l.ref_date, l.date) / 365.25::double, 6) as t_lm, pt.route, pt.design_class, pt.bsa, pt.age_at_implant, pt.bmi, pt.sex, pt.size_mm,
+  round(l.re / pt.bsa, 6) as ieoa, case when l.re / pt.bsa > 0.85::double then 'none' when l.re / pt.bsa > 0.65::double then 'moderate' when l.re / pt.bsa is not null then 'severe' end as mismatch_grade, round(datediff('day', pt.implant_date, l.date) / 365.25::double, 6) as valve_age_years,
+  b.egfr, b.hb, b.ldh, round(b.egfr_slope, 4) as egfr_slope, ac.ac_class_current, ac.ac_indication, ac.ac_current_status, ac.ac_cum_vka_years, ac.ac_cum_oac_years, ac.ac_days_since_change, ac.ac_post_suspicion, ac.on_antiplatelet,
+  round(1.0::double / count(*) over (partition by l.patient_id), 6) as row_weight_patient_balanced
+from thr l join hist h on h.patient_id = l.patient_id and h.date = l.date join prev p on p.patient_id = l.patient_id and p.date = l.date and p.seq = l.seq join patients pt on pt.patient_id = l.patient_id
+  left join lab b on b.patient_id = l.patient_id and b.date = l.date left join ac on ac.patient_id = l.patient_id and ac.date = l.date"""
+)
+
+
+@query(_F9)
 def f9_landmark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full table; its parts have SQL of their own (e1_e2, c2, c4_d8, f7_f8)."""
-    return landmarks_of(spark, sf_dir)
+    """The full landmark table: series, static, laboratory and exposure features, and both outcomes."""
+    rows = landmarks_of(spark, sf_dir)
+    slopes = ("gradient_slope", "egfr_slope")
+    plain = lambda c: F.round(c, 4).alias(c) if c in slopes else r6(c)
+    return rows.select(*(plain(c) if t == "double" else c for c, t in rows.dtypes))
 
 
 _AJ = """, tt as (select {g} as g, time, sum(count(*)) over (partition by {g} order by time desc) as n, count(*) filter (where event <> 0) as d, count(*) filter (where event = 1) as d1, count(*) filter (where event = 2) as d2, count(*) filter (where event = 3) as d3 from {t} group by {g}, time),

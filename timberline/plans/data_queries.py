@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions import rules
-from timberline.operators import aggregates, experiments, profile, resample, survival, text
+from timberline.operators import adjudicate as adj
+from timberline.operators import aggregates, experiments, landmark, profile, resample, survival, text
 from timberline.plans.bindings import role, with_roles
-from timberline.plans.cohort_queries import _ALL, _PRIMARY, _RECORDS, events_of, landmarks_of, records_of, staged_of
+from timberline.plans.cohort_queries import _ALL, _RECORDS, _elig_sql, events_of, records_of, staged_of, written_staged_of
 from timberline.plans.registry import query, r6
 from timberline.sources.tables import table_hash
 
@@ -94,7 +97,11 @@ def g11_privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.privacy_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), source_names=("patient", "source"))
 
 
-@query()
+_AUDITED = _NOTES + """, ranked as (select note_ref, type, year, status, row_number() over (partition by type order by md5('3:' || note_ref), note_ref) as r from kept),
+picked as (select * from ranked where r <= 6 and type in ('Operative Report', 'Progress Notes'))"""
+
+
+@query(_AUDITED + " select note_ref, type, 'year' as field, cast(year as string) as value from picked union all select note_ref, type, 'status', status from picked")
 def g10_audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampling operator: six, six and two notes per type, one row per field to check."""
     rows = notes_of(spark, sf_dir)
@@ -218,13 +225,13 @@ def m10_structural_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.structural_violations(tables, {"patients": ["patient_id", "route"], "events": ["end_reason"]}, {"studies": {"mean_gradient": (0, 30)}})
 
 
-@query(with_roles("surv") + """, r as (select row_id, pred, pred2 from surv where event = 1 and patient_id % 100 < 5), s as (select pred, pred2 from surv where event = 0 and patient_id % 100 >= 50), sd as (select stddev_pop(pred) as a, stddev_pop(pred2) as b from s)
+@query(with_roles("surv") + """, r as (select row_id, pred + 0.0004::double as pred, pred2 + 0.0003::double as pred2 from surv where row_id % 20 = 0), s as (select distinct pred, pred2 from surv), sd as (select stddev_pop(pred) as a, stddev_pop(pred2) as b from surv)
 select row_id, round(min(sqrt(((r.pred - s.pred) / a) ** 2 + ((r.pred2 - s.pred2) / b) ** 2)), 6) as distance from r, s, sd group by row_id""")
 def c13_nearest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Released rows (every twentieth, moved a little) against all source rows."""
     s = role(spark, sf_dir, "surv")
-    released = s.filter((F.col("event") == 1) & (F.col("patient_id") % 100 < 5))
-    source = s.filter((F.col("event") == 0) & (F.col("patient_id") % 100 >= 50))
-    return profile.nearest_source(released, source, ["pred", "pred2"], "row_id").withColumn("distance", r6("distance"))
+    released = s.filter("row_id % 20 = 0").select("row_id", (F.col("pred") + 0.0004).alias("pred"), (F.col("pred2") + 0.0003).alias("pred2"))
+    return profile.nearest_source(released, s, ["pred", "pred2"], "row_id").withColumn("distance", r6("distance"))
 
 
 @query(with_roles("patients") + ", s as (select design_class, sex, size_mm, count(*) as n_source from patients where patient_id % 2 = 0 group by all having count(*) < 30), r as (select design_class, sex, size_mm, count(*) as n_released from patients where patient_id % 2 = 1 group by all) select r.*, s.n_source from r join s using (design_class, sex, size_mm)")
@@ -267,13 +274,6 @@ def e11_trajectory_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.trajectory(role(spark, sf_dir, "studies"), requests)
 
 
-@query()
-def j8_score_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of a scoring request per patient, half a year before the end of follow-up."""
-    requests = role(spark, sf_dir, "terminal").select("patient_id", F.date_sub("end_followup_date", 180).alias("prediction_date"))
-    return experiments.score_status(requests, *(role(spark, sf_dir, n) for n in ("patients", "studies", "exposures", "mechanism")))
-
-
 @query(with_roles("surv", "terminal") + " select s.row_id, s.patient_id, s.pred, t.death_date from surv s join terminal t on s.patient_id = t.patient_id")
 def c8_keyed_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t = role(spark, sf_dir, "surv"), role(spark, sf_dir, "terminal")
@@ -306,14 +306,35 @@ def b8_era(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role(spark, sf_dir, "exposures").select("seq", rules.era(F.year("start_date")).alias("era"))
 
 
+_CELLS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, {l_quantity}, {l_extendedprice}, {l_discount}, {l_tax}, l_returnflag, l_linestatus, l_shipdate"
+
+
 @query()
 def a_table_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_hash(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-@query(with_roles(*_ALL) + _RECORDS + _PRIMARY + " select p.route, count(distinct o.patient_id) as patients, count(*) as rows, count(distinct o.patient_id) filter (where event = 1) as svd_patients, count(distinct o.patient_id) filter (where event = 2) as death_patients, count(distinct o.patient_id) filter (where event = 3) as replacement_patients, 'primary' as policy from outcomes o join patients p on p.patient_id = o.patient_id group by p.route")
+_POLICY_DATES = {
+    "primary": ("case when svd_first_unresolved_date is null or svd_first_unresolved_date >= svd_adjudicated_date then svd_adjudicated_date end", "case when svd_adjudicated_date is null or svd_first_unresolved_date < svd_adjudicated_date then svd_first_unresolved_date end"),
+    "sens_uncertain_positive": ("least(svd_adjudicated_date, svd_first_unresolved_date)", "null::date"), "sens_uncertain_negative": ("svd_adjudicated_date", "null::date"), "legacy_single_study": ("svd_first_positive_date", "null::date"),
+}
+
+
+def _policy_ctes() -> str:
+    """The outcome tables under every label policy, each under names of its own."""
+    names = re.compile(r"\b(elig|reasons|lm|first_ev|coded|outcomes)\b")
+    return "".join(names.sub(rf"\1_{p}", _elig_sql(*dates)) for p, dates in _POLICY_DATES.items())
+
+
+@query(with_roles(*_ALL) + _RECORDS + _policy_ctes() + " union all ".join(
+    f" select p.route, count(distinct o.patient_id) as patients, count(*) as rows, count(distinct o.patient_id) filter (where event = 1) as svd_patients, count(distinct o.patient_id) filter (where event = 2) as death_patients, count(distinct o.patient_id) filter (where event = 3) as replacement_patients, '{policy}' as policy from outcomes_{policy} o join patients p on p.patient_id = o.patient_id group by p.route"
+    for policy in _POLICY_DATES
+))
 def d20_label_policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.policy_report({"primary": landmarks_of(spark, sf_dir, with_features=False)})
+    patients, studies, staged = written_staged_of(spark, sf_dir)
+    events = events_of(spark, sf_dir, staged)
+    args = (patients, studies, role(spark, sf_dir, "labs"), role(spark, sf_dir, "exposures"), events)
+    return experiments.policy_report({p: landmark.build_landmarks(*args, label_policy=p, with_features=False, staged=staged) for p in adj.LABEL_POLICIES})
 
 
 @query()
@@ -338,7 +359,8 @@ def d21_required_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.required_sample_size(folds, 30, 2500)
 
 
-@query()
+@query(with_roles("surv") + """, ok as (select route from surv group by route having count(distinct patient_id) filter (where event = 1) >= 20)
+select route, count(*) filter (where valve_age_years <= 6) as n_train, count(*) filter (where valve_age_years > 6) as n_test from surv where route in (select route from ok) group by route""")
 def l2_held_out_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = role(spark, sf_dir, "surv")
     train, test = resample.temporal_split(rows, F.col("valve_age_years"), 6)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions import rules
-from timberline.operators import boost, cox, experiments, metrics, profile, survival
-from timberline.plans.bindings import role, with_roles
-from timberline.plans.cohort_queries import events_of, staged_of
-from timberline.plans.model_queries import _W, TAU, scored
+from timberline.operators import boost, cox, experiments, landmark, metrics, profile, survival
+from timberline.operators.staging import stage
+from timberline.plans.bindings import ROLES, role, with_roles
+from timberline.plans.cohort_queries import _ALL, _RECORDS, _STAGED, _elig_sql, events_of, landmarks_of, staged_of, written_staged_of
+from timberline.plans.model_queries import _G, _W, TAU, scored
 from timberline.plans.registry import query, r6
 
 
@@ -38,7 +39,7 @@ def i6_i7_h8_offset_marker_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, columns = boost.marker_terms(measured, "pred2", "cum", knots)
     fit = boost.offset_model(table, columns, cox.linear_predictor(base), F.col("event") == 1, strata=F.col("route"))
     each = cox.contributions(fit, {})
-    return table.select("row_id", *columns).withColumn("lp", cox.linear_predictor(fit)).withColumn("d", each).select("row_id", "lp", F.size("d").alias("n_terms"))
+    return table.withColumn("lp", cox.linear_predictor(fit)).select("row_id", *columns, "lp", F.transform(each, lambda x: x["contribution"]).alias("contributions"))
 
 
 @query()
@@ -53,7 +54,9 @@ def i16_top_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def i15_grouped_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = role(spark, sf_dir, "surv")
     fit = cox.fit_cox(rows, ["pred", "valve_age_years"], F.col("event") == 1)
-    predict = lambda d: d.withColumn("p", 1 - F.exp(-0.1 * F.exp(cox.linear_predictor(fit))))
+    base = survival.nelson_aalen(rows.withColumn("r", F.exp(cox.linear_predictor(fit))).withColumn("all", F.lit(1)), ["all"], "r", 1)
+    at_tau = base.filter(F.col("time") <= TAU).agg(F.max("cumulative_hazard")).first()[0] or 0.0
+    predict = lambda d: d.withColumn("p", 1 - F.exp(-at_tau * F.exp(cox.linear_predictor(fit))))
     return experiments.grouped_sensitivity(rows, {"score": {"pred": F.lit(0.5)}, "age": {"valve_age_years": F.lit(0.0)}}, predict)
 
 
@@ -115,45 +118,152 @@ def k20_sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("phenotype", r6("mean"), r6("min"), r6("max"), "n")
 
 
-@query(_W + """, pop as (select s.*, u.population from scored s, (select unnest(['all', 'without_early']) as population) u where population = 'all' or valve_age_years >= 3)
-select population, t as threshold, round(sum(w * a * (y - (1 - y) * t / (1 - t))) / count(*), 6) as net_benefit, round(avg(a), 6) as alert_rate from (select p.*, t, case when pred >= t then 1.0::double else 0.0::double end as a from pop p, (select unnest([0.1::double, 0.3::double]) as t)) group by population, t""")
+@query(_W + """, pop as (select s.*, u.population from scored s, (select unnest(['all', 'without_early']) as population) u where population = 'all' or not (row_id % 24 - 8 >= 10 or row_id % 3 - 1 >= 1))
+select population, t as threshold, round(sum(w * (y - pred) ** 2) / count(*), 6) as brier, round(sum(w * a * (y - (1 - y) * t / (1 - t))) / count(*), 6) as net_benefit, round(avg(a), 6) as alert_rate from (select p.*, t, case when pred >= t then 1.0::double else 0.0::double end as a from pop p, (select unnest([0.1::double, 0.3::double]) as t)) group by population, t""")
 def k17_landmark_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on all rows, and on those left when early change is excluded."""
     rows = scored(spark, sf_dir)
-    early = rules.prevalent_early(10 - F.col("valve_age_years") * 4, F.lit(-9.0), F.lit(None).cast("int"), F.lit(None).cast("int"))
-    populations = F.array_compact(F.array(F.lit("all"), F.when(~early | (F.col("valve_age_years") >= 3), F.when(F.col("valve_age_years") >= 3, F.lit("without_early")))))
-    out = metrics.net_benefit(rows.withColumn("population", F.explode(populations)), [0.1, 0.3], group=["population"])
-    return out.select("population", "threshold", r6("net_benefit"), r6("alert_rate"))
+    early = rules.prevalent_early(F.col("row_id") % 24, F.lit(8), F.col("row_id") % 3, F.lit(1))
+    populations = F.array_compact(F.array(F.lit("all"), F.when(~early, F.lit("without_early"))))
+    rows = rows.withColumn("population", F.explode(populations))
+    briers = rows.groupBy("population").agg((F.sum(F.col("w") * (F.col("y") - F.col("pred")) ** 2) / F.count("*")).alias("brier"))
+    out = metrics.net_benefit(rows, [0.1, 0.3], group=["population"]).join(briers, "population")
+    return out.select("population", "threshold", r6("brier"), r6("net_benefit"), r6("alert_rate"))
 
 
 @query()
 def l7_simplest_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The simplest of the tried settings whose Brier score is within tolerance of the best, by staged scores of one fit."""
-    rows = scored(spark, sf_dir)
-    model = boost.BoostedCox(["pred", "valve_age_years"], trees=6).fit(rows, F.col("event") == 1, every=3)
-    staged = model.staged(rows, [2, 4, 6])
-    parts = [F.struct(F.lit(k).alias("trees"), (1 - F.exp(-0.2 * F.exp(F.col(f"score_{k}")))).alias("p")) for k in (2, 4, 6)]
-    results = staged.select("w", "y", F.inline(F.array(*parts))).groupBy("trees").agg((F.sum(F.col("w") * (F.col("y") - F.col("p")) ** 2) / F.count("*")).alias("brier"))
-    return experiments.simplest_within(results, "brier", ["trees"], 1e-6)
+    """Boosting settings by their mean Brier score over two inner patient folds, and which of them is chosen."""
+    rows = role(spark, sf_dir, "surv")
+    chosen, table = experiments.nested_tuning(rows, ["pred", "valve_age_years"], {"trees": [1, 2], "depth": [1], "rate": [0.1]}, {"svd": 1}, [TAU], folds=2)
+    picked = chosen.select(F.col("trees").alias("t"), F.col("depth").alias("d"), F.col("rate").alias("r"))
+    same = (F.col("trees") == F.col("t")) & (F.col("depth") == F.col("d")) & (F.col("rate") == F.col("r"))
+    return table.join(picked, same, "left").select("depth", "trees", "rate", "mean_brier", "scored_cells", F.col("t").isNotNull().alias("chosen"))
+
+
+def _features() -> dict[str, Column]:
+    return {"gradient_now": F.coalesce("current_gradient", "ref_gradient"), "t_lm": F.col("t_lm")}
+
+
+_GRID = [0.25 * k for k in range(0, 25)]
+
+
+def _request_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {n: role(spark, sf_dir, n) for n in ("patients", "studies", "exposures", "mechanism")}
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> cox.CauseSpecificCox:
+    rows = landmarks_of(spark, sf_dir, with_features=False).withColumns(_features())
+    gates = {**cox.GATES, "fit_min_unique_events": 10, "baseline_min_unique_events": 1}
+    return cox.CauseSpecificCox(list(_features()), gates=gates).fit(rows)
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role(spark, sf_dir, "terminal").select("patient_id", F.date_sub("end_followup_date", 180).alias("prediction_date"))
+
+
+_STATUS_SQL = (
+    f"with patients as ({ROLES['patients']}), studies0 as ({ROLES['studies']}), exposures0 as ({ROLES['exposures']}), mechanism0 as ({ROLES['mechanism']}), terminal0 as ({ROLES['terminal']}), "
+    "req as (select patient_id, end_followup_date - 180 as pd from terminal0), studies as (select s.* from {studies} s join req using (patient_id) where s.date <= pd), "
+    "exposures as (select e.patient_id, e.seq, e.class, e.indication, e.start_date, {stop} as stop_date, e.post_suspicion from exposures0 e join req using (patient_id) where e.start_date <= pd), mechanism as (select m.* from mechanism0 m join req using (patient_id) where m.date <= pd), "
+    "terminal as (select patient_id, end_followup_date, null::date as death_date, null::date as replacement_date, null::date as first_thrombosis_date from terminal0)"
+    + _RECORDS.replace("{", "{{").replace("}", "}}")
+    + """, now as (select patient_id, max_by(stage, {{'d': date, 's': seq}}) as stage from staged group by patient_id)
+select q.patient_id, q.pd as prediction_date, case when p.implant_date is null or q.pd < p.implant_date then 'prediction_time_invalid' when r.svd_status = 'no_reference' then 'no_reference_echo'
+  when r.svd_candidate_date is not null and r.svd_mechanism = 'svd' then 'endpoint_met' else 'ok' end as score_status, n.stage as current_stage
+from req q left join records r on r.patient_id = q.patient_id left join patients p on p.patient_id = q.patient_id left join now n on n.patient_id = q.patient_id"""
+)
+_EXTRA_STUDY = "(select patient_id, date, seq, mean_gradient, eoa, dvi, ar, lvef, svi from studies0 union all select patient_id, pd - 30, 1152921504606846976, 45.0, 0.6, 0.2, 1, 55.0, 35.0 from req)"
+
+
+@query(_STATUS_SQL.format(studies="studies0", stop="e.stop_date"))
+def j8_score_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of a scoring request per patient, half a year before the end of follow-up."""
+    out = experiments.score_status(_requests(spark, sf_dir), *_request_tables(spark, sf_dir).values())
+    return out.select("patient_id", "prediction_date", "score_status", "current_stage")
 
 
 @query()
+def j8_scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch scoring: status and state probabilities at 1, 3 and 5 years, from models fitted on the landmark table."""
+    tables = _request_tables(spark, sf_dir)
+    return experiments.score_requests(_requests(spark, sf_dir), tables, _fitted(spark, sf_dir), _features(), _GRID, [1.0, 3.0, 5.0])
+
+
+def _study(gradient: float, eoa: float, dvi: float, ar: int) -> dict[str, Column]:
+    return {"mean_gradient": F.lit(gradient), "eoa": F.lit(eoa), "dvi": F.lit(dvi), "ar": F.lit(ar), "lvef": F.lit(55.0), "svi": F.lit(35.0)}
+
+
+@query(_STATUS_SQL.format(studies=_EXTRA_STUDY, stop="case when e.start_date < pd and coalesce(e.stop_date > pd, true) then pd else e.stop_date end"))
 def j12_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoring status when one more, worse study is assumed a month before the request."""
-    requests = role(spark, sf_dir, "terminal").select("patient_id", F.date_sub("end_followup_date", 180).alias("prediction_date"))
-    studies = role(spark, sf_dir, "studies")
-    extra = requests.select("patient_id", F.date_sub("prediction_date", 30).alias("date"), F.lit(1 << 60).cast("long").alias("seq"), F.lit(45.0).alias("mean_gradient"), F.lit(0.6).alias("eoa"), F.lit(0.2).alias("dvi"), F.lit(1).alias("ar"), F.lit(55.0).alias("lvef"), F.lit(35.0).alias("svi"))
-    args = [role(spark, sf_dir, n) for n in ("exposures", "mechanism")]
-    after = experiments.score_status(requests, role(spark, sf_dir, "patients"), studies.unionByName(extra), *args)
-    return after.select("patient_id", "score_status", "current_stage")
+    """Scoring status when one more, worse study is assumed a month before the request, and a change to VKA at its time."""
+    requests = _requests(spark, sf_dir)
+    change = {"class": F.lit("VKA"), "indication": F.lit("af"), "post_suspicion": F.lit(False)}
+    tables = experiments.what_if(requests, _request_tables(spark, sf_dir), _study(45.0, 0.6, 0.2, 1), 30, change)
+    out = experiments.score_status(requests, *(tables[n] for n in ("patients", "studies", "exposures", "mechanism")))
+    return out.select("patient_id", "prediction_date", "score_status", "current_stage")
 
 
-@query(with_roles("surv") + """ select row_id, list_filter([case when row_id % 3 = 0 then 'current_abnormality' end, case when pred * 0.05::double >= 0.02 then 'earlier_assessment' end, case when time * 12 > case when route = 'TAVR' then 12 when valve_age_years < 5 then greatest((5 - valve_age_years) * 12 + 12, 1) when valve_age_years < 10 then greatest((10 - valve_age_years) * 12 + 12, 1) else 12 end + 3 then 'overdue' end], lambda x: x is not null)[1] as first_message from surv""")
+@query()
+def j12_what_if_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the requests as they are and with the assumed study, from the same models."""
+    requests, tables, model = _requests(spark, sf_dir), _request_tables(spark, sf_dir), _fitted(spark, sf_dir)
+    changed = experiments.what_if(requests, tables, _study(19.0, 1.6, 0.5, 0), 30)
+    now, then = (experiments.score_requests(requests, t, model, _features(), _GRID, [5.0]) for t in (tables, changed))
+    keys = ["patient_id", "prediction_date"]
+    return now.select(*keys, "score_status", "svd").join(then.select(*keys, F.col("score_status").alias("status_after"), F.col("svd").alias("svd_after")), keys)
+
+
+@query()
+def j7_implant_time_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk by three years at a valve age of a quarter, from models of route and valve age."""
+    model = cox.CauseSpecificCox(["valve_age_years"], causes={"svd": 1, "death": 2}).fit(role(spark, sf_dir, "surv"))
+    return experiments.implant_time_risk(model, role(spark, sf_dir, "patients").select("patient_id", "route"), _GRID, 3.0)
+
+
+@query()
+def l5_comparator_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of two comparators on the same rows, with the paired difference beside the challenger."""
+    table, paired = experiments.comparator_ladder(role(spark, sf_dir, "surv"), {"age": ["valve_age_years"], "age_and_score": ["valve_age_years", "pred"]}, [("age_and_score", "age")], TAU, {"svd": 1, "death": 2}, _GRID, folds=2, replicates=20)
+    return table.join(paired.select(F.col("challenger").alias("comparator"), "difference", "ci_low", "ci_high", "patients"), "comparator", "left")
+
+
+@query()
+def l6_observation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ladder on landmarks as adjudicated and with onsets at the right end of their intervals, for the patients of both."""
+    patients, studies, staged = written_staged_of(spark, sf_dir)
+    events = events_of(spark, sf_dir, staged)
+    right = experiments.allocate_onsets(experiments.onset_intervals(events, staged), "right")
+    tables = {}
+    for name, override in (("primary", None), ("interval_right", right)):
+        rows = landmark.build_landmarks(patients, studies, role(spark, sf_dir, "labs"), role(spark, sf_dir, "exposures"), events, override=override, with_features=False, staged=staged)
+        rows = rows.withColumn("row_id", F.concat_ws("@", "patient_id", F.col("landmark_date").cast("string"))).withColumn("pred", F.lit(0.0))
+        tables[name] = stage(rows.withColumns(_features()), name)
+    results, _ = experiments.observation_sensitivity(tables, {"gradient": list(_features())}, [TAU], {"svd": 1}, _GRID, folds=2)
+    return results
+
+
+@query()
+def l8_marker_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a marker measured on two thirds of the rows adds to valve age, out of fold."""
+    rows = role(spark, sf_dir, "surv").withColumn("cum", F.col("valve_age_years") / 10)
+    knots = rows.agg(F.percentile("pred2", [0.1, 0.5, 0.9])).first()[0]
+    return experiments.marker_increment(rows, ["valve_age_years"], lambda d: boost.marker_columns(d, "pred2", "cum", knots), F.col("row_id") % 3 > 0, [TAU], folds=2, replicates=20)
+
+
+@query()
+def i17_mechanism_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = role(spark, sf_dir, "surv").withColumn("vka", (F.col("row_id") % 4 == 0).cast("double"))
+    found = experiments.mechanism_check(rows, ["vka", "valve_age_years"], ["pred"], "vka", least=0.0)
+    return rows.agg(*(F.lit(v).cast("double").alias(k) for k, v in found.items()), F.count("*").alias("n"))
+
+
+@query(with_roles("surv") + """ select row_id, array_to_string(list_filter([case when row_id % 3 = 0 then 'current_abnormality' end, case when pred * 0.05::double >= 0.02 then 'earlier_assessment' end, case when time * 12 > case when route = 'TAVR' then 12 when valve_age_years < 5 then greatest((5 - valve_age_years) * 12 + 12, 1) when valve_age_years < 10 then greatest((10 - valve_age_years) * 12 + 12, 1) else 12 end + 3 then 'overdue' end], lambda x: x is not null), ',') as messages from surv""")
 def j9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = role(spark, sf_dir, "surv")
     stage_now = F.when(F.col("row_id") % 3 == 0, "2").otherwise("0")
     m = rules.months_message(F.col("pred") * 0.05, F.col("time") * 12, rules.guideline_interval("ACC_AHA", F.col("route"), F.col("valve_age_years")), stage_now)
-    return s.select("row_id", F.get(m, F.lit(0)).alias("first_message"))
+    return s.select("row_id", F.array_join(m, ",").alias("messages"))
 
 
 @query(with_roles("patients") + " select patient_id, round(((bmi is not null)::int + 2) / 3.0::double, 6) as completeness, case when patient_id % 2 = 0 and bmi is not null then 'high' when (bmi is not null)::int + 2 >= 1.5 then 'moderate' else 'low' end as level from patients")
@@ -194,22 +304,33 @@ def m7_published_rate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
   union all select 'quantile_0.5', (select round(quantile_cont(pred, 0.5), 6) from surv), (select count(*) from surv) union all select 'correlation', (select round(corr(pred, pred2), 6) from surv), (select count(*) from surv)""")
 def m8_reporting_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = role(spark, sf_dir, "surv")
-    parts = {"proportion": F.avg((F.col("event") == 1).cast("double")), "mean": F.avg("pred"), "sd": F.stddev_samp("pred"), "quantile_0.5": F.percentile("pred", 0.5), "correlation": F.corr("pred", "pred2")}
-    row = s.agg(F.array(*(F.struct(F.lit(n).alias("statistic"), F.round(v, 6).alias("value"), F.count("*").alias("n")) for n, v in parts.items())).alias("x"))
-    return row.select(F.inline("x"))
+    requests = [
+        ("proportion", "proportion", {"condition": F.col("event") == 1}), ("mean", "mean", {"column": "pred"}), ("sd", "sd", {"column": "pred"}),
+        ("quantile_0.5", "quantile", {"column": "pred", "q": 0.5}), ("correlation", "correlation", {"column": "pred", "other": "pred2"}),
+    ]
+    return profile.report(s, requests).select(F.col("name").alias("statistic"), r6("value"), "n")
 
 
-@query()
+_PRIMARY_SVD = "case when svd_first_unresolved_date is null or svd_first_unresolved_date >= svd_adjudicated_date then svd_adjudicated_date end"
+_PRIMARY_CENSOR = "case when svd_adjudicated_date is null or svd_first_unresolved_date < svd_adjudicated_date then svd_first_unresolved_date end"
+_OVERRIDE = _elig_sql(f"case when svd_adjudicated_date is null then svd_first_positive_date else {_PRIMARY_SVD} end", f"case when svd_adjudicated_date is null then null else {_PRIMARY_CENSOR} end")
+
+
+@query(with_roles(*_ALL) + _RECORDS + _OVERRIDE + " select patient_id, date as landmark_date, round(time, 6) as time, event from outcomes")
 def f11_truth_override_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event dates taken from an evaluation-only table (here: the first single positive study)."""
-    events = events_of(spark, sf_dir)
+    """Landmarks with event dates of an evaluation-only table (here: the first single positive study) where adjudication found
+    none."""
+    patients, studies, staged = written_staged_of(spark, sf_dir)
+    events = events_of(spark, sf_dir, staged)
     truth = events.select("patient_id", F.col("svd_first_positive_date").alias("threshold_crossing_date"), F.col("svd_adjudicated_date").isNull().alias("missed_crossing"))
-    return experiments.truth_override(events, truth, missed_only=True)
+    override = experiments.truth_override(events, truth, missed_only=True)
+    rows = landmark.build_landmarks(patients, studies, role(spark, sf_dir, "labs"), role(spark, sf_dir, "exposures"), events, override=override, with_features=False, staged=staged)
+    return rows.select("patient_id", "landmark_date", r6("time"), "event")
 
 
-@query()
+@query(with_roles("surv", "patients", "studies") + _G + _STAGED + " select t.stage, round(sum(w * y) / sum(w), 6) as risk, count(*) as n from scored s join staged t on t.seq = s.row_id group by t.stage")
 def k2_ipcw_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Censoring-weighted outcome share per current stage of the last study."""
     staged = staged_of(spark, sf_dir)[2].select(F.col("seq").alias("row_id"), F.col("staged.stage").alias("stage"))
     rows = survival.with_ipcw(role(spark, sf_dir, "surv"), TAU, ["route"]).join(staged, "row_id")
-    return rows.groupBy("stage").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("risk"), F.count("*").alias("n"))
+    return rows.groupBy("stage").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("risk"), F.count("*").alias("n")).withColumn("risk", r6("risk"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators import aggregates, cif, cox, features, metrics, resample, survival
 from timberline.plans.bindings import role, with_roles
+from timberline.plans.cohort_queries import _AJ
 from timberline.plans.registry import query, r6
 
 TAU = 3.0
@@ -141,29 +142,38 @@ def d12_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.coverage(scored(spark, sf_dir), F.col("known"), ["route"]).withColumn("row_coverage", r6("row_coverage"))
 
 
-@query(with_roles("surv") + """, c as (select patient_id % 50 as g, time, pred, count(*) as n, count(*) filter (where event <> 0) as d from surv group by all),
-j as (select a.g, a.d * case when b.time = a.time then b.n - b.d else b.n end as w, case when a.pred > b.pred then 1.0::double when a.pred = b.pred then 0.5::double else 0.0::double end as s from c a join c b on a.g = b.g and b.time >= a.time where a.d > 0)
-select g, round(sum(w * s) / sum(w), 6) as concordance from j group by g""")
+@query(with_roles("surv") + """, c as (select route, time, pred, count(*) as n, count(*) filter (where event <> 0) as d from surv group by all),
+j as (select a.route, a.d * case when b.time = a.time then b.n - b.d else b.n end as w, case when a.pred > b.pred then 1.0::double when a.pred = b.pred then 0.5::double else 0.0::double end as s from c a join c b on a.route = b.route and b.time >= a.time where a.d > 0)
+select route, round(sum(w * s) / sum(w), 6) as concordance from j group by route""")
 def k16_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = role(spark, sf_dir, "surv").withColumn("g", F.col("patient_id") % 50)
-    return metrics.concordance(rows, ["g"]).select("g", r6("concordance"))
+    return metrics.concordance(role(spark, sf_dir, "surv"), ["route"]).select("route", r6("concordance"))
 
 
-@query()
+_RANKS = "ranks as (select patient_id, row_number() over (order by upper(md5('{seed}:' || patient_id)) || '-' || patient_id) - 1 as rank from (select distinct patient_id from surv))"
+
+
+@query(with_roles("surv") + f", {_RANKS.format(seed=0)} select patient_id, cast(rank % 5 as int) as fold from ranks")
 def l1_patient_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.patient_folds(role(spark, sf_dir, "surv"), 5)
 
 
-@query()
+_DRAWS = "draws as (select r.i // n as rep, ('0x' || substr(md5('1:' || r.i), 1, 15))::bigint % n as rank from (select count(*) as n from ranks), range({reps} * (select count(*) from ranks)) as r(i)), picks as (select rep, rank, count(*) as k from draws group by all)"
+
+
+@query(_W + f""", {_RANKS.format(seed=0)}, {_DRAWS.format(reps=20)}, sums as (select patient_id, sum(w * (y - pred) ** 2) as a, count(*) as b from scored group by patient_id)
+select cast(rep as int) as rep, round(sum(k * a) / sum(k * b), 6) as brier from picks join ranks using (rank) join sums using (patient_id) group by rep""")
 def l3_bootstrap_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brier score of 20 patient bootstraps, all replicates as one grouped job."""
+    """Brier score of 20 patient bootstraps, from per-patient sums."""
     rows = scored(spark, sf_dir)
-    return resample.bootstrap(rows, lambda d, g, w: d.groupBy(*g).agg((F.sum(F.col(w) * F.col("w") * (F.col("y") - F.col("pred")) ** 2) / F.sum(w)).alias("brier")), 20)
+    return resample.bootstrap_ratio(rows, F.col("w") * (F.col("y") - F.col("pred")) ** 2, F.lit(1), 20, out="brier").withColumn("brier", r6("brier"))
 
 
-@query()
+@query(_W + f""", {_RANKS.format(seed=0)}, {_DRAWS.format(reps=50)}, sums as (select patient_id, sum(w * ((y - pred) ** 2 - (y - pred2) ** 2)) as a, count(*) as b from scored group by patient_id),
+reps as (select rep, sum(k * a) / sum(k * b) as d from picks join ranks using (rank) join sums using (patient_id) group by rep)
+select round((select sum(a) / sum(b) from sums), 6) as difference, round((select quantile_cont(d, 0.025) from reps), 6) as ci_low, round((select quantile_cont(d, 0.975) from reps), 6) as ci_high, (select count(*) from sums) as patients""")
 def k14_paired_brier_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.paired_brier_difference(scored(spark, sf_dir), "pred", "pred2", 50)
+    out = resample.paired_brier_difference(scored(spark, sf_dir), "pred", "pred2", 50)
+    return out.select(r6("difference"), r6("ci_low"), r6("ci_high"), "patients")
 
 
 @query(with_roles("studies") + """, d as (select patient_id, date, lead(date) over (partition by patient_id order by date) as nx from (select distinct patient_id, date from studies))
@@ -313,9 +323,28 @@ def d19_reference_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.reference_profile(role(spark, sf_dir, "patients"), ["bmi"], ["sex"])
 
 
-@query()
+@query(with_roles("surv") + """, base as (select *, case when valve_age_years < 5 then '<5' else '>=5' end as cell from surv),
+long as (select route || '|' || cell as g, time, event from base union all select route, time, event from base union all select 'all', time, event from base), sizes as (select g, count(*) as n from long group by g)"""
+  + _AJ.format(g="g", t="long").replace("select pts.g as route, h as horizon", ", curve as (select pts.g as route, h as horizon", 1) + """),
+picked as (select distinct b.route, b.cell, case when s1.n >= 30 then b.route || '|' || b.cell when s2.n >= 30 then b.route else 'all' end as g from base b join sizes s1 on s1.g = b.route || '|' || b.cell join sizes s2 on s2.g = b.route)
+select p.route, p.cell, c.horizon, c.cif1, c.cif2, c.cif3, c.survival from picked p join curve c on c.route = p.g where c.horizon < 5""")
 def i14_calendar_comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survival.calendar_comparator(role(spark, sf_dir, "surv"), [1.0, 3.0])
+    out = survival.calendar_comparator(role(spark, sf_dir, "surv"), [1.0, 3.0])
+    return out.select("route", "cell", "horizon", *(r6(c) for c in ("cif1", "cif2", "cif3", "survival")))
+
+
+@query(with_roles("surv") + """, a as (select row_id, route, valve_age_years as t0, valve_age_years + 6 as t_end, valve_age_years + pred * 8 as crossing, case when row_id % 3 > 0 then valve_age_years + pred2 * 9 end as da, case when row_id % 4 > 0 then valve_age_years + pred2 * 9.5::double + 0.2::double end as db, 1 + row_id % 6 as na, 1 + row_id % 5 as nb, 1 + pred as yrs from surv),
+h as (select *, coalesce(crossing > t0 and crossing < t_end and da >= crossing, false) as ha, coalesce(crossing > t0 and crossing < t_end and db >= crossing, false) as hb from a)
+select route, count(*) as patients, count(*) filter (where ha and hb) as both_detected, count(*) filter (where ha and not hb) as only_policy, count(*) filter (where hb and not ha) as only_reference,
+  round(avg((db - da) * 12) filter (where ha and hb), 6) as lead_mean_months, round(quantile_cont((db - da) * 12, 0.5) filter (where ha and hb), 6) as lead_median_months, round(1000 * sum(na) / sum(yrs) - 1000 * sum(nb) / sum(yrs), 4) as extra_echoes_per_1000py from h group by route""")
+def k18_paired_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guided against plain surveillance of the same patients (here: the same survival rows under two policies)."""
+    s = role(spark, sf_dir, "surv")
+    common = [F.col("row_id").alias("patient_id"), "route", F.col("valve_age_years").alias("t0"), (F.col("valve_age_years") + 6).alias("t_end"), (F.col("valve_age_years") + F.col("pred") * 8).alias("crossing"), (1 + F.col("pred")).alias("surveillance_years")]
+    a = s.select(*common, F.lit("guided").alias("policy"), F.when(F.col("row_id") % 3 > 0, F.col("valve_age_years") + F.col("pred2") * 9).alias("detect"), (1 + F.col("row_id") % 6).alias("n_echoes"))
+    b = s.select(*common, F.lit("plain").alias("policy"), F.when(F.col("row_id") % 4 > 0, F.col("valve_age_years") + F.col("pred2") * 9.5 + 0.2).alias("detect"), (1 + F.col("row_id") % 5).alias("n_echoes"))
+    out = metrics.paired_policies(a.unionByName(b), "guided", "plain", ["route"])
+    return out.withColumns({"lead_mean_months": r6("lead_mean_months"), "lead_median_months": r6("lead_median_months"), "extra_echoes_per_1000py": F.round("extra_echoes_per_1000py", 4)})
 
 
 @query(with_roles("surv", "patients", "terminal") + """, r as (select row_id as id, patient_id % 5 as p, case when patient_id % 2 = 0 then 'TAVR' else 'SAVR' end as route, valve_age_years as t0, valve_age_years + 6 as t_end, valve_age_years + pred * 8 as crossing, case when row_id % 3 > 0 then valve_age_years + pred2 * 9 end as detect, 1 + row_id % 6 as n_echoes, 1 + pred as yrs, row_id % 2 as alerts from surv),
