@@ -306,10 +306,14 @@ def b8_era(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role(spark, sf_dir, "exposures").select("seq", rules.era(F.year("start_date")).alias("era"))
 
 
-_CELLS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, {l_quantity}, {l_extendedprice}, {l_discount}, {l_tax}, l_returnflag, l_linestatus, l_shipdate"
+_CELLS = ", ".join([
+    *(f"cast({c} as string)" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")),
+    *(f"cast(cast(round({c} * 1000000) as bigint) as string)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),
+    "l_returnflag", "l_linestatus", "cast(epoch_ms(l_shipdate) as string)",
+])
 
 
-@query()
+@query(f"select count(*) as n, bit_xor(('0x' || substr(md5(concat_ws('|', {_CELLS})), 1, 15))::bigint) as hash from lineitem")
 def a_table_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_hash(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
