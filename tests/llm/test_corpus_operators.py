@@ -11,7 +11,7 @@ import pytest
 from llm_helpers import LOWER, SF, words
 from pyspark.sql import functions as F
 
-from timberline.llm import lm_score, mixing, near_dup, packing, queries, shard, token_output
+from timberline.llm import common, lm_score, mixing, near_dup, packing, queries, shard, token_output
 from timberline.llm.tokens import WordEncoder, default_path
 
 
@@ -438,7 +438,7 @@ def test_recall_of_queries_against_all_rows(spark, monkeypatch):
 def test_lookups_deal_a_frequent_key(spark):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"))
     table = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    out = near_dup.salted_lookup(rows, "k", table, F.col("id")).collect()
+    out = common.salted_lookup(rows, "k", table, F.col("id")).collect()
     assert len(out) == 3000 and all(r["v"] == 2 * r["k"] for r in out)
 
 

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import lower_ascii, stage
+from timberline.llm.common import lower_ascii, salted_lookup, stage
 
 
 class DigestIndex:
@@ -83,8 +83,9 @@ class DigestIndex:
 
 
 def verdicts(digests: DataFrame, judged: DataFrame, new: Column) -> DataFrame:
-    """Hand the verdict of a digest to its rows."""
-    return digests.join(judged.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).select(
+    """Hand the verdict of a digest to its rows; the rows of a frequent text are dealt to many tasks by their ids."""
+    drop = [c for c in judged.columns if c in digests.columns and c != "digest"]
+    return salted_lookup(digests, "digest", judged.drop(*drop), F.col("doc_id")).select(
         "doc_id",
         "keep_id",
         F.col("n").alias("group_size"),

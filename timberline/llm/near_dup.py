@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import chunks, lower_words, mix, stage
+from timberline.llm.common import chunks, lower_words, mix, salted_lookup, stage
 
 BLOCK = 256
 BLOCK_SHINGLES = 2_000_000  # 16 MB
@@ -230,15 +230,6 @@ def _with_shingles(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", shingles binary")
 
 
-def salted_lookup(rows: DataFrame, key: str, table: DataFrame, salt: Column) -> DataFrame:
-    """Inner join of ``rows`` with ``table`` (unique by ``key``) that deals the rows of a frequent key to many tasks: the
-    table meets one row per key and salt, and these meet the rows."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(n)))
-    meeting = salted.select(key, "__salt").distinct().join(table, key)
-    return salted.join(meeting, [key, "__salt"]).drop("__salt")
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``(a, b)``: rows (node, label), label the smallest node. Distributed label propagation."""
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct(), "edges")
