@@ -18,29 +18,35 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality policy rejects go."""
+    """Documents that the quality policy rejects go. A null or empty text has no words and goes; rows are judged one by one, so
+    repeated rows stay or go together; an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go. Exact copies count as one page: the next stage keeps one of them, text and all.
-    Sites of any size are cleaned: a line needs three pages of its own, not its site twenty."""
+    Sites of any size are cleaned: a line needs three pages of its own, not its site twenty. Every row stays: a null text stays null, a
+    text of boilerplate alone becomes empty; a null source is a site of its own; a line just at the ratio stays; repeated rows are
+    cleaned alike; an empty table stays empty."""
     out = line_dedup.drop_boilerplate(docs, F.col("source"), min_pages=1, min_count=3, copies_once=True)
     return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays, that of the smallest id (null ids last). Of repeated rows one stays; a null
+    text, or one without words, is like no other and stays; an empty table stays empty."""
     return near_dup.keep_one(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to the target weights; a document appears once per epoch that takes it."""
+    """Sources are mixed to the target weights; a document appears once per epoch that takes it. Null labels are a source of their
+    own; a null text has no tokens and rides along; rows that share an id are taken together; an empty table stays empty."""
     return mixture(docs).drop("__epoch", "__n_tokens")
 
 
 def best_two_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their place in the packed sequences."""
+    """Pieces of at most 2048 tokens with their place in the packed sequences. A null or empty text is a piece of the end token;
+    repeated rows are pieces of their own; an empty table gives none."""
     return packing.pack(docs)
 
 
