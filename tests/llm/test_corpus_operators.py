@@ -464,12 +464,28 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_handles_awkward_and_empty_rows(spark, awkward, empty):
+    """Each stage on all rows, those the quality rules would reject too."""
     import corpus_pipeline as p
+    from tokenizers import Tokenizer
 
-    for docs in (awkward, empty):
-        for _, stage in p.STAGES:
-            docs = stage(spark, docs, SF)
-        docs.count()
+    key = lambda r: (r["doc_id"], r["text"])
+    rows = awkward.collect()
+    good = p.quality_rules(spark, awkward, SF).collect()
+    assert Counter(map(key, good)) <= Counter(map(key, rows)) and good and all(len((r["text"] or "").split()) >= 50 for r in good)
+    assert not {5, 6, 7, 9} & {r["doc_id"] for r in good}
+    cleaned = p.line_dedup_stage(spark, awkward, SF).collect()
+    assert Counter(r["doc_id"] for r in cleaned) == Counter(r["doc_id"] for r in rows) and sum(r["text"] is None for r in cleaned) == sum(r["text"] is None for r in rows)
+    left = p.near_duplicates(spark, awkward, SF).collect()
+    _, classes = _brute(rows)
+    assert len(left) == len(classes) and Counter(map(key, left)) <= Counter(map(key, rows))
+    assert sum(not _shingle_set(r["text"]) for r in left) == sum(not _shingle_set(r["text"]) for r in rows)
+    mixed = p.source_mixing(spark, awkward, SF).collect()
+    assert {key(r) for r in mixed} <= {key(r) for r in rows} and mixed
+    whole = Tokenizer.from_file(default_path("word_bpe_49k.json"))
+    pieces = p.best_two_fit_packing(spark, awkward, SF).collect()
+    assert sum(r["length"] for r in pieces) == sum(len(whole.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in rows)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, SF).count() == 0
 
 
 def test_pipeline_keeps_one_of_many_copies(spark):

@@ -26,6 +26,8 @@ from timberline.llm.common import stage
 
 #: Radix digits (of 8 bits) by which the cut of a leaf is narrowed before rows are looked at one by one.
 LEVELS = 3
+#: The tree is a configuration; labels that make it larger than this are an error, never cut.
+MOST_LEAVES = 1_000_000
 Path = tuple[str | None, ...]
 
 
@@ -97,7 +99,10 @@ def mix_sources(
     ident = F.col(f"`{id_col}`")
     key = F.xxhash64(ident, F.when(ident.isNull(), text))
     narrow = stage(docs.select(leaf.alias("leaf"), key.alias("key"), tokens.alias("tokens")), "tokens")
-    supply = {tuple(r["leaf"]): int(r["tokens"]) for r in narrow.groupBy("leaf").agg(F.sum("tokens").alias("tokens")).collect()}
+    leaves = narrow.groupBy("leaf").agg(F.sum("tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
+    if len(leaves) > MOST_LEAVES:
+        raise ValueError(f"more than {MOST_LEAVES} leaves: group the labels")
+    supply = {tuple(r["leaf"]): int(r["tokens"]) for r in leaves}
     share = budgets(supply, weight_of, sum(supply.values()) if total_tokens is None else total_tokens, max_epochs)
     rows = []
     for path, budget in share.items():

@@ -310,9 +310,12 @@ def _decide(docs: DataFrame, threshold: float, trees: int, recall: float, longes
     known = texts.select("text_id", "first", "n_copies").join(company, "text_id", "left").join(classes.withColumnRenamed("node", "text_id"), "text_id", "left")
     known = stage(known.withColumn("label", F.coalesce("label", "text_id")), "known")
     sizes = known.groupBy("label").agg(F.min("first").alias("head"), F.sum("n_copies").alias("class_size"))
-    known = stage(salted_lookup(known, "label", stage(sizes, "sizes"), F.col("text_id")), "classes").withColumnRenamed("text_id", "tid")
+    known = stage(salted_lookup(known, "label", stage(sizes, "sizes"), F.col("text_id")), "classes").withColumn("found", F.lit(True))
+    # a text may have any number of copies, so they are dealt by their ids
+    worded = salted_lookup(signed.filter("text_id is not null"), "text_id", known, F.struct("doc_id", "th"))
+    judged = worded.unionByName(signed.filter("text_id is null"), allowMissingColumns=True)
     alone = expected_recall(threshold, trees, depths[-1])
-    return signed.join(known, F.col("text_id") == F.col("tid"), "left").select(
+    return judged.select(
         "doc_id",
         "th",
         F.coalesce("head.doc_id", "doc_id").alias("class_id"),
@@ -321,9 +324,9 @@ def _decide(docs: DataFrame, threshold: float, trees: int, recall: float, longes
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"),
         (F.coalesce("doc_links", F.lit(0)) + F.coalesce("n_copies", F.lit(1)) - 1).cast("long").alias("n_links"),
-        F.when(F.col("tid").isNotNull(), F.coalesce("prefix_length", F.lit(depths[-1]))).alias("prefix_length"),
-        F.when(F.col("tid").isNotNull(), F.coalesce("recall", F.lit(alone))).alias("recall"),
-        (F.col("tid").isNull() | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th")))).alias("stays"),
+        F.when(F.col("found"), F.coalesce("prefix_length", F.lit(depths[-1]))).alias("prefix_length"),
+        F.when(F.col("found"), F.coalesce("recall", F.lit(alone))).alias("recall"),
+        (F.col("found").isNull() | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th")))).alias("stays"),
     )
 
 
