@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from timberline.functions import rules
 from timberline.operators import adjudicate as adj
 from timberline.operators import aggregates, experiments, landmark, profile, resample, survival, text
+from timberline.operators.staging import stage
 from timberline.plans.bindings import role, with_roles
 from timberline.plans.cohort_queries import _ALL, _RECORDS, _elig_sql, events_of, records_of, staged_of, written_staged_of
 from timberline.plans.registry import query, r6
@@ -52,9 +53,15 @@ def g7_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALIASES = [("SAPIEN", r"SAPIEN", False), ("SAPIEN 3", r"SAPIEN\s+3", False), ("SAPIEN 3", r"\bS3\b", True), ("Magna", r"Magna", False), ("Magna Ease", r"Magna\s+Ease", False), ("Epic", r"\bEpic\b", True)]
 
 
-def models_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def models_of(spark: SparkSession, sf_dir: str, notes: DataFrame | None = None) -> DataFrame:
     aliases = spark.createDataFrame(_ALIASES, "model string, pattern string, guarded boolean")
-    return text.device_matches(notes_of(spark, sf_dir), aliases, ["patient_id", "note_ref", "seq"])
+    return text.device_matches(notes_of(spark, sf_dir) if notes is None else notes, aliases, ["patient_id", "note_ref", "seq"])
+
+
+def passport_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Flagged notes, hits and device matches, all from one numbering of the notes, which is written out once."""
+    notes = stage(notes_of(spark, sf_dir), "notes")
+    return text.note_flags(notes), text.hits_table(notes, ["patient_id", "note_ref", "seq", "year"]), models_of(spark, sf_dir, notes)
 
 
 @query(_NOTES + " select seq, unnest(case seq % 4 when 0 then ['SAPIEN', 'SAPIEN 3'] when 1 then ['Magna', 'Magna Ease'] else [] end) as model from kept")
@@ -67,7 +74,7 @@ def g2_device_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 select patient_id, n_notes, first_note_year, last_note_year, case when t and s then 'TAVR+SAVR' when t then 'TAVR' when s then 'SAVR' else '' end as route, implant_year, case when s then 'Magna Ease' when t then 'SAPIEN 3' else '' end as canonical_model, size_mm,
   n_gradients_prosthetic, n_gradient_years_prosthetic, max_gradient_prosthetic, event_valve_in_valve, event_endocarditis from p""")
 def d15_passport(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = text.passport(text.note_flags(notes_of(spark, sf_dir)), hits_of(spark, sf_dir), models_of(spark, sf_dir).drop("patient_id").join(notes_of(spark, sf_dir).select("note_ref", "patient_id"), "note_ref"))
+    out = text.passport(*passport_parts(spark, sf_dir))
     return out.select("patient_id", "n_notes", "first_note_year", "last_note_year", "route", "implant_year", "canonical_model", F.col("size_mm").cast("long").alias("size_mm"), "n_gradients_prosthetic", "n_gradient_years_prosthetic", "max_gradient_prosthetic", "event_valve_in_valve", "event_endocarditis")
 
 
@@ -75,8 +82,8 @@ def d15_passport(spark: SparkSession, sf_dir: str) -> DataFrame:
 f as (select p.*, (select min(k.year) from kept k where k.patient_id = p.patient_id and k.seq % 9 = 1 and k.year > p.iy) as fy from p where iy is not null and t <> s and ly > iy)
 select patient_id, case when t then 'TAVR' else 'SAVR' end as route, cast(coalesce(fy, ly) - iy as double) as time, case when fy is not null then 1 else 0 end as event from f""")
 def f12_note_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = text.note_flags(notes_of(spark, sf_dir))
-    records = text.passport(flags, hits_of(spark, sf_dir), models_of(spark, sf_dir))
+    flags, hits, models = passport_parts(spark, sf_dir)
+    records = text.passport(flags, hits, models)
     return text.note_outcomes(records, flags.filter("event_valve_in_valve").select("patient_id", "year"))
 
 

@@ -246,12 +246,24 @@ def h2_h3_h6_feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("patient_id", r6("bmi"), "bmi__missing", r6("age_at_implant"), "sex__F", "sex__M", "sex__other")
 
 
-@query()
+def _next_degree(d: int) -> str:
+    """B-splines of degree d from those below, as a list per row."""
+    return f"(select row_id, x, t, f, v, list_transform(range(1, {10 - d}), lambda i: (v - f[i]) / (f[i + {d}] - f[i]) * l[i] + (f[i + {d + 1}] - v) / (f[i + {d + 1}] - f[i + 1]) * l[i + 1]) as l from l{d - 1})"
+
+
+_RCS = "round((pow(greatest(x - t[{k}], 0), 3) - pow(greatest(x - t[3], 0), 3) * (t[4] - t[{k}]) / (t[4] - t[3]) + pow(greatest(x - t[4], 0), 3) * (t[3] - t[{k}]) / (t[4] - t[3])) / (t[4] - t[1]) ** 2, 6)"
+
+
+@query(with_roles("surv") + f""", k as (select quantile_cont(pred, [0.05, 0.35, 0.65, 0.95]) as t from surv),
+g as (select row_id, pred as x, t, [t[1] - 3 * (t[2] - t[1]), t[1] - 2 * (t[2] - t[1]), t[1] - (t[2] - t[1]), t[1], t[2], t[3], t[4], t[4] + (t[4] - t[3]), t[4] + 2 * (t[4] - t[3]), t[4] + 3 * (t[4] - t[3])] as f, greatest(least(pred, t[4]), t[1]) as v from surv, k),
+l0 as (select *, list_transform(range(1, 10), lambda i: case when i <= 6 and v >= f[i] and (v < f[i + 1] or (i = 6 and v <= f[i + 1])) then 1.0::double else 0.0::double end) as l from g),
+l1 as {_next_degree(1)}, l2 as {_next_degree(2)}, l3 as {_next_degree(3)}
+select row_id, round(x, 6) as b0, {_RCS.format(k=1)} as b1, {_RCS.format(k=2)} as b2, {", ".join(f"round(l[{i}], 6) as b{i + 1}" for i in range(2, 7))} from l3""")
 def h4_h7_spline_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = role(spark, sf_dir, "surv")
     knots = rows.agg(F.percentile("pred", list(features.RCS_QUANTILES[4]))).first()[0]
     basis = features.rcs_basis(F.col("pred"), knots) + features.bspline_basis(F.col("pred"), knots)
-    return rows.select("row_id", *(b.alias(f"b{i}") for i, b in enumerate(basis)))
+    return rows.select("row_id", *(r6(b, f"b{i}") for i, b in enumerate(basis)))
 
 
 @query(with_roles("surv") + " select 'pred' as marker, 1.0::double as patient_share, 1.0::double as row_share, count(distinct pred) as n_distinct, null::varchar as reason from surv union all select 'rare', count(distinct patient_id) filter (where row_id % 97 = 0) / count(distinct patient_id), round(avg((row_id % 97 = 0)::int), 6), count(distinct row_id) filter (where row_id % 97 = 0), 'below_cutoff' from surv")
