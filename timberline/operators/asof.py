@@ -67,21 +67,17 @@ def carry_forward(value: Column, day: Column, at: Column, months: float = 12.0)
 
 
 def slope_as_of(points: DataFrame, values: DataFrame, analyte: str, out: str, least_span: float = 0.5, patient: str = "patient_id", at: str = "landmark_date") -> DataFrame:
-    """OLS slope per year of an analyte up to each point: at least two values over ``least_span`` years.
-
-    Running sums over one window sorted by patient and day; days count from the patient's first value, so the sums stay small.
-    """
+    """OLS slope per year of an analyte up to each point: at least two values over ``least_span`` years. One window sorted by
+    patient and day keeps the regression's running moments."""
     marks = points.select(F.col(patient).alias("__q"), F.col(at).alias("__at")).distinct().select("__q", "__at", DAY(F.col("__at")).alias("__d"), F.lit(1).alias("__kind"), F.lit(None).cast("double").alias("__v"))
     one = values.filter((F.col("analyte") == analyte) & F.col("value").isNotNull() & F.col("date").isNotNull())
     one = one.select(F.col(patient).alias("__q"), F.lit(None).cast(dict(points.dtypes)[at]).alias("__at"), DAY(F.col("date")).alias("__d"), F.lit(0).alias("__kind"), F.col("value").cast("double").alias("__v"))
     upto = Window.partitionBy("__q").orderBy("__d", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = marks.unionByName(one).withColumn("__t", F.when(F.col("__kind") == 0, (F.col("__d") - F.min(F.when(F.col("__kind") == 0, F.col("__d"))).over(upto)) / DAYS_PER_YEAR))
-    t, v = F.col("__t"), F.col("__v")
-    sums = {"n": F.count(v), "st": F.sum(t), "sv": F.sum(v), "stt": F.sum(t * t), "stv": F.sum(t * v), "span": F.max(t)}
-    run = both.select("__q", "__at", "__kind", *(x.over(upto).alias(f"__{k}") for k, x in sums.items())).filter("__kind = 1")
-    slope = (F.col("__n") * F.col("__stv") - F.col("__st") * F.col("__sv")) / (F.col("__n") * F.col("__stt") - F.col("__st") ** 2)
-    slopes = run.select("__q", "__at", F.when((F.col("__n") >= 2) & (F.col("__span") >= least_span), slope).alias(out))
-    return points.join(slopes, (F.col(patient) == F.col("__q")) & (F.col(at) == F.col("__at")), "left").drop("__q", "__at")
+    t, v = F.col("__d") / DAYS_PER_YEAR, F.col("__v")
+    own = F.when(F.col("__kind") == 0, t)
+    gate = (F.count(v).over(upto) >= 2) & (F.max(own).over(upto) - F.min(own).over(upto) >= least_span)
+    run = marks.unionByName(one).select("__q", "__at", "__kind", F.when(gate, F.regr_slope(v, own).over(upto)).alias(out)).filter("__kind = 1")
+    return points.join(run.drop("__kind"), (F.col(patient) == F.col("__q")) & (F.col(at) == F.col("__at")), "left").drop("__q", "__at")
 
 
 def exposure_features(points: DataFrame, exposures: DataFrame, patient: str = "patient_id", at: str = "landmark_date", seq: str = "seq") -> DataFrame:
