@@ -57,12 +57,13 @@ class DigestIndex:
         digests = stage(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
         groups = stage(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "groups")
         self.create()
+        done = self.table().filter(F.col("batch") == batch).limit(1).count()  # an append is there as a whole or not at all
         earlier = self.table().filter(F.col("batch") != batch)
         fresh = groups.hint("merge").join(earlier.select("digest"), "digest", "left_anti").withColumn("new", F.lit(True))
         known = groups.drop("keep_id").hint("merge").join(earlier.select("digest", "keep_id"), "digest").withColumn("new", F.lit(False))
         judged = stage(fresh.unionByName(known), "judged")
-        unwritten = judged.filter("new").hint("merge").join(self.table().select("digest"), "digest", "left_anti")
-        self.append(unwritten.select("digest", "keep_id", F.lit(batch).alias("batch")))
+        if not done:
+            self.append(judged.filter("new").select("digest", "keep_id", F.lit(batch).alias("batch")))
         return digests, judged
 
     def deduplicate(self, docs: DataFrame, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
