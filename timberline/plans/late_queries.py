@@ -10,7 +10,7 @@ from timberline.operators import boost, cox, experiments, landmark, metrics, pro
 from timberline.operators.staging import stage
 from timberline.plans.bindings import ROLES, role, with_roles
 from timberline.plans.cohort_queries import _ALL, _RECORDS, _STAGED, _elig_sql, events_of, landmarks_of, staged_of, written_staged_of
-from timberline.plans.model_queries import _G, _W, TAU, scored
+from timberline.plans.model_queries import _DRAWS, _G, _RANKS, _W, TAU, scored
 from timberline.plans.registry import query, r6
 
 
@@ -87,10 +87,14 @@ def k10_conditional_censoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boost.conditional_censoring(role(spark, sf_dir, "surv"), ["valve_age_years"], TAU).select("row_id", "g")
 
 
-@query()
+@query(_W + f""", {_RANKS.format(seed=0)}, {_DRAWS.format(reps=20)}, sums as (select patient_id, sum(w * ((y - pred2) ** 2 - (y - pred) ** 2)) as a, count(*) as b from scored group by patient_id),
+reps as (select rep, sum(k * a) / sum(k * b) as d from picks join ranks using (rank) join sums using (patient_id) group by rep),
+r as (select (select sum(a) / sum(b) from sums) as difference, (select quantile_cont(d, 0.025) from reps) as ci_low, (select quantile_cont(d, 0.975) from reps) as ci_high, (select count(*) from sums) as patients)
+select 'boosting' as family, round(difference, 6) as difference, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, patients, difference < 0 and ci_high < 0 as promote from r""")
 def k15_family_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
-    return experiments.promotion_decision(boost.pair_family_brier(rows, {"cox": "pred", "boosting": "pred2"}, "cox", 20))
+    out = experiments.promotion_decision(boost.pair_family_brier(rows, {"cox": "pred", "boosting": "pred2"}, "cox", 20))
+    return out.select("family", r6("difference"), r6("ci_low"), r6("ci_high"), "patients", "promote")
 
 
 _SUB = "case when row_id % 4 = 0 then 'regurgitant' when row_id % 4 = 1 then 'mixed' else 'stenotic' end"
