@@ -45,7 +45,8 @@ class DigestIndex:
             self._write(self.spark.createDataFrame([], "digest binary, keep_id long, batch string"))
 
     def append(self, rows: DataFrame) -> None:
-        self._write(rows.repartition(self.buckets, "digest"))
+        # dealt by bucket, so an append writes one file a bucket, however many tasks there are
+        self._write(rows.repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets))))
 
     def _write(self, rows: DataFrame) -> None:
         rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
