@@ -257,7 +257,7 @@ def comparator_ladder(rows: DataFrame, steps: Mapping[str, Sequence[str]], pairs
     return table, paired
 
 
-def observation_sensitivity(tables: Mapping[str, DataFrame], steps: Mapping[str, Sequence[str]], horizons: Sequence[float], causes: Mapping[str, int], grid: Sequence[float], folds: int = 5, seed: int = 0, patient: str = "patient_id") -> tuple[DataFrame, DataFrame]:
+def observation_sensitivity(tables: Mapping[str, DataFrame], steps: Mapping[str, Sequence[str]], horizons: Sequence[float], causes: Mapping[str, int], grid: Sequence[float], folds: int = 5, seed: int = 0, patient: str = "patient_id", gates: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """The ladder on landmark tables that differ in how onset was observed, on the patients common to all and with common folds
     (folds follow patient and seed): (analysis, step, horizon, brier, auc, n_rows), and (analysis, dropped_patients)."""
     ids = {name: stage(t.select(patient).distinct(), "patients") for name, t in tables.items()}
@@ -268,7 +268,7 @@ def observation_sensitivity(tables: Mapping[str, DataFrame], steps: Mapping[str,
     results, dropped = None, None
     for name, t in tables.items():
         rows = stage(t.join(common, patient), "analysis")
-        predictions = {step: out_of_fold(rows, columns, folds, horizons, causes, grid, seed, patient) for step, columns in steps.items()}
+        predictions = {step: out_of_fold(rows, columns, folds, horizons, causes, grid, seed, patient, gates=gates) for step, columns in steps.items()}
         one = evaluate_ladder(rows, predictions, horizons).withColumn("analysis", F.lit(name))
         lost = ids[name].join(common, patient, "left_anti").agg(F.count("*").alias("dropped_patients")).withColumn("analysis", F.lit(name))
         results, dropped = (one, lost) if results is None else (results.unionByName(one), dropped.unionByName(lost))

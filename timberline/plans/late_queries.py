@@ -145,6 +145,10 @@ def l7_simplest_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.join(picked, same, "left").select("depth", "trees", "rate", "mean_brier", "scored_cells", F.col("t").isNotNull().alias("chosen"))
 
 
+#: The smallest tables hold few events.
+_FEW = {**cox.GATES, "fit_min_unique_events": 10, "baseline_min_unique_events": 1}
+
+
 def _features() -> dict[str, Column]:
     return {"gradient_now": F.coalesce("current_gradient", "ref_gradient"), "t_lm": F.col("t_lm")}
 
@@ -158,8 +162,7 @@ def _request_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def _fitted(spark: SparkSession, sf_dir: str) -> cox.CauseSpecificCox:
     rows = landmarks_of(spark, sf_dir, with_features=False).withColumns(_features())
-    gates = {**cox.GATES, "fit_min_unique_events": 10, "baseline_min_unique_events": 1}
-    return cox.CauseSpecificCox(list(_features()), gates=gates).fit(rows)
+    return cox.CauseSpecificCox(list(_features()), causes={"svd": 1, "death": 2}, gates=_FEW).fit(rows)
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +246,7 @@ def l6_observation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = landmark.build_landmarks(patients, studies, role(spark, sf_dir, "labs"), role(spark, sf_dir, "exposures"), events, override=override, with_features=False, staged=staged)
         rows = rows.withColumn("row_id", F.concat_ws("@", "patient_id", F.col("landmark_date").cast("string"))).withColumn("pred", F.lit(0.0))
         tables[name] = stage(rows.withColumns(_features()), name)
-    results, _ = experiments.observation_sensitivity(tables, {"gradient": list(_features())}, [TAU], {"svd": 1}, _GRID, folds=2)
+    results, _ = experiments.observation_sensitivity(tables, {"gradient": list(_features())}, [TAU], {"svd": 1}, _GRID, folds=2, gates=_FEW)
     return results
 
 
