@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import exact_dedup, html_extract, line_dedup, lm_score, mixing, near_dup, packing, quality, shard, token_output
+from timberline.llm import exact_dedup, html_extract, line_dedup, lm_score, mixing, near_dup, online_packing, packing, quality, shard, token_output
 
 #: Mixing weights of the query and the pipeline: domains, languages within a domain; sources of a language weigh the same.
 DOMAIN_WEIGHTS = {"web": 0.5, "books": 0.3, "forums": 0.2}
@@ -89,6 +89,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_verdict(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").alias("failed_rules"))
 
 
+def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online_packing.pack_online(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_bounded_ring_sharding, op3_digest_index_dedup, op4_bloom_lm_scoring, op5_source_mixing, op6_line_dedup, op7_best_two_fit_packing, op8_ngram_jaccard_join, op9_token_output, op10_quality_rules, pipeline)
+    found = (op1_html_extraction, op2_bounded_ring_sharding, op3_digest_index_dedup, op4_bloom_lm_scoring, op5_source_mixing, op6_line_dedup, op7_best_two_fit_packing, op8_ngram_jaccard_join, op9_token_output, op10_quality_rules, op12_online_packing, pipeline)
     return {f.__name__: f for f in found}
 
 
