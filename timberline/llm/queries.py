@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import exact_dedup, html_extract, line_dedup, lm_score, mixing, near_dup, online_packing, packing, quality, shard, token_output
+from timberline.llm import conversation_repair, exact_dedup, html_extract, line_dedup, lm_score, mixing, near_dup, online_packing, packing, quality, shard, token_output
 
 #: Mixing weights of the query and the pipeline: domains, languages within a domain; sources of a language weigh the same.
 DOMAIN_WEIGHTS = {"web": 0.5, "books": 0.3, "forums": 0.2}
@@ -93,6 +93,23 @@ def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.pack_online(table(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults dealt by a checksum of their key: ``here`` is false for dropped rows."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    fault = F.crc32(key.cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    rows = conversations.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        (fault != 0).alias("here"), F.when(fault == 3, 2).otherwise(1).alias("times"),
+    )
+    return rows.withColumn("time", F.explode(F.array_repeat(F.lit(1), F.col("times")))).drop("times", "time")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(damaged(table(spark, sf_dir, "conversations")), present=F.col("here")).summary()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_bounded_ring_sharding, op3_digest_index_dedup, op4_bloom_lm_scoring, op5_source_mixing, op6_line_dedup, op7_best_two_fit_packing, op8_ngram_jaccard_join, op9_token_output, op10_quality_rules, op12_online_packing, pipeline)
+    found = (op1_html_extraction, op2_bounded_ring_sharding, op3_digest_index_dedup, op4_bloom_lm_scoring, op5_source_mixing, op6_line_dedup, op7_best_two_fit_packing, op8_ngram_jaccard_join, op9_token_output, op10_quality_rules, op12_online_packing, op13_conversation_repair, pipeline)
     return {f.__name__: f for f in found}
 
 
