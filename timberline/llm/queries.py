@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import conversation_repair, exact_dedup, html_extract, line_dedup, lm_score, mixing, near_dup, online_packing, packing, quality, shard, token_output
+from timberline.llm import conversation_repair, exact_dedup, html_extract, line_dedup, lm_score, mixing, near_dup, online_packing, packing, phrases, quality, shard, token_output
 
 #: Mixing weights of the query and the pipeline: domains, languages within a domain; sources of a language weigh the same.
 DOMAIN_WEIGHTS = {"web": 0.5, "books": 0.3, "forums": 0.2}
@@ -89,6 +89,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_verdict(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").alias("failed_rules"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.pack_online(table(spark, sf_dir, "documents"))
 
@@ -117,13 +121,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_bounded_ring_sharding, op3_digest_index_dedup, op4_bloom_lm_scoring, op5_source_mixing, op6_line_dedup, op7_best_two_fit_packing, op8_ngram_jaccard_join, op9_token_output, op10_quality_rules, op12_online_packing, op13_conversation_repair, pipeline)
+    found = (op1_html_extraction, op2_bounded_ring_sharding, op3_digest_index_dedup, op4_bloom_lm_scoring, op5_source_mixing, op6_line_dedup, op7_best_two_fit_packing, op8_ngram_jaccard_join, op9_token_output, op10_quality_rules, op11_phrase_collocations, op12_online_packing, op13_conversation_repair, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for operators 3, 6 and 10. The others hash, tokenize, learn or search; tests hold them to brute force."""
-    return {"op3_digest_index_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
+    """SQL for operators 3, 6, 10 and 11. The others hash, tokenize, learn or search; tests hold them to brute force."""
+    return {"op3_digest_index_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL, "op11_phrase_collocations": OP11_SQL}
 
 
 OP3_SQL = """
@@ -181,3 +185,39 @@ f as (
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 as base_failed, (failed_rules & 247) = 0 as kept, failed_rules from f
 """
+
+OP11_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+one as (select lang, unnest(ws) as x from w),
+f1 as (select lang, x, count(*) as f from one group by lang, x),
+sizes as (select lang, sum(f)::bigint as n from f1 group by lang),
+two as (select lang, unnest(list_transform(range(1, len(ws)), lambda i: {'x': ws[i], 'y': ws[i + 1]})) as t from w where len(ws) > 1),
+f2 as (select lang, t.x as x, t.y as y, count(*) as f from two group by lang, t.x, t.y having count(*) >= 10),
+three as (select lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'x': ws[i], 'y': ws[i + 1], 'z': ws[i + 2]})) as t from w where len(ws) > 2),
+f3 as (select lang, t.x as x, t.y as y, t.z as z, count(*) as f from three group by lang, t.x, t.y, t.z having count(*) >= 10),
+inside as (
+  select lang, x, y, max(f) as f from (select lang, x, y, f from f3 union all select lang, y, z, f from f3) group by lang, x, y
+),
+c2 as (
+  select p.lang, p.x || ' ' || p.y as phrase, p.f as a, l.f as l, r.f as r, (1000000::hugeint * p.f * p.f) // (l.f::hugeint * r.f) as score
+  from f2 p join f1 l on p.lang = l.lang and p.x = l.x join f1 r on p.lang = r.lang and p.y = r.x
+  left join inside i on p.lang = i.lang and p.x = i.x and p.y = i.y
+  where i.f is null or 100 * i.f < 50 * p.f
+),
+c3 as (
+  select t.lang, t.x || ' ' || t.y || ' ' || t.z as phrase, t.f as a, l1.f as l1, r1.f as r1, l2.f as l2, r2.f as r2,
+         (1000000::hugeint * t.f * t.f) // (l1.f::hugeint * r1.f) as s1, (1000000::hugeint * t.f * t.f) // (l2.f::hugeint * r2.f) as s2
+  from f3 t join f1 l1 on t.lang = l1.lang and t.x = l1.x join f2 r1 on t.lang = r1.lang and t.y = r1.x and t.z = r1.y
+  join f2 l2 on t.lang = l2.lang and t.x = l2.x and t.y = l2.y join f1 r2 on t.lang = r2.lang and t.z = r2.x
+),
+c as (
+  select lang, phrase, a, l, r, score from c2
+  union all
+  select lang, phrase, a, case when s1 <= s2 then l1 else l2 end, case when s1 <= s2 then r1 else r2 end, least(s1, s2) from c3
+),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from c)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join sizes using (lang) where rank <= 2000
+"""
