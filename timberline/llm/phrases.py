@@ -440,8 +440,8 @@ def mine(
     top: int | None = 2000,
     tile_mass: int = 1_000_000,
     cells: int = 1 << 22,
-    task_words: int = 400_000,
-    flush_tokens: int = 4_000_000,
+    task_words: int = 250_000,
+    flush_tokens: int = 2_000_000,
     map_bits: int = MAP_BITS,
 ) -> DataFrame:
     """Phrases of two and three words: lang, rank, phrase, a, l, r, n, score. ``top`` of None keeps all."""
