@@ -15,6 +15,10 @@ DOMAIN_WEIGHTS = {"web": 0.5, "books": 0.3, "forums": 0.2}
 LANGUAGE_WEIGHTS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 
 
+#: Boilerplate rule of the query and the pipeline: sites of any size; a line on three pages of its own, copies of a page being one.
+SITE_RULE = {"min_pages": 1, "min_count": 3, "copies_once": True}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,7 +71,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), F.col("source"), report=True)
+    out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), F.col("source"), report=True, **SITE_RULE)
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -145,15 +149,17 @@ l as (
   select page, source, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as k from p where text is not null
 ),
 b as (select *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as bare from l),
-pages as (select source, count(*) as pages from p group by source),
+own as (select page, source, coalesce(list_sort(list_distinct(list(bare) filter (where bare <> ''))), []) as lines from b right join p using (page, source) group by page, source),
+sets as (select distinct source, lines from own),
+pages as (select source, count(*) as pages from sets group by source),
 common as (
-  select source, bare from b join pages using (source) where bare <> ''
-  group by source, bare having count(distinct page) > 0.08 * any_value(pages) and any_value(pages) >= 20
+  select s.source, bare from (select source, unnest(lines) as bare from sets) s join pages g on s.source is not distinct from g.source
+  group by s.source, bare having count(*) > 0.08 * any_value(pages) and count(*) >= 3
 ),
 kept as (
   select b.page, count(*) filter (where b.bare <> '') as n_lines, count(*) filter (where c.bare is not null) as n_dropped,
          coalesce(string_agg(b.line, chr(10) order by b.k) filter (where c.bare is null), '') as text
-  from b left join common c on b.source = c.source and b.bare = c.bare group by b.page
+  from b left join common c on b.source is not distinct from c.source and b.bare = c.bare group by b.page
 )
 select p.doc_id, p.source, coalesce(k.n_lines, 0) as n_lines, coalesce(k.n_dropped, 0) as n_dropped, length(k.text) as n_chars, md5(k.text) as text_md5
 from p left join kept k using (page)
