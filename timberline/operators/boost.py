@@ -1,76 +1,41 @@
-"""Boosted proportional hazards, offset sub-models, conditional censoring and marker checks.
-
-Every boosting round computes the gradient of the log partial likelihood from sums per distinct time (a small table joined
-back), fits one shallow regression tree on it and adds the shrunken prediction to the score.
-"""
+"""Boosting of one cause, offset sub-models, conditional censoring and marker checks."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.operators import cox, metrics, resample
+from timberline.operators.boosted import BoostedHazards
 from timberline.operators.features import rcs_basis
-from timberline.operators.staging import stage
+from timberline.operators.staging import exact_quantiles, stage
 from timberline.operators.survival import kaplan_meier, nelson_aalen
 
 
-def cox_gradient(rows: DataFrame, strata: Sequence[str] = ("stratum",), time: str = "time", event: str = "event", score: str = "score") -> DataFrame:
-    """Adds ``gradient``: event - exp(score) * cumulative baseline hazard at the row's time (Breslow)."""
-    scored = rows.withColumn("__w", F.exp(score))
-    hazard = nelson_aalen(scored, list(strata), "__w", None, time, event)
-    upto = Window.partitionBy(*strata).orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    times = scored.select(*strata, (F.col(time) + F.lit(0.0)).alias("time")).distinct()
-    filled = times.join(hazard, [*strata, "time"], "left").withColumn("__h", F.coalesce(F.last("cumulative_hazard", ignorenulls=True).over(upto), F.lit(0.0)))
-    on = (F.col(time) + F.lit(0.0)) == F.col("__t")
-    for s in strata:
-        on = on & F.col(s).eqNullSafe(F.col(f"__{s}"))
-    table = filled.select(*(F.col(s).alias(f"__{s}") for s in strata), F.col("time").alias("__t"), "__h")
-    return scored.join(table, on).withColumn("gradient", F.col(event) - F.col("__w") * F.col("__h")).drop("__w", "__h", "__t", *(f"__{s}" for s in strata))
-
-
 @dataclass
 class BoostedCox:
-    """Gradient boosting of one cause; ``staged`` keeps the score after the requested numbers of trees."""
+    """Gradient boosting of one cause over all rows; ``staged`` gives the score after the requested numbers of trees."""
 
     columns: Sequence[str]
     trees: int = 50
     depth: int = 2
     rate: float = 0.1
     min_instances: int = 20
-    fitted: list = field(default_factory=list)
 
     def fit(self, rows: DataFrame, event: Column, every: int = 10) -> BoostedCox:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.regression import DecisionTreeRegressor
-
-        assemble = VectorAssembler(inputCols=list(self.columns), outputCol="features", handleInvalid="keep")
-        data = stage(assemble.transform(rows.withColumn("event", event.cast("double")).withColumn("score", F.lit(0.0)).withColumn("stratum", F.lit("all"))).select("features", "time", "event", "score", "stratum"), "boost")
-        tree = DecisionTreeRegressor(maxDepth=self.depth, minInstancesPerNode=self.min_instances, labelCol="gradient", featuresCol="features", predictionCol="step")
-        for k in range(self.trees):
-            model = tree.fit(cox_gradient(data))
-            self.fitted.append(model)
-            data = model.transform(data).withColumn("score", F.col("score") + self.rate * F.col("step")).drop("step")
-            if (k + 1) % every == 0:
-                data = stage(data, "boost")
+        gates = {"fit_min_unique_events": 0, "baseline_min_unique_events": 0}
+        self.model = BoostedHazards(self.columns, "__all", self.trees, self.depth, self.rate, self.min_instances, gates=gates, causes={"event": 1})
+        self.model.fit(rows.withColumns({"event": F.coalesce(event, F.lit(False)).cast("int"), "__all": F.lit("all"), "__one": F.lit(1)}), "__one")
         return self
 
     def staged(self, rows: DataFrame, at: Sequence[int] | None = None) -> DataFrame:
         """Adds ``score_<k>`` for every requested number of trees, from one pass over the trees."""
-        from pyspark.ml.feature import VectorAssembler
-
-        wanted = set(at or [len(self.fitted)])
-        out = VectorAssembler(inputCols=list(self.columns), outputCol="__features", handleInvalid="keep").transform(rows).withColumn("__score", F.lit(0.0))
-        for k, model in enumerate(self.fitted, 1):
-            m = model.copy()
-            m.setFeaturesCol("__features").setPredictionCol("__step")
-            out = m.transform(out).withColumn("__score", F.col("__score") + self.rate * F.col("__step")).drop("__step")
-            if k in wanted:
-                out = out.withColumn(f"score_{k}", F.col("__score"))
-        return out.drop("__features", "__score")
+        stages = list(at or [self.trees])
+        out = self.model.staged_scores(rows.withColumn("__all", F.lit("all")), stages)
+        return out.withColumns({f"score_{k}": F.col("scores")[i][0] for i, k in enumerate(stages)}).drop("scores", "__all")
 
 
 def log_effect(rows: DataFrame, column: str, event: Column) -> tuple[float, float]:
@@ -147,7 +112,7 @@ def formal_calibration(rows: DataFrame, knots: Sequence[float], points: int = 40
     known = rows.filter("w > 0").withColumns(dict(zip(names, basis, strict=True)))
     assemble = VectorAssembler(inputCols=names, outputCol="features")
     model = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", weightCol="w", predictionCol="observed", regParam=1e-8).fit(assemble.transform(known.select("y", "w", *names)))
-    quantiles = rows.agg(F.percentile(pred, [(i + 0.5) / points for i in range(points)]).alias("q")).select(F.explode("q").alias(pred))
+    quantiles = exact_quantiles(rows, {"pred": F.col(pred)}, [(i + 0.5) / points for i in range(points)]).select(F.explode("q").alias(pred))
     return model.transform(assemble.transform(quantiles.withColumns(dict(zip(names, basis, strict=True))))).select(F.col(pred).alias("predicted"), "observed")
 
 

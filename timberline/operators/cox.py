@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.staging import prefix_sum, stage
+from timberline.operators.staging import last_before, prefix_sum, stage
 from timberline.operators.survival import nelson_aalen
 
 GATES = {"fit_min_unique_events": 30, "baseline_min_unique_events": 5, "min_at_risk": 10}
@@ -134,6 +134,16 @@ def fit_cox(rows: DataFrame, columns: Sequence[str], event: Column, **options) -
     return fit_cox_causes(rows, columns, [event], **options)[0]
 
 
+def baseline_on_grid(baseline: DataFrame, group: Sequence[str], grid: Sequence[float]) -> DataFrame:
+    """(group columns, ``h``): the cumulative hazard at each grid point, by one merge sort of the grid with the steps."""
+    points = F.array(*(F.lit(float(x) + 1e-12) for x in grid))
+    marks = baseline.select(*group).distinct().withColumn("time", F.explode(points))
+    steps = baseline.select(*group, F.col("time").cast("double").alias("time"), "cumulative_hazard")
+    found = last_before(marks, steps, group, "time", "cumulative_hazard", "h")
+    at = F.struct("time", F.coalesce("h", F.lit(0.0)).alias("h"))
+    return found.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(at)), lambda x: x["h"]).alias("h"))
+
+
 def linear_predictor(fit: CoxFit, means: dict[str, float] | None = None) -> Column:
     out = F.lit(0.0)
     for c, b in zip(fit.columns, fit.beta, strict=True):
@@ -218,15 +228,11 @@ class CauseSpecificCox:
     def hazards(self, rows: DataFrame, grid: Sequence[float]) -> DataFrame:
         """Adds one array per cause, the cumulative hazard on the grid, and ``support``; unsupported rows get NULL, never 0."""
         out = rows.withColumn("support", self.support(rows))
-        points = F.array(*(F.lit(float(x)) for x in grid))
         for name, m in self.models.items():
             if m.baseline is None:
                 out = out.withColumn(name, F.lit(None).cast("array<double>"))
                 continue
-            # the baseline on the grid: a row per stratum
-            steps = m.baseline.groupBy(self.stratum).agg(F.sort_array(F.collect_list(F.struct("time", "cumulative_hazard"))).alias("steps"))
-            on_grid = F.transform(points, lambda g: F.coalesce(F.array_max(F.transform(F.filter("steps", lambda s: s["time"] <= g + 1e-12), lambda s: s["cumulative_hazard"])), F.lit(0.0)))
-            base = stage(steps.select(F.col(self.stratum).alias("__s"), on_grid.alias("__h")), "grid")
+            base = baseline_on_grid(m.baseline, [self.stratum], grid).select(F.col(self.stratum).alias("__s"), F.col("h").alias("__h"))
             risk = F.exp(linear_predictor(m.fit, self.means)) if m.fit else F.lit(1.0)
             out = out.join(base, F.col(self.stratum) == F.col("__s"), "left").withColumn(name, F.when(F.col("support") == "", F.transform("__h", lambda h: h * risk))).drop("__s", "__h")  # noqa: B023
         return out

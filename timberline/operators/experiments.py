@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from timberline.functions import rules
 from timberline.operators import adjudicate as adj
 from timberline.operators import asof, cif, cox, landmark, metrics, resample, survival
-from timberline.operators.staging import stage
+from timberline.operators.staging import quantile_table, stage
 from timberline.schema import years_between
 
 
@@ -105,8 +105,7 @@ def score_status(requests: DataFrame, patients: DataFrame, studies: DataFrame, e
     prediction_time_invalid or ok, with the current stage."""
     keyed = requests.select(patient, "prediction_date").distinct().withColumn("request_id", F.concat_ws("@", F.col(patient).cast("string"), F.col("prediction_date").cast("string")))
     r = keyed.select("request_id", F.col(patient).alias("__p"), "prediction_date")
-    own = lambda df, date: df.join(r, (F.col(patient) == F.col("__p")) & (F.col(date) <= F.col("prediction_date"))).drop(patient, "__p", "prediction_date")
-    s, e, m = own(studies, "date"), own(exposures, "start_date"), own(mechanism_events, "date")
+    s, e, m = _as_of(studies, r, "date", patient), _as_of(exposures, r, "start_date", patient), _as_of(mechanism_events, r, "date", patient)
     p = patients.join(r, F.col(patient) == F.col("__p")).select("request_id", "implant_date", "prediction_date")
     key = "request_id"
     reference = asof.select_reference(s, p, patient=key)
@@ -126,7 +125,7 @@ def request_features(requests: DataFrame, patients: DataFrame, studies: DataFram
     keyed = requests.select(patient, "prediction_date").distinct()
     key = F.concat_ws("@", F.col(patient).cast("string"), F.col("prediction_date").cast("string"))
     r = keyed.withColumn("request_id", key).withColumnRenamed(patient, "__p")
-    own = studies.join(r.select("request_id", "__p", "prediction_date"), (F.col(patient) == F.col("__p")) & (F.col("date") <= F.col("prediction_date"))).drop(patient, "__p", "prediction_date")
+    own = _as_of(studies, r.select("request_id", "__p", "prediction_date"), "date", patient)
     p = r.join(patients, F.col("__p") == F.col(patient)).drop("__p")
     staged = adj.staged_studies(own, asof.select_reference(own, p, patient="request_id"), "request_id")
     series = landmark.series_features(staged, patient="request_id")
@@ -163,21 +162,34 @@ def score_requests(requests: DataFrame, tables: Mapping[str, DataFrame], model:
 
 def what_if(requests: DataFrame, tables: Mapping[str, DataFrame], study: Mapping[str, Column] | None = None, days_before: int = 30, exposure: Mapping[str, Column] | None = None, patient: str = "patient_id") -> dict[str, DataFrame]:
     """The tables with a hypothetical study per request, and a hypothetical change of exposure: episodes in use stop at the
-    request's time and the new one starts there. Score both sets of tables to see the difference."""
+    request's time and the new one starts there. Score both sets of tables to see the difference.
+
+    Rows with a date in ``only_at`` are seen by the request of that date alone (:func:`score_status` and
+    :func:`request_features` heed it), so that requests of one patient do not see each other's changes.
+    """
     out = dict(tables)
+    asked = requests.select(patient, "prediction_date").distinct()
     if study:
-        extra = requests.select(patient, F.date_sub("prediction_date", days_before).alias("date"), F.lit(1 << 60).cast("long").alias("seq"), *(v.alias(k) for k, v in study.items()))
-        out["studies"] = tables["studies"].unionByName(extra, allowMissingColumns=True)
+        extra = asked.select(patient, F.date_sub("prediction_date", days_before).alias("date"), F.lit(1 << 60).cast("long").alias("seq"), F.col("prediction_date").alias("only_at"), *(v.alias(k) for k, v in study.items()))
+        out["studies"] = tables["studies"].withColumn("only_at", F.lit(None).cast("date")).unionByName(extra, allowMissingColumns=True)
     if exposure:
-        at = requests.groupBy(F.col(patient).alias("__p")).agg(F.max("prediction_date").alias("__at"))
-        stopped = tables["exposures"].join(at, F.col(patient) == F.col("__p"), "left")
-        running = F.coalesce((F.col("start_date") < F.col("__at")) & (F.col("stop_date").isNull() | (F.col("stop_date") > F.col("__at"))), F.lit(False))
-        stopped = stopped.withColumn("stop_date", F.when(running, F.col("__at")).otherwise(F.col("stop_date"))).drop("__p", "__at")
-        new = at.select(F.col("__p").alias(patient), F.col("__at").alias("start_date"), F.lit(1 << 60).cast("long").alias("seq"), *(v.alias(k) for k, v in exposure.items()))
+        own = tables["exposures"].join(asked.select(F.col(patient).alias("__p"), F.col("prediction_date").alias("only_at")), F.col(patient) == F.col("__p"), "left").drop("__p")
+        running = F.coalesce((F.col("start_date") < F.col("only_at")) & (F.col("stop_date").isNull() | (F.col("stop_date") > F.col("only_at"))), F.lit(False))
+        stopped = own.withColumn("stop_date", F.when(running, F.col("only_at")).otherwise(F.col("stop_date")))
+        new = asked.select(patient, F.col("prediction_date").alias("start_date"), F.lit(1 << 60).cast("long").alias("seq"), F.col("prediction_date").alias("only_at"), *(v.alias(k) for k, v in exposure.items()))
         out["exposures"] = stopped.unionByName(new, allowMissingColumns=True)
     return out
 
 
+def _as_of(rows: DataFrame, requests: DataFrame, date: str, patient: str) -> DataFrame:
+    """The rows each request may see: dated on or before it, and not made for another request. ``requests`` has request_id,
+    __p and prediction_date."""
+    seen = (F.col(patient) == F.col("__p")) & (F.col(date) <= F.col("prediction_date"))
+    if "only_at" in rows.columns:
+        seen = seen & (F.col("only_at").isNull() | (F.col("only_at") == F.col("prediction_date")))
+    return rows.join(requests, seen).drop(patient, "__p", "prediction_date", "only_at")
+
+
 def implant_time_risk(model: cox.CauseSpecificCox, patients: DataFrame, grid: Sequence[float], horizon: float, valve_age_years: float = 0.25, key: str = "patient_id") -> DataFrame:
     """(key, risk) at a fixed valve age, as at the reference study; NULL where the model does not support the patient."""
     rows = patients.withColumn("valve_age_years", F.lit(float(valve_age_years)))
@@ -197,7 +209,7 @@ def visit_weights(rows: DataFrame, covariates: Sequence[str], patient: str = "pa
     scored = glm.fit(VectorAssembler(inputCols=list(covariates), outputCol="features").transform(d)).transform(VectorAssembler(inputCols=list(covariates), outputCol="features").transform(d))
     base = d.agg((F.sum("visit") / F.sum("gap")).alias("rate")).first()["rate"]
     raw = scored.withColumn("raw", F.lit(float(base or 0.0)) * F.col("gap") / F.col("expected"))
-    lo, hi = raw.agg(F.percentile("raw", [0.01, 0.99])).first()[0]
+    lo, hi = quantile_table(raw, {"raw": F.col("raw")}, [0.01, 0.99])["raw"]
     return raw.withColumn("visit_weight", F.greatest(F.least("raw", F.lit(hi)), F.lit(lo))).drop("features", "raw", "expected", "log_gap")
 
 
@@ -275,33 +287,55 @@ def observation_sensitivity(tables: Mapping[str, DataFrame], steps: Mapping[str,
     return results, dropped
 
 
-def nested_tuning(rows: DataFrame, columns: Sequence[str], grid: Mapping[str, Sequence], causes: Mapping[str, int], horizons: Sequence[float], folds: int = 3, seed: int = 0, tol: float = 1e-6, patient: str = "patient_id", stratum: str = "route") -> tuple[DataFrame, DataFrame]:
-    """Inner patient folds for boosted hazards: every (depth, trees, rate) is fitted without a fold and scored on it, by the mean
-    Brier score over folds, causes and horizons. Returns the simplest setting within ``tol`` of the best, and the scores.
-
-    One fit per (fold, cause, depth, rate) serves all numbers of trees by its staged scores.
+def _known_at(rows: DataFrame, horizons: Sequence[float], causes: Mapping[str, int]) -> DataFrame:
+    """(row_id, horizon, w, y per cause): outcomes of the same rows at each horizon, weighted by one censoring curve."""
+    rows = stage(rows.select("row_id", "time", "event"), "able")
+    censoring = stage(survival.kaplan_meier(rows, of="c"), "censoring")
+    out = None
+    for tau in horizons:
+        known = survival.with_ipcw(rows, tau, [], next(iter(causes.values())), censoring=censoring)
+        y = [((F.col("time") <= tau) & (F.col("event") == code)).cast("double").alias(f"y_{n}") for n, code in causes.items()]
+        one = known.select("row_id", F.lit(float(tau)).alias("horizon"), "w", *y)
+        out = one if out is None else out.unionByName(one)
+    return stage(out, "known")
+
+
+def nested_tuning(
+    rows: DataFrame, columns: Sequence[str], grid: Mapping[str, Sequence], causes: Mapping[str, int], horizons: Sequence[float], folds: int = 3, seed: int = 0, tol: float = 1e-6, patient: str = "patient_id",
+    stratum: str = "route", gates: dict | None = None, times: Sequence[float] | None = None, min_instances: int = 20,
+) -> tuple[DataFrame, DataFrame]:
+    """Inner patient folds for boosted hazards: every (depth, trees, rate) is fitted without a fold and scored on the fold's
+    supported rows, by the mean Brier score of the competing-risk probabilities over folds, causes and horizons. Returns the
+    simplest setting within ``tol`` of the best, and the scores.
+
+    One fit per (fold, depth, rate) serves all numbers of trees: at each stage the baselines are computed anew. ``times`` is the
+    grid on which hazards are combined (default: quarters of a year and the horizons). A grid of one setting is not scored.
     """
-    from timberline.operators.boost import BoostedCox
+    from timberline.operators.boosted import BoostedHazards
 
-    folded = stage(rows.join(resample.patient_folds(rows, folds, seed, patient), patient), "tuning")
     trees = sorted(grid["trees"])
+    spark = rows.sparkSession
+    schema = "depth int, trees int, rate double, mean_brier double, scored_cells long"
+    if len(trees) * len(grid["depth"]) * len(grid["rate"]) == 1:
+        table = spark.createDataFrame([(grid["depth"][0], trees[0], float(grid["rate"][0]), None, 0)], schema)
+        return table, table
+    times = list(times or sorted({0.0, *map(float, horizons), *(k / 4 for k in range(1, int(4 * max(horizons)) + 1))}))
+    folded = stage(rows.join(resample.patient_folds(rows, folds, seed, patient), patient), "tuning")
     cells = None
     for k in range(folds):
         train, test = folded.filter(F.col("fold") != k), folded.filter(F.col("fold") == k)
-        for cause, code in causes.items():
-            known = {tau: stage(survival.with_ipcw(test, tau, [stratum], code), "known") for tau in horizons}
-            for depth in grid["depth"]:
-                for rate in grid["rate"]:
-                    model = BoostedCox(list(columns), trees=trees[-1], depth=depth, rate=rate).fit(train, F.col("event") == code)
-                    base = stage(survival.nelson_aalen(model.staged(train, trees).withColumns({f"__r{t}": F.exp(f"score_{t}") for t in trees}), [stratum], f"__r{trees[-1]}", code), "baseline")
-                    for tau in horizons:
-                        scored = asof.step_lookup(model.staged(known[tau], trees), F.lit(float(tau)), base, [stratum], 0.0, value="cumulative_hazard", out="__h0")
-                        loss = lambda t: F.sum(F.col("w") * (F.col("y") - (1 - F.exp(-F.col("__h0") * F.exp(f"score_{t}")))) ** 2) / F.count("*")
-                        parts = F.array(*(F.struct(F.lit(t).alias("trees"), loss(t).alias("brier")) for t in trees))
-                        one = scored.agg(parts.alias("x")).select(F.lit(depth).alias("depth"), F.lit(float(rate)).alias("rate"), F.inline("x"))
-                        cells = one if cells is None else cells.unionByName(one)
-    table = stage(cells, "cells").groupBy("depth", "trees", "rate").agg(F.avg("brier").alias("mean_brier"), F.count("*").alias("scored_cells"))
-    table = stage(table, "table")
+        known = None
+        for depth in grid["depth"]:
+            for rate in grid["rate"]:
+                model = BoostedHazards(list(columns), stratum, trees[-1], depth, rate, min_instances, gates=gates or dict(cox.GATES), causes=dict(causes)).fit(train, patient)
+                if known is None:  # support follows from events and strata, not from the setting
+                    known = _known_at(test.filter(model.support() == ""), horizons, causes)
+                scored = known.join(model.probabilities(test, times, horizons, trees), ["row_id", "horizon"])
+                losses = F.array(*(F.sum(F.col("w") * (F.col(f"y_{c}") - F.col(c)) ** 2) / F.count("*") for c in causes))
+                one = scored.groupBy("trees", "horizon").agg(losses.alias("losses")).select(F.lit(depth).alias("depth"), "trees", F.lit(float(rate)).alias("rate"), F.explode("losses").alias("brier"))
+                one = stage(one, "cells")
+                cells = one if cells is None else cells.unionByName(one)
+    table = stage(cells.groupBy("depth", "trees", "rate").agg(F.avg("brier").alias("mean_brier"), F.count("*").alias("scored_cells")), "table")
     return simplest_within(table, "mean_brier", ["depth", "trees", "rate"], tol), table
 
 

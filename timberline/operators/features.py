@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.operators.staging import exact_quantiles, quantile_table
+
 #: Knot quantiles of restricted cubic splines (fixed values).
 RCS_QUANTILES = {3: (0.10, 0.50, 0.90), 4: (0.05, 0.35, 0.65, 0.95), 5: (0.05, 0.275, 0.50, 0.725, 0.95)}
 
@@ -59,25 +61,26 @@ class FeaturePipeline:
     levels: dict[str, list[str]] = field(default_factory=dict)
 
     def fit(self, rows: DataFrame) -> FeaturePipeline:
-        """Two passes for all numeric features together, one per categorical feature."""
-        first = [x for f in self.numeric for x in (F.percentile(f, 0.5).alias(f"med_{f}"), F.count(f).alias(f"n_{f}"))] + [F.count(f).alias(f"n_{f}") for f in self.binary]
-        r = rows.agg(F.count("*").alias("n"), *first).first()
+        """Two passes of moments and two of quantiles for all numeric features together, one pass per categorical feature."""
+        r = rows.agg(F.count("*").alias("n"), *(F.count(f).alias(f"n_{f}") for f in (*self.numeric, *self.binary))).first()
+        medians = quantile_table(rows, {f: F.col(f) for f in self.numeric}, [0.5]) if self.numeric else {}
         for f in self.numeric:
             if not r[f"n_{f}"]:
                 raise ValueError(f"feature {f!r} has no training value; exclude it before fitting")
-            self.medians[f] = float(r[f"med_{f}"])
+            self.medians[f] = medians[f][0]
         self.gaps = {f for f in (*self.numeric, *self.binary) if r[f"n_{f}"] < r["n"]}
         filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(self.medians[f])) for f in self.numeric}
         if self.numeric:
             quantiles = [i / (self.n_knots - 1) for i in range(self.n_knots)]
             parts = [x for f, v in filled.items() for x in (F.avg(v).alias(f"m_{f}"), F.stddev_pop(v).alias(f"s_{f}"))]
-            parts += [x for f in self.spline for x in (F.countDistinct(filled[f]).alias(f"d_{f}"), F.percentile(filled[f], quantiles).alias(f"q_{f}"))]
+            parts += [F.countDistinct(filled[f]).alias(f"d_{f}") for f in self.spline]
+            knots = quantile_table(rows, {f: filled[f] for f in self.spline}, quantiles) if self.spline else {}
             r = rows.agg(*parts).first()
             for f in self.numeric:
                 sd = r[f"s_{f}"]
                 self.scales[f] = (0.0, 1.0) if self.tree else (float(r[f"m_{f}"]), float(sd) if sd > 1e-9 else 1.0)
             for f in self.spline:
-                edges = sorted(set(map(float, r[f"q_{f}"])))
+                edges = sorted(set(knots[f]))
                 if not self.tree and r[f"d_{f}"] > self.n_knots + 2 and len(edges) > 1:
                     self.knots[f] = edges
         for f in self.categorical:
@@ -142,7 +145,8 @@ def resolve_features(blocks: Mapping[str, Sequence[str]], wanted: Sequence[str],
 
 def reference_profile(rows: DataFrame, numeric: Sequence[str], discrete: Sequence[str]) -> DataFrame:
     """Median per numeric and most frequent value (smallest of ties) per discrete feature, as (feature, value)."""
-    medians = rows.agg(F.array(*(F.struct(F.lit(f).alias("feature"), F.percentile(f, 0.5).cast("string").alias("value")) for f in numeric)).alias("x")).select(F.inline("x"))
+    found = exact_quantiles(rows, {f: F.col(f) for f in numeric}, [0.5]).select(F.col("name").alias("feature"), F.col("q")[0].cast("string").alias("value"))
+    medians = rows.sparkSession.createDataFrame([(f,) for f in numeric], "feature string").join(found, "feature", "left")
     long = rows.select(F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in discrete)))).filter("value is not null")
     modes = long.groupBy("feature", "value").agg(F.count("*").alias("n")).groupBy("feature").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
     return medians.unionByName(modes)

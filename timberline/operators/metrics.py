@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.staging import broadcast_if_small, equal_keys, prefix_sum, stage
+from timberline.operators.staging import broadcast_if_small, equal_keys, exact_quantiles, prefix_sum, stage
 
 EPS_LOGIT = 1e-6
 
@@ -27,7 +27,9 @@ def logit(p: Column) -> Column:
 def weight_summary(rows: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Effective sample size, largest and 99th percentile positive weight, rows without weight."""
     pos = F.when(F.col("w") > 0, F.col("w"))
-    return rows.groupBy(*group).agg((F.sum(pos) ** 2 / F.sum(pos**2)).alias("ess"), F.max(pos).alias("max_w"), F.percentile(pos, 0.99).alias("p99_w"), F.sum((F.col("w") == 0).cast("long")).alias("n_zero"))
+    sums = rows.groupBy(*group).agg((F.sum(pos) ** 2 / F.sum(pos**2)).alias("ess"), F.max(pos).alias("max_w"), F.sum((F.col("w") == 0).cast("long")).alias("n_zero"))
+    p99 = exact_quantiles(rows, {"w": pos}, [0.99], group).select(*(F.col(g).alias(f"__{g}") for g in group), F.col("q")[0].alias("p99_w"))
+    return sums.join(p99, equal_keys(group, [f"__{g}" for g in group]), "left").select(*group, "ess", "max_w", "p99_w", "n_zero")
 
 
 def brier(rows: DataFrame, marginal: DataFrame, group: Sequence[str] = (), weight: str | None = None, pred: str = "pred") -> DataFrame:
@@ -117,8 +119,8 @@ def slope_on_probability(rows: DataFrame, group: Sequence[str] = (), pred: str =
 def quantile_bins(rows: DataFrame, bins: int, group: Sequence[str] = (), pred: str = "pred") -> DataFrame:
     """Adds ``bin``: the interval between distinct prediction quantiles a row falls into."""
     rows, keys = _keyed(rows, group)
-    edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile(pred, [i / bins for i in range(bins + 1)])).alias("__edges"))
-    edges = edges.select(*(F.col(k).alias(f"__{k}") for k in keys), "__edges")
+    edges = exact_quantiles(rows, {"pred": F.col(pred)}, [i / bins for i in range(bins + 1)], keys)
+    edges = edges.select(*(F.col(k).alias(f"__{k}") for k in keys), F.array_distinct("q").alias("__edges"))
     on = equal_keys(keys, [f"__{k}" for k in keys])
     edges = broadcast_if_small(edges, name="edges")
     at = F.size(F.filter("__edges", lambda e: e <= F.col(pred))) - 1
@@ -248,14 +250,19 @@ def policy_summary(results: DataFrame) -> DataFrame:
     """Surveillance policies, for all and by route: crossers, detections, delay, early positives, studies per 1,000 years."""
     crosser = F.coalesce((F.col("crossing") > F.col("t0")) & (F.col("crossing") < F.col("t_end")), F.lit(False))
     true_ = crosser & F.coalesce(F.col("detect") >= F.col("crossing"), F.lit(False))
+    results = stage(results, "policies")
     d = results.withColumn("crosser", crosser).withColumn("true_detection", true_).withColumn("delay", F.when(true_, (F.col("detect") - F.col("crossing")) * 12)).withColumn("early", F.col("detect").isNotNull() & ~true_)
     n = lambda c: F.sum(F.col(c).cast("long"))
     years = F.sum("surveillance_years")
     out = d.rollup("policy", "route").agg(
         F.grouping("route").alias("__all"), F.grouping("policy").alias("__none"), F.count("*").alias("patients"), years.alias("patient_years"), F.sum("n_echoes").alias("echoes"), (1000 * F.sum("n_echoes") / years).alias("echoes_per_1000py"),
-        n("crosser").alias("crossers"), n("true_detection").alias("detected"), F.percentile("delay", 0.5).alias("delay_median_months"), F.percentile("delay", 0.9).alias("delay_p90_months"), n("early").alias("early_positives"), (100 * F.avg((F.col("alerts") > 0).cast("double"))).alias("patients_alerted_pct"),
+        n("crosser").alias("crossers"), n("true_detection").alias("detected"), n("early").alias("early_positives"), (100 * F.avg((F.col("alerts") > 0).cast("double"))).alias("patients_alerted_pct"),
     )
-    return out.filter("__none = 0").withColumn("route", F.when(F.col("__all") == 1, "all").otherwise(F.col("route"))).drop("__all", "__none")
+    out = out.filter("__none = 0").withColumn("route", F.when(F.col("__all") == 1, "all").otherwise(F.col("route"))).drop("__all", "__none")
+    by = d.select("policy", F.explode(F.array(F.lit("all"), F.col("route"))).alias("route"), "delay")
+    delays = exact_quantiles(by, {"delay": F.col("delay")}, [0.5, 0.9], ["policy", "route"])
+    delays = delays.select(F.col("policy").alias("__p"), F.col("route").alias("__r"), F.col("q")[0].alias("delay_median_months"), F.col("q")[1].alias("delay_p90_months"))
+    return out.join(delays, equal_keys(["policy", "route"], ["__p", "__r"]), "left").drop("__p", "__r")
 
 
 def paired_policies(results: DataFrame, policy: str, reference: str, group: Sequence[str] = (), patient: str = "patient_id") -> DataFrame:
@@ -268,10 +275,13 @@ def paired_policies(results: DataFrame, policy: str, reference: str, group: Sequ
     both, n = F.col("a.hit") & F.col("b.hit"), lambda c: F.sum(c.cast("long"))
     lead = F.when(both, (F.col("b.detect") - F.col("a.detect")) * 12)
     rate = lambda s: 1000 * F.sum(f"{s}.n_echoes") / F.sum(f"{s}.surveillance_years")
-    return a.join(b, patient).groupBy(*group).agg(
+    pairs = stage(a.join(b, patient), "pairs")
+    median = exact_quantiles(pairs, {"lead": lead}, [0.5], group).select(*(F.col(g).alias(f"__{g}") for g in group), F.col("q")[0].alias("lead_median_months"))
+    out = pairs.groupBy(*group).agg(
         F.count("*").alias("patients"), n(both).alias("both_detected"), n(F.col("a.hit") & ~F.col("b.hit")).alias("only_policy"), n(~F.col("a.hit") & F.col("b.hit")).alias("only_reference"),
-        F.avg(lead).alias("lead_mean_months"), F.percentile(lead, 0.5).alias("lead_median_months"), (rate("a") - rate("b")).alias("extra_echoes_per_1000py"),
+        F.avg(lead).alias("lead_mean_months"), (rate("a") - rate("b")).alias("extra_echoes_per_1000py"),
     )
+    return out.join(median, equal_keys(group, [f"__{g}" for g in group]), "left").drop(*(f"__{g}" for g in group))
 
 
 def visit_schedule(patients: DataFrame, base: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,22 +66,62 @@ def last_before(marks: DataFrame, knots: DataFrame, group: Sequence[str], time:
     return joined.select(*group, time, F.coalesce("__own", "__c")["__v"].alias(out))
 
 
+def ranged(df: DataFrame, group: Sequence[str], order: str, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of group and order, with the number of its range as ``__part``, and written: a file may be read
+    back in other splits, the number stays. Ties of group and order may not be spread, so ``order`` is distinct in a group."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(df.repartitionByRange(n, *group, order).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
+def within(group: Sequence[str], order: str, backward: bool = False, before: bool = False):
+    """A window over a range's own rows of a group up to the row at hand, or up to the one before it."""
+    w = Window.partitionBy("__part", *group).orderBy(F.desc(order) if backward else F.asc(order))
+    return w.rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+
+
+def carried(ranged_rows: DataFrame, totals: DataFrame, group: Sequence[str], carries: dict[str, Callable], backward: bool = False) -> DataFrame:
+    """Joins to each row what the ranges before its own hand over. ``totals`` has one row per range and group; ``carries`` are
+    taken in order over the window of a group's earlier ranges (with ``backward``, of its later ones), so that one may use
+    another."""
+    w = Window.partitionBy(*group).orderBy(F.desc("__part") if backward else F.asc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    for name, value in carries.items():
+        totals = totals.withColumn(name, value(w))
+    side = totals.select(F.col("__part").alias("__q"), *(F.col(g).alias(f"__{g}") for g in group), *carries)
+    return ranged_rows.join(side, (F.col("__part") == F.col("__q")) & equal_keys(group, [f"__{g}" for g in group])).drop("__q", *(f"__{g}" for g in group))
+
+
 def prefix_sum(df: DataFrame, group: Sequence[str], order: str, values: dict[str, str], partitions: int | None = None) -> DataFrame:
     """Sums over the rows before and including each row, per group and in the order of ``order`` (unique within a group).
 
     Rows are range-partitioned by group and order; each partition is summed on its own and the totals of earlier
     partitions (one row per partition and group) are added, so a group may span any number of tasks.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the range partitions are numbered before they are written, since a file may be read back in other splits
-    ranged = stage(df.repartitionByRange(n, *group, order).withColumn("__part", F.spark_partition_id()), "ranged")
-    local = Window.partitionBy("__part", *group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(*group, "__part").agg(*(F.sum(v).alias(f"__t_{k}") for k, v in values.items()))
-    totals = totals.select(F.col("__part").alias("__q"), *(F.col(g).alias(f"__{g}") for g in group), *(F.coalesce(F.sum(f"__t_{k}").over(earlier), F.lit(0)).alias(f"__b_{k}") for k in values))
-    on = F.col("__part") == F.col("__q")
-    for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    summed = ranged.select("*", *(F.sum(v).over(local).alias(f"__s_{k}") for k, v in values.items())).join(totals, on)
+    rows = ranged(df, group, order, partitions)
+    totals = rows.groupBy(*group, "__part").agg(*(F.sum(v).alias(f"__t_{k}") for k, v in values.items()))
+    before = {f"__b_{k}": (lambda w, k=k: F.coalesce(F.sum(f"__t_{k}").over(w), F.lit(0))) for k in values}
+    summed = carried(rows.select("*", *(F.sum(v).over(within(group, order)).alias(f"__s_{k}") for k, v in values.items())), totals, group, before)
     return summed.select(*df.columns, *((F.col(f"__s_{k}") + F.col(f"__b_{k}")).alias(k) for k in values))
+
+
+def exact_quantiles(rows: DataFrame, columns: Mapping[str, Column], probabilities: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """(group columns, ``name``, ``n``, ``q``): linearly interpolated quantiles of every named column, exact, nulls left out.
+
+    Values are counted, their counts summed along range partitions, and the values at the wanted ranks picked out: no task
+    holds the distinct values of a group, and all groups, columns and probabilities go together.
+    """
+    named = F.array(*(F.struct(F.lit(k).alias("name"), (c.cast("double") + F.lit(0.0)).alias("value")) for k, c in columns.items()))
+    counts = rows.select(*group, F.inline(named)).filter("value is not null").groupBy(*group, "name", "value").agg(F.count("*").alias("__n"))
+    keys = [*group, "name"]
+    upto = prefix_sum(counts, keys, "value", {"__upto": "__n"})
+    sizes = upto.groupBy(*keys).agg(F.max("__upto").alias("n")).select(*(F.col(k).alias(f"__{k}") for k in keys), "n")
+    sized = upto.join(sizes, equal_keys(keys, [f"__{k}" for k in keys]))
+    at = lambda r: F.max(F.when((F.col("__upto") > r) & (F.col("__upto") - F.col("__n") <= r), F.col("value")))
+    places = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
+    picked = sized.groupBy(*keys, "n").agg(*(x for i, p in enumerate(places) for x in (at(F.floor(p)).alias(f"__l{i}"), at(F.ceil(p)).alias(f"__h{i}"))))
+    value = lambda i, p: F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (p - F.floor(p))
+    return picked.select(*keys, "n", F.array(*(value(i, p) for i, p in enumerate(places))).alias("q"))
+
+
+def quantile_table(rows: DataFrame, columns: Mapping[str, Column], probabilities: Sequence[float]) -> dict[str, list[float]]:
+    """Exact quantiles of whole columns, on the driver: one list per column that has a value."""
+    return {r["name"]: list(r["q"]) for r in exact_quantiles(rows, columns, probabilities).collect()}

@@ -1,44 +1,69 @@
-"""Survival estimators on distinct-time tables: counts per group and time are aggregated first, windows then run over
-distinct times only, so their size is bounded by the number of distinct days."""
+"""Survival estimators on distinct-time tables.
+
+Counts per group and time are aggregated first. The table of times is dealt by ranges of (group, time); windows run within a
+range, and what a range begins with (numbers at risk, survival, incidence, hazard) is combined from one row per earlier range
+and group. So neither a group nor the number of its distinct times is bounded by a task.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.operators.asof import step_lookup
+from timberline.operators.staging import carried, ranged, within
 
 TIME_TOL = 1e-9
 
 
 def time_table(rows: DataFrame, group: Sequence[str], time: str = "time", event: str = "event", causes: Sequence[int] = (1, 2, 3), weight: str | None = None) -> DataFrame:
-    """Per group and distinct time: at_risk, d (events of any cause), c (censored) and d<k> per cause."""
+    """Per group and distinct time: at_risk, d (events of any cause), c (censored) and d<k> per cause. ``__part`` numbers the
+    range of (group, time) a row lies in."""
     w = F.lit(1.0) if weight is None else F.col(weight)
     # -0.0 would be a distinct group key from 0.0
     t = F.col(time) + F.lit(0.0)
     add = lambda condition: F.sum(F.when(condition, w).otherwise(0.0))
     counts = rows.groupBy(*group, t.alias("time")).agg(F.sum(w).alias("n"), add(F.col(event) != 0).alias("d"), add(F.col(event) == 0).alias("c"), *(add(F.col(event) == k).alias(f"d{k}") for k in causes))
-    later = Window.partitionBy(*group).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("at_risk", F.sum("n").over(later)).drop("n")
+    return _at_risk(ranged(counts, group, "time"), group, "n").drop("n")
+
+
+def _at_risk(table: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Adds ``at_risk``: the sum of ``value`` at this time and later ones, in the row's range and in later ranges."""
+    totals = table.groupBy(*group, "__part").agg(F.sum(value).alias("__t"))
+    own = table.withColumn("__own", F.sum(value).over(within(group, "time", backward=True)))
+    out = carried(own, totals, group, {"__after": lambda w: F.coalesce(F.sum("__t").over(w), F.lit(0.0))}, backward=True)
+    return out.withColumn("at_risk", F.col("__own") + F.col("__after")).drop("__own", "__after")
 
 
 def kaplan_meier(rows: DataFrame, group: Sequence[str] = (), time: str = "time", event: str = "event", of: str = "d") -> DataFrame:
-    """Steps (group, time, at_risk, d, survival). ``of="c"`` estimates the censoring distribution."""
-    table = time_table(rows, group, time, event).filter(F.col(of) > 0)
-    upto = Window.partitionBy(*group).orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table.select(*group, "time", "at_risk", F.col(of).alias("d"), F.product(1 - F.col(of) / F.col("at_risk")).over(upto).alias("survival"))
+    """Steps (group, time, at_risk, d, survival). ``of="c"`` estimates the censoring distribution.
+
+    A range of times multiplies its own factors; the products of a group's earlier ranges are handed over.
+    """
+    table = time_table(rows, group, time, event).filter(F.col(of) > 0).withColumn("__f", 1 - F.col(of) / F.col("at_risk"))
+    totals = table.groupBy(*group, "__part").agg(F.product("__f").alias("__t"))
+    own = table.withColumn("__own", F.product("__f").over(within(group, "time")))
+    out = carried(own, totals, group, {"__before": lambda w: F.coalesce(F.product("__t").over(w), F.lit(1.0))})
+    return out.select(*group, "time", "at_risk", F.col(of).alias("d"), (F.col("__before") * F.col("__own")).alias("survival"))
 
 
 def aalen_johansen(rows: DataFrame, group: Sequence[str] = (), causes: Sequence[int] = (1, 2, 3), time: str = "time", event: str = "event", weight: str | None = None) -> DataFrame:
-    """Steps (group, time, survival, cif<k>): cumulative incidence per cause and the event-free probability."""
-    table = time_table(rows, group, time, event, causes, weight).filter(F.col("d") > 0)
-    w = Window.partitionBy(*group).orderBy("time")
-    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    factor = 1 - F.col("d") / F.col("at_risk")
-    table = table.withColumn("before", F.coalesce(F.product(factor).over(before), F.lit(1.0))).withColumn("survival", F.product(factor).over(upto))
-    return table.select(*group, "time", "survival", *(F.sum(F.col("before") * F.col(f"d{k}") / F.col("at_risk")).over(upto).alias(f"cif{k}") for k in causes))
+    """Steps (group, time, survival, cif<k>): cumulative incidence per cause and the event-free probability.
+
+    A range of times sums itself up as its survival factor S and its incidence F from survival 1; ranges combine as
+    (S1, F1)(S2, F2) = (S1 S2, F1 + S1 F2), so what a range begins with follows from the sums of the earlier ones.
+    """
+    table = time_table(rows, group, time, event, causes, weight).filter(F.col("d") > 0).withColumn("__f", 1 - F.col("d") / F.col("at_risk"))
+    upto = within(group, "time")
+    first = F.coalesce(F.product("__f").over(within(group, "time", before=True)), F.lit(1.0))
+    table = table.withColumn("__s", F.product("__f").over(upto)).withColumns({f"__i{k}": first * F.col(f"d{k}") / F.col("at_risk") for k in causes})
+    totals = table.groupBy(*group, "__part").agg(F.product("__f").alias("__ts"), *(F.sum(f"__i{k}").alias(f"__t{k}") for k in causes))
+    carries = {"__bs": lambda w: F.coalesce(F.product("__ts").over(w), F.lit(1.0))}
+    carries |= {f"__b{k}": (lambda w, k=k: F.coalesce(F.sum(F.col("__bs") * F.col(f"__t{k}")).over(w), F.lit(0.0))) for k in causes}
+    out = carried(table.withColumns({f"__c{k}": F.sum(f"__i{k}").over(upto) for k in causes}), totals, group, carries)
+    return out.select(*group, "time", (F.col("__bs") * F.col("__s")).alias("survival"), *((F.col(f"__b{k}") + F.col("__bs") * F.col(f"__c{k}")).alias(f"cif{k}") for k in causes))
 
 
 def at_horizons(curve: DataFrame, group: Sequence[str], horizons: Sequence[float], groups: DataFrame, causes: Sequence[int] = (1, 2, 3)) -> DataFrame:
@@ -57,16 +82,18 @@ def nelson_aalen(rows: DataFrame, group: Sequence[str] = (), risk: str | None =
     w = F.lit(1.0) if risk is None else F.col(risk)
     hit = (F.col(event) != 0) if cause is None else (F.col(event) == cause)
     table = rows.groupBy(*group, (F.col(time) + F.lit(0.0)).alias("time")).agg(F.sum(w).alias("w"), F.sum(hit.cast("double")).alias("d"))
-    later = Window.partitionBy(*group).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = Window.partitionBy(*group).orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table.withColumn("r", F.sum("w").over(later)).filter("d > 0").select(*group, "time", F.sum(F.col("d") / F.col("r")).over(upto).alias("cumulative_hazard"))
+    table = _at_risk(ranged(table, group, "time"), group, "w").filter("d > 0").withColumn("__h", F.col("d") / F.col("at_risk"))
+    totals = table.groupBy(*group, "__part").agg(F.sum("__h").alias("__t"))
+    own = table.withColumn("__own", F.sum("__h").over(within(group, "time")))
+    out = carried(own, totals, group, {"__before": lambda w: F.coalesce(F.sum("__t").over(w), F.lit(0.0))})
+    return out.select(*group, "time", (F.col("__own") + F.col("__before")).alias("cumulative_hazard"))
 
 
 def followup_support(rows: DataFrame, k: int, group: Sequence[str] = (), time: str = "time") -> DataFrame:
     """The k-th largest observed time per group (0 with fewer rows), from counts per distinct time."""
-    counts = rows.groupBy(*group, time).agg(F.count("*").alias("n"))
-    later = Window.partitionBy(*group).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("seen", F.sum("n").over(later)).groupBy(*group).agg(F.coalesce(F.max(F.when(F.col("seen") >= k, F.col(time))), F.lit(0.0)).alias("support_time"))
+    counts = rows.groupBy(*group, (F.col(time) + F.lit(0.0)).alias("time")).agg(F.count("*").alias("n"))
+    seen = _at_risk(ranged(counts, group, "time"), group, "n")
+    return seen.groupBy(*group).agg(F.coalesce(F.max(F.when(F.col("at_risk") >= k, F.col("time"))), F.lit(0.0)).alias("support_time"))
 
 
 def event_free(time: Column, event: Column, tau: float) -> Column:

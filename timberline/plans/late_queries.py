@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions import rules
-from timberline.operators import boost, cox, experiments, landmark, metrics, profile, survival
-from timberline.operators.staging import stage
+from timberline.operators import boost, boosted, cox, experiments, landmark, metrics, profile, survival
+from timberline.operators.staging import quantile_table, stage
 from timberline.plans.bindings import ROLES, role, with_roles
 from timberline.plans.cohort_queries import _ALL, _RECORDS, _STAGED, _elig_sql, events_of, landmarks_of, staged_of, written_staged_of
 from timberline.plans.model_queries import _DRAWS, _G, _RANKS, _W, TAU, scored
@@ -22,6 +22,26 @@ def i9_i10_boosted_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.staged(rows, [5, 10]).select("row_id", "score_5", "score_10")
 
 
+def boosted_model(spark: SparkSession, sf_dir: str, trees: int = 300) -> boosted.BoostedHazards:
+    """All causes and routes, trees of depth two."""
+    gates = {"fit_min_unique_events": 20, "baseline_min_unique_events": 1}
+    return boosted.BoostedHazards(["pred", "pred2", "valve_age_years"], trees=trees, gates=gates).fit(role(spark, sf_dir, "surv"))
+
+
+@query()
+def i9_boosted_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative hazards of every cause after 300 trees, at three horizons, and what supports them."""
+    out = boosted_model(spark, sf_dir).hazards(role(spark, sf_dir, "surv"), [0.0, 1.0, 3.0, 5.0])
+    return out.select("row_id", "support", *(F.col(c)[k].alias(f"{c}_{k}") for c in ("svd", "death", "replacement") for k in (1, 2, 3)))
+
+
+@query()
+def i10_staged_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State probabilities after 50 and 100 of 100 trees, from one fit."""
+    grid = [0.25 * k for k in range(21)]
+    return boosted_model(spark, sf_dir, 100).probabilities(role(spark, sf_dir, "surv"), grid, [1.0, 3.0], [50, 100])
+
+
 @query()
 def i8_univariable_log_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = role(spark, sf_dir, "surv").withColumn("tavr", (F.col("route") == "TAVR").cast("double"))
@@ -35,7 +55,7 @@ def i6_i7_h8_offset_marker_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = role(spark, sf_dir, "surv")
     base = cox.fit_cox(rows, ["valve_age_years"], F.col("event") == 1, strata=F.col("route"))
     measured = rows.filter("row_id % 3 > 0").withColumn("cum", F.col("valve_age_years") / 10)
-    knots = measured.agg(F.percentile("pred2", [0.1, 0.5, 0.9])).first()[0]
+    knots = quantile_table(measured, {"pred2": F.col("pred2")}, [0.1, 0.5, 0.9])["pred2"]
     table, columns = boost.marker_terms(measured, "pred2", "cum", knots)
     fit = boost.offset_model(table, columns, cox.linear_predictor(base), F.col("event") == 1, strata=F.col("route"))
     each = cox.contributions(fit, {})
@@ -78,7 +98,7 @@ def i18_secondary_outcome_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def k8_formal_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
-    knots = rows.agg(F.percentile(metrics.logit(F.col("pred")), [0.1, 0.5, 0.9])).first()[0]
+    knots = quantile_table(rows, {"pred": metrics.logit(F.col("pred"))}, [0.1, 0.5, 0.9])["pred"]
     return boost.formal_calibration(rows, knots)
 
 
@@ -135,18 +155,20 @@ def k17_landmark_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("population", "threshold", r6("brier"), r6("net_benefit"), r6("alert_rate"))
 
 
+#: The smallest tables hold few events.
+_FEW = {**cox.GATES, "fit_min_unique_events": 10, "baseline_min_unique_events": 1}
+
+
 @query()
 def l7_simplest_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosting settings by their mean Brier score over two inner patient folds, and which of them is chosen."""
     rows = role(spark, sf_dir, "surv")
-    chosen, table = experiments.nested_tuning(rows, ["pred", "valve_age_years"], {"trees": [1, 2], "depth": [1], "rate": [0.1]}, {"svd": 1}, [TAU], folds=2)
+    chosen, table = experiments.nested_tuning(rows, ["pred", "valve_age_years"], {"trees": [1, 2], "depth": [1], "rate": [0.1]}, {"svd": 1}, [TAU], folds=2, gates=_FEW)
     picked = chosen.select(F.col("trees").alias("t"), F.col("depth").alias("d"), F.col("rate").alias("r"))
     same = (F.col("trees") == F.col("t")) & (F.col("depth") == F.col("d")) & (F.col("rate") == F.col("r"))
     return table.join(picked, same, "left").select("depth", "trees", "rate", "mean_brier", "scored_cells", F.col("t").isNotNull().alias("chosen"))
 
 
-#: The smallest tables hold few events.
-_FEW = {**cox.GATES, "fit_min_unique_events": 10, "baseline_min_unique_events": 1}
 
 
 def _features() -> dict[str, Column]:
@@ -254,7 +276,7 @@ def l6_observation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l8_marker_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a marker measured on two thirds of the rows adds to valve age, out of fold."""
     rows = role(spark, sf_dir, "surv").withColumn("cum", F.col("valve_age_years") / 10)
-    knots = rows.agg(F.percentile("pred2", [0.1, 0.5, 0.9])).first()[0]
+    knots = quantile_table(rows, {"pred2": F.col("pred2")}, [0.1, 0.5, 0.9])["pred2"]
     return experiments.marker_increment(rows, ["valve_age_years"], lambda d: boost.marker_columns(d, "pred2", "cum", knots), F.col("row_id") % 3 > 0, [TAU], folds=2, replicates=20)
 
 

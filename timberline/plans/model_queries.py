@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.operators import aggregates, cif, cox, features, metrics, resample, survival
+from timberline.operators.staging import quantile_table
 from timberline.plans.bindings import role, with_roles
 from timberline.plans.cohort_queries import _AJ
 from timberline.plans.registry import query, r6
@@ -261,7 +262,7 @@ l1 as {_next_degree(1)}, l2 as {_next_degree(2)}, l3 as {_next_degree(3)}
 select row_id, round(x, 6) as b0, {_RCS.format(k=1)} as b1, {_RCS.format(k=2)} as b2, {", ".join(f"round(l[{i}], 6) as b{i + 1}" for i in range(2, 7))} from l3""")
 def h4_h7_spline_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = role(spark, sf_dir, "surv")
-    knots = rows.agg(F.percentile("pred", list(features.RCS_QUANTILES[4]))).first()[0]
+    knots = quantile_table(rows, {"pred": F.col("pred")}, features.RCS_QUANTILES[4])["pred"]
     basis = features.rcs_basis(F.col("pred"), knots) + features.bspline_basis(F.col("pred"), knots)
     return rows.select("row_id", *(r6(b, f"b{i}") for i, b in enumerate(basis)))
 
