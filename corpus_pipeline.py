@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm import line_dedup, near_dup, packing, quality
 from timberline.llm.common import new_folder
-from timberline.llm.queries import mixture
+from timberline.llm.queries import SITE_RULE, mixture
 
 #: Stages hash and learn in ways SQL does not know; tests hold each stage to a brute-force version.
 ORACLE_SQL = None
@@ -28,7 +28,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Sites of any size are cleaned: a line needs three pages of its own, not its site twenty. Every row stays: a null text stays null, a
     text of boilerplate alone becomes empty; a null source is a site of its own; a line just at the ratio stays; repeated rows are
     cleaned alike; an empty table stays empty."""
-    out = line_dedup.drop_boilerplate(docs, F.col("source"), min_pages=1, min_count=3, copies_once=True)
+    out = line_dedup.drop_boilerplate(docs, F.col("source"), **SITE_RULE)
     return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
