@@ -7,7 +7,8 @@ import timberline.plans.cohort_queries
 import timberline.plans.data_queries
 import timberline.plans.late_queries
 import timberline.plans.model_queries
-import timberline.plans.record_queries  # noqa: F401
+import timberline.plans.record_queries
+import timberline.plans.replicate_queries  # noqa: F401
 from timberline.plans.registry import QUERIES, SQL
 
 

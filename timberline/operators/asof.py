@@ -129,12 +129,6 @@ def exposure_features(points: DataFrame, exposures: DataFrame, patient: str = "p
     return points.join(found, (F.col(patient) == F.col("__q")) & (DAY(F.col(at)) == F.col("__d")), "left").drop("__q", "__d")
 
 
-def flag_within(candidates: DataFrame, intervals: DataFrame, condition: Column, out: str, keys: list[str], patient: str = "patient_id") -> DataFrame:
-    """``out`` is true where an interval of the same patient satisfies ``condition``; intervals come with unique names."""
-    hits = candidates.join(intervals.withColumnRenamed(patient, "__p"), (F.col(patient) == F.col("__p")) & condition, "left_semi")
-    return candidates.join(hits.select(*keys).distinct().withColumn(out, F.lit(True)), keys, "left").withColumn(out, F.coalesce(out, F.lit(False)))
-
-
 def comparator_pairs(studies: DataFrame, patients: DataFrame, requests: DataFrame, fresh_days: int = 548, patient: str = "patient_id", seq: str = "seq") -> DataFrame:
     """Per request (patient, prediction_date): the reference, the latest study on or before the date, and whether it is
     fresh; then the comparator's verdict."""

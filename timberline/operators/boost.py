@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.operators import cox, metrics, resample
+from timberline.operators import replicates as replicates_
 from timberline.operators.boosted import BoostedHazards
 from timberline.operators.features import rcs_basis
 from timberline.operators.staging import exact_quantiles, stage
-from timberline.operators.survival import kaplan_meier, nelson_aalen
+from timberline.operators.survival import nelson_aalen
 
 
 @dataclass
@@ -66,20 +67,37 @@ def offset_model(rows: DataFrame, columns: Sequence[str], offset: Column, event:
     return cox.fit_cox(measured, columns, event, strata=strata, offset=offset, penalizer=penalizer) if n >= least_rows and d >= least_events else None
 
 
-def bootstrap_wald(rows: DataFrame, fit: cox.CoxFit, event: Column, replicates: int, seed: int = 0, strata: Column | None = None, offset: Column | None = None, penalizer: float = 0.05, patient: str = "patient_id") -> dict:
-    """Wald statistic with the covariance of patient bootstraps (whole histories drawn together)."""
+def bootstrap_wald(rows: DataFrame, columns: Sequence[str], event: Column, replicates: int, seed: int = 0, strata: Column | None = None, offset: Column | None = None, penalizer: float = 0.05, patient: str = "patient_id", least: int = 20) -> dict:
+    """Wald statistic of all ``columns`` with the covariance of patient bootstraps (whole histories drawn together), its p value, and
+    standard errors; all replicates take their Newton steps together. None with fewer than ``least`` usable replicates."""
     import numpy as np
 
-    drawn = stage(rows.join(resample.bootstrap_weights(rows, replicates, seed, patient), patient), "wald")
-    betas = []
-    for rep in range(replicates):
-        one = drawn.filter(F.col("rep") == rep)
-        if one.filter(event).limit(5).count() >= 5:
-            betas.append(cox.fit_cox(one, fit.columns, event, strata=strata, offset=offset, weight=F.col("k"), penalizer=penalizer, max_iter=25, tol=1e-6).beta)
-    if len(betas) < 2:
-        return {"statistic": None, "n_ok": len(betas)}
-    v = np.atleast_2d(np.cov(np.asarray(betas), rowvar=False))
-    return {"statistic": float(fit.beta @ np.linalg.pinv(v) @ fit.beta), "n_ok": len(betas), "se": np.sqrt(np.clip(np.diag(v), 0, None)).tolist()}
+    drawn = rows.join(resample.bootstrap_lists(rows, replicates, seed, patient), patient)
+    beta, ok = replicates_.fit_replicates(drawn, columns, event, replicates, strata, offset, penalizer)
+    draws = beta[1:][ok[1:]]
+    if len(draws) < least:
+        return {"statistic": None, "p_value": None, "n_ok": len(draws)}
+    v = np.atleast_2d(np.cov(draws, rowvar=False))
+    statistic = float(beta[0] @ np.linalg.pinv(v) @ beta[0])
+    return {"statistic": statistic, "p_value": chi2_tail(statistic, len(beta[0])), "n_ok": len(draws), "se": np.sqrt(np.clip(np.diag(v), 0, None)).tolist(), "beta": beta[0].tolist()}
+
+
+def chi2_tail(x: float, df: int) -> float:
+    """Upper tail of the chi-squared distribution: finite sums for whole degrees of freedom."""
+    import math
+
+    h = x / 2
+    if df % 2 == 0:
+        term, total = 1.0, 1.0
+        for k in range(1, df // 2):
+            term *= h / k
+            total += term
+        return math.exp(-h) * total
+    term, total = math.sqrt(h) / math.gamma(1.5), 0.0
+    for k in range(1, (df - 1) // 2 + 1):
+        total += term
+        term *= h / (k + 0.5)
+    return math.erfc(math.sqrt(h)) + math.exp(-h) * total
 
 
 def contrast(rows: DataFrame, predict, column: str, on, off, where: Column) -> DataFrame:
@@ -132,7 +150,3 @@ def annual_rate_targets(rates: DataFrame) -> DataFrame:
     slug = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "_")
     kind = F.when(F.col("horizon_years").isNotNull(), "cumulative_incidence").otherwise("proportion")
     return rates.select(F.concat_ws(":", F.lit("published"), slug(F.col("study")), slug(F.col("outcome")), F.col("horizon_years").cast("string")).alias("target_id"), kind.alias("kind"), slug(F.col("outcome")).alias("variable"), (F.col("percent") / 100).alias("estimate"), "horizon_years", "sample_size", F.lit("proposed").alias("review_status"), F.lit("sensitivity").alias("role"))
-
-
-def censoring_curve(rows: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    return kaplan_meier(rows, group, of="c")

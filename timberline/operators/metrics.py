@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.operators import resample
+from timberline.operators.replicates import replicate_intervals
 from timberline.operators.staging import broadcast_if_small, equal_keys, exact_quantiles, prefix_sum, stage
 
 EPS_LOGIT = 1e-6
@@ -209,6 +211,26 @@ def paired_strategies(rows: DataFrame, threshold: float, status: str = "status",
     return nb.select("population", "strategy", "net_benefit", versus("rule_only").alias("increment_vs_rule"), versus("model_only").alias("increment_vs_model"))
 
 
+def paired_strategy_intervals(rows: DataFrame, threshold: float, replicates: int = 200, seed: int = 0, status: str = "status", risk: str = "pred", patient: str = "patient_id") -> DataFrame:
+    """(contrast, value, low, high): patient-balanced net benefit of the model over the rule, and of either over the model, with
+    patient-bootstrap limits. Each patient's mean is taken first; a replicate averages the patients it drew, each once, since
+    balancing gives a patient weight one however often it is drawn."""
+    common = rows.filter(F.col(status).isin("positive", "negative") & F.col(risk).isNotNull())
+    rule, model = (F.col(status) == "positive").cast("double"), (F.col(risk) >= threshold).cast("double")
+    gain = F.col("w") * (F.col("y") - (1 - F.col("y")) * (threshold / (1 - threshold)))
+    each = stage(common.groupBy(patient).agg(F.avg(gain * (model - rule)).alias("model_minus_rule"), F.avg(gain * (F.greatest(rule, model) - model)).alias("or_minus_model")), "strategies")
+    drawn = each.join(resample.bootstrap_lists(each, replicates, seed, patient), patient).withColumn("rep", F.explode(F.array_distinct("reps")))
+    contrasts = ("model_minus_rule", "or_minus_model")
+    values = drawn.groupBy("rep").agg(*(F.avg(c).alias(c) for c in contrasts))
+    long = values.select("rep", F.inline(F.array(*(F.struct(F.lit(c).alias("contrast"), F.col(c).alias("x")) for c in contrasts))))
+    return replicate_intervals(long, "x", ["contrast"])
+
+
+def discordant_rows(rows: DataFrame, threshold: float, status: str = "status", risk: str = "pred") -> DataFrame:
+    """Rows the rule calls negative and the model positive."""
+    return rows.filter((F.col(status) == "negative") & (F.col(risk) >= threshold))
+
+
 def pairing_coverage(rows: DataFrame, status: str = "status", risk: str = "pred") -> DataFrame:
     rule, model = F.col(status).isin("positive", "negative"), F.col(risk).isNotNull()
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
@@ -284,6 +306,24 @@ def paired_policies(results: DataFrame, policy: str, reference: str, group: Sequ
     return out.join(median, equal_keys(group, [f"__{g}" for g in group]), "left").drop(*(f"__{g}" for g in group))
 
 
+def paired_policy_intervals(results: DataFrame, policy: str, reference: str, replicates: int = 200, seed: int = 0, group: Sequence[str] = (), patient: str = "patient_id") -> DataFrame:
+    """(group columns, contrast, value, low, high, valid): mean lead time in months and extra studies per 1,000 patient-years of one
+    policy over another, with patient-bootstrap limits, from one row of sums per patient."""
+    hit = F.coalesce((F.col("crossing") > F.col("t0")) & (F.col("crossing") < F.col("t_end")) & (F.col("detect") >= F.col("crossing")), F.lit(False))
+    keep = [F.col("detect"), F.col("n_echoes"), F.col("surveillance_years"), hit.alias("hit")]
+    a = results.filter(F.col("policy") == policy).select(patient, *group, F.struct(*keep).alias("a"))
+    b = results.filter(F.col("policy") == reference).select(patient, F.struct(*keep).alias("b"))
+    both = F.col("a.hit") & F.col("b.hit")
+    sums = stage(a.join(b, patient).select(
+        patient, *group, F.when(both, (F.col("b.detect") - F.col("a.detect")) * 12).otherwise(0.0).alias("lead"), both.cast("double").alias("both"),
+        F.col("a.n_echoes").alias("ea"), F.col("b.n_echoes").alias("eb"), F.col("a.surveillance_years").alias("ya"), F.col("b.surveillance_years").alias("yb"),
+    ), "policies")
+    drawn = sums.join(resample.bootstrap_lists(sums, replicates, seed, patient), patient).withColumn("rep", F.explode("reps"))
+    values = drawn.groupBy(*group, "rep").agg(F.when(F.sum("both") > 0, F.sum("lead") / F.sum("both")).alias("lead_mean_months"), (1000 * (F.sum("ea") / F.sum("ya") - F.sum("eb") / F.sum("yb"))).alias("extra_echoes_per_1000py"))
+    long = values.select(*group, "rep", F.inline(F.array(*(F.struct(F.lit(c).alias("contrast"), F.col(c).alias("x")) for c in ("lead_mean_months", "extra_echoes_per_1000py")))))
+    return replicate_intervals(long, "x", [*group, "contrast"])
+
+
 def visit_schedule(patients: DataFrame, base: str) -> DataFrame:
     """Scheduled study times after the reference: yearly, or at 5 and 10 years and then yearly for surgical valves."""
     yearly = F.transform(F.sequence(F.lit(1), F.lit(99)), lambda k: F.col("t0") + k)

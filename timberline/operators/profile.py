@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.staging import stage
+from timberline.operators import resample
+from timberline.operators.replicates import replicate_intervals
+from timberline.operators.staging import exact_quantiles, salted_lookup, stage
 from timberline.schema import DAYS_PER_YEAR
 
 #: Fixed values.
@@ -49,18 +51,31 @@ def admitted_records(observations: DataFrame, accepted: Sequence[str] = ACCEPTED
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node each node of the edges ``(a, b)`` is connected to. Labels pass to neighbours and then
-    jump to their own label's label, so long chains settle in few rounds; ends only when nothing moves."""
-    both = stage(edges.union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct(), "overlaps")
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("label")), "labels")
-    while True:
-        near = stage(both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label")), "near")
-        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("further"))
-        after = stage(near.join(jump, "label").select("a", F.least("label", "further").alias("label")), "labels")
-        moved = after.join(labels.withColumnRenamed("label", "was"), "a").filter("label != was").limit(1).count()
-        labels = after
-        if not moved:
-            return labels.select(F.col("a").alias("node"), "label")
+    """(node, label): the smallest node each node of the edges ``(a, b)`` is connected to, by alternating large and small stars.
+
+    A large star ties a node's larger neighbours to the least of its neighbourhood, a small star its smaller ones and itself;
+    edges only move towards the least node, so their number does not grow, and the rounds are few whatever the length of
+    chains. A node that half of all edges share is dealt to many tasks. Ends when no edge moves.
+    """
+    pairs = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "overlaps")
+    nodes = pairs.select(F.col("a").alias("node")).distinct()
+    tree = stage(pairs.filter("a > b"), "edges")  # from the larger node to the smaller
+    print_of = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first())
+    was = print_of(tree)
+    while was[0]:
+        both = tree.unionAll(tree.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = salted_lookup(both.filter("b > a"), "a", least, F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = stage(large, "large")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = salted_lookup(large, "a", low, F.col("b")).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        tree = stage(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        now = print_of(tree)
+        if now == was:
+            break
+        was = now
+    labels = tree.groupBy("a").agg(F.min("b").alias("label"))
+    return nodes.join(labels.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def first_in_window(observations: DataFrame, persons: DataFrame, window: tuple[int, int] = (-30, 180)) -> DataFrame:
@@ -100,11 +115,41 @@ def baseline_summaries(first: DataFrame, least: int = 30) -> DataFrame:
     return numbers.unionByName(shares).withColumn("support", support)
 
 
-def paired_correlation(first: DataFrame, a: str, b: str) -> DataFrame:
-    x = first.filter(F.col("variable") == a).select("person_id", F.col("value").alias("a"))
-    y = first.filter(F.col("variable") == b).select("person_id", F.col("value").alias("b"))
-    j = x.join(y, "person_id").dropna()
-    return j.agg(F.count("*").alias("n"), F.corr("a", "b").alias("correlation"))
+def bootstrap_errors(first: DataFrame, replicates: int = 200, seed: int = 0, quantiles: Sequence[float] = ()) -> DataFrame:
+    """(variable, kind, statistic, value, se): mean, sd, quantiles and proportions with standard errors over replicates that draw
+    persons. Rows meet the list of their person's replicates and unfold inside a task; moments are summed there per variable
+    and replicate before anything is sent. Quantiles are exact per replicate (values and their counts are dealt by range)."""
+    lists = resample.bootstrap_lists(first, replicates, seed, "person_id")
+    drawn = first.join(lists, "person_id").withColumn("rep", F.explode("reps"))
+    keys = ["variable", "kind"]
+    numbers = drawn.filter(F.col("value").isNotNull())
+    moments = numbers.groupBy(*keys, "rep").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    parts = moments.select(*keys, "rep", F.inline(F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).alias("x")) for s in ("mean", "sd")))))
+    if quantiles:
+        q = exact_quantiles(numbers, {"value": F.col("value")}, quantiles, [*keys, "rep"])
+        each = F.array(*(F.struct(F.lit(f"quantile:{p:g}").alias("statistic"), F.col("q")[i].alias("x")) for i, p in enumerate(quantiles)))
+        parts = parts.unionByName(q.select(*keys, "rep", F.inline(each)))
+    levels = drawn.filter(F.col("value").isNull() & F.col("value_text").isNotNull()).groupBy(*keys, "value_text", "rep").agg(F.count("*").alias("k"))
+    sizes = levels.groupBy(*keys, "rep").agg(F.sum("k").alias("n"))
+    known = levels.filter("rep = 0").select(*keys, "value_text")  # a level may be missing from a replicate: its share is 0 there
+    shares = known.join(sizes, keys).join(levels, [*keys, "value_text", "rep"], "left")
+    parts = parts.unionByName(shares.select(*keys, "rep", F.concat(F.lit("proportion:"), F.col("value_text")).alias("statistic"), (F.coalesce("k", F.lit(0)) / F.col("n")).alias("x")))
+    return _errors(parts, [*keys, "statistic"])
+
+
+def _errors(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    x = F.when(F.col("rep") > 0, F.col("x"))
+    return values.groupBy(*keys).agg(F.max(F.when(F.col("rep") == 0, F.col("x"))).alias("value"), F.stddev_samp(x).alias("se"), F.count(x).alias("valid"))
+
+
+def correlation_error(first: DataFrame, a: str, b: str, replicates: int = 200, seed: int = 0) -> DataFrame:
+    """(n, correlation, se, low, high) of two variables over the persons that have both, with person-bootstrap error and limits."""
+    pair = first.filter(F.col("variable").isin(a, b)).groupBy("person_id").agg(F.max(F.when(F.col("variable") == a, F.col("value"))).alias("a"), F.max(F.when(F.col("variable") == b, F.col("value"))).alias("b")).dropna()
+    pair = stage(pair, "pairs")
+    drawn = pair.join(resample.bootstrap_lists(pair, replicates, seed, "person_id"), "person_id").withColumn("rep", F.explode("reps"))
+    values = stage(drawn.groupBy("rep").agg(F.corr("a", "b").alias("x"), F.count("*").alias("n")), "correlations")
+    out = _errors(values, []).select(F.col("value").alias("correlation"), "se")
+    return values.filter("rep = 0").select("n").crossJoin(F.broadcast(out)).crossJoin(F.broadcast(replicate_intervals(values, "x").select("low", "high")))
 
 
 def person_slopes(observations: DataFrame, least_span: float = 0.5) -> DataFrame:
@@ -196,10 +241,10 @@ def study_group_weights(targets: DataFrame, cap: float = 1.0) -> DataFrame:
     groups = targets.select(F.col("study_group_id").alias("a"), F.explode_outer("overlapping_groups").alias("b"))
     labels = connected(groups.select("a", F.coalesce("b", "a").alias("b")))
     w = F.coalesce("weight", F.lit(1.0))
-    j = targets.join(labels.select(F.col("node").alias("study_group_id"), "label"), "study_group_id")
+    j = salted_lookup(targets, "study_group_id", labels.select(F.col("node").alias("study_group_id"), "label"), F.col("target_id"))
     totals = j.groupBy("label").agg(F.sum(w).alias("__total"))
     share = F.when(F.col("__total") > 0, w / F.col("__total") * cap).otherwise(0.0)
-    return j.join(totals, "label").select("target_id", F.col("label").alias("component"), share.alias("share"))
+    return salted_lookup(j, "label", totals, F.col("target_id")).select("target_id", F.col("label").alias("component"), share.alias("share"))
 
 
 def expand_curve_targets(targets: DataFrame, curves: DataFrame) -> DataFrame:

@@ -50,9 +50,24 @@ def bootstrap_weights(ids: DataFrame, replicates: int, seed: int = 0, patient: s
     return draws.groupBy("rep", "rank").agg(F.count("*").alias("k")).join(ranks, "rank").select("rep", patient, "k")
 
 
+def bootstrap_lists(ids: DataFrame, replicates: int, seed: int = 0, patient: str = "patient_id") -> DataFrame:
+    """(patient, reps): the replicates, from 1, that draw a patient, once for each draw, and 0 for the sample itself. The draws are
+    those of :func:`bootstrap_weights`; a patient stays one row."""
+    ranks = stage(patient_ranks(ids, seed, patient), "ranks")
+    n = ranks.count()
+    own = F.array(F.lit(0))
+    if not n or not replicates:
+        return ranks.select(patient, own.alias("reps"))
+    draws = ids.sparkSession.range(replicates * n).select(((F.col("id") / n).cast("int") + 1).alias("rep"), (F.conv(F.substring(seeded(seed + 1, F.col("id")), 1, 15), 16, 10).cast("long") % n).alias("rank"))
+    lists = draws.groupBy("rank").agg(F.collect_list("rep").alias("drawn"))  # as many entries as replicates on average
+    return stage(ranks.join(lists, "rank", "left").select(patient, F.concat(own, F.coalesce("drawn", F.array().cast("array<int>"))).alias("reps")), "reps")
+
+
 def bootstrap(rows: DataFrame, metric: Callable[[DataFrame, list[str], str], DataFrame], replicates: int, seed: int = 0, patient: str = "patient_id") -> DataFrame:
-    """Evaluate ``metric(rows, group columns, weight column)`` for all replicates as one grouped job: column ``rep``."""
-    drawn = rows.join(bootstrap_weights(rows, replicates, seed, patient), patient)
+    """Evaluate ``metric(rows, group columns, weight column)`` for all replicates as one grouped job: column ``rep``. Rows meet the
+    list of their patient's replicates and unfold inside a task, before a grouped metric's first sums."""
+    lists = bootstrap_lists(rows, replicates, seed, patient)
+    drawn = rows.join(lists, patient).withColumn("rep", F.explode("reps")).filter("rep > 0").withColumn("rep", F.col("rep") - 1).drop("reps").withColumn("k", F.lit(1).cast("long"))
     return metric(drawn, ["rep"], "k")
 
 

@@ -36,6 +36,15 @@ def broadcast_if_small(df: DataFrame, most: int = 100_000, name: str = "side") -
     return F.broadcast(written) if written.limit(most + 1).count() <= most else written
 
 
+def salted_lookup(rows: DataFrame, key: str, table: DataFrame, salt: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (unique by ``key``) that deals the rows of a frequent key to many tasks: the table meets
+    one row per key and salt, and these meet the rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(n)))
+    meeting = salted.select(key, "__salt").distinct().join(table, key)
+    return salted.join(meeting, [key, "__salt"]).drop("__salt")
+
+
 def equal_keys(left: Sequence[str], right: Sequence[str]) -> Column:
     """Join condition over key columns; nulls are equal to each other."""
     on = F.lit(True)
