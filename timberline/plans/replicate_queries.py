@@ -51,8 +51,8 @@ def k9_auc_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(replicates.replicate_intervals(replicates.auc_replicates(drawn, REPLICATES, ["route"]), "auc", ["route"]), "route", name="auc")
 
 
-@query(_W + f""", cm as (select *, {_STATUS} as status from scored), c2 as (select *, (status = 'positive')::int as r, (pred >= 0.3)::int as m, w * (y - (1 - y) * 0.3::double / 0.7::double) as g from cm where status <> 'indeterminate'),
-each as (select patient_id, avg(g * (m - r)) as a, avg(g * (greatest(r, m) - m)) as b from c2 group by patient_id), {_drawn_sql("each", "patient_id")},
+@query(_W + f""", cm as (select *, {_STATUS} as status from scored), c2 as (select *, (status = 'positive')::int as r, (pred >= 0.3)::int as m, w * (y - (1 - y) * 0.3::double / 0.7::double) as gain from cm where status <> 'indeterminate'),
+each as (select patient_id, avg(gain * (m - r)) as a, avg(gain * (greatest(r, m) - m)) as b from c2 group by patient_id), {_drawn_sql("each", "patient_id")},
 v as (select rep, avg(a) as a, avg(b) as b from each join drawn using (patient_id) group by rep), l as (select rep, 'model_minus_rule' as contrast, a as x from v union all select rep, 'or_minus_model', b from v)
 select contrast, round(max(x) filter (where rep = 0), 6) as value, """ + _LIMITS.format(x="x") + " from l group by contrast")
 def k13_strategy_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def k13_discordant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POLICIES = with_roles("surv") + """, a as (select row_id, route, valve_age_years as t0, valve_age_years + 6 as t_end, valve_age_years + pred * 8 as crossing, case when row_id % 3 > 0 then valve_age_years + pred2 * 9 end as da, case when row_id % 4 > 0 then valve_age_years + pred2 * 9.5::double + 0.2::double end as db, 1 + row_id % 6 as na, 1 + row_id % 5 as nb, 1 + pred as yrs from surv),
-h as (select *, (coalesce(crossing > t0 and crossing < t_end and da >= crossing, false) and coalesce(crossing > t0 and crossing < t_end and db >= crossing, false))::int as both from a)"""
+h as (select *, (coalesce(crossing > t0 and crossing < t_end and da >= crossing, false) and coalesce(crossing > t0 and crossing < t_end and db >= crossing, false))::int as twice from a)"""
 
 
 def policies_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def policies_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-@query(_POLICIES + ", " + _drawn_sql("h", "row_id") + """, v as (select rep, route, sum(k * both * coalesce((db - da) * 12, 0)) / nullif(sum(k * both), 0) as lead, 1000 * (sum(k * na) / sum(k * yrs) - sum(k * nb) / sum(k * yrs)) as extra from h join drawn using (row_id) group by all),
+@query(_POLICIES + ", " + _drawn_sql("h", "row_id") + """, v as (select rep, route, sum(k * twice * coalesce((db - da) * 12, 0)) / nullif(sum(k * twice), 0) as lead, 1000 * (sum(k * na) / sum(k * yrs) - sum(k * nb) / sum(k * yrs)) as extra from h join drawn using (row_id) group by all),
 l as (select rep, route, 'lead_mean_months' as contrast, lead as x from v union all select rep, route, 'extra_echoes_per_1000py', extra from v)
 select route, contrast, round(max(x) filter (where rep = 0), 6) as value, """ + _LIMITS.format(x="x") + " from l group by all")
 def k18_policy_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
