@@ -96,7 +96,7 @@ def test_scores_against_exact_counts(spark, awkward, empty):
     is_held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     rows = [(r["id"]["doc_id"], r["text"]) for r in docs.collect()]
     want = {k: v for k, v in zip(rows, _brute_scores(rows, is_held))}
-    for options in ({"bits": 48}, {"bits": 48, "flush": 3000, "segment_bytes": 20_000}, {}):  # the second: many chunks and segments
+    for options in ({"bits": 48}, {"bits": 48, "flush": 3000, "segment_bytes": 20_000, "broadcast_bytes": -1}, {}):  # the second: many chunks and segments
         report = {}
         out = lm_score.train_and_score(docs, held, "id", report=report, **options).collect()
         assert len(out) == len(rows)
@@ -117,6 +117,23 @@ def test_scores_against_exact_counts(spark, awkward, empty):
     assert len(nothing) == 20 and all(r["n_known"] == 0 == r["train_tokens"] for r in nothing)
 
 
+def test_a_kept_model_scores_unseen_texts_alike_both_ways(spark, awkward):
+    """Broadcast filter and probes sent to its segments read the same bits; training rows scored again keep their scores."""
+    train = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id % 3 > 0")
+    model, trained = lm_score.fit(train, segment_bytes=30_000, flush=4000)
+    assert model.depth > 2 and model.table.count() > 2 and model.bytes > model.facts["filter_bytes"] > 0
+    fresh = awkward.select("doc_id", "text").unionByName(train.limit(40)).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" never-seen the of")))
+    here, sent = ({(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in lm_score.score(fresh, model, broadcast_bytes=b).collect()} for b in (1 << 40, -1))
+    assert here == sent and len(here) >= 80
+    again = {r["doc_id"]: (r["score"], r["base_score"]) for r in lm_score.score(train, model, broadcast_bytes=-1).collect()}
+    for r in trained.collect():
+        assert math.isclose(again[r["doc_id"]][0], r["score"], rel_tol=1e-12) and math.isclose(again[r["doc_id"]][1], r["base_score"], rel_tol=1e-12)
+    assert lm_score.score(train.limit(0), model).count() == 0
+    nothing, _ = lm_score.fit(train.limit(0))
+    for b in (1 << 40, -1):
+        assert all(r["n_known"] == 0 for r in lm_score.score(train.limit(5), nothing, broadcast_bytes=b).collect())
+
+
 def test_a_trained_copy_tells_a_held_out_text_apart(spark):
     """A held-out text whose one copy was trained on scores higher than those without: pairs seen once count."""
     texts = [words(150, 3000 + i) for i in range(120)]
