@@ -109,19 +109,3 @@ def test_lineage(spark):
         profile.admitted_records(spark.createDataFrame([("a", "observed", ["z"])], schema))
     with pytest.raises(profile.SnapshotRejected, match="cycle"):
         profile.admitted_records(spark.createDataFrame([("a", "observed", ["b"]), ("b", "observed", ["a"])], schema))
-
-
-def test_too_many_patterns_are_an_error(spark, monkeypatch):
-    import pytest
-
-    from timberline.operators import text
-    from timberline.sources import registry
-
-    monkeypatch.setattr(text, "MOST_PATTERNS", 1)
-    monkeypatch.setattr(registry, "MOST_PATTERNS", 1)
-    aliases = spark.createDataFrame([("A", "a", False), ("B", "b", False)], "model string, pattern string, guarded boolean")
-    with pytest.raises(ValueError):
-        text.device_matches(spark.createDataFrame([("b",)], "text string"), aliases, ["text"])
-    brands = spark.createDataFrame([("A", "a", 1), ("B", "b", 2)], "model string, pattern string, priority int")
-    with pytest.raises(ValueError):
-        registry.roll_up_devices(None, brands)

@@ -366,10 +366,25 @@ def test_nearest_source_searches_all(spark):
     released = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(q)], "i int, x double, y double")
     sd = s.std(axis=0)
     want = np.sqrt((((q[:, None] - s[None]) / sd) ** 2).sum(axis=2)).min(axis=1)
-    got = {x["i"]: x["distance"] for x in profile.nearest_source(released, source, ["x", "y"], "i", block=100).collect()}
+    got = {x["i"]: x["distance"] for x in profile.nearest_source(released, source, ["x", "y"], "i").collect()}
     assert np.allclose([got[i] for i in range(len(q))], want)
 
 
+def test_nearest_source_in_clusters_and_columns(spark):
+    """Tight clusters, far outliers, repeated points, three columns one of which the grid splits coarsely, and one point alone."""
+    r = np.random.default_rng(10)
+    s = np.r_[r.normal(0, 1e-6, (800, 3)) + [5, 5, 0], r.normal(0, 1, (200, 3)), np.repeat([[9.0, 9.0, 9.0]], 100, axis=0), [[1e4, -1e4, 0.0]]]
+    q = np.r_[s[:20] + 1e-7, r.normal(0, 3, (40, 3)), [[-1e5, 1e5, 3.0], [9.0, 9.0, 9.0]]]
+    source = spark.createDataFrame([tuple(map(float, x)) for x in s], "x double, y double, z double")
+    released = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(q)], "i int, x double, y double, z double")
+    want = np.sqrt((((q[:, None] - s[None]) / s.std(axis=0)) ** 2).sum(axis=2)).min(axis=1)
+    got = {x["i"]: x["distance"] for x in profile.nearest_source(released, source, ["x", "y", "z"], "i").collect()}
+    assert np.allclose([got[i] for i in range(len(q))], want, rtol=1e-9, atol=1e-12)
+    one = profile.nearest_source(released, source.limit(1), ["x"], "i").collect()
+    assert len(one) == len(q) and all(x["distance"] is not None for x in one)
+    assert all(x["distance"] is None for x in profile.nearest_source(released, source.limit(0), ["x"], "i").collect())
+
+
 def test_bootstrap_ratio_is_the_bootstrap_of_rows(spark):
     rows = model_queries.scored(spark, SF)
     loss = F.col("w") * (F.col("y") - F.col("pred")) ** 2

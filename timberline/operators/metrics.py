@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,51 +62,48 @@ def auc(rows: DataFrame, group: Sequence[str] = (), pred: str = "pred") -> DataF
 
 def logistic_calibration(rows: DataFrame, group: Sequence[str] = (), max_iter: int = 50, tol: float = 1e-10, largest: float = 15.0, pred: str = "pred") -> DataFrame:
     """Joint recalibration intercept and slope, and the intercept with the slope fixed at one, by Newton steps whose sums
-    for all groups are one grouped aggregate per iteration."""
+    for all groups are one grouped aggregate per iteration. The state of the groups is a table, too; nulls are a group."""
     rows, keys = _keyed(rows, group)
-    spark = rows.sparkSession
     data = stage(rows.filter(F.col("w") > 0).select(*keys, logit(F.col(pred)).alias("x"), "y", "w"), "calibration")
-    base = {tuple(r[k] for k in keys): r for r in data.groupBy(*keys).agg(F.sum("y").alias("events"), F.count("*").alias("n"), F.var_pop("x").alias("var")).collect()}
-    result = {}
-    for joint in (True, False):
-        beta = {k: np.zeros(2 if joint else 1) for k in base}
-        status = {}
-        for k, r in base.items():
-            if not r["events"]:
-                status[k] = "no_events"
-            elif r["events"] == r["n"]:
-                status[k] = "no_controls"
-            elif joint and r["var"] < 1e-12:
-                status[k] = "no_variation"
-        for _ in range(max_iter):
-            todo = [k for k in base if k not in status]
-            if not todo:
-                break
-            b = spark.createDataFrame([(*k, *map(float, (beta[k][0], beta[k][1] if joint else 1.0))) for k in todo], data.select(*keys).schema.add("b0", "double").add("b1", "double"))
-            mu = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("x"))))
-            g, h = F.col("w") * (F.col("y") - mu), F.col("w") * mu * (1 - mu)
-            sums = data.join(F.broadcast(b), keys).groupBy(*keys).agg(F.sum(g).alias("g0"), F.sum(g * F.col("x")).alias("g1"), F.sum(h).alias("h00"), F.sum(h * F.col("x")).alias("h01"), F.sum(h * F.col("x") ** 2).alias("h11"))
-            for r in sums.collect():
-                k = tuple(r[c] for c in keys)
-                try:
-                    step = np.linalg.solve([[r["h00"], r["h01"]], [r["h01"], r["h11"]]], [r["g0"], r["g1"]]) if joint else np.asarray([r["g0"] / r["h00"]])
-                except (np.linalg.LinAlgError, ZeroDivisionError):
-                    status[k] = "separation"
-                    continue
-                beta[k] = beta[k] + step
-                if not np.isfinite(step).all() or abs(beta[k]).max() > largest:
-                    status[k] = "separation"
-                elif abs(step).max() < tol:
-                    status[k] = "ok"
-        result[joint] = (beta, status)
-    out = []
-    for k, r in base.items():
-        good = lambda j: result[j][1].get(k, "not_converged") == "ok"  # noqa: E731, B023
-        joint_beta = result[True][0][k] if good(True) else (None, None)
-        out.append((*k, *(None if v is None else float(v) for v in joint_beta), float(result[False][0][k][0]) if good(False) else None, result[True][1].get(k, "not_converged"), int(r["events"]), int(r["n"] - r["events"])))
-    schema = data.select(*keys).schema.add("intercept", "double").add("slope", "double").add("intercept_offset", "double").add("status", "string").add("n_events", "long").add("n_controls", "long")
-    found = spark.createDataFrame(out, schema)
-    return found.select(*group, "intercept", "slope", "intercept_offset", "status", "n_events", "n_controls")
+    base = stage(data.groupBy(*keys).agg(F.sum("y").alias("events"), F.count("*").alias("n"), F.var_pop("x").alias("var")), "groups")
+    named = [f"__{k}" for k in keys]
+    joint, fixed = (_newton(data, base, keys, j, max_iter, tol, largest).select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), "b0", "b1", "status") for j in (True, False))
+    good = F.col("j.status") == "ok"
+    out = base.join(joint.alias("j"), equal_keys(keys, [f"j.{n}" for n in named])).join(fixed.alias("f"), equal_keys(keys, [f"f.{n}" for n in named]))
+    return out.select(
+        *group, F.when(good, F.col("j.b0")).alias("intercept"), F.when(good, F.col("j.b1")).alias("slope"), F.when(F.col("f.status") == "ok", F.col("f.b0")).alias("intercept_offset"),
+        F.col("j.status").alias("status"), F.col("events").cast("long").alias("n_events"), (F.col("n") - F.col("events")).cast("long").alias("n_controls"),
+    )
+
+
+def _newton(data: DataFrame, base: DataFrame, keys: Sequence[str], joint: bool, max_iter: int, tol: float, largest: float) -> DataFrame:
+    """(keys, b0, b1, status) of each group's logistic fit; with ``joint`` false the slope stays one."""
+    status = F.when(F.col("events") == 0, "no_events").when(F.col("events") == F.col("n"), "no_controls")
+    if joint:
+        status = status.when(F.col("var") < 1e-12, "no_variation")
+    state = base.select(*keys, F.lit(0.0).alias("b0"), F.lit(0.0 if joint else 1.0).alias("b1"), status.alias("status"))
+    named = [f"__{k}" for k in keys]
+    done = state.filter("status is not null")
+    moving = stage(state.filter("status is null"), "moving")
+    for _ in range(max_iter):
+        if moving.isEmpty():
+            break
+        side = broadcast_if_small(moving.select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), "b0", "b1"), name="state")
+        mu = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("x"))))
+        g, h = F.col("w") * (F.col("y") - mu), F.col("w") * mu * (1 - mu)
+        sums = data.join(side, equal_keys(keys, named)).groupBy(*keys, "b0", "b1").agg(F.sum(g).alias("g0"), F.sum(g * F.col("x")).alias("g1"), F.sum(h).alias("h00"), F.sum(h * F.col("x")).alias("h01"), F.sum(h * F.col("x") ** 2).alias("h11"))
+        det = F.col("h00") * F.col("h11") - F.col("h01") ** 2 if joint else F.col("h00")
+        s0 = (F.col("g0") * F.col("h11") - F.col("g1") * F.col("h01")) / det if joint else F.col("g0") / det
+        s1 = (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / det if joint else F.lit(0.0)
+        steps = sums.withColumn("solvable", det > 0).withColumn("s0", F.when(F.col("solvable"), s0)).withColumn("s1", F.when(F.col("solvable"), s1))
+        b0, b1 = F.col("b0") + F.col("s0"), F.col("b1") + F.col("s1")
+        size = F.greatest(F.abs(b0), F.abs(b1)) if joint else F.abs(b0)
+        broken = ~F.col("solvable") | F.isnan(b0) | F.isnan(b1) | (size > largest)
+        after = F.when(F.coalesce(broken, F.lit(True)), "separation").when(F.greatest(F.abs("s0"), F.abs("s1")) < tol, "ok")
+        both = stage(steps.select(*keys, F.coalesce(b0, F.col("b0")).alias("b0"), F.coalesce(b1, F.col("b1")).alias("b1"), after.alias("status")), "moving")
+        done = done.unionByName(both.filter("status is not null"))
+        moving = both.filter("status is null")
+    return done.unionByName(moving.withColumn("status", F.lit("not_converged")))
 
 
 def slope_on_probability(rows: DataFrame, group: Sequence[str] = (), pred: str = "pred") -> DataFrame:

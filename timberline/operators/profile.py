@@ -304,39 +304,82 @@ def structural_violations(tables: Mapping[str, DataFrame], required: Mapping[str
     return out.unionByName(spark.createDataFrame(missing, "check_name string, n long")) if missing else out
 
 
-def nearest_source(released: DataFrame, source: DataFrame, columns: Sequence[str], key: str, per_cell: int = 8, block: int = 50_000) -> DataFrame:
+#: Bits of the finest grid, and points that a leaf of it should hold at most.
+FINEST_BITS, LEAF_POINTS = 24, 64
+
+
+def nearest_source(released: DataFrame, source: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Per released row the distance to the nearest source row, each column scaled by the source's sd.
 
-    A stated query set (the released rows) against all source rows. Distinct source points lie in a grid over the first two
-    columns, and a released row first meets the cells around its own: a neighbour no farther than a cell is wide is the
-    nearest. Rows without one meet the whole source, block by block, and keep their minimum only.
+    Source points lie in grids that get finer level by level, over up to four columns; a cell knows the box of its points in
+    all columns. A released row starts with the coarsest cells and keeps those whose box can hold a nearer point than the
+    farthest corner of the best box is away; the children of the kept cells are looked up at the next level, down to leaves of
+    few points, which are compared exactly. So a row meets a handful of cells a level, wherever it lies, and never the source.
+    Lookups of a cell that many rows share are dealt to many tasks.
     """
     stats = source.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
     scale = {c: float(stats[c]) if stats[c] and stats[c] > 1e-9 else 1.0 for c in columns}
-    flat = list(columns)[:2]
-    points = stage(source.select(*((F.col(c) / scale[c]).alias(f"__{c}") for c in columns)).distinct(), "points")
-    spans = points.agg(F.count("*").alias("n"), *((F.max(f"__{c}") - F.min(f"__{c}")).alias(c) for c in flat)).first()
-    area = 1.0
-    for c in flat:
-        area *= max(float(spans[c] or 0.0), 1e-9)
-    width = max((area * per_cell / max(spans["n"], 1)) ** (1 / len(flat)), 1e-9)
-    cell = lambda c: F.floor(c / width)
-    rows = released.select(key, *((F.col(c) / scale[c]).alias(c) for c in columns))
-    square = F.lit(0.0)
-    for c in columns:
-        square = square + (F.col(c) - F.col(f"__{c}")) ** 2
-    around = rows
-    for c in flat:
-        around = around.withColumn(f"cell_{c}", F.explode(F.array(*(cell(F.col(c)) + d for d in (-1, 0, 1)))))
-    gridded = points.withColumns({f"cell_{c}": cell(F.col(f"__{c}")) for c in flat})
-    near = around.join(gridded, [f"cell_{c}" for c in flat]).groupBy(key).agg(F.sqrt(F.min(square)).alias("distance"))
-    near = stage(near.filter(F.col("distance") <= width), "near")
-    rest = stage(rows.join(near, key, "left_anti"), "rest")
-    blocks = max(1, -(-spans["n"] // block))
-    blocked = points.withColumn("__b", F.pmod(F.xxhash64(*(f"__{c}" for c in columns)), F.lit(blocks)))
-    asked = rest.withColumn("__rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    far = asked.join(blocked, F.col("__rb") == F.col("__b")).groupBy(key).agg(F.sqrt(F.min(square)).alias("distance"))
-    return near.unionByName(far)
+    flat = list(columns)[:4]
+    points = stage(source.select(*((F.col(c) / scale[c]).alias(c) for c in columns)).dropna().distinct(), "points")
+    spans = points.agg(F.count("*").alias("n"), *(x for c in flat for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")))).first()
+    rows = stage(released.select(F.col(key).alias("__key"), *((F.col(c) / scale[c]).alias(c) for c in columns)), "released")
+    if not spans["n"]:
+        return rows.select(F.col("__key").alias(key), F.lit(None).cast("double").alias("distance"))
+    step = max(1, 4 // len(flat))
+
+    def digit(c: str):
+        width = (float(spans[f"hi_{c}"]) - float(spans[f"lo_{c}"])) or 1.0
+        return F.least(F.floor((F.col(c) - float(spans[f"lo_{c}"])) / width * float(1 << FINEST_BITS)), F.lit((1 << FINEST_BITS) - 1)).cast("long")
+
+    located = stage(points.withColumns({f"__g{i}": digit(c) for i, c in enumerate(flat)}), "located")
+    cell_at = lambda bits: F.concat_ws(":", *(F.shiftright(F.col(f"__g{i}"), FINEST_BITS - bits).cast("string") for i in range(len(flat))))
+    box = F.struct(*(x for c in columns for x in (F.min(c).alias(f"a_{c}"), F.max(c).alias(f"b_{c}"))))
+
+    def cells(bits: int, within: int | None) -> DataFrame:
+        """(parent, children): the cells of a level by the cell they lie in (one parent for the first level)."""
+        parent = F.lit("") if within is None else cell_at(within)
+        boxes = located.groupBy(parent.alias("cell"), cell_at(bits).alias("child")).agg(box.alias("box"))
+        return boxes.groupBy("cell").agg(F.collect_list(F.struct("child", "box")).alias("children"))  # at most 16
+
+    def reach(b, far: bool):
+        """Squared distance from the row to the nearest, or farthest, point of a box."""
+        out = F.lit(0.0)
+        for c in columns:
+            lo, hi = F.col(c) - b[f"a_{c}"], b[f"b_{c}"] - F.col(c)
+            out = out + F.pow(F.greatest(F.abs(lo), F.abs(hi)) if far else F.greatest(-lo, -hi, F.lit(0.0)), F.lit(2.0))
+        return out
+
+    asked = rows.select("__key", *columns, F.array(F.lit("")).alias("kept"))
+    bits, within = step, None
+    while True:
+        open_ = asked.select("__key", *columns, F.explode("kept").alias("cell"))
+        met = salted_lookup(open_, "cell", cells(bits, within), F.col("__key"))
+        each = met.select("__key", *columns, F.transform("children", lambda x: F.struct(x["child"].alias("cell"), reach(x["box"], False).alias("near"), reach(x["box"], True).alias("far"))).alias("found"))
+        merged = each.groupBy("__key", *columns).agg(F.flatten(F.collect_list("found")).alias("found"))
+        bound = F.array_min(F.transform("found", lambda x: x["far"]))
+        asked = stage(merged.select("__key", *columns, F.transform(F.filter("found", lambda x: x["near"] <= bound + 1e-12), lambda x: x["cell"]).alias("kept")), "cells")
+        largest = located.groupBy(cell_at(bits).alias("cell")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if largest <= LEAF_POINTS or bits + step > FINEST_BITS:
+            break
+        bits, within = bits + step, bits
+    leaves = located.groupBy(cell_at(bits).alias("cell")).agg(F.collect_list(F.struct(*columns)).alias("members"))
+    last = salted_lookup(asked.select("__key", *columns, F.explode("kept").alias("cell")), "cell", leaves, F.col("__key"))
+
+    def square(m):
+        out = F.lit(0.0)
+        for c in columns:
+            out = out + F.pow(F.col(c) - m[c], F.lit(2.0))
+        return out
+
+    nearest = last.select("__key", F.array_min(F.transform("members", square)).alias("d")).groupBy("__key").agg(F.sqrt(F.min("d")).alias("distance"))
+    return nearest.select(F.col("__key").alias(key), "distance")
+
+
+def nearest_summary(distances: DataFrame, close: float = 0.1) -> DataFrame:
+    """(rows, share_below, percentile_5): how many released rows lie closer than ``close`` to a source row, and the fifth
+    percentile of the distances."""
+    counts = distances.agg(F.count("*").alias("rows"), F.avg((F.col("distance") < close).cast("double")).alias("share_below"))
+    return counts.crossJoin(F.broadcast(exact_quantiles(distances, {"d": F.col("distance")}, [0.05]).select(F.col("q")[0].alias("percentile_5"))))
 
 
 def rare_combinations(released: DataFrame, source: DataFrame, columns: Sequence[str], least: int = 5) -> DataFrame:

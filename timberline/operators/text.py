@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.operators.patterns import matching, pattern_set
 from timberline.operators.resample import seeded
 from timberline.operators.staging import broadcast_if_small
 
@@ -122,30 +123,23 @@ def note_flags(notes: DataFrame, text: str = "text") -> DataFrame:
     return out
 
 
-#: A reference table of more patterns is an error, never cut.
-MOST_PATTERNS = 5000
-
-
 def device_matches(notes: DataFrame, aliases: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """(keep..., model, specific): models whose patterns a note holds. ``aliases``: model, pattern, guarded. A guarded
-    pattern needs device words, and no record-system words, within 100 characters.
+    """(keep..., model): models whose patterns a note holds. ``aliases``: model, pattern, guarded. A guarded pattern needs device
+    words, and no record-system words, within 100 characters of one of its matches.
 
-    Patterns are a small reference table; the notes are scanned once per pattern by one native expression.
+    The aliases are a reference table of any length: one automaton scans a note for all of them.
     """
-    patterns = [(r["model"], r["pattern"], bool(r["guarded"])) for r in aliases.select("model", "pattern", "guarded").orderBy("model", "pattern").limit(MOST_PATTERNS + 1).collect()]
-    if len(patterns) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} device patterns")
-    t = F.coalesce(F.col(text), F.lit(""))
-    found: dict[str, Column] = {}
-    for model, pattern, guarded in patterns:
-        if guarded:
-            around = F.regexp_extract_all(t, F.lit(rf"(?is)(.{{0,{NEARBY}}}(?:{pattern}).{{0,{NEARBY}}})"), F.lit(1))
-            hit = F.exists(around, lambda a: a.rlike(DEVICE_CONTEXT) & ~a.rlike(RECORD_CONTEXT))
-        else:
-            hit = t.rlike(f"(?i){pattern}")
-        found[model] = found[model] | hit if model in found else hit
-    models = F.array_compact(F.array(*(F.when(hit, F.lit(model)) for model, hit in found.items())))
-    return notes.select(*keep, F.explode(models).alias("model"))
+    listed = [(r["model"], r["pattern"], bool(r["guarded"])) for r in aliases.select("model", "pattern", "guarded").orderBy("model", "pattern").collect()]
+    guarded = [g for _, _, g in listed]
+    device, record = re.compile(DEVICE_CONTEXT), re.compile(RECORD_CONTEXT)
+
+    def accept(i: int, note: str, m: re.Match) -> bool:
+        around = note[max(0, m.start() - NEARBY) : m.end() + NEARBY]
+        return not guarded[i] or (bool(device.search(around)) and not record.search(around))
+
+    names = notes.sparkSession.createDataFrame([(i, m) for i, (m, _, _) in enumerate(listed)], "__i int, model string")
+    found = notes.select(*keep, F.explode(matching(F.coalesce(F.col(text), F.lit("")), [p for _, p, _ in listed], accept)).alias("__i"))
+    return found.join(broadcast_if_small(names, name="models"), "__i").select(*keep, "model").distinct()
 
 
 def most_specific(models: Column) -> Column:
@@ -173,11 +167,12 @@ SPAN = "array<struct<field:string,value:string,start:int,end:int>>"
 
 def spans(text: Column, patterns: Sequence[tuple[str, str, int]]) -> Column:
     """Every match of ``(field, pattern, group)`` with its place: the group's text, and the span of the whole match."""
-    compiled = [(f, re.compile(p, re.IGNORECASE), g) for f, p, g in patterns]
+    fields, groups, expressions = [f for f, _, _ in patterns], [g for _, _, g in patterns], tuple(p for _, p, _ in patterns)
 
     @F.pandas_udf(SPAN)
     def find(notes: pd.Series) -> pd.Series:
-        return notes.map(lambda n: [{"field": f, "value": m[g], "start": m.start(), "end": m.end()} for f, p, g in compiled for m in p.finditer(n or "")])
+        known = pattern_set(expressions)
+        return notes.map(lambda n: [{"field": fields[i], "value": m[groups[i]], "start": m.start(), "end": m.end()} for i in known.candidates(n or "") for m in known.compiled(i).finditer(n or "")])
 
     return find(text)
 
@@ -189,9 +184,7 @@ def extract_passports(notes: DataFrame, aliases: DataFrame, devices: DataFrame,
     route 0.9 or 0.85 from an implant note, 0.7 from the device, 0.5 from a mention; model 0.9, guarded 0.75; size 0.8 within
     ``near`` characters of the device name, 0.6 farther, 0.5 without one.
     """
-    listed = [(r["model"], r["pattern"], bool(r["guarded"])) for r in aliases.select("model", "pattern", "guarded").orderBy("model", "pattern").limit(MOST_PATTERNS + 1).collect()]
-    if len(listed) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} device patterns")
+    listed = [(r["model"], r["pattern"], bool(r["guarded"])) for r in aliases.select("model", "pattern", "guarded").orderBy("model", "pattern").collect()]
     plain = lambda p: p.removeprefix("(?i)")
     wanted = [("transcatheter", plain(TRANSCATHETER), 0), ("surgical", plain(SURGICAL), 0), ("implant_year", IMPLANT_YEAR, 1), ("negated", plain(NEGATED_FIELDS), 0)]
     wanted += [("size", plain(p), 1) for p in SIZE_PATTERNS] + [(f"event:{n}", plain(p), 0) for n, p in EVENT_PATTERNS.items()]
@@ -269,17 +262,58 @@ def note_outcomes(records: DataFrame, failures: DataFrame, patient: str = "patie
     return eligible.join(first, patient, "left").select(patient, "route", (end - F.col("implant_year")).cast("double").alias("time"), F.col("fail_year").isNotNull().cast("int").alias("event"))
 
 
-def merge_extractions(rules: DataFrame, other: DataFrame, fields: Sequence[str], key: str = "note_ref") -> DataFrame:
+def note_outcome_exclusions(records: DataFrame) -> DataFrame:
+    """(reason, n): why records have no note outcome, one reason a record in fixed order; also those kept."""
+    reason = (
+        F.when(F.col("route").isNull() | ~F.col("route").isin("TAVR", "SAVR"), "route_not_unambiguous")
+        .when(F.col("implant_year").isNull(), "no_implant_year")
+        .when(~F.coalesce(F.col("last_note_year") > F.col("implant_year"), F.lit(False)), "no_later_note")
+        .otherwise("kept")
+    )
+    counts = records.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    every = records.sparkSession.createDataFrame([(r,) for r in ("route_not_unambiguous", "no_implant_year", "no_later_note", "kept")], "reason string")
+    return every.join(counts, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def merge_extractions(rules: DataFrame, other: DataFrame, fields: Sequence[str], key: str = "note_ref", events: str | None = None, text: str | None = None) -> DataFrame:
     """Rules first: gaps are filled, agreement raises confidence to 0.95 at least, a conflict keeps the rule with a warning.
-    Both tables have a value and ``<field>_confidence`` per field."""
-    o = other.select(F.col(key).alias("__k"), *(F.col(f).alias(f"__{f}") for f in fields), *(F.col(f"{f}_confidence").alias(f"__{f}_confidence") for f in fields))
-    j = rules.join(o, F.col(key) == F.col("__k"), "full_outer")
+    Both tables have a value and ``<field>_confidence`` per field.
+
+    With ``events`` (arrays of struct(type, quote)) the rules' events stay and the other table's are added where the rules have
+    none of the type. With ``text`` (a column of ``rules``) a quote, of an event or of a filled field (``<field>_quote``), must be
+    found in the note: its span is kept, and what is not found is left out with a warning.
+    """
+    quoted = [f for f in fields if f"{f}_quote" in other.columns] if text else []
+    o = other.select(F.col(key).alias("__k"), *(F.col(f).alias(f"__{f}") for f in fields), *(F.col(f"{f}_confidence").alias(f"__{f}_confidence") for f in fields), *(F.col(f"{f}_quote").alias(f"__{f}_quote") for f in quoted), *([F.col(events).alias("__events")] if events else []))
+    own = rules.withColumnRenamed(events, "__mine") if events else rules
+    j = own.join(o, F.col(key) == F.col("__k"), "full_outer")
     out = [F.coalesce(key, "__k").alias(key)]
     warnings = []
     for f in fields:
         same = F.col(f) == F.col(f"__{f}")
-        out += [F.coalesce(f, f"__{f}").alias(f), F.when(F.col(f).isNull(), F.col(f"__{f}_confidence")).when(same, F.greatest(F.col(f"{f}_confidence"), F.col(f"__{f}_confidence"), F.lit(0.95))).otherwise(F.col(f"{f}_confidence")).alias(f"{f}_confidence")]
+        there, span = F.lit(True), None
+        if f in quoted:
+            span = locate_quote(F.col(text), F.col(f"__{f}_quote"))
+            there = F.col(f"__{f}_quote").isNull() | span.isNotNull()
+            warnings.append(F.when(F.col(f).isNull() & F.col(f"__{f}").isNotNull() & ~there, F.lit(f"quote_not_found:{f}")))
+        filled = F.when(there, F.col(f"__{f}"))
+        sure = F.when(F.col(f).isNull(), F.when(there, F.col(f"__{f}_confidence"))).when(same, F.greatest(F.col(f"{f}_confidence"), F.col(f"__{f}_confidence"), F.lit(0.95))).otherwise(F.col(f"{f}_confidence"))
+        out += [F.coalesce(F.col(f), filled).alias(f), sure.alias(f"{f}_confidence")]
+        if span is not None:
+            out.append(F.when(F.col(f).isNull() & F.col(f"__{f}").isNotNull(), span).alias(f"{f}_span"))
         warnings.append(F.when(~same, F.lit(f"conflict:{f}")))
+    if events:
+        mine, theirs = (F.coalesce(c, F.array().cast("array<struct<type:string,quote:string>>")) for c in ("__mine", "__events"))
+        new = F.filter(theirs, lambda e: ~F.exists(mine, lambda x: x["type"] == e["type"]))
+        if text:
+            located = lambda e: F.struct(e["type"].alias("type"), e["quote"].alias("quote"), locate_quote(F.col(text), e["quote"]).alias("span"))
+            mine, new = F.transform(mine, located), F.transform(new, located)
+            missing = F.transform(F.filter(new, lambda e: e["span"].isNull()), lambda e: F.concat(F.lit("quote_not_found:event:"), e["type"]))
+            new = F.filter(new, lambda e: e["span"].isNotNull())
+        else:
+            missing = F.array().cast("array<string>")
+        out.append(F.concat(mine, new).alias(events))
+        return j.select(*out, F.concat(F.array_compact(F.array(*warnings)), missing).alias("warnings"))
     return j.select(*out, F.array_compact(F.array(*warnings)).alias("warnings"))
 
 

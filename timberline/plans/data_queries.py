@@ -87,6 +87,29 @@ def f12_note_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.note_outcomes(records, flags.filter("event_valve_in_valve").select("patient_id", "year"))
 
 
+@query(_NOTES + """, p as (select patient_id, bool_or(seq % 4 = 0) as t, bool_or(seq % 4 = 1) as s, min(year) filter (where seq % 4 < 2) as iy, max(year) as ly from kept group by patient_id),
+r as (select case when t = s then 'route_not_unambiguous' when iy is null then 'no_implant_year' when ly > iy then 'kept' else 'no_later_note' end as reason from p)
+select e.reason, count(r.reason) as n from (select unnest(['route_not_unambiguous', 'no_implant_year', 'no_later_note', 'kept']) as reason) e left join r on e.reason = r.reason group by e.reason""")
+def f12_note_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.note_outcome_exclusions(text.passport(*passport_parts(spark, sf_dir)))
+
+
+@query(_NOTES + """, b as (select note_ref, text, seq, upper(substr(text, 3, 9)) as q from kept), l as (select *, case when strpos(text, q) > 0 then strpos(text, q) else strpos(lower(text), lower(q)) end - 1 as spot from b)
+select note_ref, concat_ws(',', case when seq % 2 = 0 then 'redo@0' end, case when seq % 2 = 1 and seq % 3 > 0 then 'redo@' || spot end, case when seq % 3 > 0 then 'thrombosis@' || spot end) as events,
+  concat_ws(',', case when seq % 2 = 1 and seq % 3 = 0 then 'quote_not_found:event:redo' end, case when seq % 3 = 0 then 'quote_not_found:event:thrombosis' end) as warnings from l""")
+def g9_merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of two extractions: the rules' stay, the other's are added where their quote is found in the note."""
+    n = notes_of(spark, sf_dir)
+    event = lambda kind, quote: F.struct(F.lit(kind).alias("type"), quote.alias("quote"))
+    sure = [F.lit(None).cast("double").alias("size_mm"), F.lit(None).cast("double").alias("size_mm_confidence")]
+    rules_ = n.select("note_ref", "text", *sure, F.array_compact(F.array(F.when(F.col("seq") % 2 == 0, event("redo", F.substring("text", 1, 5))))).alias("events"))
+    quote = F.when(F.col("seq") % 3 > 0, F.upper(F.substring("text", 3, 9))).otherwise("said nowhere in it")
+    other = n.select("note_ref", *sure, F.array(event("redo", quote), event("thrombosis", quote)).alias("events"))
+    merged = text.merge_extractions(rules_, other, ["size_mm"], events="events", text="text")
+    shown = F.transform("events", lambda e: F.concat(e["type"], F.lit("@"), e["span"]["start"].cast("string")))
+    return merged.select("note_ref", F.array_join(shown, ",").alias("events"), F.array_join("warnings", ",").alias("warnings"))
+
+
 @query(_NOTES + """, a as (select note_ref, cast(seq * 7 % 60 as double) as gradient, 0.7::double as c1 from kept where seq % 5 > 0), b as (select note_ref, cast(seq * 7 % 60 + case when seq % 6 = 0 then 1 else 0 end as double) as gradient, 0.8::double as c2 from kept where seq % 7 > 0)
 select coalesce(a.note_ref, b.note_ref) as note_ref, coalesce(a.gradient, b.gradient) as gradient, case when a.gradient is null then c2 when a.gradient = b.gradient then greatest(c1, c2, 0.95::double) else c1 end as gradient_confidence, coalesce(a.gradient <> b.gradient, false) as conflict from a full outer join b on a.note_ref = b.note_ref""")
 def g9_merge_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,10 +264,25 @@ def c13_nearest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.nearest_source(released, s, ["pred", "pred2"], "row_id").withColumn("distance", r6("distance"))
 
 
-@query(with_roles("patients") + ", s as (select design_class, sex, size_mm, count(*) as n_source from patients where patient_id % 2 = 0 group by all having count(*) < 30), r as (select design_class, sex, size_mm, count(*) as n_released from patients where patient_id % 2 = 1 group by all) select r.*, s.n_source from r join s using (design_class, sex, size_mm)")
+@query(with_roles("surv") + """, r as (select row_id, pred + 0.0004::double as pred, pred2 + 0.0003::double as pred2 from surv where row_id % 20 = 0), s as (select distinct pred, pred2 from surv), sd as (select stddev_pop(pred) as a, stddev_pop(pred2) as b from surv),
+d as (select row_id, min(sqrt(((r.pred - s.pred) / a) ** 2 + ((r.pred2 - s.pred2) / b) ** 2)) as distance from r, s, sd group by row_id)
+select count(*) as rows, round(avg((distance < 0.1)::int), 6) as share_below, round(quantile_cont(distance, 0.05), 6) as percentile_5 from d""")
+def c13_nearest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of released rows within 0.1 of a source row, and the fifth percentile of the distances."""
+    s = role(spark, sf_dir, "surv")
+    released = s.filter("row_id % 20 = 0").select("row_id", (F.col("pred") + 0.0004).alias("pred"), (F.col("pred2") + 0.0003).alias("pred2"))
+    out = profile.nearest_summary(profile.nearest_source(released, s, ["pred", "pred2"], "row_id"))
+    return out.select("rows", r6("share_below"), r6("percentile_5"))
+
+
+_ATTRIBUTES = "design_class, sex, size_mm, age_at_implant::int as age, bmi::int as mass"
+
+
+@query(with_roles("patients") + f", p as (select patient_id, {_ATTRIBUTES} from patients), s as (select design_class, sex, size_mm, age, mass, count(*) as n_source from p group by all having count(*) < 5), r as (select design_class, sex, size_mm, age, mass, count(*) as n_released from p where patient_id % 2 = 1 group by all) select r.*, s.n_source from r join s using (design_class, sex, size_mm, age, mass)")
 def c13_rare_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = role(spark, sf_dir, "patients")
-    return profile.rare_combinations(p.filter("patient_id % 2 = 1"), p.filter("patient_id % 2 = 0"), ["design_class", "sex", "size_mm"], 30)
+    """Combinations of attributes that fewer than five source patients have, among every second patient."""
+    p = role(spark, sf_dir, "patients").selectExpr("patient_id", "design_class", "sex", "size_mm", "cast(round(age_at_implant) as int) as age", "cast(round(bmi) as int) as mass")
+    return profile.rare_combinations(p.filter("patient_id % 2 = 1"), p, ["design_class", "sex", "size_mm", "age", "mass"])
 
 
 _ONSET = _RECORDS + """, iv as (select s.patient_id, r.svd_adjudicated_date as hi, max(s.date) filter (where s.date < r.svd_adjudicated_date and s.mean_gradient is not null and (s.eoa is not null or s.dvi is not null) and (s.date = s.ref_date or s.stage in ('0', '1'))) as lo

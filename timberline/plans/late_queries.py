@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions import rules
-from timberline.operators import boost, boosted, cox, experiments, landmark, metrics, profile, survival
-from timberline.operators.staging import quantile_table, stage
+from timberline.operators import boost, boosted, cox, experiments, grid, landmark, metrics, profile, survival
+from timberline.operators.staging import quantile_table, stage, stage_path
 from timberline.plans.bindings import ROLES, role, with_roles
 from timberline.plans.cohort_queries import _ALL, _RECORDS, _STAGED, _elig_sql, events_of, landmarks_of, staged_of, written_staged_of
 from timberline.plans.model_queries import _DRAWS, _G, _RANKS, _W, TAU, scored
@@ -38,8 +38,8 @@ def i9_boosted_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def i10_staged_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State probabilities after 50 and 100 of 100 trees, from one fit."""
-    grid = [0.25 * k for k in range(21)]
-    return boosted_model(spark, sf_dir, 100).probabilities(role(spark, sf_dir, "surv"), grid, [1.0, 3.0], [50, 100])
+    times = [0.25 * k for k in range(21)]
+    return boosted_model(spark, sf_dir, 100).probabilities(role(spark, sf_dir, "surv"), times, [1.0, 3.0], [50, 100])
 
 
 @query()
@@ -250,6 +250,17 @@ def j7_implant_time_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.implant_time_risk(model, role(spark, sf_dir, "patients").select("patient_id", "route"), _GRID, 3.0)
 
 
+@query()
+def l4_ladder_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps by two folds as resumable cells; every state, two horizons, pooled and patient-balanced, behind support gates."""
+    rows = role(spark, sf_dir, "surv")
+    causes = {"svd": 1, "death": 2, "replacement": 3}
+    steps = {"age": ["valve_age_years"], "age_and_score": ["valve_age_years", "pred"]}
+    oof = grid.out_of_fold_grid(rows, steps, 2, [1.0, TAU], causes, _GRID, stage_path(spark, "ladder"), gates=_FEW)
+    gates = {"metric_min_event_patients": 5, "metric_min_control_patients": 5, "slope_min_events": 20, "min_at_risk": 10, "min_censoring_survival": 0.05}
+    return grid.ladder_metrics(rows, oof, [1.0, TAU], causes, {"pooled": None, "patient_balanced": metrics.balanced_weight()}, gates)
+
+
 @query()
 def l5_comparator_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of two comparators on the same rows, with the paired difference beside the challenger."""

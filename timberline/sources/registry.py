@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.operators.patterns import matching
+from timberline.operators.staging import broadcast_if_small
+
 _IDENT = "array<struct<deviceId:string,deviceIdType:string,deviceIdIssuingAgency:string>>"
 _SIZE = "array<struct<sizeType:string,size:struct<_value:string,_unit:string>,sizeText:string>>"
 DEVICE_SCHEMA = (
@@ -54,30 +57,24 @@ def flatten_outcomes(trials: DataFrame, relevant: str, strict: str) -> DataFrame
     )
 
 
-#: A reference table of more patterns is an error, never cut.
-MOST_PATTERNS = 5000
-
-
 def roll_up_devices(records: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(models, aliases): registry records grouped under the first matching brand pattern.
 
     ``brands``: model, pattern, priority, route, design_class. Sizes come from the size value, else the size text, else the
     description. Confidence is high with sizes and a route, moderate with one of them, else low.
     """
-    patterns = [(r["model"], r["pattern"]) for r in brands.orderBy("priority", "model").limit(MOST_PATTERNS + 1).collect()]
-    if len(patterns) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} brand patterns")
+    patterns = [(r["model"], r["pattern"]) for r in brands.orderBy("priority", "model").collect()]
     text = F.concat_ws(" ", "brand", "description", "model_number")
-    model = F.lit(None).cast("string")
-    for name, pattern in reversed(patterns):
-        model = F.when(text.rlike(f"(?i){pattern}"), name).otherwise(model)
+    names = records.sparkSession.createDataFrame([(i, m) for i, (m, _) in enumerate(patterns)], "__i int, model string")
+    numbered = records.withColumn("__i", F.get(matching(text, [p for _, p in patterns], first_only=True), 0))
+    records = numbered.join(broadcast_if_small(names, name="brands"), "__i", "left").drop("__i")
     number = lambda c: F.try_to_number(c, F.lit("99")).cast("int")
     plausible = lambda a: F.filter(a, lambda s: s.between(17, 34))
     from_value = plausible(F.transform(F.coalesce("sizes", F.array().cast(_SIZE)), lambda s: number(s["size"]["_value"])))
     from_text = plausible(F.transform(F.coalesce("sizes", F.array().cast(_SIZE)), lambda s: F.regexp_extract(F.coalesce(s["sizeText"], F.lit("")), r"(\d{2})\s*mm", 1).try_cast("int")))
     from_description = plausible(F.array(F.regexp_extract(F.coalesce("description", F.lit("")), r"(\d{2})\s*mm", 1).try_cast("int")))
     size = F.when(F.size(from_value) > 0, from_value).when(F.size(from_text) > 0, from_text).otherwise(from_description)
-    named = records.withColumn("model", model).filter("model is not null").withColumn("size", size)
+    named = records.filter("model is not null").withColumn("size", size)
     joined = lambda c: F.concat_ws(";", F.array_sort(F.collect_set(c)))
     rolled = named.groupBy("model").agg(joined("brand").alias("brands"), joined("model_number").alias("model_numbers"), joined("company").alias("manufacturers"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("size")))).alias("sizes"), F.count("*").alias("n_records"))
     table = brands.select("model", "route", "design_class").distinct().join(rolled, "model", "full_outer")
