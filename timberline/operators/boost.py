@@ -67,6 +67,44 @@ def offset_model(rows: DataFrame, columns: Sequence[str], offset: Column, event:
     return cox.fit_cox(measured, columns, event, strata=strata, offset=offset, penalizer=penalizer) if n >= least_rows and d >= least_events else None
 
 
+@dataclass(frozen=True)
+class OffsetAdjustment:
+    """A marker's log hazard ratio over a base model, centred so that the measured training rows are expected to have the events
+    they have under the base model."""
+
+    fit: cox.CoxFit
+    terms: Mapping[str, Column]
+    measured: Column
+    centre: float
+
+    def log_hr(self) -> Column:
+        """0 where the marker is not measured."""
+        lin = F.lit(-self.centre)
+        for c, b in zip(self.fit.columns, self.fit.beta, strict=True):
+            lin = lin + float(b) * self.terms[c]
+        return F.when(F.coalesce(self.measured, F.lit(False)), lin).otherwise(0.0)
+
+    def adjust(self, rows: DataFrame, cause: str) -> DataFrame:
+        """Multiply the cause's cumulative hazards; other causes stay."""
+        ratio = F.exp(self.log_hr())
+        return rows.withColumn(cause, F.transform(cause, lambda h: h * ratio))
+
+
+def offset_adjustment(rows: DataFrame, terms: Mapping[str, Column], measured: Column, offset: Column, event: Column, expected: Column | None = None, strata: Column | None = None, least_rows: int = 150, least_events: int = 15, penalizer: float = 0.05) -> OffsetAdjustment | None:
+    """Fit a marker's ``terms`` on measured rows over the base predictor ``offset``, and centre it: the log of the mean hazard ratio
+    weighted by ``expected``, the base model's cumulative hazard at each row's own time. None below the gates."""
+    own = stage(rows.filter(F.coalesce(measured, F.lit(False))).withColumns(dict(terms)), "measured")
+    fit = offset_model(own, list(terms), offset, event, least_rows, least_events, strata, penalizer)
+    if fit is None:
+        return None
+    lin = F.exp(cox.linear_predictor(fit))
+    e = F.lit(1.0) if expected is None else F.when(~F.isnan(expected) & (expected > 0) & (expected < float("inf")), expected).otherwise(0.0)
+    s = own.agg(F.sum(e * lin).alias("a"), F.sum(e).alias("b"), F.avg(lin).alias("m")).first()
+    import math
+
+    return OffsetAdjustment(fit, dict(terms), measured, math.log(s["a"] / s["b"]) if s["b"] and s["b"] > 0 else math.log(s["m"]))
+
+
 def bootstrap_wald(rows: DataFrame, columns: Sequence[str], event: Column, replicates: int, seed: int = 0, strata: Column | None = None, offset: Column | None = None, penalizer: float = 0.05, patient: str = "patient_id", least: int = 20) -> dict:
     """Wald statistic of all ``columns`` with the covariance of patient bootstraps (whole histories drawn together), its p value, and
     standard errors; all replicates take their Newton steps together. None with fewer than ``least`` usable replicates."""
@@ -145,6 +183,26 @@ def pair_family_brier(rows: DataFrame, families: Mapping[str, str], incumbent: s
     return out
 
 
+def family_differences(known: DataFrame, predictions: Mapping[str, DataFrame], incumbent: str, states: Sequence[str], replicates: int = 200, seed: int = 0, patient: str = "patient_id") -> DataFrame:
+    """(family, state, horizon, difference, ci_low, ci_high, valid) of the Brier score against the incumbent family, on the rows that
+    every family predicts, with patient-bootstrap limits; state ``mean`` is the mean over states and horizons.
+
+    ``known``: row_id, patient, horizon, w and y_<state>; ``predictions``: row_id, horizon and the states. Losses are summed per
+    patient before replicates multiply them.
+    """
+    joined = known
+    for name, p in predictions.items():
+        joined = joined.join(p.select("row_id", "horizon", *(F.col(s).alias(f"{name}.{s}") for s in states)), ["row_id", "horizon"])
+    loss = lambda family, s: F.col("w") * (F.col(f"y_{s}") - F.col(f"`{family}.{s}`")) ** 2
+    each = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(s).alias("state"), (loss(f, s) - loss(incumbent, s)).alias("d")) for f in predictions if f != incumbent for s in states))
+    sums = stage(joined.select(patient, "horizon", F.inline(each)).groupBy(patient, "family", "state", "horizon").agg(F.sum("d").alias("d"), F.count("*").alias("n")), "losses")
+    drawn = sums.join(resample.bootstrap_lists(sums, replicates, seed, patient), patient).withColumn("rep", F.explode("reps"))
+    cells = drawn.groupBy("family", "state", "horizon", "rep").agg((F.sum("d") / F.sum("n")).alias("x"))
+    means = cells.groupBy("family", "rep").agg(F.avg("x").alias("x")).select("family", F.lit("mean").alias("state"), F.lit(None).cast("double").alias("horizon"), "rep", "x")
+    out = replicates_.replicate_intervals(cells.unionByName(means), "x", ["family", "state", "horizon"])
+    return out.select("family", "state", "horizon", F.col("value").alias("difference"), F.col("low").alias("ci_low"), F.col("high").alias("ci_high"), "valid")
+
+
 def annual_rate_targets(rates: DataFrame) -> DataFrame:
     """Published rates as proposed evidence targets with a slugged id."""
     slug = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "_")

@@ -393,21 +393,65 @@ STATISTICS = ("proportion", "mean", "sd", "quantile", "correlation")
 
 
 def report(rows: DataFrame, requests: Sequence[tuple[str, str, dict]]) -> DataFrame:
-    """(name, statistic, value, se, n) for reporting requests ``(name, statistic, options)``, all in one pass. Options:
-    ``column``, and ``q`` (quantile), ``other`` (correlation) or ``condition`` (proportion)."""
-    parts = []
+    """(name, statistic, value, se, n) for reporting requests ``(name, statistic, options)`` over rows, the moments in one pass and
+    all quantiles in another. Options: ``column``, and ``q`` (quantile), ``other`` (correlation) or ``condition``
+    (proportion). Standard errors are those of large samples; a quantile's is that of a normal median."""
+    parts, quantiles = [], []
     for name, statistic, o in requests:
         if statistic not in STATISTICS:
             raise ValueError(f"unknown statistic: {statistic}")
         c = F.col(o["column"]).cast("double") if "column" in o else F.when(o["condition"], 1.0).otherwise(0.0)
         n = F.count(c)
-        value = {
-            "proportion": lambda c=c: F.avg(c), "mean": lambda c=c: F.avg(c), "sd": lambda c=c: F.stddev_samp(c),
-            "quantile": lambda c=c, o=o: F.percentile(c, o["q"]), "correlation": lambda c=c, o=o: F.corr(c, F.col(o["other"])),
-        }[statistic]()
+        if statistic == "correlation":
+            other = F.col(o["other"]).cast("double")
+            n = F.count(F.when(other.isNotNull(), c))
+        spread = F.stddev_samp(c)
+        value = {"proportion": F.avg(c), "mean": F.avg(c), "sd": spread, "quantile": F.lit(None).cast("double"), "correlation": F.corr(c, other) if statistic == "correlation" else None}[statistic]
         error = {
-            "proportion": F.sqrt(F.avg(c) * (1 - F.avg(c)) / n), "mean": F.stddev_samp(c) / F.sqrt(n), "sd": F.stddev_samp(c) / F.sqrt(2 * (n - 1)),
-            "quantile": F.lit(None).cast("double"), "correlation": (1 - value**2) / F.sqrt(n - 1) if statistic == "correlation" else F.lit(None).cast("double"),
+            "proportion": F.sqrt(F.greatest(F.avg(c) * (1 - F.avg(c)), F.lit(1e-12)) / n), "mean": spread / F.sqrt(n), "sd": spread / F.sqrt(2 * (n - 1)),
+            "quantile": spread * 1.2533 / F.sqrt(n), "correlation": (1 - value**2) / F.sqrt(F.greatest(n - 3, F.lit(1))) if statistic == "correlation" else None,
         }[statistic]
         parts.append(F.struct(F.lit(name).alias("name"), F.lit(statistic).alias("statistic"), value.alias("value"), error.alias("se"), n.alias("n")))
-    return rows.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+        if statistic == "quantile":
+            quantiles.append((name, o["column"], o["q"]))
+    out = rows.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+    if not quantiles:
+        return out
+    wanted = sorted({q for _, _, q in quantiles})
+    found = exact_quantiles(rows, {c: F.col(c) for _, c, _ in quantiles}, wanted).select(F.col("name").alias("__c"), "q")
+    asked = rows.sparkSession.createDataFrame([(n, c, wanted.index(q)) for n, c, q in quantiles], "__n string, __c string, __i int")
+    named = asked.join(found, "__c").select("__n", F.get("q", F.col("__i")).alias("__v"))
+    return out.join(F.broadcast(named), F.col("name") == F.col("__n"), "left").select("name", "statistic", F.coalesce("value", "__v").alias("value"), "se", "n")
+
+
+def report_series(series: DataFrame, variables: Sequence[str], years: Sequence[int] = (), least_span: float = 0.5) -> DataFrame:
+    """(name, statistic, value, se, n) per variable over persons, each counted once: the mean slope a year of those with two or more
+    values over at least ``least_span`` years, and the mean in every year asked for. ``series``: person_id, variable, years,
+    value."""
+    own = series.filter(F.col("variable").isin(*variables) & F.col("value").isNotNull())
+    each = own.groupBy("variable", "person_id").agg(F.regr_slope("value", "years").alias("x"), F.count("*").alias("k"), (F.max("years") - F.min("years")).alias("span"))
+    slopes = each.filter((F.col("k") >= 2) & (F.col("span") >= least_span)).select("variable", F.lit("slope_per_year").alias("statistic"), "x")
+    annual = own.withColumn("year", F.floor("years")).filter(F.col("year").isin(*years) if years else F.lit(False))
+    annual = annual.groupBy("variable", "person_id", "year").agg(F.avg("value").alias("x")).select("variable", F.concat(F.lit("annual_mean:"), F.col("year").cast("string")).alias("statistic"), "x")
+    out = slopes.unionByName(annual).groupBy(F.col("variable").alias("name"), "statistic")
+    return out.agg(F.avg("x").alias("value"), (F.stddev_samp("x") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
+
+
+def report_times(rows: DataFrame, horizons: Sequence[float], causes: Mapping[str, int], contrast: str | None = None, time: str = "time", event: str = "event") -> DataFrame:
+    """(name, statistic, value, se, n): event-free survival and each cause's cumulative incidence at the horizons, with binomial
+    errors; with ``contrast`` (a binary column) each cause's log hazard ratio as well."""
+    from timberline.operators import boost, survival
+
+    n = rows.count()
+    codes = tuple(causes.values())
+    at = survival.at_horizons(survival.aalen_johansen(rows, [], codes, time, event), [], horizons, rows.limit(1), codes)
+    label = F.regexp_replace(F.col("horizon").cast("string"), r"\.0$", "")
+    each = [F.struct(F.lit("all").alias("name"), F.concat(F.lit("km_survival:"), label).alias("statistic"), F.col("survival").alias("value"))]
+    each += [F.struct(F.lit(c).alias("name"), F.concat(F.lit("cumulative_incidence:"), label).alias("statistic"), F.col(f"cif{k}").alias("value")) for c, k in causes.items()]
+    v = F.col("value")
+    out = at.select(F.inline(F.array(*each))).select("name", "statistic", v.alias("value"), F.sqrt(F.greatest(v * (1 - v), F.lit(1e-12)) / n).alias("se"), F.lit(n).cast("long").alias("n"))
+    if contrast:
+        timed = rows.select(F.greatest(F.col(time), F.lit(1e-6)).alias("time"), F.col(event).alias("event"), F.col(contrast).cast("double").alias(contrast))
+        effects = [(c, "log_effect", *boost.log_effect(timed, contrast, F.col("event") == k), n) for c, k in causes.items()]
+        out = out.unionByName(rows.sparkSession.createDataFrame(effects, "name string, statistic string, value double, se double, n long"))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.functions import rules
@@ -351,6 +351,49 @@ def m8_reporting_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.report(s, requests).select(F.col("name").alias("statistic"), r6("value"), "n")
 
 
+@query(with_roles("obs", "surv") + """, us as (select * from obs where duplicate_status = 'unique' and not suppressed), sr as (select person_id, variable, datediff('day', min(date::date) over (partition by person_id), date::date) / 365.25::double as years, value from us where value is not null),
+sl as (select variable, person_id, regr_slope(value, years) as x, count(*) as k, max(years) - min(years) as span from sr group by all), an as (select variable, person_id, floor(years)::bigint as y, avg(value) as x from sr where floor(years) in (0, 1) group by all),
+l as (select variable as name, 'slope_per_year' as statistic, x from sl where k >= 2 and span >= 0.5 union all select variable, 'annual_mean:' || y, x from an),
+tt as (select time, count(*) filter (where event <> 0) as d, count(*) filter (where event = 1) as d1, count(*) filter (where event = 2) as d2, sum(count(*)) over (order by time desc) as n from surv group by time), ev as (select *, product(1 - d::double / n) over (order by time) as s from tt where d > 0), cv as (select *, coalesce(lag(s) over (order by time), 1) as sb from ev),
+r as (select name, statistic, avg(x) as v, stddev_samp(x) / sqrt(count(*)) as e, count(*) as n from l group by all), z as (select count(*) as n from surv),
+q as (select 'all' as name, 'km_survival:3' as statistic, (select min(s) from cv where time <= 3) as v union all select 'svd', 'cumulative_incidence:3', (select sum(sb * d1 / n) from cv where time <= 3) union all select 'death', 'cumulative_incidence:3', (select sum(sb * d2 / n) from cv where time <= 3))
+select name, statistic, round(v, 4) as value, round(e, 4) as se, n from r union all select name, statistic, round(v, 4), round(sqrt(greatest(v * (1 - v), 1e-12) / z.n), 4), z.n from q, z""")
+def m8_series_and_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes and annual means over persons, survival and cumulative incidence at three years."""
+    o = profile.usable(role(spark, sf_dir, "obs"))
+    day = F.to_date("date")
+    series = o.filter("value is not null").withColumn("years", F.datediff(day, F.min(day).over(Window.partitionBy("person_id"))) / 365.25)
+    names = [r["variable"] for r in o.select("variable").distinct().collect()]
+    out = profile.report_series(series, names, [0, 1]).unionByName(profile.report_times(role(spark, sf_dir, "surv"), [3.0], {"svd": 1, "death": 2}))
+    r4 = lambda c: (F.round(c, 4) + F.lit(0.0)).alias(c)
+    return out.select("name", "statistic", r4("value"), r4("se"), "n")
+
+
+@query()
+def k21_gated_subgroup_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier score, IPA and AUC per route and state, each route a population of its own, behind support gates."""
+    rows = role(spark, sf_dir, "surv")
+    p = rows.select("row_id", F.lit("score").alias("step"), F.lit(float(TAU)).alias("horizon"), (F.col("pred") / 2).alias("svd"), (F.col("pred2") / 2).alias("death"), (1 - (F.col("pred") + F.col("pred2")) / 2).alias("alive_intact"))
+    gates = {"metric_min_event_patients": 5, "metric_min_control_patients": 5, "slope_min_events": 20, "min_at_risk": 10}
+    return grid.ladder_metrics(rows, p, [TAU], {"svd": 1, "death": 2}, {"pooled": None}, gates, by=["route"])
+
+
+@query()
+def i7_adjusted_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first cause's hazards with a marker's centred hazard ratio on the measured rows; other rows and causes as they were."""
+    rows = role(spark, sf_dir, "surv")
+    model = cox.CauseSpecificCox(["valve_age_years"], gates=_FEW).fit(rows)
+    base = model.models["svd"]
+    offset = cox.linear_predictor(base.fit, model.means) if base.fit else F.lit(0.0)
+    measured = F.col("row_id") % 3 > 0
+    with_marker = rows.withColumn("cum", F.col("valve_age_years") / 10)
+    terms = boost.marker_columns(with_marker.filter(measured), "pred2", "cum", [0.1, 0.4, 0.8])
+    adjust = boost.offset_adjustment(with_marker, terms, measured, offset, F.col("event") == 1, F.col("time") * F.exp(offset), F.col("route"), 20, 2)
+    hazards = model.hazards(with_marker, [0.0, 1.0, 3.0])
+    out = adjust.adjust(hazards, "svd") if adjust else hazards
+    return out.select("row_id", "support", F.element_at("svd", -1).alias("svd"), F.element_at("death", -1).alias("death"), (adjust.log_hr() if adjust else F.lit(0.0)).alias("log_hr"))
+
+
 _PRIMARY_SVD = "case when svd_first_unresolved_date is null or svd_first_unresolved_date >= svd_adjudicated_date then svd_adjudicated_date end"
 _PRIMARY_CENSOR = "case when svd_adjudicated_date is null or svd_first_unresolved_date < svd_adjudicated_date then svd_first_unresolved_date end"
 _OVERRIDE = _elig_sql(f"case when svd_adjudicated_date is null then svd_first_positive_date else {_PRIMARY_SVD} end", f"case when svd_adjudicated_date is null then null else {_PRIMARY_CENSOR} end")
