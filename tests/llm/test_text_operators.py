@@ -74,6 +74,22 @@ def test_each_feature_changes_pages(monkeypatch):
                 assert html_extract.main_text(page) != want[page], (name, page[:20])
 
 
+def test_density_alone_recovers_the_articles(spark):
+    """The given pages with their articles, menus and names taken away: nearly all text is found again, and little else."""
+    import re
+
+    def bare(page):
+        page = re.sub(r"<(/?)(article|nav|header|footer|aside|main|section|form|menu|dialog)\b", r"<\1div", page)
+        return re.sub(r"""\s(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+    both = more = less = 0
+    for (page,) in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        want, got = (Counter(html_extract.main_text(p).split("\n")) for p in (page, bare(page)))
+        size = lambda c: sum(len(k) * n for k, n in c.items())
+        both, more, less = both + size(want & got), more + size(got - want), less + size(want - got)
+    assert both / (both + more) > 0.95 and both / (both + less) > 0.95
+
+
 def test_extraction_takes_linear_time():
     import time
 

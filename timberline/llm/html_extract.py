@@ -8,7 +8,8 @@ the text, or the link list, it belongs to.
 Where a block stands is a prior. Menus, footers, sidebars, forms, adverts and comments that say so by tag, role or name are
 boilerplate whatever they hold. In an article or main part half the length and density is asked, undecided blocks look for
 neighbours in their own article, and stay when there are none. On a page that has such a part, blocks elsewhere need twice
-the length and more stop words. Everywhere else density alone decides.
+the length and more stop words. Everywhere else density alone decides, and stop words are asked for in proportion to how
+many of them the page's unlinked text holds.
 
 Defined results: null or empty html gives an empty text; unclosed tags end where their container ends; an unclosed comment,
 script or style runs to the end of the page; a tag whose quotes do not end ends at the next angle bracket; markup without text
@@ -78,6 +79,8 @@ _EDGES = re.compile(r"^\W+|\W+$")
 
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.15, 0.30
+#: Stop-word density beyond which a page is judged by the full thresholds; that of plain prose lies somewhat below.
+PROSE_STOPS = 0.6
 LINKED, LINKED_INSIDE = 0.5, 0.8
 GOOD, BAD, NEAR, BRIEF = "good", "bad", "near", "brief"
 
@@ -262,12 +265,25 @@ def _stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words)
 
 
+def _usual(blocks: list[Block]) -> float:
+    """How much of the stop words of ordinary prose the page's unlinked text holds, one at most: a page in a language or of words
+    that the list does not know is not judged by them."""
+    words = stops = 0.0
+    for b in blocks:
+        if b.region >= 0 and 2 * b.linked <= len(b.text):
+            n = len(b.text.split())
+            words += n
+            stops += n * _stop_density(b.text)
+    return min(1.0, stops / words / PROSE_STOPS) if words else 1.0
+
+
 def _first_pass(blocks: list[Block]) -> bool:
     """Decide blocks by links, length and stop words; where they stand scales what is asked of them. Tells whether the page
     says where its article is."""
     inside = sum(len(b.text) for b in blocks if b.region > 0)
     elsewhere = sum(len(b.text) for b in blocks if b.region == 0)
     marked = inside > 0 and 3 * inside >= elsewhere
+    usual = 1.0 if marked else _usual(blocks)
     for b in blocks:
         n = len(b.text)
         links = min(1.0, b.linked / n)
@@ -283,9 +299,9 @@ def _first_pass(blocks: list[Block]) -> bool:
             b.label = BAD if not b.region and (links > 0.2 or marked) else BRIEF
         else:
             stops = _stop_density(b.text)
-            if n > LONG * strict and stops >= (FEW_STOPS * strict if b.region else min(MANY_STOPS, MANY_STOPS * strict)):
+            if n > LONG * strict and stops >= usual * (FEW_STOPS * strict if b.region else min(MANY_STOPS, MANY_STOPS * strict)):
                 b.label = GOOD
-            elif stops >= FEW_STOPS * strict:
+            elif stops >= usual * FEW_STOPS * strict:
                 b.label = NEAR
             else:
                 b.label = BRIEF if b.region else BAD
