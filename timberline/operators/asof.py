@@ -134,13 +134,12 @@ def comparator_pairs(studies: DataFrame, patients: DataFrame, requests: DataFram
     fresh; then the comparator's verdict."""
     reference = select_reference(studies, patients, patient=patient, seq=seq)
     fields = [c for c in studies.columns if c != patient]
-    s = studies.withColumnRenamed(patient, "__p")
-    current = (
-        requests.join(s, (F.col(patient) == F.col("__p")) & (F.col("date") <= F.col("prediction_date")), "left")
-        .groupBy(*requests.columns)
-        .agg(F.max_by(F.struct(*fields), F.struct("date", seq)).alias("cur"))
-        .select(*requests.columns, *(F.col(f"cur.{c}").alias(f"cur_{c}") for c in fields))
-    )
+    # one sort per patient: each request carries the last study before it, the day's own included
+    asked = requests.select(F.col(patient).alias("__p"), F.col("prediction_date").alias("__d"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__s"), F.lit(None).cast(studies.select(F.struct(*fields)).dtypes[0][1]).alias("__study"), F.struct(*requests.columns).alias("__r"))
+    seen = studies.select(F.col(patient).alias("__p"), F.col("date").alias("__d"), F.lit(0).alias("__kind"), F.col(seq).cast("long").alias("__s"), F.struct(*fields).alias("__study"), F.lit(None).cast(asked.dtypes[-1][1]).alias("__r"))
+    upto = Window.partitionBy("__p").orderBy("__d", "__kind", "__s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = seen.unionByName(asked).withColumn("cur", F.last("__study", ignorenulls=True).over(upto)).filter("__kind = 1")
+    current = merged.select("__r.*", *(F.col(f"cur.{c}").alias(f"cur_{c}") for c in fields))
     pairs = current.join(reference, patient, "left").withColumn("fresh", F.datediff("prediction_date", "cur_date") <= fresh_days)
     none = F.lit(None)
     cur, ref = ((lambda n, p=p: none.cast("string") if n == "valve_id" else F.col(f"{p}_{n}")) for p in ("cur", "ref"))

@@ -219,6 +219,18 @@ def j5_product_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", r6("alive_intact"))
 
 
+@query(with_roles("surv") + f""", g as (select row_id, t, {_HAZ} from surv, (select unnest([0.0::double, 0.5::double, 1.0::double, 2.0::double, 3.0::double, 5.0::double]) as t)),
+i as (select *, coalesce(h1 - lag(h1) over w, 0) as d1, coalesce(h2 - lag(h2) over w, 0) as d2, coalesce(h3 - lag(h3) over w, 0) as d3, exp(-(h1 + h2 + h3)) as s, coalesce(lag(exp(-(h1 + h2 + h3))) over w, 1) as sp from g window w as (partition by row_id order by t)),
+p as (select *, product(1 - (d1 + d2 + d3)) over (partition by row_id order by t) as ps, case when d1 + d2 + d3 > 0 then sp * (1 - exp(-(d1 + d2 + d3))) / (d1 + d2 + d3) else 0 end as k from i), q as (select *, coalesce(lag(ps) over (partition by row_id order by t), 1) as pp from p),
+c as (select *, sum(k * d1) over w as f1, sum(pp * d1) over w as e1, sum(k * d2) over w as f2, sum(pp * d2) over w as e2, sum(k * d3) over w as f3, sum(pp * d3) over w as e3 from q window w as (partition by row_id order by t)),
+l as (select 'S' as state, abs(s - ps) as d from c union all select 'F_svd', abs(f1 - e1) from c union all select 'F_death', abs(f2 - e2) from c union all select 'F_replacement', abs(f3 - e3) from c)
+select state, round(max(d), 6) as max_difference, round(avg(d), 6) as mean_difference from l group by state""")
+def j5_convention_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the product-limit convention is from the exponential one, over all rows and grid points."""
+    out = cif.convention_differences(hazard_rows(spark, sf_dir)[0])
+    return out.select("state", r6("max_difference"), r6("mean_difference"))
+
+
 @query(with_roles("surv") + f", g as (select row_id, pred, pred2 from surv) select row_id, 'svd' as cause, 'decreasing' as rule from g where pred > 0.9")
 def j2_hazard_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a high score get a hazard that falls once; the contract check finds exactly these."""

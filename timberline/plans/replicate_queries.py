@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.operators import boost, cox, experiments, metrics, profile, replicates, resample
+from timberline.operators import boost, cif, cox, experiments, features, metrics, profile, replicates, resample
 from timberline.operators.staging import quantile_table, stage
 from timberline.plans.bindings import role, with_roles
 from timberline.plans.data_queries import _OBS, first_of
@@ -157,3 +157,37 @@ def d11_scaled_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = role(spark, sf_dir, "surv").withColumn("q", metrics.balanced_weight())
     total = rows.agg((F.count("*") / F.sum("q")).alias("scale"))
     return rows.crossJoin(F.broadcast(total)).select("row_id", r6(F.col("q") * F.col("scale"), "weight"))
+
+
+@query(with_roles("surv") + """, m as (select avg((row_id % 40 = 0)::int) as rows, count(distinct patient_id) filter (where row_id % 40 = 0) * 1.0 / count(distinct patient_id) as patients from surv)
+select 'valve_age_years' as feature, 'used' as status union all select 'pred', 'used' union all select 'pred2', case when rows < 0.05 or patients < 0.05 then 'below_cutoff' else 'used' end from m union all select 'dp_ucmgp', 'absent'""")
+def h1_resolved_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of a step's blocks: used, absent, or why a marker is left out."""
+    rows = role(spark, sf_dir, "surv").withColumn("pred2", F.when(F.col("row_id") % 40 == 0, F.col("pred2")))
+    reasons = {r["marker"]: r["reason"] for r in features.marker_eligibility(rows, ["pred2"]).filter("reason is not null").collect()}
+    found = features.resolve_features({"core": ["valve_age_years", "pred"], "marker": ["pred2", "dp_ucmgp"]}, ["core", "marker"], rows.columns, reasons)
+    return spark.createDataFrame(list(found.items()), "feature string, status string")
+
+
+@query(with_roles("surv") + """, g as (select row_id, case when row_id % 7 > 0 then pred end as pred, case when row_id % 11 > 0 then row_id % 3 = 0 end as early, case when row_id % 5 = 0 then null when row_id % 200 = 1 then 'rare' when row_id % 2 = 0 then 'a' else 'b' end as device from surv),
+m as (select quantile_cont(pred, 0.5) as med, count(*) filter (where device = 'rare') >= 15 as frequent from g)
+select row_id, round(coalesce(pred, med), 6) as pred, (pred is null)::int::double as pred__missing, coalesce(early, false)::int::double as early, (early is null)::int::double as early__missing, (device = 'a')::int::double is not distinct from 1 as device_a from g, m""")
+def h5_h9_tree_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree mode: medians and indicators without scaling, binary features with missing as 0 and an indicator, levels."""
+    k = F.col("row_id")
+    rows = role(spark, sf_dir, "surv").select(
+        "row_id", F.when(k % 7 > 0, F.col("pred")).alias("pred"), F.when(k % 11 > 0, k % 3 == 0).alias("early"),
+        F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 200 == 1, "rare").when(k % 2 == 0, "a").otherwise("b").alias("device"),
+    )
+    rows = stage(rows, "features")
+    out = features.FeaturePipeline(numeric=["pred"], binary=["early"], categorical=["device"], spline=["pred"], tree=True).fit(rows).transform(rows, ["row_id"])
+    return out.select("row_id", r6("pred"), "pred__missing", "early", "early__missing", (F.col("device__a") == 1).alias("device_a"))
+
+
+@query(with_roles("surv") + " select unnest(list_sort(list_distinct(list(time) || [0.0, 1.0, 3.0, 5.0]))) as point from (select distinct time::double as time from surv where event <> 0 and time > 0 and time <= 5)")
+def j1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared grid of a model: zero, horizons, the end, and every event time up to it (bounded by the distinct days)."""
+    events = role(spark, sf_dir, "surv").filter("event <> 0 and time > 0 and time <= 5").select("time").distinct()
+    points = cif.build_grid([r["time"] for r in events.collect()], [1.0, 3.0], 5.0)
+    cif.check_grid(points)
+    return spark.createDataFrame([(p,) for p in points], "point double")
