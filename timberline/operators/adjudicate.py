@@ -106,6 +106,44 @@ def adjudicate(patients: DataFrame, staged: DataFrame, windows: DataFrame, mecha
     )
 
 
+def timelines(patients: DataFrame, studies: DataFrame, reference: DataFrame, exposures: DataFrame, mechanism_events: DataFrame, patient: str = "patient_id", seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Adjudication as of every date at once: ``(records, staged)``. A record per patient has ``ref_date`` and its candidates in
+    order, each with the dates from which on what is known changes it: ``gone`` (a thrombosis window that holds it is resolved,
+    or the next determinable study is back at stage 0 or 1), ``endocarditis`` and ``thrombosis`` (an event within 90 days).
+
+    As of a date, a candidate counts from its own date until it is gone, the first that counts decides, and its mechanism is what
+    has happened by then; so any number of dates takes one adjudication of the patient's studies.
+    """
+    staged = write_out(staged_studies(studies, reference, patient), "staged")
+    stage = F.col("staged.stage")
+    ahead = Window.partitionBy(patient).orderBy("day").rangeBetween(1, Window.unboundedFollowing)
+    next_ = F.min(F.when(stage.isin("0", "1", "2", "3"), F.struct("day", F.col(seq).alias("s"), "date", stage.alias("stage")))).over(ahead)
+    c = staged.filter(F.col("date") > F.col("ref_date")).withColumn("day", DAY(F.col("date"))).withColumn("next", next_).filter(stage.isin("2", "3"))
+    c = write_out(c.select(patient, "date", F.col(seq).alias("seq"), F.when(F.col("next.stage").isin("0", "1"), F.col("next.date")).alias("back")), "candidates")
+    episodes = exposures.filter(F.col("indication") == "suspected_valve_thrombosis").select(F.col(patient).alias("__p"), "start_date", "stop_date").distinct()
+    calm = staged.filter(stage.isin("0", "1")).select(patient, F.col("date").alias("calm"))
+    resolved = episodes.join(calm, (F.col("__p") == F.col(patient)) & (F.col("calm") >= F.col("start_date"))).groupBy("__p", "start_date", "stop_date").agg(F.min("calm").alias("calm"))
+    inside = F.col("date").between(F.date_sub("start_date", MECHANISM_DAYS), F.coalesce("stop_date", F.date_add("start_date", 365)))
+    keys = [patient, "seq"]
+    windowed = c.join(resolved, (F.col(patient) == F.col("__p")) & inside).groupBy(*keys).agg(F.min("calm").alias("window"))
+    m = mechanism_events.select(F.col(patient).alias("__p"), F.col("type"), F.col("date").alias("__d"))
+    first = lambda kind: F.min(F.when(F.col("type") == kind, F.col("__d"))).alias(kind)
+    near = c.join(m, (F.col(patient) == F.col("__p")) & (F.abs(F.datediff("date", "__d")) <= MECHANISM_DAYS)).groupBy(*keys).agg(first("endocarditis"), first("thrombosis"))
+    each = c.join(windowed, keys, "left").join(near, keys, "left")
+    listed = each.groupBy(patient).agg(F.array_sort(F.collect_list(F.struct("date", "seq", F.least("window", "back").alias("gone"), "endocarditis", "thrombosis"))).alias("candidates"))
+    records = patients.select(patient).join(reference.select(patient, "ref_date"), patient, "left").join(listed, patient, "left")
+    return records, staged
+
+
+def met_as_of(date: Column, candidates: Column) -> Column:
+    """Whether the endpoint is met as of a date, from a patient's timeline."""
+    known = F.coalesce(candidates, F.array().cast("array<struct<date:date,seq:bigint,gone:date,endocarditis:date,thrombosis:date>>"))
+    counts = F.filter(known, lambda c: (c["date"] <= date) & F.coalesce(c["gone"] > date, F.lit(True)))
+    first = F.get(counts, 0)
+    other = F.coalesce((first["endocarditis"] <= date) | (first["thrombosis"] <= date), first["endocarditis"] <= date, first["thrombosis"] <= date, F.lit(False))
+    return first.isNotNull() & ~other
+
+
 def endpoint_decision(records: DataFrame) -> DataFrame:
     """The decision view: met, its date and confidence."""
     met = F.col("svd_candidate_date").isNotNull() & (F.col("svd_mechanism") == "svd")

@@ -102,7 +102,33 @@ def trajectory(studies: DataFrame, requests: DataFrame, patient: str = "patient_
 
 def score_status(requests: DataFrame, patients: DataFrame, studies: DataFrame, exposures: DataFrame, mechanism_events: DataFrame, patient: str = "patient_id") -> DataFrame:
     """Status of scoring requests as of their time, from data on or before it only: endpoint_met, no_reference_echo,
-    prediction_time_invalid or ok, with the current stage."""
+    prediction_time_invalid or ok, with the current stage.
+
+    A patient is adjudicated once, as a timeline that holds for every date; a request looks its own date up, and its current
+    study is the last of one sort of studies and requests. Tables made for single requests (:func:`what_if`) are adjudicated
+    request by request.
+    """
+    if "only_at" in studies.columns or "only_at" in exposures.columns:
+        return _status_by_request(requests, patients, studies, exposures, mechanism_events, patient)
+    asked = requests.select(patient, "prediction_date").distinct()
+    records, staged = adj.timelines(patients, studies, asof.select_reference(studies, patients, patient=patient), exposures, mechanism_events, patient)
+    fields = staged.select(F.struct(F.col("staged.stage").alias("stage"), "date").alias("x")).dtypes[0][1]
+    marks = asked.select(F.col(patient).alias("__p"), F.col("prediction_date").alias("__d"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__s"), F.lit(None).cast(fields).alias("__x"))
+    seen = staged.select(F.col(patient).alias("__p"), F.col("date").alias("__d"), F.lit(0).alias("__kind"), F.col("seq").cast("long").alias("__s"), F.struct(F.col("staged.stage").alias("stage"), "date").alias("__x"))
+    upto = Window.partitionBy("__p").orderBy("__d", "__kind", "__s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    current = seen.unionByName(marks).withColumn("cur", F.last("__x", ignorenulls=True).over(upto)).filter("__kind = 1").select("__p", F.col("__d").alias("__at"), "cur")
+    known = records.join(patients.select(patient, "implant_date"), patient)
+    out = asked.join(known, patient, "left").join(current, (F.col(patient) == F.col("__p")) & (F.col("prediction_date") == F.col("__at")), "left")
+    at = F.col("prediction_date")
+    referenced = F.coalesce(F.col("ref_date") <= at, F.lit(False))
+    invalid = F.col("implant_date").isNull() | (at < F.col("implant_date"))
+    status = F.when(invalid, "prediction_time_invalid").when(~referenced, "no_reference_echo").when(adj.met_as_of(at, F.col("candidates")), "endpoint_met").otherwise("ok")
+    cur = F.when(referenced, F.col("cur"))
+    return out.select(patient, "prediction_date", status.alias("score_status"), cur["stage"].alias("current_stage"), rules.stale(F.months_between("prediction_date", cur["date"])).alias("stale_echo"))
+
+
+def _status_by_request(requests: DataFrame, patients: DataFrame, studies: DataFrame, exposures: DataFrame, mechanism_events: DataFrame, patient: str = "patient_id") -> DataFrame:
+    """:func:`score_status` with every request's own copy of its patient's data, for data that differ by request."""
     keyed = requests.select(patient, "prediction_date").distinct().withColumn("request_id", F.concat_ws("@", F.col(patient).cast("string"), F.col("prediction_date").cast("string")))
     r = keyed.select("request_id", F.col(patient).alias("__p"), "prediction_date")
     s, e, m = _as_of(studies, r, "date", patient), _as_of(exposures, r, "start_date", patient), _as_of(mechanism_events, r, "date", patient)
