@@ -15,7 +15,8 @@ threshold itself.
 Pairs never become rows. Nodes with the same members are merged, and large ones are cut into cells of two blocks of bounded
 size. A cell holds its texts' shingles and counts the pairs it is first to see (those that meet in no earlier tree and met at
 no longer prefix). It returns a row per linked text: its number of links, how many of them met in few trees, and
-the smallest text of its cell it is connected to. Connected components over these rows give the classes. Joins on class labels are salted, since one class may
+the smallest text of its cell it is connected to. Nodes that hold a large share of all texts are few and meet their texts by
+broadcast, the others by shuffle (:func:`_members`), so no node's texts gather in one task before cells cut them. Connected components over these rows give the classes. Joins on class labels are salted, since one class may
 hold a third of all texts.
 
 Defined results: a null text, and one without words, has no shingles: it is a class of its own without links. A text of one
@@ -36,6 +37,7 @@ from timberline.llm.common import chunks, lower_words, mix, salted_lookup, stage
 
 BLOCK = 256
 BLOCK_SHINGLES = 2_000_000  # 16 MB
+CROWDED = 1 / 256
 WEAK = 2
 SHINGLE = 5
 _POWERS = np.asarray([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
@@ -136,6 +138,16 @@ def _nodes(texts: DataFrame, level: int, trees: int) -> DataFrame:
     return texts.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.substring("prefixes", at, F.lit(8)))
 
 
+def _members(entries: DataFrame, nodes: DataFrame, n_texts: int) -> DataFrame:
+    """Texts with their node's columns. A node of more than ``CROWDED`` of all texts would be a hot key; a tree has fewer than
+    1 / ``CROWDED`` of them, so these are broadcast and their texts stay where they are. All other nodes meet by shuffle, where
+    no key has more rows than that share."""
+    crowded = F.broadcast(nodes.filter(F.col("n") > n_texts * CROWDED))
+    rest = nodes.filter(F.col("n") <= n_texts * CROWDED)
+    apart = entries.join(crowded.select("tree", "node"), ["tree", "node"], "left_anti").join(rest, ["tree", "node"])
+    return entries.join(crowded, ["tree", "node"]).unionByName(apart)
+
+
 def _links(own: list[np.ndarray], prefixes: np.ndarray, level: int, tree: int, open_: np.ndarray, block: np.ndarray, cell: tuple[int, int], threshold: float) -> np.ndarray:
     """Similarities of the cell's pairs (row before column; 0: no link) that are similar, have a text that is still open, met
     at no longer prefix, and meet in no earlier tree. ``prefixes`` is texts x lengths x trees."""
@@ -261,19 +273,21 @@ def _linked(docs: DataFrame, texts: DataFrame, threshold: float, trees: int, rec
     """Compare texts from the longest prefixes to the shortest. Returns the cells' rows, and the state of each text that had
     company: text_id, links, doc_links, prefix_length, recall."""
     last = len(depths) - 1
-    shortest = _nodes(texts.select("text_id", "prefixes"), last, trees).select("text_id", "tree", "node")
-    shared = shortest.groupBy("tree", "node").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    company = stage(shortest.join(shared, ["tree", "node"]).select("text_id").distinct(), "company")
-    wanted = company.join(texts, "text_id").select("text_id", "prefixes", "n_copies", "n_shingles", F.col("first.doc_id").alias("d"), F.col("first.th").alias("h"))
-    wanted = stage(wanted, "wanted")
+    mark = [F.xxhash64("text_id").alias("f1"), F.xxhash64(F.lit(1), "text_id").alias("f2")]
+    shortest = _nodes(texts.select("prefixes", *mark), last, trees).groupBy("tree", "node").agg(F.count("*").alias("n"), F.bit_xor("f1").alias("f1"), F.bit_xor("f2").alias("f2"))
+    # the mark of a node with one text is that text's; a text that is such a node in every tree has no partner
+    alone = shortest.filter("n = 1").groupBy("f1", "f2").agg(F.count("*").alias("n")).filter(F.col("n") == trees).drop("n")
+    wanted = texts.select("text_id", "prefixes", "n_copies", "n_shingles", F.col("first.doc_id").alias("d"), F.col("first.th").alias("h"), *mark)
+    wanted = stage(wanted.join(alone, ["f1", "f2"], "left_anti").drop("f1", "f2"), "wanted")
+    n_wanted = wanted.count()
     text = F.col(f"`{text_col}`")
     fetched = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
     loaded = stage(_with_shingles(fetched.select("text_id", "prefixes", "n_copies", "text")), "shingles")
     weak = [f"w{k}" for k in range(len(depths))]
-    state = wanted.select("text_id", F.lit(True).alias("open"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("doc_links"), *(F.lit(0).cast("long").alias(w) for w in weak), F.lit(0).alias("prefix_length"), F.lit(0.0).alias("recall"))
+    state = wanted.select("text_id", "prefixes", "n_shingles", F.lit(True).alias("open"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("doc_links"), *(F.lit(0).cast("long").alias(w) for w in weak), F.lit(0).alias("prefix_length"), F.lit(0.0).alias("recall"))
     found, seen = [], None
     for level, depth in enumerate(depths):
-        entries = _nodes(state.select("text_id", "open").join(wanted.select("text_id", "prefixes", "n_shingles"), "text_id"), level, trees).select("text_id", "open", "n_shingles", "tree", "node")
+        entries = _nodes(state.select("text_id", "open", "prefixes", "n_shingles"), level, trees).drop("prefixes")
         fingerprint = (F.bit_xor(F.xxhash64("text_id")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "text_id")).alias("f2"))
         nodes = entries.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles").cast("long")).alias("size"), F.max("open").alias("any_open"), *fingerprint).filter("n > 1 and any_open")
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
@@ -284,7 +298,7 @@ def _linked(docs: DataFrame, texts: DataFrame, threshold: float, trees: int, rec
             nodes = nodes.join(seen, same, "left_anti")
         nodes = stage(nodes.select("at.tree", "at.node", blocks, *same), "nodes")
         seen = nodes.select(*same) if seen is None else seen.union(nodes.select(*same))
-        members = entries.join(nodes.select("tree", "node", "blocks"), ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
+        members = _members(entries, nodes.select("tree", "node", "blocks", "n"), n_wanted).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = members.select("text_id", "open", "tree", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         verify, kinds = _verify_cells(threshold, trees, depths, level)
@@ -292,8 +306,8 @@ def _linked(docs: DataFrame, texts: DataFrame, threshold: float, trees: int, rec
         sums = found[-1].groupBy("text_id").agg(*(F.sum(c).alias(f"+{c}") for c in ("links", "doc_links", *weak)))
         added = [(F.col(c) + F.coalesce(F.col(f"`+{c}`"), F.lit(0))).alias(c) for c in ("links", "doc_links", *weak)]
         reached = recall_of(F.col("links"), F.col(f"w{level}"), threshold, trees, depth)
-        state = state.join(sums, "text_id", "left").select("text_id", F.col("open").alias("was"), *added, "prefix_length", "recall")
-        state = state.select("text_id", (F.col("was") & (reached < recall)).alias("open"), "links", "doc_links", *weak, F.when(F.col("was"), depth).otherwise(F.col("prefix_length")).alias("prefix_length"), F.when(F.col("was"), reached).otherwise(F.col("recall")).alias("recall"))
+        state = state.join(sums, "text_id", "left").select("text_id", "prefixes", "n_shingles", F.col("open").alias("was"), *added, "prefix_length", "recall")
+        state = state.select("text_id", "prefixes", "n_shingles", (F.col("was") & (reached < recall)).alias("open"), "links", "doc_links", *weak, F.when(F.col("was"), depth).otherwise(F.col("prefix_length")).alias("prefix_length"), F.when(F.col("was"), reached).otherwise(F.col("recall")).alias("recall"))
         state = stage(state, "state")
     return reduce(DataFrame.unionByName, found), state
 
