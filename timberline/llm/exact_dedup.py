@@ -8,8 +8,8 @@ side of that join is read in bucket order and not shuffled.
 Defined results: a null text counts as empty; texts are equal when identical after lower-casing A-Z; of equal texts of one
 batch the largest id stays (nulls lose; all null: null stays); a text an earlier batch brought keeps that batch's id, so all
 its rows in the batch are duplicates. A batch that is run again under its own name (after a failure, say) gets the verdicts
-of its first run and appends nothing twice. Rows that repeat an id and its text share one verdict. An empty batch appends
-nothing. Extra columns are ignored.
+of its first run and appends nothing twice. Rows that repeat an id and its text share one verdict. A very long text is
+digested whole, and only its digest is shuffled. An empty batch appends nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations

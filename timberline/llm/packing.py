@@ -7,8 +7,9 @@ smallest piece is replaced by two unpacked ones that fill the gap more tightly,
 its lengths last. Pieces then find their sequence by their rank among the pieces of their length. Ranks come from counts of
 (length, hash bucket) and a window within a bucket, so no length is sorted as a whole.
 
-Defined results: a null or empty text is one piece, the end id; repeated rows are packed one by one; an empty table gives no
-rows; extra columns are ignored.
+Defined results: a null or empty text is one piece, the end id; repeated rows are packed one by one; pieces of one length
+are taken in the order of their hash, id and number, and those that tie in all three are alike; a very long text is cut into
+as many pieces as it needs; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

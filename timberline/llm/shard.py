@@ -9,8 +9,9 @@ Rows are served by ring position, one virtual node of distance per round, so the
 the driver handles is the row count of each ring cell (at most ``max_cells`` of them, however many rows there are); rows
 learn their shard by joining their cell's few intervals of ranks.
 
-Defined results: a null text has 0 bytes; a null id hashes by its text; repeated rows are placed one by one; an empty table
-gives no rows.
+Defined results: a null text has 0 bytes; a null id hashes by its text; repeated rows are placed one by one; rows that tie
+on the ring are served by id, size and checksum; a very long text is one row, whose bytes are measured and not moved; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ name; the manifest lists only the files of successful attempts, so a lost execut
 of a file follow from the manifest's totals.
 
 Defined results: a null text is empty, a record with the end id alone; null ids come first; repeated rows are records of
-their own, ordered by id, then by a hash of the text; an empty table writes no files and reads back as no rows.
+their own, ordered by id, then by a hash of the text; a very long text is one record; extra columns are ignored; an empty
+table writes no files and reads back as no rows.
 """
 
 from __future__ import annotations
