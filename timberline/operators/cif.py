@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,71 +47,77 @@ def combine(rows: DataFrame, causes: Sequence[str] = CAUSE_NAMES, clean: bool =
     Running sums over an array have no built-in function, so a batch of rows is one matrix per cause, and the work is linear in
     rows and grid. A row that lacks a hazard gets NULL arrays.
     """
-    import pyarrow as pa
-    import pyarrow.compute as pc
 
-    causes = list(causes)
-    names = ["S", *(f"F_{c}" for c in causes)]
+    def integrate(h: np.ndarray) -> tuple[np.ndarray, ...]:
+        return _exponential(np.maximum.accumulate(np.maximum(h, 0.0), axis=2) if clean else h)
 
-    def integrate(batches: Iterator) -> Iterator:
-        for batch in batches:
-            lists = [batch.column(batch.schema.names.index(c)) for c in causes]
-            sizes = np.stack([np.where(x.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False), -1) for x in lists])
-            sizes = np.where((sizes == sizes[0]).all(axis=0), sizes[0], -1)
-            out = [[None] * batch.num_rows for _ in range(len(causes) + 1)]
-            for n in np.unique(sizes[sizes > 0]):
-                at = np.flatnonzero(sizes == n)
-                h = np.stack([x.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n) for x in lists])
-                if clean:
-                    h = np.maximum.accumulate(np.maximum(h, 0.0), axis=2)
-                d = np.diff(h, axis=2, prepend=0.0)
-                total = d.sum(axis=0)
-                s = np.exp(-np.cumsum(total, axis=1))
-                before = np.concatenate([np.ones((len(at), 1)), s[:, :-1]], axis=1)
-                share = np.where(total > 0, before * -np.expm1(-total) / np.where(total > 0, total, 1.0), 0.0)
-                for column, values in zip(out, (s, *np.cumsum(share * d, axis=2)), strict=True):
-                    for i, row in zip(at, values, strict=True):
-                        column[i] = row
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.list_(pa.float64())) for c in out)], names=[*batch.schema.names, *names])
-
-    schema = StructType([*rows.schema.fields, *(StructField(n, ArrayType(DoubleType())) for n in names)])
-    return rows.mapInArrow(integrate, schema)
+    return _integrated(rows, list(causes), integrate)
 
 
 def product_limit(rows: DataFrame, causes: Sequence[str] = CAUSE_NAMES, cap: float = 0.999) -> DataFrame:
     """The discrete product-limit combination with capped increments; for comparison with :func:`combine` only. Linear in rows and
     grid; a row that lacks a hazard gets NULL arrays."""
-    causes = list(causes)
+    return _integrated(rows, list(causes), lambda h: _discrete(h, cap))
+
+
+def _exponential(h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """S and the incidences of a block of hazards (causes x rows x grid)."""
+    d = np.diff(h, axis=2, prepend=0.0)
+    total = d.sum(axis=0)
+    s = np.exp(-np.cumsum(total, axis=1))
+    before = np.concatenate([np.ones((len(s), 1)), s[:, :-1]], axis=1)
+    share = np.where(total > 0, before * -np.expm1(-total) / np.where(total > 0, total, 1.0), 0.0)
+    return (s, *np.cumsum(share * d, axis=2))
+
+
+def _discrete(h: np.ndarray, cap: float) -> tuple[np.ndarray, ...]:
+    d = np.maximum(np.diff(h, axis=2, prepend=0.0), 0.0)
+    total = d.sum(axis=0)
+    d = d * np.where(total > cap, cap / np.where(total > 0, total, 1.0), 1.0)
+    s = np.cumprod(1 - d.sum(axis=0), axis=1)
+    before = np.concatenate([np.ones((len(s), 1)), s[:, :-1]], axis=1)
+    return (s, *np.cumsum(before * d, axis=2))
+
+
+def _integrated(rows: DataFrame, causes: list[str], integrate: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> DataFrame:
+    """Adds the arrays that ``integrate`` makes of each block of rows with hazards of one length."""
     names = ["S", *(f"F_{c}" for c in causes)]
 
-    def integrate(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            lists = [batch.column(batch.schema.names.index(c)).to_pylist() for c in causes]
-            out = [[None] * batch.num_rows for _ in range(len(causes) + 1)]
-            for i, own in enumerate(zip(*lists, strict=True)):
-                if any(x is None for x in own) or len({len(x) for x in own}) != 1:
-                    continue
-                d = np.maximum(np.diff(np.asarray(own, float), axis=1, prepend=0.0), 0.0)
-                total = d.sum(axis=0)
-                d = d * np.where(total > cap, cap / np.where(total > 0, total, 1.0), 1.0)
-                s = np.cumprod(1 - d.sum(axis=0))
-                before = np.r_[1.0, s[:-1]]
-                for column, values in zip(out, (s, *np.cumsum(before * d, axis=1)), strict=True):
-                    column[i] = values
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.list_(pa.float64())) for c in out)], names=[*batch.schema.names, *names])
+            lists = [batch.column(batch.schema.names.index(c)) for c in causes]
+            sizes = np.stack([np.where(x.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False), -1) for x in lists])
+            sizes = np.where((sizes == sizes[0]).all(axis=0), sizes[0], -1)
+            flat: list[list[np.ndarray]] = [[] for _ in names]
+            place = np.full(batch.num_rows, -1)
+            done, ends = 0, [np.zeros(1, np.int32)]
+            for n in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == n)
+                h = np.stack([x.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n) for x in lists])
+                for column, values in zip(flat, integrate(h), strict=True):
+                    column.append(values.ravel())
+                place[at] = np.arange(done, done + len(at))
+                ends.append(ends[-1][-1] + n * np.arange(1, len(at) + 1, dtype=np.int32))
+                done += len(at)
+            taken = pa.array(place, mask=place < 0)
+            offsets = pa.array(np.concatenate(ends).astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c) if c else np.empty(0))).take(taken) for c in flat]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
 
     schema = StructType([*rows.schema.fields, *(StructField(n, ArrayType(DoubleType())) for n in names)])
-    return rows.mapInArrow(integrate, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def convention_differences(rows: DataFrame, causes: Sequence[str] = CAUSE_NAMES) -> DataFrame:
-    """(state, max_difference, mean_difference) between :func:`combine` and :func:`product_limit` over all rows and grid points."""
-    a, b = combine(rows.select("row_id", *causes), causes), product_limit(rows.select("row_id", *causes), causes)
+    """(state, max_difference, mean_difference) between :func:`combine` and :func:`product_limit` over all rows and grid points.
+    Both are taken of the same rows in passing, so that nothing is joined."""
     states = ["S", *(f"F_{c}" for c in causes)]
-    both = a.select("row_id", *states).join(b.select("row_id", *(F.col(s).alias(f"__{s}") for s in states)), "row_id")
-    each = both.select(F.inline(F.array(*(F.struct(F.lit(s).alias("state"), F.zip_with(s, f"__{s}", lambda x, y: F.abs(x - y)).alias("d")) for s in states))))
+    first = combine(rows.select(*causes), causes).select(*causes, *(F.col(s).alias(f"__{s}") for s in states))
+    both = product_limit(first, causes)
+    each = both.select(F.inline(F.array(*(F.struct(F.lit(s).alias("state"), F.zip_with(f"__{s}", s, lambda x, y: F.abs(x - y)).alias("d")) for s in states))))
     return each.select("state", F.explode("d").alias("d")).groupBy("state").agg(F.max("d").alias("max_difference"), F.avg("d").alias("mean_difference"))
 
 
