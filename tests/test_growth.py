@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from timberline.operators import cif
+from timberline.operators import boosted, cif
 
 
 def plan_of(df):
@@ -33,3 +33,32 @@ def test_conventions_are_compared_without_a_join(spark):
         assert np.allclose(got[s], (max(d), np.mean(d)))
     whole = cif.combine(df, ["a", "b", "c"]).filter(F.size("S") == 6).select("row_id").collect()
     assert {r["row_id"] for r in whole} == {2, 6}
+
+
+def test_large_strata_are_boosted_together(spark):
+    """Three jobs a round, whatever the number of strata, causes and earlier trees; the same trees as in one task."""
+    r = np.random.default_rng(8)
+    rows = [(i, i, "AB"[i % 2], float(r.integers(1, 30)), int(r.integers(0, 3)), float(r.integers(0, 9)), float(r.normal())) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, patient_id long, route string, time double, event int, a double, b double")
+    options = {"trees": 3, "rate": 0.5, "min_instances": 10, "bins": 8, "causes": {"svd": 1, "death": 2}}
+    local = boosted.BoostedHazards(["a", "b"], **options).fit(df)
+    spread = boosted.BoostedHazards(["a", "b"], local_rows=0, chunk_rows=70, **options)
+    spark.sparkContext.setJobGroup("few", "few")
+    spread.fit(df)
+    few = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("more", "more")
+    boosted.BoostedHazards(["a", "b"], local_rows=0, chunk_rows=70, **{**options, "trees": 5}).fit(df)
+    more = len(spark.sparkContext.statusTracker().getJobIdsForGroup("more"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert more - few == 2 * 3
+    for route in "AB":
+        for cause in ("svd", "death"):
+            for x, y in zip(local.models[route].trees[cause], spread.models[route].trees[cause], strict=True):
+                assert (x.feature == y.feature).all() and (x.cut == y.cut).all() and np.allclose(x.value, y.value)
+
+
+def test_summed_trees_equal_trees_in_turn():
+    r = np.random.default_rng(2)
+    trees = [boosted.Tree(np.asarray([f, g, h, -1, -1, -1, -1]), r.integers(0, 7, 7), r.normal(size=7)) for f, g, h in ((0, 1, 2), (2, 0, -1), (1, 1, 0), (2, -1, -1), (-1, -1, -1))]
+    bins = r.integers(0, 8, (3, 500)).astype(np.uint8)
+    assert np.allclose(boosted.summed(trees, 0.3, 2, 8)(bins), sum(0.3 * t.value[t.leaves(bins)] for t in trees))

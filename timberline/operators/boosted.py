@@ -1,10 +1,12 @@
 """Boosted proportional hazards for every stratum and cause at once, by histograms over quantile bins.
 
 Features are cut to bins at exact quantiles (distinct values where they are few). Rows are sorted by (stratum, time) and kept
-as chunks: one row per chunk, with times, events and bins as packed arrays. A round needs four sums, each one job for all
-models: what the chunks weigh (for the numbers at risk), what hazard they add (Breslow), and for each level of the tree the
-gradients and counts per (stratum, cause, node, feature, bin). Numbers at risk and hazards cross from chunk to chunk as one
-number per chunk and cause, also where tied times span chunks. Trees and chunk totals are all that the driver sees.
+as chunks: one row per chunk, with times, events and bins as packed arrays. A round needs these sums, each one job for all
+models: what the chunks weigh (for the numbers at risk); what hazard they add (Breslow), with the gradients per feature and bin up
+to what earlier chunks add; and for each further level of the tree the gradients and counts per (stratum, cause, node, feature,
+bin). The last level needs none: its sums are those of the splits above. Numbers at risk and hazards cross from chunk to chunk as
+one number per chunk and cause, also where tied times span chunks. Trees and chunk totals are all that the driver sees. Trees of
+depth two at most are kept summed, as tables over pairs of features, so that a round costs the same however many went before.
 
 Strata of at most ``local_rows`` rows, counted beforehand, are boosted whole inside a task by the same steps, so that small
 data does not pay for a job per step; strata are spread over tasks. Larger strata go through Spark job by job. Both give the
@@ -57,6 +59,60 @@ class Tree:
         return at
 
 
+class _Surface:
+    """A sum of trees of depth two at most, as tables over pairs of features: a look-up per pair, however many trees."""
+
+    def __init__(self, bins: int) -> None:
+        self.bins = bins
+        self.tables: dict[tuple[int, int], np.ndarray] = {}
+
+    def add(self, tree: Tree, rate: float) -> None:
+        at = np.arange(self.bins)
+        f = int(tree.feature[0])
+        if f < 0:
+            self._table(0, 0)[:] += rate * tree.value[0]
+            return
+        for child, own in ((1, at <= tree.cut[0]), (2, at > tree.cut[0])):
+            g = int(tree.feature[child])
+            if g < 0:
+                self._table(f, f)[own] += rate * tree.value[child]
+                continue
+            cells = np.outer(own, np.where(at <= tree.cut[child], tree.value[2 * child + 1], tree.value[2 * child + 2]))
+            self._table(f, g)[:] += rate * (cells if f <= g else cells.T)
+
+    def _table(self, f: int, g: int) -> np.ndarray:
+        return self.tables.setdefault((min(f, g), max(f, g)), np.zeros((self.bins, self.bins)))
+
+    def __call__(self, bins: np.ndarray) -> np.ndarray:
+        out = np.zeros(bins.shape[1])
+        for (f, g), table in self.tables.items():
+            out += table.ravel()[bins[f].astype(np.int32) * self.bins + bins[g]]
+        return out
+
+
+class _Replay:
+    """A sum of deeper trees, one after another."""
+
+    def __init__(self) -> None:
+        self.trees: list[tuple[Tree, float]] = []
+
+    def add(self, tree: Tree, rate: float) -> None:
+        self.trees.append((tree, rate))
+
+    def __call__(self, bins: np.ndarray) -> np.ndarray:
+        out = np.zeros(bins.shape[1])
+        for tree, rate in self.trees:
+            out += rate * tree.value[tree.leaves(bins)]
+        return out
+
+
+def summed(trees: Sequence[Tree], rate: float, depth: int, bins: int) -> _Surface | _Replay:
+    out = _Surface(bins) if depth <= 2 else _Replay()
+    for tree in trees:
+        out.add(tree, rate)
+    return out
+
+
 @dataclass
 class _Chunk:
     times: np.ndarray
@@ -65,18 +121,17 @@ class _Chunk:
     scores: dict[int, np.ndarray]
 
     @classmethod
-    def of(cls, times: bytes, events: bytes, bins: bytes, p: int, causes: Sequence[int], trees: Mapping[int, list[Tree]], rate: float) -> _Chunk:
-        t, e = np.frombuffer(times), np.frombuffer(events, np.int32)
-        chunk = cls(t, e, np.frombuffer(bins, np.uint8).reshape(p, len(t)), {c: np.zeros(len(t)) for c in causes})
-        for c in causes:
-            for tree in trees.get(c, ()):
-                chunk.grow(c, tree, rate)
-        return chunk
+    def of(cls, r: dict, p: int, scores: Mapping[int, Callable[[np.ndarray], np.ndarray]]) -> _Chunk:
+        t, e = np.frombuffer(r["times"]), np.frombuffer(r["events"], np.int32)
+        bins = np.frombuffer(r["bins"], np.uint8).reshape(p, len(t))
+        return cls(t, e, bins, {c: score(bins) for c, score in scores.items()})
 
     def __post_init__(self) -> None:
         #: Of each row: the first row of its time, and the last.
-        self.first = np.searchsorted(self.times, self.times, side="left")
-        self.last = np.searchsorted(self.times, self.times, side="right") - 1
+        starts = np.r_[0, np.flatnonzero(self.times[1:] != self.times[:-1]) + 1]
+        sizes = np.diff(np.r_[starts, len(self.times)])
+        self.first = np.repeat(starts, sizes)
+        self.last = np.repeat(starts + sizes - 1, sizes)
         self.hits = {c: (self.events == c).astype(float) for c in self.scores}
         self.weight: dict[int, np.ndarray] = {}
         self.steps: dict[int, tuple] = {}
@@ -117,6 +172,18 @@ class _Chunk:
         h[self.first[-1] :] += coming
         return self.hits[cause] - self.risk(cause) * h
 
+    def opening(self, cause: int, after: float, tied: float, bins: int) -> np.ndarray:
+        """``hazards``, then per feature and bin: gradient sums as if no other chunk added hazard, sums of exp(score), and those
+        at the chunk's last time. Gradients are linear in what the others add."""
+        edge = np.zeros(len(self.times))
+        edge[self.first[-1] :] = self.risk(cause)[self.first[-1] :]
+        parts = (self.gradient(cause, after, tied, 0.0, 0.0), self.risk(cause), edge)
+        sums = [np.bincount(own, weights=x, minlength=bins) for x in parts for own in self.bins]
+        return np.concatenate([self.hazards(cause, after, tied), *sums])
+
+    def counts(self, bins: int) -> np.ndarray:
+        return np.concatenate([np.bincount(own, minlength=bins) for own in self.bins]).astype(float)
+
     def histogram(self, gradient: np.ndarray, tree: Tree | None, level: int, bins: int, features: int | None = None) -> np.ndarray:
         """(2, nodes of the level, features, bins): gradient sums and row counts."""
         nodes = 1 << level
@@ -135,7 +202,8 @@ class _Chunk:
 
 
 def split_level(tree: Tree, histogram: np.ndarray, level: int, min_instances: int, depth: int) -> bool:
-    """Fill a level's leaf values and split its nodes where that lowers the squared error; true if any was split."""
+    """Fill a level's values and split its nodes where that lowers the squared error, filling the values of either side; true if
+    any was split."""
     sums, counts = histogram
     any_split = False
     for node in range(1 << level):
@@ -154,47 +222,26 @@ def split_level(tree: Tree, histogram: np.ndarray, level: int, min_instances: in
         if best <= 1e-12 * max(1.0, abs(total)):
             continue
         first = int(np.argmax((gain >= best - 1e-9 * max(1.0, abs(best))).ravel()))
-        tree.feature[at], tree.cut[at] = divmod(first, gain.shape[1])
+        f, cut = divmod(first, gain.shape[1])
+        tree.feature[at], tree.cut[at] = f, cut
+        tree.value[2 * at + 1], tree.value[2 * at + 2] = left[f, cut] / ln[f, cut], (total - left[f, cut]) / rn[f, cut]
         any_split = True
     return any_split
 
 
-def boost(
-    keys: list[tuple],
-    spans: Mapping[tuple, tuple[float, float]],
-    causes: Sequence[int],
-    rounds: int,
-    depth: int,
-    min_instances: int,
-    each: Callable[[str, int, dict], dict],
-    add: Callable[[int, dict, Tree | None, int, int | None], np.ndarray],
-    grown: Callable[[int, Tree], None],
-) -> None:
-    """Boost a stratum whose chunks, in order, are ``keys``, with first and last times ``spans``.
-
-    ``each("weights" | "hazards", cause, arguments by key)`` gives numbers per chunk, ``add(cause, arguments, tree, level)``
-    the histogram over all chunks, ``grown`` takes the finished tree.
-    """
-    first, last = (np.asarray([spans[k][i] for k in keys]) for i in (0, 1))
-    for _ in range(rounds):
-        for cause in causes:
-            weights = each("weights", cause, {})
-            w = np.asarray([weights[k] for k in keys])
-            after = np.r_[np.cumsum(w[::-1, 0])[::-1][1:], 0.0]
-            tied = _chain(first, last, w[:, 0], w[:, 2], forward=True)
-            risk = {k: (after[i], tied[i]) for i, k in enumerate(keys)}
-            added = each("hazards", cause, risk)
-            h = np.asarray([added[k] for k in keys])
-            before = np.r_[0.0, np.cumsum(h[:, 0])[:-1]]
-            coming = _chain(first, last, h[:, 0], h[:, 1], forward=False)
-            full = {k: (*risk[k], before[i], coming[i]) for i, k in enumerate(keys)}
-            nodes = (1 << (depth + 1)) - 1
-            tree = Tree(np.full(nodes, -1, np.int64), np.zeros(nodes, np.int64), np.zeros(nodes))
-            for level in range(depth + 1):
-                features = 1 if level == depth else None  # leaves only want their sums
-                if not split_level(tree, add(cause, full, tree if level else None, level, features), level, min_instances, depth):
-                    break
-            grown(cause, tree)
+def _at_risk(first: np.ndarray, last: np.ndarray, w: np.ndarray) -> list[tuple[float, float]]:
+    """Per chunk, from ``weights``: the weight of later chunks, and that of earlier ones at its first time."""
+    return list(zip(np.cumsum(w[::-1, 0])[::-1] - w[:, 0], _chain(first, last, w[:, 0], w[:, 2], forward=True), strict=True))
+
+
+def _hazards_beside(first: np.ndarray, last: np.ndarray, h: np.ndarray) -> list[tuple[float, float]]:
+    """Per chunk, from ``hazards``: the hazard of earlier chunks, and that of later ones at its last time."""
+    return list(zip(np.r_[0.0, np.cumsum(h[:, 0])[:-1]], _chain(first, last, h[:, 0], h[:, 1], forward=False), strict=True))
+
+
+def _empty_tree(depth: int) -> Tree:
+    nodes = (1 << (depth + 1)) - 1
+    return Tree(np.full(nodes, -1, np.int64), np.zeros(nodes, np.int64), np.zeros(nodes))
 
 
 def _chain(first: np.ndarray, last: np.ndarray, whole: np.ndarray, edge: np.ndarray, forward: bool) -> np.ndarray:
@@ -209,26 +256,21 @@ def _chain(first: np.ndarray, last: np.ndarray, whole: np.ndarray, edge: np.ndar
     return out
 
 
-def _boost_local(chunks: dict[tuple, _Chunk], causes: Sequence[int], rounds: int, depth: int, rate: float, min_instances: int, bins: int) -> dict[int, list[Tree]]:
-    """The steps over chunks that one task holds."""
-    keys = list(chunks)
-    out: dict[int, list[Tree]] = {c: [] for c in causes}
-    gradients: dict[tuple, np.ndarray] = {}
-
-    def each(what: str, cause: int, given: dict) -> dict:
-        return {k: getattr(c, what)(cause, *given.get(k, ())) for k, c in chunks.items()}
-
-    def add(cause: int, given: dict, tree: Tree | None, level: int, features: int | None) -> np.ndarray:
-        if not level:
-            gradients.update({k: c.gradient(cause, *given[k]) for k, c in chunks.items()})
-        return sum(c.histogram(gradients[k], tree, level, bins, features) for k, c in chunks.items())
-
-    def grown(cause: int, tree: Tree) -> None:
-        out[cause].append(tree)
-        for c in chunks.values():
+def _boost_local(chunks: list[_Chunk], cause: int, rounds: int, depth: int, rate: float, min_instances: int, bins: int) -> list[Tree]:
+    """Boost one cause of a stratum whose chunks, in order, one task holds."""
+    first, last = (np.asarray([c.times[i] for c in chunks]) for i in (0, -1))
+    out: list[Tree] = []
+    for _ in range(rounds):
+        risk = _at_risk(first, last, np.asarray([c.weights(cause) for c in chunks]))
+        added = np.asarray([c.hazards(cause, *r) for c, r in zip(chunks, risk, strict=True)])
+        gradients = [c.gradient(cause, *r, *h) for c, r, h in zip(chunks, risk, _hazards_beside(first, last, added), strict=True)]
+        tree = _empty_tree(depth)
+        for level in range(max(depth, 1)):
+            if not split_level(tree, sum(c.histogram(g, tree if level else None, level, bins) for c, g in zip(chunks, gradients, strict=True)), level, min_instances, depth):
+                break
+        out.append(tree)
+        for c in chunks:
             c.grow(cause, tree, rate)
-
-    boost(keys, {k: (c.times[0], c.times[-1]) for k, c in chunks.items()}, causes, rounds, depth, min_instances, each, add, grown)
     return out
 
 
@@ -274,9 +316,7 @@ class BoostedHazards:
         chunks = stage(self._chunks(rows), "chunks")
         sizes = {s: int(r["events"]) for s, r in counts.items()}
         self._fit_local(chunks, [s for s in sizes if sizes[s] <= self.local_rows])
-        for s in sizes:
-            if sizes[s] > self.local_rows:
-                self._fit_spread(chunks, s)
+        self._fit_spread(chunks, [s for s in sizes if sizes[s] > self.local_rows])
         self._baselines: dict[tuple, DataFrame] = {}
         return self
 
@@ -353,11 +393,10 @@ class BoostedHazards:
 
             import pyarrow as pa
 
-            p, causes = wanted[key[0].as_py()]
-            cause = key[1].as_py()
+            p, cause = wanted[key[0].as_py()][0], key[1].as_py()
             found = sorted(table.to_pylist(), key=lambda r: (r["part"], r["no"]))
-            held = {(r["part"], r["no"]): _Chunk.of(r["times"], r["events"], r["bins"], p, [cause], {}, options[2]) for r in found}
-            return pa.table({"stratum": [key[0].as_py()], "cause": pa.array([cause], pa.int32()), "trees": pa.array([pickle.dumps(_boost_local(held, [cause], *options)[cause])], pa.binary())})
+            held = [_Chunk.of(r, p, {cause: summed((), options[2], options[1], options[4])}) for r in found]
+            return pa.table({"stratum": [key[0].as_py()], "cause": pa.array([cause], pa.int32()), "trees": pa.array([pickle.dumps(_boost_local(held, cause, *options))], pa.binary())})
 
         causes = F.map_from_entries(F.array(*(F.struct(F.lit(s), F.array(*(F.lit(c) for c in causes))) for s, (_, causes) in wanted.items())))
         each = chunks.withColumn("cause", F.explode(F.element_at(causes, F.col("stratum"))))
@@ -367,63 +406,95 @@ class BoostedHazards:
         for r in grown.collect():  # the trees of each model
             self.models[r["stratum"]].trees[{code: n for n, code in self.causes.items()}[r["cause"]]] = pickle.loads(r["trees"])
 
-    def _fit_spread(self, chunks: DataFrame, s: str) -> None:
-        own = chunks.filter(F.col("stratum") == s)
-        causes, p, rate, bins = self._fitted(s), len(self.models[s].columns), self.rate, self.bins
-        spark = chunks.sparkSession
-        trees: dict[int, list[Tree]] = {c: [] for c in causes}
-        if not causes:
+    def _fit_spread(self, chunks: DataFrame, strata: list[str]) -> None:
+        """Boost all models of the large strata together, a job per kind of sum."""
+        wanted = {s: (len(self.models[s].columns), self._fitted(s)) for s in strata if self._fitted(s)}
+        if not wanted:
             return
-        times = own.mapInArrow(_spans, "part int, no int, first double, last double").collect()  # one row per chunk
-        spans = {(r["part"], r["no"]): (r["first"], r["last"]) for r in times}
-
-        def chunk(r: dict, cause: int, held: list[Tree]) -> _Chunk:
-            return _Chunk.of(r["times"], r["events"], r["bins"], p, [cause], {cause: held}, rate)
+        own = chunks.filter(F.col("stratum").isin(*wanted))
+        depth, rate, bins = self.depth, self.rate, self.bins
+        models = [(s, c) for s, (_, causes) in wanted.items() for c in causes]
+        trees: dict[tuple, list[Tree]] = {m: [] for m in models}
+        scores = {m: summed((), rate, depth, bins) for m in models}
+        context = chunks.sparkSession.sparkContext
 
-        def each(what: str, cause: int, given: dict) -> dict:
-            shared = spark.sparkContext.broadcast((trees[cause], given))
+        def each(call: Callable[[_Chunk, int, tuple], np.ndarray], given: dict[tuple, dict] | None = None) -> dict[tuple, dict]:
+            """Numbers per chunk of every model."""
+            shared = context.broadcast((scores, given))
 
             def run(batches: Iterator) -> Iterator:
-                import pyarrow as pa
-
                 held, arguments = shared.value
                 for batch in batches:
+                    out = []
                     for r in batch.to_pylist():
-                        k = (r["part"], r["no"])
-                        yield pa.RecordBatch.from_arrays([pa.array([k[0]], pa.int32()), pa.array([k[1]], pa.int32()), pa.array([list(getattr(chunk(r, cause, held), what)(cause, *arguments.get(k, ())))])], names=["part", "no", "sums"])
+                        p, causes = wanted[r["stratum"]]
+                        c = _Chunk.of(r, p, {k: held[r["stratum"], k] for k in causes})
+                        key = (r["part"], r["no"])
+                        out += [(r["stratum"], k, *key, np.asarray(call(c, k, arguments[r["stratum"], k][key] if arguments else ()), float).tobytes()) for k in causes]
+                    yield _records(out, ["stratum", "cause", "part", "no", "sums"])
 
-            found = own.mapInArrow(run, "part int, no int, sums array<double>").collect()  # numbers per chunk
+            found = own.mapInArrow(run, "stratum string, cause int, part int, no int, sums binary").collect()
             shared.unpersist()
-            return {(r["part"], r["no"]): r["sums"] for r in found}
+            sums: dict[tuple, dict] = {m: {} for m in models}
+            for r in found:
+                sums[r["stratum"], r["cause"]][r["part"], r["no"]] = np.frombuffer(r["sums"])
+            return sums
 
-        def add(cause: int, given: dict, tree: Tree | None, level: int, features: int | None) -> np.ndarray:
-            shared = spark.sparkContext.broadcast((trees[cause], given, tree))
+        def deeper(given: dict[tuple, dict], grown: dict[tuple, Tree], level: int) -> dict[tuple, np.ndarray]:
+            """The histogram of a level, of the models whose trees were split above it; one sum per task and model."""
+            shared = context.broadcast(({m: scores[m] for m in grown}, given, grown))
 
             def run(batches: Iterator) -> Iterator:
-                import pyarrow as pa
-
-                held, arguments, grown = shared.value
-                total = None
+                held, arguments, open_ = shared.value
+                total: dict[tuple, np.ndarray] = {}
                 for batch in batches:
                     for r in batch.to_pylist():
-                        c = chunk(r, cause, held)
-                        h = c.histogram(c.gradient(cause, *arguments[r["part"], r["no"]]), grown, level, bins, features)
-                        total = h if total is None else total + h
-                if total is not None:
-                    sums, counts = total.reshape(2, -1)
-                    at = np.flatnonzero(counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at]), pa.array(counts[at])], names=["slot", "g", "n"])
-
-            found = own.mapInArrow(run, "slot long, g double, n double").groupBy("slot").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).collect()  # nodes x features x bins
-            wide = features or p
-            out = np.zeros((2, (1 << level) * wide * bins))
-            for r in found:
-                out[:, r["slot"]] = r["g"], r["n"]
+                        s, p = r["stratum"], wanted[r["stratum"]][0]
+                        causes = [k for k in wanted[s][1] if (s, k) in open_]
+                        c = _Chunk.of(r, p, {k: held[s, k] for k in causes})
+                        for k in causes:
+                            h = c.histogram(c.gradient(k, *arguments[s, k][r["part"], r["no"]]), open_[s, k], level, bins)
+                            total[s, k] = total[s, k] + h if (s, k) in total else h
+                yield _records([(s, k, h.tobytes()) for (s, k), h in total.items()], ["stratum", "cause", "sums"])
+
+            found = own.mapInArrow(run, "stratum string, cause int, sums binary").collect()
             shared.unpersist()
-            return out.reshape(2, 1 << level, wide, bins)
-
-        boost(sorted(spans), spans, causes, self.trees, self.depth, self.min_instances, each, add, lambda cause, tree: trees[cause].append(tree))
-        self._keep(s, trees)
+            out = {(s, k): np.zeros((2, 1 << level, wanted[s][0], bins)) for s, k in grown}
+            for r in found:
+                h = out[r["stratum"], r["cause"]]
+                h += np.frombuffer(r["sums"]).reshape(h.shape)
+            return out
+
+        spans = each(lambda c, _, __: np.r_[c.times[0], c.times[-1], c.counts(bins)])
+        keys = {m: sorted(spans[m]) for m in models}
+        ends = {m: [np.asarray([spans[m][k][i] for k in keys[m]]) for i in (0, 1)] for m in models}
+        counts = {m: sum(spans[m][k][2:] for k in keys[m]).reshape(-1, bins) for m in models}
+        del spans
+        for _ in range(self.trees):
+            weights = each(lambda c, k, _: c.weights(k))
+            risk = {m: dict(zip(keys[m], _at_risk(*ends[m], np.asarray([weights[m][k] for k in keys[m]])), strict=True)) for m in models}
+            sums = each(lambda c, k, given: c.opening(k, *given, bins), risk)
+            given, grown = {}, {m: _empty_tree(depth) for m in models}
+            going = {}
+            for m in models:
+                x = np.asarray([sums[m][k] for k in keys[m]])
+                beside = _hazards_beside(*ends[m], x[:, :2])
+                given[m] = {k: (*risk[m][k], *b) for k, b in zip(keys[m], beside, strict=True)}
+                local, weight, edge = x[:, 2:].reshape(len(x), 3, *counts[m].shape).transpose(1, 0, 2, 3)
+                before, coming = (np.asarray(v)[:, None, None] for v in zip(*beside, strict=True))
+                histogram = np.stack([(local - before * weight - coming * edge).sum(axis=0), counts[m]])[:, None]
+                if split_level(grown[m], histogram, 0, self.min_instances, depth):
+                    going[m] = grown[m]
+            for level in range(1, depth):
+                if not going:
+                    break
+                found = deeper({m: given[m] for m in going}, going, level)
+                going = {m: t for m, t in going.items() if split_level(t, found[m], level, self.min_instances, depth)}
+            for m in models:
+                trees[m].append(grown[m])
+                scores[m].add(grown[m], rate)
+        for s, (_, causes) in wanted.items():
+            self._keep(s, {c: trees[s, c] for c in causes})
 
     # -- use
 
@@ -442,8 +513,10 @@ class BoostedHazards:
         stages = list(at or [self.trees])
         if max(stages) > self.trees:
             raise ValueError("a stage exceeds the number of fitted trees")
-        shared = rows.sparkSession.sparkContext.broadcast(self.models)
-        names, causes, rate, key = list(self.columns), list(self.causes), self.rate, stratum or self.stratum
+        names, causes, key = list(self.columns), list(self.causes), stratum or self.stratum
+        ends = sorted(set(stages))
+        parts = {(s, j): [summed(m.trees[c][a:b], self.rate, self.depth, self.bins) for a, b in zip([0, *ends], ends)] for s, m in self.models.items() for j, c in enumerate(causes) if c in m.trees}
+        shared = rows.sparkSession.sparkContext.broadcast(({s: (m.columns, m.edges) for s, m in self.models.items()}, parts))
         inputs = rows.withColumns({"__s": F.col(key).cast("string"), **{f"__x{i}": _number(F.col(c)) for i, c in enumerate(names)}})
         kept = rows.columns
 
@@ -455,15 +528,16 @@ class BoostedHazards:
                 out = np.zeros((n, len(stages), len(causes)))
                 strata = np.asarray(batch.column(len(kept)).to_pylist(), object)
                 values = [batch.column(len(kept) + 1 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))]
-                for s, m in shared.value.items():
+                models, added = shared.value
+                for s, (used, edges) in models.items():
                     own = np.flatnonzero(strata == s)
-                    if not len(own) or not m.trees:
+                    if not len(own) or not used:
                         continue
-                    bins = np.stack([binned(values[names.index(c)][own], m.edges[c]) for c in m.columns])
-                    for j, cause in enumerate(causes):
+                    bins = np.stack([binned(values[names.index(c)][own], edges[c]) for c in used])
+                    for j in range(len(causes)):
                         score = np.zeros(len(own))
-                        for k, tree in enumerate(m.trees.get(cause, ()), 1):
-                            score += rate * tree.value[tree.leaves(bins)]
+                        for k, part in zip(ends, added.get((s, j), ())):
+                            score = score + part(bins)
                             for i in (i for i, x in enumerate(stages) if x == k):
                                 out[own, i, j] = score
                 flat = pa.array(out.ravel())
@@ -529,10 +603,8 @@ def binned(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(values), 0, np.searchsorted(edges, values, side="left")).astype(np.uint8)
 
 
-def _spans(batches: Iterator) -> Iterator:
+def _records(rows: list[tuple], names: list[str]):
     import pyarrow as pa
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            t = np.frombuffer(r["times"])
-            yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([r["no"]], pa.int32()), pa.array([t[0]]), pa.array([t[-1]])], names=["part", "no", "first", "last"])
+    types = {"stratum": pa.string(), "cause": pa.int32(), "part": pa.int32(), "no": pa.int32(), "sums": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[n]) for i, n in enumerate(names)], names=names)
