@@ -3,7 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from oracles import rows_of, rows_of_sql
+
 from timberline.operators import boosted, cif
+from timberline.plans.registry import QUERIES, SQL
 
 
 def plan_of(df):
@@ -62,3 +65,22 @@ def test_summed_trees_equal_trees_in_turn():
     trees = [boosted.Tree(np.asarray([f, g, h, -1, -1, -1, -1]), r.integers(0, 7, 7), r.normal(size=7)) for f, g, h in ((0, 1, 2), (2, 0, -1), (1, 1, 0), (2, -1, -1), (-1, -1, -1))]
     bins = r.integers(0, 8, (3, 500)).astype(np.uint8)
     assert np.allclose(boosted.summed(trees, 0.3, 2, 8)(bins), sum(0.3 * t.value[t.leaves(bins)] for t in trees))
+
+
+def test_slopes_on_a_rounding_tie(spark, tmp_path):
+    """Patients whose slopes are halves of the fourth digit, which the two sides' sums miss on either side."""
+    import duckdb
+    import timberline.plans.cohort_queries  # noqa: F401
+
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    patients, source = "(8833, 9658, 10299, 12601)", "/root/testdata/sf0.1"
+    rows = {"customer": f"c_custkey in {patients}", "orders": f"o_custkey in {patients}", "lineitem": f"l_orderkey in (select o_orderkey from '{source}/orders.parquet' where o_custkey in {patients})"}
+    for t, which in rows.items():
+        con.execute(f"copy (select * from '{source}/{t}.parquet' where {which}) to '{tmp_path}/{t}.parquet' (format parquet)")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    columns, want = rows_of_sql(con, SQL["f9_landmark_table"])
+    df = QUERIES["f9_landmark_table"](spark, str(tmp_path))
+    assert len(want) > 10 and rows_of(df, columns) == want
+    at = columns.index("gradient_slope")
+    assert any(str(r[at]).startswith("-106.531") for r in want)

@@ -322,11 +322,11 @@ ac as (select patient_id, lm as date, coalesce(min_by(class, seq) filter (where
 thr as (select *, coalesce(first_thrombosis_date > date and first_thrombosis_date <= end_date, false) as seen from outcomes)
 select l.patient_id, l.date as landmark_date, l.rg as ref_gradient, l.re as ref_eoa, l.rd as ref_dvi, l.rar as ref_ar, l.rl as ref_lvef, l.rs as ref_svi, l.mean_gradient as current_gradient, l.eoa as current_eoa, l.dvi as current_dvi, l.ar as current_ar, l.lvef as current_lvef, l.svi as current_svi,
   l.mean_gradient - l.rg as delta_gradient, round(l.eoa - l.re, 6) as delta_eoa, round(l.dvi - l.rd, 6) as delta_dvi, l.ar - l.rar as delta_ar, l.mean_gradient - p.pg as last_change_gradient, round(datediff('day', p.pd, l.date) / 365.25::double, 6) as last_change_interval_years, h.n_echoes,
-  0.0::double as time_since_last_echo_years, false as stale_echo, false as overdue_flag, case when l.date > l.ref_date then l.stage else '0' end as current_stage, round(case when h.ng >= 3 and h.hi > h.lo then h.slope end, 4) as gradient_slope, round(l.time, 6) as time, l.event,
+  0.0::double as time_since_last_echo_years, false as stale_echo, false as overdue_flag, case when l.date > l.ref_date then l.stage else '0' end as current_stage, cast(round(cast(case when h.ng >= 3 and h.hi > h.lo then h.slope end as decimal(30, 7)), 4) as double) as gradient_slope, round(l.time, 6) as time, l.event,
   round(case when seen then least(greatest(datediff('day', l.date, l.first_thrombosis_date) / 365.25::double, 0.001::double), 5.0::double) else least(greatest(datediff('day', l.date, l.end_date) / 365.25::double, 0.001::double), 5.0::double) end, 6) as time_thromb,
   case when seen and datediff('day', l.date, l.first_thrombosis_date) / 365.25 <= 5 then 1 else 0 end as event_thromb, round(datediff('day', l.ref_date, l.date) / 365.25::double, 6) as t_lm, pt.route, pt.design_class, pt.bsa, pt.age_at_implant, pt.bmi, pt.sex, pt.size_mm,
   round(l.re / pt.bsa, 6) as ieoa, case when l.re / pt.bsa > 0.85::double then 'none' when l.re / pt.bsa > 0.65::double then 'moderate' when l.re / pt.bsa is not null then 'severe' end as mismatch_grade, round(datediff('day', pt.implant_date, l.date) / 365.25::double, 6) as valve_age_years,
-  b.egfr, b.hb, b.ldh, round(b.egfr_slope, 4) as egfr_slope, ac.ac_class_current, ac.ac_indication, ac.ac_current_status, ac.ac_cum_vka_years, ac.ac_cum_oac_years, ac.ac_days_since_change, ac.ac_post_suspicion, ac.on_antiplatelet,
+  b.egfr, b.hb, b.ldh, cast(round(cast(b.egfr_slope as decimal(30, 7)), 4) as double) as egfr_slope, ac.ac_class_current, ac.ac_indication, ac.ac_current_status, ac.ac_cum_vka_years, ac.ac_cum_oac_years, ac.ac_days_since_change, ac.ac_post_suspicion, ac.on_antiplatelet,
   round(1.0::double / count(*) over (partition by l.patient_id), 6) as row_weight_patient_balanced
 from thr l join hist h on h.patient_id = l.patient_id and h.date = l.date join prev p on p.patient_id = l.patient_id and p.date = l.date and p.seq = l.seq join patients pt on pt.patient_id = l.patient_id
   left join lab b on b.patient_id = l.patient_id and b.date = l.date left join ac on ac.patient_id = l.patient_id and ac.date = l.date"""
@@ -338,7 +338,8 @@ def f9_landmark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full landmark table: series, static, laboratory and exposure features, and both outcomes."""
     rows = landmarks_of(spark, sf_dir)
     slopes = ("gradient_slope", "egfr_slope")
-    plain = lambda c: F.round(c, 4).alias(c) if c in slopes else r6(c)
+    # slopes are ratios of whole numbers of days and often halves of the last digit: what summing leaves in the far digits goes first
+    plain = lambda c: F.round(F.col(c).cast("decimal(30,7)"), 4).cast("double").alias(c) if c in slopes else r6(c)
     return rows.select(*(plain(c) if t == "double" else c for c, t in rows.dtypes))
 
 
