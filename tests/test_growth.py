@@ -84,3 +84,13 @@ def test_slopes_on_a_rounding_tie(spark, tmp_path):
     assert len(want) > 10 and rows_of(df, columns) == want
     at = columns.index("gradient_slope")
     assert any(str(r[at]).startswith("-106.531") for r in want)
+
+
+def test_registry_files_hold_few_records(spark, monkeypatch):
+    from timberline.plans import record_queries
+
+    monkeypatch.setattr(record_queries, "RECORDS_PER_FILE", 20)
+    df = record_queries.device_records(spark, "/root/testdata/sf0.001")
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert len(df.inputFiles()) >= parts / 20
+    assert rows_of(df.select("record_key"), ["record_key"]) == rows_of(QUERIES["a4_device_registry"](spark, "/root/testdata/sf0.001"), ["record_key"])

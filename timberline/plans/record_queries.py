@@ -47,6 +47,10 @@ def a3_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DEVICE = "p_partkey % 3 = 0 or regexp_matches(p_name, '(?i)ring') or regexp_matches(p_type, '(?i)ring')"
 
 
+#: A file of records is read by one task.
+RECORDS_PER_FILE = 50_000
+
+
 def device_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts written as a device registry's XML and read back."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -54,7 +58,8 @@ def device_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.struct(F.array(F.struct(F.concat((F.col("p_partkey") % 40).cast("string"), F.lit(" mm")).alias("sizeText"))).alias("deviceSize"))
     rows = p.select(F.col("p_partkey").cast("string").alias("publicDeviceRecordKey"), F.col("p_name").alias("brandName"), F.col("p_brand").alias("companyName"), F.col("p_type").alias("deviceDescription"), code.alias("productCodes"), size.alias("deviceSizes"))
     path = stage_path(spark, "devices")
-    rows.write.format("xml").option("rootTag", "devices").option("rowTag", "device").save(path)
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "publicDeviceRecordKey")  # text is many times the table's size
+    rows.write.format("xml").option("rootTag", "devices").option("rowTag", "device").option("maxRecordsPerFile", RECORDS_PER_FILE).save(path)
     return registry.read_devices(spark, path, ["LWR"], "(?i)ring")
 
 
