@@ -94,3 +94,13 @@ def test_registry_files_hold_few_records(spark, monkeypatch):
     parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
     assert len(df.inputFiles()) >= parts / 20
     assert rows_of(df.select("record_key"), ["record_key"]) == rows_of(QUERIES["a4_device_registry"](spark, "/root/testdata/sf0.001"), ["record_key"])
+
+
+def test_audit_sample_is_limited_before_rows_meet(spark):
+    from timberline.operators import text
+
+    rows = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("n"), "id").alias("note_ref"), F.when(F.col("id") % 7 == 0, "a").when(F.col("id") % 7 < 4, "b").otherwise("c").alias("kind"), F.col("id").alias("x"))
+    out = text.audit_sample(rows, "kind", {"a": 3, "b": 5}, ["x"], seed=1)
+    assert "WindowGroupLimit" in plan_of(out)
+    got = {k: sum(r["kind"] == k for r in out.collect()) for k in "abc"}
+    assert got == {"a": 3, "b": 5, "c": 0}

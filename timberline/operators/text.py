@@ -326,12 +326,15 @@ def locate_quote(text: Column, quote: Column) -> Column:
 
 
 def audit_sample(rows: DataFrame, stratum: str, sizes: dict[str, int], fields: Sequence[str], seed: int = 0, key: str = "note_ref") -> DataFrame:
-    """A seeded sample per stratum, one row per field to check."""
+    """A seeded sample per stratum, one row per field to check. The largest size is a limit that Spark applies in every task before
+    rows of a stratum meet."""
+    most = max(sizes.values(), default=0)
     n = F.lit(0)
     for level, size in sizes.items():
         n = F.when(F.col(stratum) == level, size).otherwise(n)
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(seed, F.col(key)), key))
-    return rows.withColumn("__r", rank).filter(F.col("__r") <= n).select(key, stratum, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))))
+    first = rows.withColumn("__r", rank).filter(F.col("__r") <= most)
+    return first.filter(F.col("__r") <= n).select(key, stratum, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))))
 
 
 def privacy_scan(rows: DataFrame, identifier: str = r"\b[A-Z]{1,3}\d{6,}\b", source_names: Sequence[str] = ("patient", "mrn", "name", "birth"), narrative: str = r"(?i)\b(?:patient|history|presents|denies|reports)\b", longest: int = 600) -> DataFrame:
