@@ -80,16 +80,19 @@ def prepare_notes(notes: DataFrame, patient: str = "patient_id", date: str = "no
 
 def note_hits(text: Column) -> Column:
     """All numeric and grade hits with their span and the prosthetic or native context around them."""
-    compiled = [(f, lo, hi, re.compile(p, re.IGNORECASE), "number") for f, lo, hi, p in NUMERIC_PATTERNS]
-    compiled += [("regurgitation", 0.0, 4.0, re.compile(p, re.IGNORECASE), "word") for p in GRADE_PATTERNS]
-    compiled += [("regurgitation", 0.0, 4.0, re.compile(p, re.IGNORECASE), "grade") for p in GRADE_NUMBER_PATTERNS]
+    rules = [(f, lo, hi, p, "number") for f, lo, hi, p in NUMERIC_PATTERNS]
+    rules += [("regurgitation", 0.0, 4.0, p, "word") for p in GRADE_PATTERNS]
+    rules += [("regurgitation", 0.0, 4.0, p, "grade") for p in GRADE_NUMBER_PATTERNS]
+    expressions = tuple(p for *_, p, _ in rules)
     near, native, thick = re.compile(PROSTHETIC_CONTEXT), re.compile(NATIVE_CONTEXT), re.compile("prosthetic thick", re.IGNORECASE)
     grades = dict(NOTE_GRADES)
 
     def hits(note: str | None) -> list:
         out = []
-        for field, lo, hi, pattern, kind in compiled:
-            for m in pattern.finditer(note or ""):
+        known = pattern_set(expressions)
+        for i in known.candidates(note or ""):
+            field, lo, hi, _, kind = rules[i]
+            for m in known.compiled(i).finditer(note or ""):
                 word = m[1].lower()
                 value = float(grades[word]) if kind == "word" else float(m[1])
                 if lo <= value <= hi:
@@ -152,14 +155,22 @@ def observations(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per note and class (prosthetic, native, uncertain): the first hit of each field. Ejection fraction and velocity
     belong to the note: every class but native has them, and a note with nothing else is uncertain."""
     cls = F.when(F.col("prosthetic") & ~F.col("native"), "prosthetic").when(F.col("native") & ~F.col("prosthetic"), "native").otherwise("uncertain")
-    first = lambda f: F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.struct("start", "end"))).alias(f)
-    shared = F.col("field").isin("lvef", "velocity")
-    own = hits.filter(~shared).withColumn("class", cls).groupBy(*keys, "class").agg(*map(first, ("gradient", "dvi", "eoa", "regurgitation")))
-    note = hits.filter(shared).groupBy(*keys).agg(*map(first, ("lvef", "velocity")))
-    out = own.join(note, list(keys), "full_outer").withColumn("class", F.coalesce("class", F.lit("uncertain")))
-    taken = lambda f: F.when(F.col("class") != "native", F.col(f)).alias(f)
-    out = out.select(*keys, "class", "gradient", "dvi", "eoa", taken("lvef"), taken("velocity"), "regurgitation")
-    return out.filter(F.coalesce(*(F.col(c) for c in ("gradient", "dvi", "eoa", "lvef", "velocity", "regurgitation"))).isNotNull())
+    classes, fields, shared = ("prosthetic", "native", "uncertain"), ("gradient", "dvi", "eoa", "regurgitation"), ("lvef", "velocity")
+
+    def first(which: Column) -> Column:
+        return F.min_by(F.when(which, F.col("value")), F.when(which, F.struct("start", "end")))
+
+    # one aggregation: hits come from a scan of the texts, which a join of classes and notes would repeat
+    own = hits.withColumn("__c", F.when(~F.col("field").isin(*shared), cls))
+    sums = [first((F.col("__c") == c) & (F.col("field") == f)).alias(f"__{c}_{f}") for c in classes for f in fields]
+    note = own.groupBy(*keys).agg(*sums, *(first(F.col("field") == f).alias(f) for f in shared), *(F.coalesce(F.bool_or(F.col("__c") == c), F.lit(False)).alias(f"__{c}") for c in classes))
+    alone = ~(F.col("__prosthetic") | F.col("__native") | F.col("__uncertain"))
+    there = {c: F.col(f"__{c}") | alone if c == "uncertain" else F.col(f"__{c}") for c in classes}
+    taken = lambda c, f: (F.col(f) if c != "native" else F.lit(None).cast("double")).alias(f)
+    value = lambda c, f: F.col(f"__{c}_{f}").alias(f)
+    each = [F.when(there[c], F.struct(F.lit(c).alias("class"), *(value(c, f) for f in fields[:3]), *(taken(c, f) for f in shared), value(c, fields[3]))) for c in classes]
+    out = note.select(*keys, F.inline(F.array_compact(F.array(*each))))
+    return out.filter(F.coalesce(*(F.col(c) for c in (*fields, *shared))).isNotNull())
 
 
 SPAN = "array<struct<field:string,value:string,start:int,end:int>>"
