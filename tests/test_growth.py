@@ -112,7 +112,7 @@ def test_observations_scan_the_texts_once(spark):
     notes = ["Prosthetic valve: mean gradient is 20 mmHg, mean gradient is 30 mmHg. LVEF 55%.", "Native valve: mean gradient is 12 mmHg." + " " * 300 + "moderate regurgitation. LVEF 40%", "EF 60%, peak velocity 2.1 m/s", "nothing"]
     df = spark.createDataFrame(list(enumerate(notes)), "note_ref int, text string")
     out = text.observations(text.hits_table(df, ["note_ref"]), ["note_ref"])
-    assert plan_of(out).count("ArrowEvalPython") == 1
+    assert plan_of(out).count("MapInArrow") == 1
     got = {(r["note_ref"], r["class"]): (r["gradient"], r["lvef"], r["velocity"], r["regurgitation"]) for r in out.collect()}
     assert got == {(0, "prosthetic"): (20.0, 55.0, None, None), (1, "native"): (12.0, None, None, None), (1, "uncertain"): (None, 40.0, None, 2.0), (2, "uncertain"): (None, 60.0, 2.1, None)}
     assert "Join" not in plan_of(out)
