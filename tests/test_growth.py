@@ -116,3 +116,45 @@ def test_observations_scan_the_texts_once(spark):
     got = {(r["note_ref"], r["class"]): (r["gradient"], r["lvef"], r["velocity"], r["regurgitation"]) for r in out.collect()}
     assert got == {(0, "prosthetic"): (20.0, 55.0, None, None), (1, "native"): (12.0, None, None, None), (1, "uncertain"): (None, 40.0, None, 2.0), (2, "uncertain"): (None, 60.0, 2.1, None)}
     assert "Join" not in plan_of(out)
+
+
+def test_draws_travel_in_blocks(spark, monkeypatch):
+    """The draws of a bootstrap, dealt by blocks of patients, are those counted one by one; few rows hold them on their way."""
+    from timberline.operators import resample
+
+    monkeypatch.setattr(resample, "BLOCK_DRAWS", 64)
+    ids = spark.range(37).select((F.col("id") * 3).alias("patient_id"))
+    want = {(r["rep"] + 1, r["patient_id"]): r["k"] for r in resample.bootstrap_weights(ids, 9, 4).collect()}
+    assert sum(want.values()) == 9 * 37
+    lists = {r["patient_id"]: r["reps"] for r in resample.bootstrap_lists(ids, 9, 4).collect()}
+    counts = {r["patient_id"]: list(r["reps"]) for r in resample.bootstrap_counts(ids, 9, 4).collect()}
+    assert set(lists) == set(counts) == {3 * i for i in range(37)}
+    for p, own in counts.items():
+        assert own[0] == 1 and own[1:] == [want.get((r, p), 0) for r in range(1, 10)]
+        assert sorted(lists[p]) == [r for r, k in enumerate(own) for _ in range(k)]
+
+
+def test_draws_are_hashed_together():
+    from hashlib import md5
+
+    from timberline.operators.resample import md5_heads
+
+    numbers = np.r_[np.arange(1200), 99_999, 100_000, 10**12 + np.arange(5), 10**17]
+    assert md5_heads(b"7:", numbers).tolist() == [int.from_bytes(md5(b"7:%d" % i).digest()[:8], "big") for i in numbers.tolist()]
+
+
+def test_newton_steps_end_when_likelihoods_are_large(spark, monkeypatch):
+    """Rounding of a large log likelihood neither halves steps nor keeps them going; the coefficients stay those of small weights."""
+    from timberline.operators import cox
+
+    r = np.random.default_rng(5)
+    rows = [(float(r.integers(1, 60)), int(r.integers(0, 2)), float(r.normal()), float(r.normal())) for _ in range(500)]
+    df = spark.createDataFrame(rows, "time double, event int, a double, b double")
+    asked, real = [], cox._objectives
+    monkeypatch.setattr(cox, "_objectives", lambda *a: asked.append(1) or real(*a))
+    fit = lambda w: cox.fit_cox(df, ["a", "b"], F.col("event") == 1, weight=F.lit(w), penalizer=0.0)
+    small = fit(1.0)
+    few = len(asked)
+    large = fit(1e9 / 3)
+    assert small.converged and large.converged and np.allclose(small.beta, large.beta, atol=1e-9)
+    assert few <= 6 and len(asked) - few <= 9

@@ -110,7 +110,7 @@ def bootstrap_wald(rows: DataFrame, columns: Sequence[str], event: Column, repli
     standard errors; all replicates take their Newton steps together. None with fewer than ``least`` usable replicates."""
     import numpy as np
 
-    drawn = rows.join(resample.bootstrap_lists(rows, replicates, seed, patient), patient)
+    drawn = rows.join(resample.bootstrap_counts(rows, replicates, seed, patient), patient)
     beta, ok = replicates_.fit_replicates(drawn, columns, event, replicates, strata, offset, penalizer)
     draws = beta[1:][ok[1:]]
     if len(draws) < least:

@@ -37,6 +37,12 @@ class CoxFit:
         return max(0.0, 2 * (self.loglik - self.loglik_start))
 
 
+def slack(value):
+    """What a log likelihood may lose by rounding. Sums over more rows round at a larger absolute error, so a fixed bound would
+    halve steps, and repeat them, for ever."""
+    return 1e-12 + 1e-11 * abs(value)
+
+
 def _objectives(data: DataFrame, columns: Sequence[str], betas: dict[int, np.ndarray], few_times: bool) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """Per cause (an index into ``hits``): log partial likelihood, gradient and Hessian at its coefficients."""
     p = range(len(columns))
@@ -86,7 +92,8 @@ def fit_cox_causes(
     tol: float = 1e-8,
 ) -> list[CoxFit]:
     """A ridge Cox fit of ``columns`` for each of the event conditions, all of them in the same passes over the rows; other
-    events are censored. A column without variation keeps the coefficient 0, with an infinite standard error."""
+    events are censored. A column without variation keeps the coefficient 0, with an infinite standard error. Steps end when the
+    gradient promises less than ``tol`` more of log likelihood; that last step is taken."""
     number = lambda c, x: F.lit(x) if c is None else c.cast("double")
     data = rows.select(
         (F.lit("all") if strata is None else strata.cast("string")).alias("stratum"), (F.col(time).cast("double") + 0.0).alias("time"), F.array(*(F.coalesce(e, F.lit(False)).cast("double") for e in events)).alias("hits"),
@@ -108,18 +115,17 @@ def fit_cox_causes(
         if not moving:
             break
         step = {k: np.linalg.lstsq(state[k][2], -state[k][1], rcond=None)[0] for k in moving}
+        last = {k for k in moving if 0.5 * float(state[k][1] @ step[k]) < tol}  # what the step still gains, from the gradient
         size, trying = dict.fromkeys(moving, 1.0), set(moving)
         tried: dict[int, tuple] = {}
         while trying:
             tried |= objectives({k: beta[k] + size[k] * step[k] for k in trying})
-            trying = {k for k in trying if tried[k][0] < state[k][0] - 1e-12 and size[k] > 1e-6}
+            trying = {k for k in trying - last if tried[k][0] < state[k][0] - slack(state[k][0]) and size[k] > 1e-6}
             size |= {k: size[k] / 2 for k in trying}
         for k in list(moving):
-            change = abs(tried[k][0] - state[k][0])
             beta[k], state[k] = beta[k] + size[k] * step[k], tried[k]
-            if change < tol:
-                moving.discard(k)
-                done.add(k)
+        moving -= last
+        done |= last
     out = []
     for k in everyone:
         information = -state[k][2]

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.operators.cox import slack
 from timberline.operators.staging import broadcast_if_small, equal_keys, prefix_sum, stage
 
 
@@ -178,54 +179,99 @@ def replicate_intervals(values: DataFrame, column: str, group: Sequence[str] = (
 
 # -- Newton steps of all replicates
 
-_FIT = "stratum string, part int, no int, n long, time binary, hit binary, offset binary, z binary, sizes binary, reps binary"
+_FIT = "stratum string, part int, no int, n long, time binary, hit binary, offset binary, z binary, counts binary"
+
+
+def dense_counts(column, replicates: int) -> np.ndarray:
+    """Rows by replicates, as small integers, from lists of replicates or from strings of counts."""
+    import pyarrow as pa
+
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), replicates + 1)
+    k = counts_of(column, replicates)
+    return k.astype(np.uint8 if k.max(initial=0) < 256 else np.uint32)
+
+
+#: Rows whose products with all replicates are held at once.
+BLOCK_ROWS = 1 << 9
 
 
 class _Fit:
-    """A chunk of rows of one stratum in the order of time."""
+    """A chunk of rows of one stratum in the order of time. Rows of one time are summed before anything runs along the times, so
+    that rows take one product of matrices for all moments and replicates."""
 
     def __init__(self, r: dict, p: int, replicates: int) -> None:
         self.time, self.hit, self.offset = np.frombuffer(r["time"]), np.frombuffer(r["hit"]), np.frombuffer(r["offset"])
         self.z = np.frombuffer(r["z"]).reshape(len(self.time), p)
-        sizes, flat = np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["reps"], np.int32)
-        at = np.repeat(np.arange(len(sizes)), sizes) * (replicates + 1) + flat
-        self.k = np.bincount(at, minlength=len(sizes) * (replicates + 1)).reshape(len(sizes), replicates + 1).astype(float)
+        cells = len(self.time) * (replicates + 1)
+        self.k = np.frombuffer(r["counts"], np.uint8 if len(r["counts"]) == cells else np.uint32).reshape(len(self.time), replicates + 1)
         upper = np.triu_indices(p)
         self.terms = np.concatenate([np.ones((len(self.time), 1)), self.z, self.z[:, upper[0]] * self.z[:, upper[1]]], axis=1)
+        self.starts = np.flatnonzero(np.r_[True, self.time[1:] != self.time[:-1]])
 
-    def risk(self, beta: np.ndarray) -> np.ndarray:
+    def risk(self, beta: np.ndarray, a: int, b: int) -> np.ndarray:
         """rows x replicates: drawn count times exp(eta)."""
-        return self.k * np.exp(self.offset[:, None] + self.z @ beta.T)
+        w = self.z[a:b] @ beta.T
+        w += self.offset[a:b, None]
+        np.exp(w, out=w)
+        w *= self.k[a:b]
+        return w
+
+    def moments(self, beta: np.ndarray, a: int, b: int) -> np.ndarray:
+        """(terms, replicates): moment sums over rows, of which a few at a time stay in the cache."""
+        return sum(self.terms[i : min(b, i + BLOCK_ROWS)].T @ self.risk(beta, i, min(b, i + BLOCK_ROWS)) for i in range(a, b, BLOCK_ROWS))
+
+    def at_times(self, beta: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """(times, terms, replicates): moment sums at the distinct times ``lo`` to ``hi``."""
+        starts = self.starts[lo:hi]
+        a, b = starts[0], self.starts[hi] if hi < len(self.starts) else len(self.time)
+        if hi - lo == 1:
+            return self.moments(beta, a, b)[None]
+        w, terms = self.risk(beta, a, b), self.terms[a:b]
+        if len(starts) * 8 <= len(w):
+            return np.stack([terms[i:j].T @ w[i:j] for i, j in zip(starts - a, np.r_[starts[1:], b] - a, strict=True)])
+        return np.stack([np.add.reduceat(w * terms[:, [i]], starts - a, axis=0) for i in range(terms.shape[1])], axis=1)
 
     def totals(self, beta: np.ndarray) -> np.ndarray:
         """(3, replicates, terms): moment sums of the chunk, at its first time, and at its last."""
-        w = self.risk(beta)
-        edges = (np.ones(len(w), bool), self.time == self.time[0], self.time == self.time[-1])
-        return np.stack([w[e].T @ self.terms[e] for e in edges])
+        n = len(self.time)
+        first, last = self.starts[1] if len(self.starts) > 1 else n, self.starts[-1]
+        return np.stack([self.moments(beta, *e).T for e in ((0, n), (0, first), (last, n))])
 
     def objective(self, beta: np.ndarray, after: np.ndarray, tied: np.ndarray) -> np.ndarray:
-        """replicates x (1 + p + p (p + 1) / 2): log partial likelihood, gradient, Hessian."""
-        r, m = beta.shape[0], self.terms.shape[1]
-        p = beta.shape[1]
-        out = np.zeros((r, m))
-        first = np.searchsorted(self.time, self.time, side="left")
+        """replicates x (1 + p + p (p + 1) / 2): log partial likelihood, gradient, Hessian. From the last time to the first, some
+        distinct times at once."""
+        r, p = beta.shape
+        out = np.zeros((r, self.terms.shape[1]))
         events = np.flatnonzero(self.hit > 0)
         if not len(events):
             return out
         upper = np.triu_indices(p)
-        w = self.risk(beta)
-        eta = self.offset[events, None] + self.z[events] @ beta.T
-        at_first = first[events] == 0
-        d = self.k[events]
-        sums = [np.cumsum((w * self.terms[:, [i]])[::-1], axis=0)[::-1][first[events]] + after[:, i] + np.where(at_first[:, None], tied[:, i], 0.0) for i in range(m)]
-        live = (d > 0) & (sums[0] > 0)
-        s0 = np.where(live, sums[0], 1.0)
-        out[:, 0] = np.where(live, d * (eta - np.log(s0)), 0.0).sum(axis=0)
-        means = [np.where(live, sums[1 + i] / s0, 0.0) for i in range(p)]
-        for i in range(p):
-            out[:, 1 + i] = np.where(live, d * (self.z[events, i][:, None] - means[i]), 0.0).sum(axis=0)
-        for j, (a, b) in enumerate(zip(*upper, strict=True)):
-            out[:, 1 + p + j] = -np.where(live, d * (sums[1 + p + j] / s0 - means[a] * means[b]), 0.0).sum(axis=0)
+        k = self.k[events].astype(float)
+        drawn = k.T @ self.z[events]
+        out[:, 0] = k.T @ self.offset[events] + (drawn * beta).sum(axis=1)
+        out[:, 1 : 1 + p] = drawn
+        run = np.searchsorted(self.starts, events, side="right") - 1
+        own = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        hits = np.zeros((len(self.starts), r))
+        hits[run[own]] = np.add.reduceat(k, own, axis=0)
+        later, hi = after.T, len(self.starts)
+        while hi:
+            end = self.starts[hi] if hi < len(self.starts) else len(self.time)
+            lo = min(hi - 1, int(np.searchsorted(self.starts, end - BLOCK_ROWS)))
+            sums = np.cumsum(self.at_times(beta, lo, hi)[::-1], axis=0)[::-1] + later
+            later = sums[0].copy()
+            if lo == 0:
+                sums[0] += tied.T
+            live = (hits[lo:hi] > 0) & (sums[:, 0] > 0)
+            d, s0 = np.where(live, hits[lo:hi], 0.0), np.where(live, sums[:, 0], 1.0)
+            means = [sums[:, 1 + i] / s0 for i in range(p)]
+            out[:, 0] -= (d * np.log(s0)).sum(axis=0)
+            for i in range(p):
+                out[:, 1 + i] -= (d * means[i]).sum(axis=0)
+            for j, (x, y) in enumerate(zip(*upper, strict=True)):
+                out[:, 1 + p + j] -= (d * (sums[:, 1 + p + j] / s0 - means[x] * means[y])).sum(axis=0)
+            hi = lo
         return out
 
 
@@ -235,14 +281,15 @@ def fit_replicates(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients of a ridge Cox fit for the sample (row 0) and every replicate, and which of them are valid (enough events,
     converged). A step takes two jobs for all replicates: moment sums per chunk, then likelihood, gradient and Hessian with
-    what later chunks add to the numbers at risk. The driver holds sums per chunk and replicate.
+    what later chunks add to the numbers at risk. The driver holds sums per chunk and replicate. ``reps`` is a list of replicates
+    (:func:`~timberline.operators.resample.bootstrap_lists`) or a string of counts (``bootstrap_counts``).
     """
     p, names = len(columns), list(columns)
     spark = rows.sparkSession
     number = lambda c, x: F.lit(x) if c is None else c.cast("double")
     data = rows.select((F.lit("all") if strata is None else strata.cast("string")).alias("stratum"), (F.col("time").cast("double") + 0.0).alias("time"), F.coalesce(event, F.lit(False)).cast("double").alias("hit"), number(offset, 0.0).alias("offset"), *(F.col(c).cast("double").alias(c) for c in names), "reps")
     order = ["stratum", "time", F.xxhash64(*names)]
-    chunks = stage(data.repartitionByRange(*order).sortWithinPartitions("stratum", "time").mapInArrow(_pack(names, chunk_rows), _FIT), "replicates")
+    chunks = stage(data.repartitionByRange(*order).sortWithinPartitions("stratum", "time").mapInArrow(_pack(names, chunk_rows, replicates), _FIT), "replicates")
 
     def sums(what: str, beta: np.ndarray, given: dict | None = None):
         shared = spark.sparkContext.broadcast((beta, given))
@@ -257,7 +304,7 @@ def fit_replicates(
                     chunk = _Fit(r, p, replicates)
                     if what == "totals":
                         edge = np.asarray([chunk.time[0], chunk.time[-1]])
-                        counted = (chunk.k * chunk.hit[:, None]).sum(axis=0)
+                        counted = chunk.k[chunk.hit > 0].sum(axis=0, dtype=float)
                         yield pa.RecordBatch.from_arrays([pa.array([r["stratum"]], pa.string()), pa.array([r["part"]], pa.int32()), pa.array([r["no"]], pa.int32()), pa.array([np.concatenate([edge, counted, chunk.totals(b).ravel()]).tolist()], pa.list_(pa.float64()))], names=["stratum", "part", "no", "sums"])
                     else:
                         own = chunk.objective(b, *arguments[r["part"], r["no"]])
@@ -308,23 +355,22 @@ def fit_replicates(
         if not moving.any():
             break
         step = np.where(moving[:, None], np.linalg.solve(h, -g[..., None])[..., 0], 0.0)
+        last = moving & (0.5 * (g * step).sum(axis=1) < tol)
         size = np.ones(r1)
         while True:
             tried = beta + size[:, None] * step
             new = objectives(tried)
-            worse = moving & (new[0] < value - 1e-12) & (size > 1e-6)
+            worse = moving & ~last & (new[0] < value - slack(value)) & (size > 1e-6)
             if not worse.any():
                 break
             size = np.where(worse, size / 2, size)
-        change = np.abs(new[0] - value)
         beta, (value, g, h, _) = tried, new
-        done = moving & (change < tol)
-        converged |= done
-        moving &= ~done
+        converged |= last
+        moving &= ~last
     return beta, converged
 
 
-def _pack(names: list[str], chunk_rows: int):
+def _pack(names: list[str], chunk_rows: int, replicates: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -332,8 +378,8 @@ def _pack(names: list[str], chunk_rows: int):
         part, no, held, parts, size = TaskContext.get().partitionId(), 0, None, [], 0
 
         def flush():
-            time, hit, offset, z, sizes, reps = (np.concatenate([x[i] for x in parts]) for i in range(6))
-            blobs = (time, hit, offset, z.astype(float), sizes.astype(np.int32), reps.astype(np.int32))
+            time, hit, offset, z, counts = (np.concatenate([x[i] for x in parts]) for i in range(5))
+            blobs = (time, hit, offset, z.astype(float), counts)
             return pa.RecordBatch.from_arrays([pa.array([held], pa.string()), pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([len(time)]), *(pa.array([np.ascontiguousarray(b).tobytes()], pa.binary()) for b in blobs)], names=[x.split()[0] for x in _FIT.split(", ")])
 
         for batch in batches:
@@ -347,9 +393,9 @@ def _pack(names: list[str], chunk_rows: int):
                         parts, size, no = [], 0, no + 1
                     held = strata[at]
                     own = batch.slice(at, to - at)
-                    lists = own.column(4 + len(names))
+                    counts = dense_counts(own.column(4 + len(names)), replicates)
                     z = np.stack([own.column(4 + i).to_numpy() for i in range(len(names))], axis=1)
-                    parts.append((*(own.column(i).to_numpy() for i in (1, 2, 3)), z, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()))
+                    parts.append((*(own.column(i).to_numpy() for i in (1, 2, 3)), z, counts))
                     size += to - at
         if parts:
             yield flush()
