@@ -242,3 +242,53 @@ class CauseSpecificCox:
             risk = F.exp(linear_predictor(m.fit, self.means)) if m.fit else F.lit(1.0)
             out = out.join(base, F.col(self.stratum) == F.col("__s"), "left").withColumn(name, F.when(F.col("support") == "", F.transform("__h", lambda h: h * risk))).drop("__s", "__h")  # noqa: B023
         return out
+
+
+def fit_folds(folded: DataFrame, folds: int, columns: Sequence[str], causes: dict[str, int], stratum: str = "route", gates: dict | None = None, penalizer: float = 0.05, patient: str = "patient_id") -> list[CauseSpecificCox]:
+    """The models of :class:`CauseSpecificCox` for every fold, each from the rows of the other folds; ``folded`` has a column
+    ``fold``, one per patient. All folds take their moments and counts from the same passes, and their Newton steps together: a
+    fold counts as a replicate that draws the other folds' patients once. Standard errors are not computed (NaN)."""
+    from timberline.operators.replicates import fit_replicates
+
+    gates = dict(gates or GATES)
+    make = lambda: CauseSpecificCox(list(columns), stratum, penalizer, gates, dict(causes))
+    inside = lambda k, c: F.when(F.col("fold") != k, F.col(c))
+    moments = folded.agg(F.lit(0).alias("none"), *(f(inside(k, c)).alias(f"{n}{k}_{c}") for k in range(folds) for c in columns for n, f in (("sd", F.stddev_pop), ("m", F.avg)))).first()
+    flags = {name: F.max((F.col("event") == code).cast("long")) for name, code in causes.items()}
+    patients = stage(folded.groupBy(patient, stratum).agg(F.min("fold").alias("fold"), *(x.alias(n) for n, x in flags.items())), "patients")
+    sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in causes]
+    counts = patients.groupBy("fold", stratum).agg(*sums).collect()
+    totals = patients.groupBy(patient).agg(F.min("fold").alias("fold"), *(F.max(n).alias(n) for n in causes)).groupBy("fold").agg(*sums).collect()
+    used = [[c for c in columns if (moments[f"sd{k}_{c}"] or 0) > 1e-9] for k in range(folds)]
+    total = [{n: sum(r[n] for r in totals if r["fold"] != k) for n in causes} for k in range(folds)]
+    fitted = [[n for n in causes if total[k][n] >= gates["fit_min_unique_events"]] for k in range(folds)]
+    if any(used[k] != used[0] or fitted[k] != fitted[0] for k in range(folds)) or not used[0]:
+        return [make().fit(folded.filter(F.col("fold") != k), patient) for k in range(folds)]
+    drawn = folded.withColumn("reps", F.array_compact(F.array(*(F.when(F.col("fold") != k, F.lit(k + 1)) for k in range(folds)))))
+    models = [make() for _ in range(folds)]
+    for k, model in enumerate(models):
+        model.dropped = [c for c in columns if c not in used[k]]
+        model.means = {c: float(moments[f"m{k}_{c}"]) for c in used[k]}
+    others = folded.withColumn("__k", F.explode(F.array_compact(F.array(*(F.when(F.col("fold") != k, F.lit(k)) for k in range(folds))))))
+    for name, code in causes.items():
+        fits: list[CoxFit | None] = [None] * folds
+        if name in fitted[0]:
+            beta, converged = fit_replicates(drawn, used[0], F.col("event") == code, folds, F.col(stratum), penalizer=penalizer, max_iter=50, tol=1e-8, least_events=1)
+            nan = np.full(len(used[0]), np.nan)
+            fits = [CoxFit(list(used[k]), beta[k + 1], nan, float("nan"), float("nan"), bool(converged[k + 1]), 0, total[k][name]) for k in range(folds)]
+        usable = [f is not None or total[k][name] >= gates["baseline_min_unique_events"] for k, f in enumerate(fits)]
+        baseline = None
+        if any(usable):
+            risk = F.lit(1.0)
+            for k, f in enumerate(fits):
+                risk = risk if f is None else F.when(F.col("__k") == k, F.exp(linear_predictor(f, models[k].means))).otherwise(risk)
+            baseline = stage(nelson_aalen(others.withColumn("__risk", risk), ["__k", stratum], "__risk", code), "baseline")
+        for k, model in enumerate(models):
+            n = total[k][name]
+            status = ("ok", "") if fits[k] else ("reduced_baseline_only", f"{n} event patients: baseline only") if usable[k] else ("insufficient_events", f"{n} event patients")
+            own = CauseModel(*status, fits[k], baseline.filter(F.col("__k") == k).drop("__k") if usable[k] else None)
+            strata = {r[stratum] for r in counts if r["fold"] != k}
+            seen = {s: sum(r[name] for r in counts if r["fold"] != k and r[stratum] == s) for s in strata}
+            own.strata = {s: (m, usable[k] and m >= gates["baseline_min_unique_events"]) for s, m in seen.items()}
+            model.models[name] = own
+    return models

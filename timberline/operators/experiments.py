@@ -250,11 +250,11 @@ def grouped_sensitivity(rows: DataFrame, replacements: Mapping[str, Mapping[str,
 
 
 def out_of_fold(rows: DataFrame, columns: Sequence[str], folds: int, horizons: Sequence[float], causes: Mapping[str, int], grid: Sequence[float], seed: int = 0, patient: str = "patient_id", stratum: str = "route", gates: dict | None = None) -> DataFrame:
-    """Out-of-fold state probabilities: (row_id, fold, horizon, probabilities, support). One model per fold, each written."""
-    folded = stage(rows.join(resample.patient_folds(rows, folds, seed, patient), patient), "folds")
+    """Out-of-fold state probabilities: (row_id, fold, horizon, probabilities, support). One model per fold, all fitted together."""
+    needed = dict.fromkeys(["row_id", patient, stratum, "time", "event", *columns])
+    folded = stage(rows.select(*needed).join(resample.patient_folds(rows, folds, seed, patient), patient), "folds")
     out = None
-    for k in range(folds):
-        model = cox.CauseSpecificCox(list(columns), stratum, causes=dict(causes), gates=gates or dict(cox.GATES)).fit(folded.filter(F.col("fold") != k), patient)
+    for k, model in enumerate(cox.fit_folds(folded, folds, columns, causes, stratum, gates, patient=patient)):
         held = model.hazards(folded.filter(F.col("fold") == k), grid).filter("support = ''").select("row_id", *causes)
         scored = cif.at_horizons(cif.combine(held, list(causes)), grid, horizons, list(causes)).withColumn("fold", F.lit(k))
         scored = stage(scored, "oof")
