@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from oracles import rows_of, rows_of_sql
 
-from timberline.operators import boosted, cif
+from timberline.operators import boosted, cif, profile
 from timberline.plans.registry import QUERIES, SQL
 
 
@@ -177,3 +177,22 @@ def test_folds_are_fitted_together(spark):
             assert x.status == y.status == "ok" and x.strata == y.strata and np.allclose(x.fit.beta, y.fit.beta, atol=1e-7)
         hazards = [{r["row_id"]: r["svd"] for r in m.hazards(df.filter(F.col("fold") == k), [0.0, 5.0, 20.0]).collect()} for m in (model, alone)]
         assert len(hazards[0]) == 200 and all(np.allclose(hazards[0][i], hazards[1][i], atol=1e-7) for i in hazards[0])
+
+
+def test_nearest_source_meets_few_leaves(spark, monkeypatch):
+    """Lookups of cells number a few per distinct place, and rows at one place share them; the distances are those of all pairs."""
+    r = np.random.default_rng(12)
+    s, q = r.uniform(0, 1, (4000, 2)), r.uniform(0, 1, (300, 2))
+    source = spark.createDataFrame([tuple(map(float, x)) for x in s], "x double, y double")
+    released = spark.createDataFrame([(i, *map(float, q[i % 300])) for i in range(900)], "i int, x double, y double")
+    looked, plain = [], profile.salted_lookup
+
+    def counting(rows, *args, **options):
+        looked.append(rows.count())
+        return plain(rows, *args, **options)
+
+    monkeypatch.setattr(profile, "salted_lookup", counting)
+    got = {x["i"]: x["distance"] for x in profile.nearest_source(released, source, ["x", "y"], "i").collect()}
+    want = np.sqrt((((q[:, None] - s[None]) / s.std(axis=0)) ** 2).sum(axis=2)).min(axis=1)
+    assert np.allclose([got[i] for i in range(900)], np.tile(want, 3))
+    assert sum(looked) < 3 * 300

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.operators import resample
 from timberline.operators.replicates import replicate_intervals
-from timberline.operators.staging import exact_quantiles, salted_lookup, stage
+from timberline.operators.staging import equal_keys, exact_quantiles, salted_lookup, stage
 from timberline.schema import DAYS_PER_YEAR
 
 #: Fixed values.
@@ -304,18 +305,18 @@ def structural_violations(tables: Mapping[str, DataFrame], required: Mapping[str
     return out.unionByName(spark.createDataFrame(missing, "check_name string, n long")) if missing else out
 
 
-#: Bits of the finest grid, and points that a leaf of it should hold at most.
-FINEST_BITS, LEAF_POINTS = 24, 64
+#: Bits of the finest grid, points that a leaf of it should hold at most, and leaves that a row looks up at once at most.
+FINEST_BITS, LEAF_POINTS, DIRECT_LEAVES = 24, 64, 64
 
 
 def nearest_source(released: DataFrame, source: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Per released row the distance to the nearest source row, each column scaled by the source's sd.
 
-    Source points lie in grids that get finer level by level, over up to four columns; a cell knows the box of its points in
-    all columns. A released row starts with the coarsest cells and keeps those whose box can hold a nearer point than the
-    farthest corner of the best box is away; the children of the kept cells are looked up at the next level, down to leaves of
-    few points, which are compared exactly. So a row meets a handful of cells a level, wherever it lies, and never the source.
-    Lookups of a cell that many rows share are dealt to many tasks.
+    Source points lie in a grid over up to four columns, fine enough for leaves of few points. Every distinct place of a
+    released row is compared with its own leaf, which bounds its distance, and then with the other leaves which that distance
+    reaches, mostly none to three. Places whose own leaf is empty, or which reach many leaves, descend (:func:`_descend`).
+    So a row meets a handful of leaves, wherever it lies, and never the source. Lookups of a leaf that many places share are
+    dealt to many tasks.
     """
     stats = source.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
     scale = {c: float(stats[c]) if stats[c] and stats[c] > 1e-9 else 1.0 for c in columns}
@@ -325,14 +326,68 @@ def nearest_source(released: DataFrame, source: DataFrame, columns: Sequence[str
     rows = stage(released.select(F.col(key).alias("__key"), *((F.col(c) / scale[c]).alias(c) for c in columns)), "released")
     if not spans["n"]:
         return rows.select(F.col("__key").alias(key), F.lit(None).cast("double").alias("distance"))
-    step = max(1, 4 // len(flat))
 
-    def digit(c: str):
+    def digit(value: Column, c: str) -> Column:
+        """The column's digit in the finest grid; it never falls as the value grows."""
         width = (float(spans[f"hi_{c}"]) - float(spans[f"lo_{c}"])) or 1.0
-        return F.least(F.floor((F.col(c) - float(spans[f"lo_{c}"])) / width * float(1 << FINEST_BITS)), F.lit((1 << FINEST_BITS) - 1)).cast("long")
-
-    located = stage(points.withColumns({f"__g{i}": digit(c) for i, c in enumerate(flat)}), "located")
-    cell_at = lambda bits: F.concat_ws(":", *(F.shiftright(F.col(f"__g{i}"), FINEST_BITS - bits).cast("string") for i in range(len(flat))))
+        at = F.floor((value - float(spans[f"lo_{c}"])) / width * float(1 << FINEST_BITS)).cast("long")
+        return F.least(F.greatest(at, F.lit(0).cast("long")), F.lit((1 << FINEST_BITS) - 1).cast("long"))
+
+    digits = {f"__g{i}": digit(F.col(c), c) for i, c in enumerate(flat)}
+    located = stage(points.withColumns(digits), "located")
+    name = lambda numbers: F.concat_ws(":", *(n.cast("string") for n in numbers))
+    cell_at = lambda bits: name([F.shiftright(g, FINEST_BITS - bits) for g in digits])
+    # with fewer cells than this, some cell must hold more than a leaf's points
+    bits = min(FINEST_BITS, max(1, math.ceil(math.log2(max(1.0, spans["n"] / LEAF_POINTS)) / len(flat))))
+    while bits < FINEST_BITS and located.groupBy(cell_at(bits).alias("cell")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] > LEAF_POINTS:
+        bits += 1
+    leaves = stage(located.groupBy(cell_at(bits).alias("cell")).agg(F.collect_list(F.struct(*columns)).alias("members")), "leaves")
+
+    def measured(asked: DataFrame) -> DataFrame:
+        """(columns, d): per place the least squared distance to a member of the leaves in ``cell``."""
+        met = salted_lookup(asked.select(*columns, "cell"), "cell", leaves, F.struct(*columns), often=4096)
+        each = met.select(*columns, F.explode("members").alias("m"))
+        return each.groupBy(*columns).agg(F.min(sum((F.pow(F.col(c) - F.col(f"m.{c}"), F.lit(2.0)) for c in columns), F.lit(0.0))).alias("d"))
+
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    places = stage(rows.select(*columns).filter(known).distinct().withColumns(digits).withColumn("cell", cell_at(bits)), "places")
+    # the own leaf's distance, a little enlarged against rounding, and the leaves that it reaches
+    radius = F.sqrt("d") * F.lit(1 + 1e-9) + F.lit(1e-12)
+    corner = lambda c, side: F.shiftright(digit(F.col(c) + side * radius, c), FINEST_BITS - bits)
+    own = measured(places)
+    for i, c in enumerate(flat):
+        own = own.withColumn(f"__a{i}", corner(c, F.lit(-1.0))).withColumn(f"__b{i}", corner(c, F.lit(1.0)))
+    reached = F.lit(1.0)
+    for i in range(len(flat)):
+        reached = reached * (F.col(f"__b{i}") - F.col(f"__a{i}") + 1)
+    seen = stage(own.withColumn("__reached", reached), "seen")
+    more = seen.filter((F.col("__reached") > 1) & (F.col("__reached") <= DIRECT_LEAVES))
+    for i in range(len(flat)):
+        more = more.withColumn(f"__c{i}", F.explode(F.sequence(f"__a{i}", f"__b{i}")))
+    here = name([F.shiftright(digit(F.col(c), c), FINEST_BITS - bits) for c in flat])
+    more = more.withColumn("cell", name([F.col(f"__c{i}") for i in range(len(flat))])).filter(F.col("cell") != here)
+    near = seen.filter(F.col("__reached") <= DIRECT_LEAVES).select(*columns, "d")
+    far = stage(places.join(seen.filter(F.col("__reached") <= DIRECT_LEAVES).select(*(F.col(c).alias(f"__{c}") for c in columns)), equal_keys(columns, [f"__{c}" for c in columns]), "left_anti").select(*columns), "far")
+    found = near.unionByName(measured(more))
+    if not far.isEmpty():
+        last = _descend(far, located, columns, cell_at, bits, max(1, 4 // len(flat)))
+        found = found.unionByName(measured(last))
+    nearest = found.groupBy(*columns).agg(F.sqrt(F.min("d")).alias("distance")).select(*(F.col(c).alias(f"__{c}") for c in columns), "distance")
+    on = F.lit(True)
+    for c in columns:
+        on = on & (F.col(c) == F.col(f"__{c}"))
+    return rows.join(nearest, on).select(F.col("__key").alias(key), "distance")
+
+
+def _descend(places: DataFrame, located: DataFrame, columns: Sequence[str], cell_at: Callable[[int], Column], leaf_bits: int, step: int) -> DataFrame:
+    """(columns, cell): per place the leaves that can hold its nearest point.
+
+    Grids get finer level by level, and a cell knows the box of its points in all columns. A place starts with the coarsest
+    cells and keeps those whose box can hold a nearer point than the farthest corner of the best box is away; the children of
+    the kept cells are looked up at the next level, down to the leaves.
+    """
     box = F.struct(*(x for c in columns for x in (F.min(c).alias(f"a_{c}"), F.max(c).alias(f"b_{c}"))))
 
     def cells(bits: int, within: int | None) -> DataFrame:
@@ -342,37 +397,25 @@ def nearest_source(released: DataFrame, source: DataFrame, columns: Sequence[str
         return boxes.groupBy("cell").agg(F.collect_list(F.struct("child", "box")).alias("children"))  # at most 16
 
     def reach(b, far: bool):
-        """Squared distance from the row to the nearest, or farthest, point of a box."""
+        """Squared distance from the place to the nearest, or farthest, point of a box."""
         out = F.lit(0.0)
         for c in columns:
             lo, hi = F.col(c) - b[f"a_{c}"], b[f"b_{c}"] - F.col(c)
             out = out + F.pow(F.greatest(F.abs(lo), F.abs(hi)) if far else F.greatest(-lo, -hi, F.lit(0.0)), F.lit(2.0))
         return out
 
-    asked = rows.select("__key", *columns, F.array(F.lit("")).alias("kept"))
-    bits, within = step, None
-    while True:
-        open_ = asked.select("__key", *columns, F.explode("kept").alias("cell"))
-        met = salted_lookup(open_, "cell", cells(bits, within), F.col("__key"))
-        each = met.select("__key", *columns, F.transform("children", lambda x: F.struct(x["child"].alias("cell"), reach(x["box"], False).alias("near"), reach(x["box"], True).alias("far"))).alias("found"))
-        merged = each.groupBy("__key", *columns).agg(F.flatten(F.collect_list("found")).alias("found"))
+    asked = places.select(*columns, F.array(F.lit("")).alias("kept"))
+    within = None
+    while within != leaf_bits:
+        bits = min(leaf_bits, (within or 0) + step)
+        open_ = asked.select(*columns, F.explode("kept").alias("cell"))
+        met = salted_lookup(open_, "cell", cells(bits, within), F.struct(*columns))
+        each = met.select(*columns, F.transform("children", lambda x: F.struct(x["child"].alias("cell"), reach(x["box"], False).alias("near"), reach(x["box"], True).alias("far"))).alias("found"))
+        merged = each.groupBy(*columns).agg(F.flatten(F.collect_list("found")).alias("found"))
         bound = F.array_min(F.transform("found", lambda x: x["far"]))
-        asked = stage(merged.select("__key", *columns, F.transform(F.filter("found", lambda x: x["near"] <= bound + 1e-12), lambda x: x["cell"]).alias("kept")), "cells")
-        largest = located.groupBy(cell_at(bits).alias("cell")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        if largest <= LEAF_POINTS or bits + step > FINEST_BITS:
-            break
-        bits, within = bits + step, bits
-    leaves = located.groupBy(cell_at(bits).alias("cell")).agg(F.collect_list(F.struct(*columns)).alias("members"))
-    last = salted_lookup(asked.select("__key", *columns, F.explode("kept").alias("cell")), "cell", leaves, F.col("__key"))
-
-    def square(m):
-        out = F.lit(0.0)
-        for c in columns:
-            out = out + F.pow(F.col(c) - m[c], F.lit(2.0))
-        return out
-
-    nearest = last.select("__key", F.array_min(F.transform("members", square)).alias("d")).groupBy("__key").agg(F.sqrt(F.min("d")).alias("distance"))
-    return nearest.select(F.col("__key").alias(key), "distance")
+        asked = stage(merged.select(*columns, F.transform(F.filter("found", lambda x: x["near"] <= bound + 1e-12), lambda x: x["cell"]).alias("kept")), "cells")
+        within = bits
+    return asked.select(*columns, F.explode("kept").alias("cell"))
 
 
 def nearest_summary(distances: DataFrame, close: float = 0.1) -> DataFrame:

@@ -36,11 +36,18 @@ def broadcast_if_small(df: DataFrame, most: int = 100_000, name: str = "side") -
     return F.broadcast(written) if written.limit(most + 1).count() <= most else written
 
 
-def salted_lookup(rows: DataFrame, key: str, table: DataFrame, salt: Column) -> DataFrame:
+def salted_lookup(rows: DataFrame, key: str, table: DataFrame, salt: Column, often: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (unique by ``key``) that deals the rows of a frequent key to many tasks: the table meets
-    one row per key and salt, and these meet the rows."""
+    one row per key and salt, and these meet the rows. With ``often``, only keys of more rows than that are dealt out, so that
+    the table's other rows travel once."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(n)))
+    number = F.pmod(F.xxhash64(salt), F.lit(n))
+    if often is not None:
+        rows = stage(rows, "lookups")
+        counts = rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > often).select(F.col(key).alias("__hot"))
+        rows = rows.join(broadcast_if_small(counts, name="hot"), F.col(key) == F.col("__hot"), "left")
+        number = F.when(F.col("__hot").isNotNull(), number).otherwise(F.lit(0).cast("long"))
+    salted = rows.withColumn("__salt", number).drop("__hot")
     meeting = salted.select(key, "__salt").distinct().join(table, key)
     return salted.join(meeting, [key, "__salt"]).drop("__salt")
 
