@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from oracles import rows_of, rows_of_sql
 
-from timberline.operators import boosted, cif, profile
+from timberline.operators import boosted, cif, cox, experiments, profile
 from timberline.plans.registry import QUERIES, SQL
 
 
@@ -196,3 +196,28 @@ def test_nearest_source_meets_few_leaves(spark, monkeypatch):
     want = np.sqrt((((q[:, None] - s[None]) / s.std(axis=0)) ** 2).sum(axis=2)).min(axis=1)
     assert np.allclose([got[i] for i in range(900)], np.tile(want, 3))
     assert sum(looked) < 3 * 300
+
+
+def test_scoring_reads_what_the_model_reads(spark, tmp_path):
+    """Neither slopes nor stages of the studies are computed for a model that does not ask for them, nor written for its fit."""
+    patients = spark.sql("select 1L as patient_id, date'2010-01-01' as implant_date, 'TAVR' as route, 1.8D as bsa")
+    studies = spark.sql("select 1L as patient_id, date_add(date'2010-03-01', 200 * cast(id as int)) as date, id as seq, 10D + id as mean_gradient, 1.5D as eoa, 0.5D as dvi, 1 as ar, 55D as lvef, 35D as svi from range(5)")
+    requests = spark.sql("select 1L as patient_id, d as prediction_date from values (date'2011-01-01'), (date'2012-01-01') t(d)")
+    rows = experiments.request_features(requests, patients, studies)
+    assert {r["prediction_date"].year: r["current_gradient"] for r in rows.collect()} == {2011: 11.0, 2012: 13.0}
+    read = plan_of(rows.select("prediction_date", "current_gradient"))
+    assert "regr_slope" not in read and "gradient_slope" not in read and "severity" not in read and "lvef" not in read.split("Project", 1)[1].split("\n")[0]
+    train = spark.range(60).selectExpr("id as patient_id", "'A' as route", "cast(1 + id % 9 as double) as time", "cast(id % 2 as int) as event", "cast(id % 7 as double) as x", "repeat('wide', 100) as unread")
+    written = []
+    plain = cox.stage
+
+    def seeing(df, name="stage"):
+        written.append((name, df.columns))
+        return plain(df, name)
+
+    cox.stage = seeing
+    try:
+        cox.CauseSpecificCox(["x"], causes={"svd": 1}).fit(train)
+    finally:
+        cox.stage = plain
+    assert dict(written)["training"] == ["patient_id", "route", "time", "event", "x"]

@@ -44,7 +44,7 @@ def adjudicate(patients: DataFrame, staged: DataFrame, windows: DataFrame, mecha
     """
     after = staged.filter(F.col("date") > F.col("ref_date"))
     stage = F.col("staged.stage")
-    ahead = Window.partitionBy(patient).orderBy("day").rangeBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(patient).orderBy(F.desc("day")).rangeBetween(Window.unboundedPreceding, -1)  # backwards, so a running minimum
     next_ = F.min(F.when(stage.isin("0", "1", "2", "3"), F.struct("day", F.col(seq).alias("s"), "date", stage.alias("stage")))).over(ahead)
     c = after.withColumn("day", DAY(F.col("date"))).withColumn("next", next_).filter(stage.isin("2", "3"))
     c = c.select(patient, "date", F.col(seq).alias("seq"), stage.alias("stage"), "phenotype", "next", F.col("staged.reason").alias("reason"))
@@ -116,7 +116,7 @@ def timelines(patients: DataFrame, studies: DataFrame, reference: DataFrame, exp
     """
     staged = write_out(staged_studies(studies, reference, patient), "staged")
     stage = F.col("staged.stage")
-    ahead = Window.partitionBy(patient).orderBy("day").rangeBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(patient).orderBy(F.desc("day")).rangeBetween(Window.unboundedPreceding, -1)  # backwards, so a running minimum
     next_ = F.min(F.when(stage.isin("0", "1", "2", "3"), F.struct("day", F.col(seq).alias("s"), "date", stage.alias("stage")))).over(ahead)
     c = staged.filter(F.col("date") > F.col("ref_date")).withColumn("day", DAY(F.col("date"))).withColumn("next", next_).filter(stage.isin("2", "3"))
     c = write_out(c.select(patient, "date", F.col(seq).alias("seq"), F.when(F.col("next.stage").isin("0", "1"), F.col("next.date")).alias("back")), "candidates")

@@ -195,7 +195,7 @@ class CauseSpecificCox:
     means: dict[str, float] = field(default_factory=dict)
 
     def fit(self, rows: DataFrame, patient: str = "patient_id") -> CauseSpecificCox:
-        rows = stage(rows, "training")
+        rows = stage(rows.select(*dict.fromkeys([patient, self.stratum, "time", "event", *self.columns])), "training")  # what the fit reads
         moments = rows.agg(*(F.stddev_pop(c).alias(f"sd_{c}") for c in self.columns), *(F.avg(c).alias(f"m_{c}") for c in self.columns)).first() if self.columns else None
         used = [c for c in self.columns if (moments[f"sd_{c}"] or 0) > 1e-9]
         self.dropped = [c for c in self.columns if c not in used]

@@ -155,7 +155,8 @@ def request_features(requests: DataFrame, patients: DataFrame, studies: DataFram
     p = r.join(patients, F.col("__p") == F.col(patient)).drop("__p")
     staged = adj.staged_studies(own, asof.select_reference(own, p, patient="request_id"), "request_id")
     series = landmark.series_features(staged, patient="request_id")
-    newest = series.groupBy("request_id").agg(F.max_by(F.struct(*(c for c in series.columns if c != "request_id")), "landmark_date").alias("x")).select("request_id", "x.*")
+    # one row per request and date; a filter, not an aggregate of whole rows, so that what the model does not read is never computed
+    newest = series.withColumn("__newest", F.max("landmark_date").over(Window.partitionBy("request_id"))).filter("landmark_date = __newest").drop("__newest")
     rows = newest.join(p.select("request_id", patient, "prediction_date", *(c for c in patients.columns if c not in (patient, *series.columns))), "request_id")
     since = lambda c: years_between(F.col("prediction_date"), F.col(c))
     return rows.withColumn("time_since_last_echo_years", since("landmark_date")).withColumn("t_lm", since("ref_date")).withColumn("valve_age_years", since("implant_date")).drop("landmark_date")
