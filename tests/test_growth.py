@@ -221,3 +221,15 @@ def test_scoring_reads_what_the_model_reads(spark, tmp_path):
     finally:
         cox.stage = plain
     assert dict(written)["training"] == ["patient_id", "route", "time", "event", "x"]
+
+
+def test_records_of_a_variable_do_not_meet_in_one_task(spark):
+    """A variable with any exact date counts inside the window only, others anywhere; no window over a whole variable."""
+    rows = [(p, p * 10 + k, v, f"2010-0{1 + k}-05", "day" if v == "x" and p else "year") for p in range(3) for k, v in enumerate(("x", "y", None))]
+    rows += [(1, 90, "x", "2012-01-01", "day")]
+    obs = spark.createDataFrame(rows, "person_id int, record_id int, variable string, date string, date_precision string")
+    persons = spark.createDataFrame([(p, "2010-01-01", "day") for p in range(3)], "person_id int, index_date string, index_date_precision string")
+    out = profile.first_in_window(obs, persons)
+    assert "windowspecdefinition(variable" not in plan_of(out)
+    got = {(r["person_id"], r["variable"]): (r["kind"], r["record_id"]) for r in out.collect()}
+    assert got == {(1, "x"): ("baseline", 10), (2, "x"): ("baseline", 20)} | {(p, v): ("cross_sectional", p * 10 + k) for p in range(3) for k, v in ((1, "y"), (2, None))}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators import resample
 from timberline.operators.replicates import replicate_intervals
-from timberline.operators.staging import equal_keys, exact_quantiles, salted_lookup, stage
+from timberline.operators.staging import broadcast_if_small, equal_keys, exact_quantiles, salted_lookup, stage
 from timberline.schema import DAYS_PER_YEAR
 
 #: Fixed values.
@@ -81,13 +81,15 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def first_in_window(observations: DataFrame, persons: DataFrame, window: tuple[int, int] = (-30, 180)) -> DataFrame:
     """Per person and variable the first record: inside the window where dates are exact to the day, else cross-sectional."""
-    j = observations.join(persons.select("person_id", "index_date", "index_date_precision"), "person_id")
+    j = stage(observations.join(persons.select("person_id", "index_date", "index_date_precision"), "person_id"), "dated")
     exact = (F.col("date_precision") == "day") & (F.col("index_date_precision") == "day")
-    has_exact = F.max(exact.cast("int")).over(Window.partitionBy("variable")) == 1
+    # one row per variable meets the records; a window over a variable would bring all its records to one task
+    dated = broadcast_if_small(j.filter(exact).select(F.col("variable").alias("__v")).distinct(), name="exact")
     inside = exact & F.datediff(F.to_date("date"), F.to_date("index_date")).between(*window)
-    kept = j.withColumn("kind", F.when(has_exact, "baseline").otherwise("cross_sectional")).filter((F.col("kind") == "cross_sectional") | inside)
+    j = j.join(dated.withColumn("__x", F.lit(True)), F.col("variable").eqNullSafe(F.col("__v")), "left")
+    kept = j.withColumn("kind", F.when(F.col("__x"), "baseline").otherwise("cross_sectional")).filter((F.col("kind") == "cross_sectional") | inside)
     order = Window.partitionBy("person_id", "variable").orderBy("date", "record_id")
-    return kept.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "index_date", "index_date_precision")
+    return kept.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__v", "__x", "index_date", "index_date_precision")
 
 
 def usable(observations: DataFrame) -> DataFrame:
