@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from oracles import rows_of, rows_of_sql
 
-from timberline.operators import boosted, cif, cox, experiments, profile
+from timberline.operators import asof, boosted, cif, cox, experiments, profile
 from timberline.plans.registry import QUERIES, SQL
 
 
@@ -233,3 +233,19 @@ def test_records_of_a_variable_do_not_meet_in_one_task(spark):
     assert "windowspecdefinition(variable" not in plan_of(out)
     got = {(r["person_id"], r["variable"]): (r["kind"], r["record_id"]) for r in out.collect()}
     assert got == {(1, "x"): ("baseline", 10), (2, "x"): ("baseline", 20)} | {(p, v): ("cross_sectional", p * 10 + k) for p in range(3) for k, v in ((1, "y"), (2, None))}
+
+
+def test_exposure_events_travel_narrow(spark):
+    """Starts, ends and points meet as patient, day, sign and flags."""
+    points = spark.sql("select 1L as patient_id, date'2010-01-01' as landmark_date")
+    exposures = spark.sql("select 1L as patient_id, 1L as seq, 'VKA' as class, 'af' as indication, date'2009-01-01' as start_date, cast(null as date) as stop_date, true as post_suspicion")
+    out = asof.exposure_features(points, exposures)
+    widths, nodes = [], [out._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Union":
+            widths.append(node.output().size())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert widths and max(widths) <= 4
+    row = out.first()
+    assert (row["ac_class_current"], row["ac_cum_vka_years"], row["ac_days_since_change"], row["ac_post_suspicion"], row["on_antiplatelet"]) == ("VKA", 0.999, 365.0, True, False)

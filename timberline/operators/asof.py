@@ -91,29 +91,33 @@ def exposure_features(points: DataFrame, exposures: DataFrame, patient: str = "p
     start, stop = DAY(F.col("start_date")), DAY(F.col("stop_date"))
     marks = points.select(F.col(patient).alias("__q"), F.col(at).alias("__at")).distinct()
     flags = {"dapt": F.col("class") == "DAPT", "plate": antiplatelet, "oac": oac, "vka": F.col("class") == "VKA", "late": oac & F.col("post_suspicion")}
-    episodes = exposures.select(F.col(patient).alias("__q"), start.alias("__s"), F.when(stop.isNotNull(), F.greatest(start, stop)).alias("__e"), F.col(seq).alias("__seq"), "class", "indication", *(F.coalesce(c, F.lit(False)).cast("long").alias(f"__{k}") for k, c in flags.items()))
-    none = F.lit(0).cast("long")
-    # a day's starts (1) and ends (-1) come before its points (0); an episode without a start only tells that there is a record
-    begun = episodes.select("__q", F.col("__s").alias("__d"), F.lit(0).alias("__kind"), F.lit(1).alias("__sign"), F.col("__s").alias("__day"), *(f"__{k}" for k in flags))
-    ended = episodes.filter("__s is not null and __e is not null").select("__q", F.col("__e").alias("__d"), F.lit(0).alias("__kind"), F.lit(-1).alias("__sign"), F.col("__e").alias("__day"), *(f"__{k}" for k in flags))
-    asked = marks.select("__q", DAY(F.col("__at")).alias("__d"), F.lit(1).alias("__kind"), F.lit(0).alias("__sign"), F.lit(None).cast("int").alias("__day"), *(none.alias(f"__{k}") for k in flags))
+    # the flags travel as bits of one number, and a row's day and sign tell the rest
+    bits = sum((F.coalesce(c, F.lit(False)).cast("int") * (1 << i) for i, c in enumerate(flags.values())), F.lit(0))
+    episodes = exposures.select(F.col(patient).alias("__q"), start.alias("__s"), F.when(stop.isNotNull(), F.greatest(start, stop)).alias("__e"), F.col(seq).alias("__seq"), "class", "indication", bits.alias("__bits"))
+    # a day's ends (-1) and starts (1) come before its points (2); an episode without a start only tells that there is a record
+    row = lambda d, s, b: ("__q", d.alias("__d"), F.lit(s).cast("byte").alias("__sign"), b.alias("__bits"))
+    begun = episodes.select(*row(F.col("__s"), 1, F.col("__bits")))
+    ended = episodes.filter("__s is not null and __e is not null").select(*row(F.col("__e"), -1, F.col("__bits")))
+    asked = marks.select(*row(DAY(F.col("__at")), 2, F.lit(0)))
     whole = Window.partitionBy("__q")
-    upto = whole.orderBy(F.asc_nulls_first("__d"), "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    real, sign = F.col("__day").isNotNull(), F.col("__sign")
-    active = lambda k: F.coalesce(F.sum(F.when(real, sign * F.col(f"__{k}"))).over(upto), F.lit(0))
+    point, sign = F.col("__sign") == 2, F.col("__sign").cast("long")
+    upto = whole.orderBy(F.asc_nulls_first("__d"), "__sign").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    real = ~point & F.col("__d").isNotNull()
+    flag = {k: F.shiftright("__bits", i).bitwiseAND(F.lit(1)) for i, k in enumerate(flags)}
+    active = lambda k: F.coalesce(F.sum(F.when(real, sign * flag[k])).over(upto), F.lit(0))
     # days lived up to d: of those in use, d less their starts; of those ended, end less start
-    lived = lambda k: active(k) * F.col("__d") - F.coalesce(F.sum(F.when(real, sign * F.col(f"__{k}") * F.col("__day"))).over(upto), F.lit(0))
-    ever = lambda k: F.coalesce(F.max(F.when(real & (sign > 0), F.col(f"__{k}"))).over(upto), F.lit(0)) > 0
+    lived = lambda k: active(k) * F.col("__d") - F.coalesce(F.sum(F.when(real, sign * flag[k] * F.col("__d"))).over(upto), F.lit(0))
+    ever = lambda k: F.coalesce(F.max(F.when(real & (sign > 0), flag[k])).over(upto), F.lit(0)) > 0
     years = lambda k: F.round(lived(k) / DAYS_PER_YEAR, 3)
-    merged = begun.unionByName(ended).unionByName(asked).withColumn("__has", F.max((F.col("__kind") == 0).cast("int")).over(whole) > 0)
+    merged = begun.unionByName(ended).unionByName(asked).withColumn("__has", F.min("__sign").over(whole) < 2)
     run = merged.select(
-        "__q", "__d", "__kind", "__has",
+        "__q", "__d", "__sign", "__has",
         (active("dapt") > 0).alias("__dapt"), (active("plate") > 0).alias("on_antiplatelet"), ever("oac").alias("__ever"), years("vka").alias("ac_cum_vka_years"), years("oac").alias("ac_cum_oac_years"),
-        (F.col("__d") - F.max("__day").over(upto)).cast("double").alias("ac_days_since_change"), ever("late").alias("ac_post_suspicion"),
-    ).filter("__kind = 1 and __has")
+        (F.col("__d") - F.max(F.when(real, F.col("__d"))).over(upto)).cast("double").alias("ac_days_since_change"), ever("late").alias("ac_post_suspicion"),
+    ).filter(point & F.col("__has"))
     # the first episode in input order of those in use, by patient and year
     span = marks.groupBy("__q").agg(F.min(DAY(F.col("__at"))).alias("__lo"), F.max(DAY(F.col("__at"))).alias("__hi"))
-    used = episodes.filter("__oac = 1 and __s is not null").join(span, "__q").filter("__s <= __hi and (__e is null or __e > __lo)")
+    used = episodes.filter(oac & F.col("__s").isNotNull()).join(span, "__q").filter("__s <= __hi and (__e is null or __e > __lo)")
     year = lambda d: F.floor(d / F.lit(366))
     used = used.withColumn("__y", F.explode(F.sequence(year(F.greatest("__s", "__lo")), year(F.least(F.coalesce("__e", "__hi"), "__hi")))))
     in_use = (F.col("__s") <= F.col("__m")) & (F.col("__e").isNull() | (F.col("__e") > F.col("__m")))
@@ -124,7 +128,7 @@ def exposure_features(points: DataFrame, exposures: DataFrame, patient: str = "p
         found.withColumn("ac_class_current", F.coalesce("__first.class", F.when(F.col("__dapt"), "DAPT").when(F.col("on_antiplatelet"), "SAPT").otherwise("none")))
         .withColumn("ac_indication", F.coalesce("__first.indication", F.lit("none")))
         .withColumn("ac_current_status", F.when(F.col("__first").isNotNull(), "current").when(F.col("__ever"), "past").otherwise("never"))
-        .drop("__first", "__dapt", "__ever", "__kind", "__has", "__p", "__n")
+        .drop("__first", "__dapt", "__ever", "__sign", "__has", "__p", "__n")
     )
     return points.join(found, (F.col(patient) == F.col("__q")) & (DAY(F.col(at)) == F.col("__d")), "left").drop("__q", "__d")
 
