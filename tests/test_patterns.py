@@ -61,3 +61,45 @@ def test_devices_and_brands_of_any_number(spark):
     order = sorted(range(len(expressions)), key=lambda i: (i // 2, f"b{i}"))
     first = [next((f"b{i}" for i in order if re.search(expressions[i], t or "", re.IGNORECASE)), None) for t in notes]
     assert models == {m: first.count(m) for m in set(first) - {None}}
+
+
+def test_a_pattern_is_tried_only_where_all_it_needs_is_there():
+    known = patterns.pattern_set((text.IMPLANT_YEAR, *text.EVENT_PATTERNS.values(), text.NEGATED_FIELDS, r"\bS3\b", r"\(#(\d{2})\)"))
+    assert known.candidates("Prosthetic valve: mean gradient is 7 mmHg, DVI 0.11, EOA 1.1 cm2, trace aortic regurgitation.") == []
+    assert known.candidates("Implanted in 2011, valve-in-valve, prosthetic aortic valve stenosis") == [0, 1, 3]
+    assert patterns.needs(r"(?i)valve[- ]in|prosth(?:etic)? (?:leak|\d+ mm)\s?x+") == [[("valve in", "valve-in")], [("prosth ", "prosthetic "), (" mm", "leak"), ("x",)]]
+    assert patterns.needs(r"\x41b|a*[^b]") == [[], []]
+
+
+def test_letters_that_match_an_ascii_letter_hide_no_literal():
+    for pattern, note in ((r"sapien", "SAPİEN 3"), (r"sapien", "sapıen"), (r"magna ease", "magna eaſe"), (r"konect", "Konect"), (r"[a\]b]evolut", "]evolut"), (r"\x45volut", "evolut")):
+        assert re.search(pattern, note, re.IGNORECASE) and patterns.pattern_set((pattern,)).candidates(note) == [0]
+
+
+def test_what_a_match_needs_is_in_every_match():
+    r = random.Random(5)
+    atoms = ["a", "b", "S", "i", "k", "ab", "val", r"\s", r"\d", r"\b", ".", "[ab]", "[^a]", "[]a]", r"[a\]b]", "[- ]", "[a-c]", "^", "$", r"\.", r"\(", "-", " ", "[^]b]", "[(|]", r"\x41"]
+    letters = ["a", "b", "s", "S", "i", "I", "ı", "İ", "ſ", "K", "k", "v", "al", " ", "-", ".", "(", "]", "1", "\n", "ß", "|", "A", "val"]
+
+    def made_pattern(depth=0):
+        out = ""
+        for _ in range(r.randrange(1, 5)):
+            x = r.choice(atoms) if depth > 1 or r.random() < 0.7 else r.choice(["(", "(?:", "(?=", "(?!", "(?i:"]) + "|".join(made_pattern(depth + 1) for _ in range(r.randrange(1, 4))) + ")"
+            out += x if x in ("^", "$", r"\b") else x + r.choice(["", "", "", "", "?", "*", "+", "{2}", "{0,1}", "+?", "??", "?+"])
+        return out
+
+    matches = spared = 0
+    while matches < 2000:
+        pattern = made_pattern()
+        try:
+            compiled = re.compile(pattern, re.IGNORECASE)
+        except re.error:
+            continue
+        known = patterns.PatternSet([pattern])
+        for _ in range(4):
+            note = "".join(r.choice(letters) for _ in range(r.randrange(0, 14)))
+            hit, tried = compiled.search(note) is not None, known.candidates(note) == [0]
+            assert tried or not hit, (pattern, note)
+            matches += hit
+            spared += not tried
+    assert spared > 100

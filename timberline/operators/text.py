@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -112,8 +112,6 @@ def hits_table(notes: DataFrame, keep: Sequence[str], text: str = "text") -> Dat
     hits = _hit_finder()
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         types = (pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
         for batch in batches:
             at, found = [], []
@@ -196,10 +194,21 @@ def spans(text: Column, patterns: Sequence[tuple[str, str, int]]) -> Column:
     """Every match of ``(field, pattern, group)`` with its place: the group's text, and the span of the whole match."""
     fields, groups, expressions = [f for f, _, _ in patterns], [g for _, _, g in patterns], tuple(p for _, p, _ in patterns)
 
-    @F.pandas_udf(SPAN)
-    def find(notes: pd.Series) -> pd.Series:
+    @F.arrow_udf(SPAN)
+    def find(notes: pa.Array) -> pa.Array:
         known = pattern_set(expressions)
-        return notes.map(lambda n: [{"field": fields[i], "value": m[groups[i]], "start": m.start(), "end": m.end()} for i in known.candidates(n or "") for m in known.compiled(i).finditer(n or "")])
+        offsets, number, value, start, end = [0], [], [], [], []
+        for text_or_null in notes.to_pylist():
+            note = text_or_null or ""
+            for i in known.candidates(note):
+                for m in known.compiled(i).finditer(note):
+                    number.append(i)
+                    value.append(m[groups[i]])
+                    start.append(m.start())
+                    end.append(m.end())
+            offsets.append(len(number))
+        hits = [pa.array(fields, pa.string()).take(pa.array(number, pa.int32())), pa.array(value, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(hits, names=["field", "value", "start", "end"]))
 
     return find(text)
 
