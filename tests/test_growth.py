@@ -1,11 +1,13 @@
 """Steps whose work must grow no faster than the input: what they join, carry and repeat; results against plain versions."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from oracles import rows_of, rows_of_sql
 
-from timberline.operators import asof, boosted, cif, cox, experiments, profile
+from timberline.operators import asof, boosted, cif, cox, experiments, profile, resample
 from timberline.plans.registry import QUERIES, SQL
 
 
@@ -249,3 +251,15 @@ def test_exposure_events_travel_narrow(spark):
     assert widths and max(widths) <= 4
     row = out.first()
     assert (row["ac_class_current"], row["ac_cum_vka_years"], row["ac_days_since_change"], row["ac_post_suspicion"], row["on_antiplatelet"]) == ("VKA", 0.999, 365.0, True, False)
+
+
+def test_ranks_of_patients_take_no_window_over_patients(spark):
+    for kind, values in (("long", [*range(500), *range(40), None]), ("string", [f"p{i % 37}" for i in range(90)])):
+        df = spark.createDataFrame([(v,) for v in values], f"patient_id {kind}").repartition(3)
+        got = {r["patient_id"]: r["rank"] for r in resample.patient_ranks(df, 3).collect()}
+        known = sorted((v for v in set(values) if v is not None), key=lambda v: hashlib.md5(f"3:{v}".encode()).hexdigest())
+        assert got == {v: i for i, v in enumerate([None] * (None in values) + known)}
+    ranks = resample.patient_ranks(df, 3)
+    windows = [line for line in plan_of(ranks).splitlines() if "Window [" in line]
+    assert len(windows) == 1 and "__n" in windows[0]  # over what the ranges hold alone
+    assert resample.patient_ranks(df.limit(0), 3).count() == 0

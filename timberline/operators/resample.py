@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.staging import prefix_sum, stage
+from timberline.operators.staging import stage
 
 
 def seeded(seed: int, value: Column) -> Column:
@@ -16,9 +16,18 @@ def seeded(seed: int, value: Column) -> Column:
 
 
 def patient_ranks(rows: DataFrame, seed: int, patient: str = "patient_id") -> DataFrame:
-    """Distinct patients numbered 0.. in a seeded order, by prefix sums instead of one global sort in one task."""
-    ids = rows.select(patient).distinct().withColumn("__h", F.concat(seeded(seed, F.col(patient)), F.lit("-"), F.col(patient).cast("string"))).withColumn("__one", F.lit(1)).withColumn("__g", F.lit(1))
-    return prefix_sum(ids, ["__g"], "__h", {"rank": "__one"}).select(patient, (F.col("rank") - 1).alias("rank"))
+    """Distinct patients numbered 0.. in a seeded order. Hashes are even, so ranges of their first digits need no sampling: a range is
+    sorted and numbered in its own task and written, and what the ranges before it hold is one number per range."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.shiftright(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * n, 32).cast("int")
+    ids = rows.select(patient).distinct().withColumn("__h", seeded(seed, F.col(patient)))
+    dealt = ids.repartitionById(n, F.coalesce(place, F.lit(0))).sortWithinPartitions("__h", F.col(patient).cast("string"))
+    numbered = stage(dealt.select(patient, F.monotonically_increasing_id().alias("__id")), "ranks")
+    part = F.shiftright("__id", 33)  # such an id is the task's number and the row's place in the task
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = numbered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", before.alias("__before"))
+    return numbered.join(F.broadcast(counts), part == F.col("__part")).select(patient, (F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
 
 
 def patient_folds(rows: DataFrame, k: int, seed: int = 0, patient: str = "patient_id") -> DataFrame:
@@ -42,7 +51,7 @@ def bootstrap_weights(ids: DataFrame, replicates: int, seed: int = 0, patient: s
     Every draw is a hashed index, so the counts are exact and repeatable; only (rep, index) counts are shuffled.
     """
     spark = ids.sparkSession
-    ranks = stage(patient_ranks(ids, seed, patient), "ranks")
+    ranks = patient_ranks(ids, seed, patient)
     n = ranks.count()
     if not n:
         return ranks.select(F.lit(0).alias("rep"), patient, F.lit(0).cast("long").alias("k"))
@@ -112,7 +121,7 @@ def _drawn(ids: DataFrame, replicates: int, seed: int, patient: str, kind: str)
     A draw is a number while it travels: tasks deal them by blocks of patients, so that a shuffled row holds the draws of many
     patients and a draw takes four bytes. A block's draws meet in one task, whatever the number of patients.
     """
-    ranks = stage(patient_ranks(ids, seed, patient), "ranks")
+    ranks = patient_ranks(ids, seed, patient)
     n = ranks.count()
     r1 = replicates + 1
     if not n or not replicates:
