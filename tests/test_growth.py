@@ -5,9 +5,9 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from oracles import rows_of, rows_of_sql
+from oracles import SF, rows_of, rows_of_sql
 
-from timberline.operators import asof, boosted, cif, cox, experiments, profile, resample
+from timberline.operators import asof, boosted, cif, cox, experiments, profile, resample, staging
 from timberline.plans.registry import QUERIES, SQL
 
 
@@ -263,3 +263,10 @@ def test_ranks_of_patients_take_no_window_over_patients(spark):
     windows = [line for line in plan_of(ranks).splitlines() if "Window [" in line]
     assert len(windows) == 1 and "__n" in windows[0]  # over what the ranges hold alone
     assert resample.patient_ranks(df.limit(0), 3).count() == 0
+
+
+def test_studies_of_assumed_requests_are_staged_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(experiments, "stage", lambda df, name="stage": written.append((name, df.columns)) or staging.stage(df, name))
+    QUERIES["j12_what_if"](spark, SF)
+    assert [(n, set(c)) for n, c in written if n == "staged"] == [("staged", {"request_id", "date", "seq", "ref_date", "phenotype", "staged"})]

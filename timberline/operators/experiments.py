@@ -135,7 +135,10 @@ def _status_by_request(requests: DataFrame, patients: DataFrame, studies: DataFr
     p = patients.join(r, F.col(patient) == F.col("__p")).select("request_id", "implant_date", "prediction_date")
     key = "request_id"
     reference = asof.select_reference(s, p, patient=key)
-    staged = adj.staged_studies(s, reference, key)
+    # read four times below: staged anew each time, the studies would travel as often; the status needs no phenotype and no reason
+    none_yet = F.lit(None).cast("string")
+    narrow = F.struct(F.col("staged.stage").alias("stage"), none_yet.alias("reason")).alias("staged")
+    staged = stage(adj.staged_studies(s, reference, key).select(key, "date", "seq", "ref_date", none_yet.alias("phenotype"), narrow), "staged")
     none = p.select(key, F.lit(None).cast("date").alias("death_date"), F.lit(None).cast("date").alias("replacement_date"))
     record = adj.endpoint_decision(adj.adjudicate(p, staged, adj.thrombosis_windows(e, staged, key), m, none, key))
     now = staged.groupBy(key).agg(F.max_by(F.struct("staged.stage", "date"), F.struct("date", "seq")).alias("cur"))
