@@ -88,6 +88,18 @@ def test_slopes_on_a_rounding_tie(spark, tmp_path):
     assert any(str(r[at]).startswith("-106.531") for r in want)
 
 
+def test_episodes_at_one_place_of_the_input_order(spark):
+    """Two anticoagulants in use that input order does not tell apart give the same features whichever comes first."""
+    episodes = [(1, 7, "VKA", use, "2000-01-01", None, False) for use in ("routine", "af")]
+    points = spark.createDataFrame([(1, "2000-06-01")], "patient_id long, landmark_date string").withColumn("landmark_date", F.to_date("landmark_date"))
+    got = []
+    for rows in (episodes, episodes[::-1]):
+        df = spark.createDataFrame(rows, "patient_id long, seq long, class string, indication string, start_date string, stop_date string, post_suspicion boolean")
+        df = df.withColumns({c: F.to_date(c) for c in ("start_date", "stop_date")}).coalesce(1)
+        got += [tuple(r) for r in asof.exposure_features(points, df).select("ac_class_current", "ac_indication").collect()]
+    assert got == [("VKA", "af")] * 2
+
+
 def test_registry_files_hold_few_records(spark, monkeypatch):
     from timberline.plans import record_queries
 

@@ -122,7 +122,8 @@ def exposure_features(points: DataFrame, exposures: DataFrame, patient: str = "p
     used = used.withColumn("__y", F.explode(F.sequence(year(F.greatest("__s", "__lo")), year(F.least(F.coalesce("__e", "__hi"), "__hi")))))
     in_use = (F.col("__s") <= F.col("__m")) & (F.col("__e").isNull() | (F.col("__e") > F.col("__m")))
     asked = marks.select(F.col("__q"), DAY(F.col("__at")).alias("__m"), year(DAY(F.col("__at"))).alias("__y"))
-    first = asked.join(used.select("__q", "__y", "__s", "__e", "__seq", "class", "indication"), ["__q", "__y"]).filter(in_use).groupBy("__q", "__m").agg(F.min_by(F.struct("class", "indication"), "__seq").alias("__first"))
+    # input order may leave two episodes at one place: class and indication then decide, so that every run gives the same
+    first = asked.join(used.select("__q", "__y", "__s", "__e", "__seq", "class", "indication"), ["__q", "__y"]).filter(in_use).groupBy("__q", "__m").agg(F.min(F.struct("__seq", "class", "indication")).alias("__first"))
     found = run.join(first.withColumnsRenamed({"__q": "__p", "__m": "__n"}), (F.col("__q") == F.col("__p")) & (F.col("__d") == F.col("__n")), "left")
     found = (
         found.withColumn("ac_class_current", F.coalesce("__first.class", F.when(F.col("__dapt"), "DAPT").when(F.col("on_antiplatelet"), "SAPT").otherwise("none")))
