@@ -282,3 +282,28 @@ def test_studies_of_assumed_requests_are_staged_once(spark, monkeypatch):
     monkeypatch.setattr(experiments, "stage", lambda df, name="stage": written.append((name, df.columns)) or staging.stage(df, name))
     QUERIES["j12_what_if"](spark, SF)
     assert [(n, set(c)) for n, c in written if n == "staged"] == [("staged", {"request_id", "date", "seq", "ref_date", "phenotype", "staged"})]
+
+
+def test_rows_of_one_cell_are_boosted_together(spark, monkeypatch):
+    """Large strata with few combinations of bins and few times: two jobs a round, no sorted chunks, the trees of one task."""
+    r = np.random.default_rng(9)
+    rows = [(i, i // 2, "AB"[i % 2], float(r.integers(1, 30)), int(r.integers(0, 3)), None if i % 50 == 0 else float(r.integers(0, 9)), float(r.normal()), 1.0) for i in range(900)]
+    df = spark.createDataFrame(rows, "row_id long, patient_id long, route string, time double, event int, a double, b double, same double")
+    for depth in (1, 2, 3):
+        options = {"trees": 4, "rate": 0.5, "depth": depth, "min_instances": 10, "bins": 8, "causes": {"svd": 1, "death": 2}}
+        local = boosted.BoostedHazards(["a", "b", "same"], **options).fit(df)
+        with monkeypatch.context() as m:
+            m.setattr(boosted.BoostedHazards, "_chunks", None)
+            cells = boosted.BoostedHazards(["a", "b", "same"], local_rows=0, chunk_rows=100, **options).fit(df)
+        for route in "AB":
+            assert cells.models[route].events == local.models[route].events and len(cells.models[route].trees) == 2
+            for cause in ("svd", "death"):
+                for x, y in zip(local.models[route].trees[cause], cells.models[route].trees[cause], strict=True):
+                    assert (x.feature == y.feature).all() and (x.cut == y.cut).all() and np.allclose(x.value, y.value)
+    jobs = []
+    for trees in (2, 5):
+        spark.sparkContext.setJobGroup(f"cells {trees}", "cells")
+        boosted.BoostedHazards(["a", "b"], trees=trees, bins=8, min_instances=10, causes={"svd": 1, "death": 2}, local_rows=0, chunk_rows=100).fit(df)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"cells {trees}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] == 3 * 2

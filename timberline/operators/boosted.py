@@ -12,6 +12,11 @@ Strata of at most ``local_rows`` rows, counted beforehand, are boosted whole ins
 data does not pay for a job per step; strata are spread over tasks. Larger strata go through Spark job by job. Both give the
 same trees.
 
+Rows whose features lie in the same bins have the same score. A large stratum whose combinations of bins ("cells") and distinct
+times are together no more than ``chunk_rows`` is therefore kept as two numbers a row, its time and its cell, unsorted. A
+round sums the cells' weights per time, then the hazards at the rows' times per cell: two jobs for all models, and the driver, which
+gets a number per time or cell, has the gradients and counts of every node from the second.
+
 The gradient is that of the Cox partial likelihood with Breslow ties; a tree splits where the squared error falls most (ties:
 first feature, lowest bin), with at least ``min_instances`` rows on either side, and a leaf adds ``rate`` times its mean
 gradient. A null or NaN feature lies in the lowest bin. Causes are gated by unique event patients per stratum: a model, a baseline
@@ -21,6 +26,7 @@ that many trees.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -34,6 +40,7 @@ from timberline.operators.staging import broadcast_if_small, exact_quantiles, st
 from timberline.operators.survival import nelson_aalen
 
 _CHUNKS = "stratum string, part int, no int, n long, times binary, events binary, bins binary"
+_CELLS = "stratum string, times binary, events binary, cells binary"
 
 
 @dataclass
@@ -239,6 +246,15 @@ def _hazards_beside(first: np.ndarray, last: np.ndarray, h: np.ndarray) -> list[
     return list(zip(np.r_[0.0, np.cumsum(h[:, 0])[:-1]], _chain(first, last, h[:, 0], h[:, 1], forward=False), strict=True))
 
 
+def _cell_histogram(of_cell: np.ndarray, gradient: np.ndarray, count: np.ndarray, tree: Tree | None, level: int, bins: int) -> np.ndarray:
+    """As ``_Chunk.histogram``, from sums per cell; ``of_cell``: the bins of each cell (features x cells)."""
+    nodes = 1 << level
+    at = np.zeros(len(gradient), np.int64) if tree is None else tree.leaves(of_cell).astype(np.int64) - (nodes - 1)
+    open_ = at >= 0
+    cell = at[open_] * bins + of_cell[:, open_]
+    return np.stack([[np.bincount(own, weights=x[open_], minlength=nodes * bins).reshape(nodes, bins) for own in cell] for x in (gradient, count)]).swapaxes(1, 2)
+
+
 def _empty_tree(depth: int) -> Tree:
     nodes = (1 << (depth + 1)) - 1
     return Tree(np.full(nodes, -1, np.int64), np.zeros(nodes, np.int64), np.zeros(nodes))
@@ -306,17 +322,26 @@ class BoostedHazards:
         columns = list(self.columns)
         rows = stage(rows.select(F.col(self.stratum).cast("string").alias("stratum"), F.col(patient).alias("patient"), (F.col("time").cast("double") + 0.0).alias("time"), F.col("event").cast("int").alias("event"), *(_number(F.col(c)).alias(f"x_{c}") for c in columns)).filter("stratum is not null"), "boosted")
         self.training = rows
-        named = {"events": F.count("*"), **{n: F.countDistinct(F.when(F.col("event") == code, F.col("patient"))) for n, code in self.causes.items()}, **{f"sd_{c}": F.stddev_pop(f"x_{c}") for c in columns}}
-        counts = {r["stratum"]: r for r in rows.groupBy("stratum").agg(*(v.alias(k) for k, v in named.items())).collect()}  # one row per stratum
+        # patients are counted by patient, not by rows repeated for every cause
+        hit = {n: F.max((F.col("event") == code) & F.col("patient").isNotNull()).alias(n) for n, code in self.causes.items()}
+        patients = rows.groupBy("stratum", "patient").agg(*hit.values()).groupBy("stratum").agg(*(F.count_if(F.col(n)).alias(n) for n in self.causes))
+        whole = rows.groupBy("stratum").agg(F.count("*").alias("events"), *(F.stddev_pop(f"x_{c}").alias(f"sd_{c}") for c in columns))
+        counts = {r["stratum"]: r.asDict() for r in whole.collect()}  # one row per stratum, as is the next
+        for r in patients.collect():
+            counts[r["stratum"]].update(r.asDict())
         edges = self._edges(rows, columns)
         for s, r in counts.items():
             used = [c for c in columns if (r[f"sd_{c}"] or 0) > 1e-9]
             status = {n: "ok" if r[n] >= self.gates["fit_min_unique_events"] and used else "reduced_baseline_only" if r[n] >= self.gates["baseline_min_unique_events"] else "insufficient_events" for n in self.causes}
             self.models[s] = StratumModel(status, {n: int(r[n]) for n in self.causes}, used, {c: edges.get((s, c), np.empty(0)) for c in used})
-        chunks = stage(self._chunks(rows), "chunks")
         sizes = {s: int(r["events"]) for s, r in counts.items()}
-        self._fit_local(chunks, [s for s in sizes if sizes[s] <= self.local_rows])
-        self._fit_spread(chunks, [s for s in sizes if sizes[s] > self.local_rows])
+        times = self._few_times(rows, [s for s in sizes if sizes[s] > self.local_rows and self._fitted(s)])
+        self._fit_cells(rows, times)
+        rest = [s for s in sizes if s not in times]
+        if rest:
+            chunks = stage(self._chunks(rows.filter(F.col("stratum").isin(rest))), "chunks")
+            self._fit_local(chunks, [s for s in rest if sizes[s] <= self.local_rows])
+            self._fit_spread(chunks, [s for s in rest if sizes[s] > self.local_rows])
         self._baselines: dict[tuple, DataFrame] = {}
         return self
 
@@ -406,6 +431,116 @@ class BoostedHazards:
         for r in grown.collect():  # the trees of each model
             self.models[r["stratum"]].trees[{code: n for n, code in self.causes.items()}[r["cause"]]] = pickle.loads(r["trees"])
 
+    def _shape(self, s: str) -> list[int]:
+        """Bins of each used feature."""
+        m = self.models[s]
+        return [len(m.edges[c]) + 1 for c in m.columns]
+
+    def _few_times(self, rows: DataFrame, strata: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Of the strata with few cells and times: the distinct times, and the events of every fitted cause at each."""
+        room = {s: self.chunk_rows - math.prod(self._shape(s)) for s in strata}
+        room = {s: n for s, n in room.items() if n > 0}
+        if not room:
+            return {}
+        hits = [F.count_if(F.col("event") == code).alias(f"hits_{code}") for code in self.causes.values()]
+        per_time = stage(rows.filter(F.col("stratum").isin(*room)).groupBy("stratum", "time").agg(*hits), "times")
+        few = [r["stratum"] for r in per_time.groupBy("stratum").count().collect() if r["count"] <= room[r["stratum"]]]
+        found: dict[str, list] = {s: [] for s in few}
+        for r in per_time.filter(F.col("stratum").isin(few)).collect() if few else ():  # at most ``chunk_rows`` times a stratum
+            found[r["stratum"]].append((r["time"], *(r[f"hits_{c}"] for c in self._fitted(r["stratum"]))))
+        return {s: (np.asarray(sorted(x), float)[:, 0], np.asarray(sorted(x), float)[:, 1:].T) for s, x in found.items()}
+
+    def _cells(self, rows: DataFrame, times: Mapping[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """Rows as packed arrays of the number of their time and of their cell."""
+        models = {s: (t, [self.models[s].edges[c] for c in self.models[s].columns], [list(self.columns).index(c) for c in self.models[s].columns], self._shape(s)) for s, (t, _) in times.items()}
+        shared, most = rows.sparkSession.sparkContext.broadcast(models), self.chunk_rows
+
+        def pack(s: str, parts: list[tuple]):
+            import pyarrow as pa
+
+            arrays = [pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*parts, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([s]), *arrays], names=["stratum", "times", "events", "cells"])
+
+        def run(batches: Iterator) -> Iterator:
+            held: dict[str, list[tuple]] = {}
+            size: dict[str, int] = {}
+            for batch in batches:
+                strata = np.asarray(batch.column(0).to_pylist(), object)
+                time, event = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                values = [batch.column(3 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(batch.num_columns - 3)]
+                for s, (known, edges, used, shape) in shared.value.items():
+                    own = np.flatnonzero(strata == s)
+                    if not len(own):
+                        continue
+                    cells = np.ravel_multi_index([binned(values[i][own], e) for i, e in zip(used, edges, strict=True)], shape)
+                    held.setdefault(s, []).append((np.searchsorted(known, time[own]).astype(np.int32), event[own].astype(np.int32), cells.astype(np.int32)))
+                    size[s] = size.get(s, 0) + len(own)
+                    if size[s] >= most:
+                        yield pack(s, held.pop(s))
+                        size[s] = 0
+            for s, parts in held.items():
+                yield pack(s, parts)
+
+        return rows.filter(F.col("stratum").isin(*times)).select("stratum", "time", "event", *(f"x_{c}" for c in self.columns)).mapInArrow(run, _CELLS)
+
+    def _fit_cells(self, rows: DataFrame, times: Mapping[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Boost all models of the strata with few cells and times together, two jobs a round."""
+        if not times:
+            return
+        context, bins = rows.sparkSession.sparkContext, self.bins
+        cells = stage(self._cells(rows, times), "cells").coalesce(context.defaultParallelism)  # a task sends a number per cell and model
+        causes = {s: self._fitted(s) for s in times}
+        shape = {s: self._shape(s) for s in times}
+        of_cell = {s: np.indices(n).reshape(len(n), -1) for s, n in shape.items()}
+
+        def sums(call: Callable[[str, int, np.ndarray, np.ndarray], np.ndarray], keys: Mapping[str, Sequence[int]], own: DataFrame) -> dict[tuple, np.ndarray]:
+            """Per stratum and key, what ``call`` gives for the chunks, summed; ``call`` takes two arrays of a chunk."""
+
+            def run(batches: Iterator) -> Iterator:
+                total: dict[tuple, np.ndarray] = {}
+                for batch in batches:
+                    for s, x, y in zip(*(batch.column(i) for i in range(3)), strict=True):
+                        s, x, y = s.as_py(), np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.int32)
+                        for k in keys[s]:
+                            v = call(s, k, x, y)
+                            total[s, k] = total[s, k] + v if (s, k) in total else v
+                yield _records([(s, k, v.astype(float).tobytes()) for (s, k), v in total.items()], ["stratum", "cause", "sums"])
+
+            out: dict[tuple, np.ndarray] = {}
+            for r in own.mapInArrow(run, "stratum string, cause int, sums binary").collect():
+                m, v = (r["stratum"], r["cause"]), np.frombuffer(r["sums"])
+                out[m] = out[m] + v if m in out else v
+            return out
+
+        size = {s: math.prod(n) for s, n in shape.items()}
+        length = {s: len(t) for s, (t, _) in times.items()}
+        every = {s: [-1, *c] for s, c in causes.items()}  # -1: all rows
+        rows_of = sums(lambda s, k, e, cell: np.bincount(cell if k < 0 else cell[e == k], minlength=size[s]), every, cells.select("stratum", "events", "cells"))
+        at = cells.select("stratum", "times", "cells")
+        models = [(s, c) for s in times for c in causes[s]]
+        events = {(s, c): times[s][1][i] for s in times for i, c in enumerate(causes[s])}
+        scores = {(s, c): np.zeros(size[s]) for s, c in models}
+        trees: dict[tuple, list[Tree]] = {m: [] for m in models}
+        for _ in range(self.trees):
+            weight = {m: np.exp(x) for m, x in scores.items()}
+            shared = context.broadcast(weight)
+            per_time = sums(lambda s, k, t, cell: np.bincount(t, weights=shared.value[s, k][cell], minlength=length[s]), causes, at)  # noqa: B023
+            shared.unpersist()
+            hazard = {m: np.cumsum(events[m] / np.cumsum(per_time[m][::-1])[::-1]) for m in models}
+            shared = context.broadcast(hazard)
+            per_cell = sums(lambda s, k, t, cell: np.bincount(cell, weights=shared.value[s, k][t], minlength=size[s]), causes, at)  # noqa: B023
+            shared.unpersist()
+            for s, c in models:
+                m, tree = (s, c), _empty_tree(self.depth)
+                gradient = rows_of.get(m, 0.0) - weight[m] * per_cell[m]
+                for level in range(max(self.depth, 1)):
+                    if not split_level(tree, _cell_histogram(of_cell[s], gradient, rows_of[s, -1], tree if level else None, level, bins), level, self.min_instances, self.depth):
+                        break
+                trees[m].append(tree)
+                scores[m] = scores[m] + self.rate * tree.value[tree.leaves(of_cell[s])]
+        for s in times:
+            self._keep(s, {c: trees[s, c] for c in causes[s]})
+
     def _fit_spread(self, chunks: DataFrame, strata: list[str]) -> None:
         """Boost all models of the large strata together, a job per kind of sum."""
         wanted = {s: (len(self.models[s].columns), self._fitted(s)) for s in strata if self._fitted(s)}
