@@ -100,6 +100,38 @@ def test_episodes_at_one_place_of_the_input_order(spark):
     assert got == [("VKA", "af")] * 2
 
 
+def test_line_items_are_read_once_for_landmarks(spark):
+    """Values and episodes of the landmark table come of one join."""
+    import timberline.plans.cohort_queries  # noqa: F401
+
+    plan = plan_of(QUERIES["f9_landmark_table"](spark, SF)).splitlines()
+    assert sum("Relation [" in line and "l_orderkey#" in line for line in plan) == 1
+
+
+def test_history_in_one_pass(spark):
+    """Values, slopes and exposures in one pass equal those taken one by one, also with ties, open ends, missing starts and values."""
+    r = np.random.default_rng(12)
+    day = lambda: f"20{r.integers(10, 13)}-{r.integers(1, 13):02}-{r.integers(1, 29):02}"
+    maybe = lambda x, p=0.15: None if r.random() < p else x
+    points = spark.createDataFrame(sorted({(f"p{r.integers(0, 12)}", day()) for _ in range(150)}), "patient_id string, landmark_date string").withColumn("landmark_date", F.to_date("landmark_date")).withColumn("more", F.struct(F.lit(1.5).alias("x"), F.col("patient_id")))
+    labs = [(maybe(f"p{r.integers(0, 11)}", 0.05), day(), int(i), ("egfr", "hb", "other")[r.integers(0, 3)], maybe(float(r.integers(1, 90)))) for i in range(260)]
+    labs = spark.createDataFrame(labs, "patient_id string, date string, seq long, analyte string, value double").withColumn("date", F.to_date("date"))
+    kinds = ("VKA", "FXa", "DTI", "SAPT", "DAPT", "none")
+    episodes = [(maybe(f"p{r.integers(0, 10)}", 0.05), int(r.integers(0, 40)), maybe(kinds[r.integers(0, 6)], 0.05), ("af", "routine")[r.integers(0, 2)], maybe(day()), maybe(day(), 0.3), maybe(bool(r.integers(0, 2)))) for _ in range(120)]
+    exposures = spark.createDataFrame(episodes, "patient_id string, seq long, class string, indication string, start_date string, stop_date string, post_suspicion boolean")
+    exposures = exposures.withColumns({c: F.to_date(c) for c in ("start_date", "stop_date")})
+    out = asof.history_features(points, [labs, exposures], ["egfr", "hb"], {"egfr": "egfr_slope"})
+    assert "Join" not in plan_of(out)
+    want = asof.latest_as_of(points, labs, ["egfr", "hb"]).drop("egfr_day", "hb_day")
+    want = asof.exposure_features(asof.slope_as_of(want, labs, "egfr", "egfr_slope"), exposures)
+    assert out.columns == want.columns and rows_of(out, out.columns) == rows_of(want, want.columns)
+    assert {x["ac_current_status"] for x in out.collect()} == {"current", "past", "never", None}
+    sided = exposures.withColumns({"date": F.lit("2011-05-05").cast("date"), "analyte": F.lit("hb"), "value": F.col("seq") + 0.5})
+    beside = asof.history_features(points, [sided], ["hb"], {})
+    apart = asof.exposure_features(asof.latest_as_of(points, sided, ["hb"]).drop("hb_day"), exposures)
+    assert rows_of(beside, beside.columns) == rows_of(apart, beside.columns)
+
+
 def test_registry_files_hold_few_records(spark, monkeypatch):
     from timberline.plans import record_queries
 

@@ -106,8 +106,9 @@ def eligibility(patients: DataFrame, studies: DataFrame, reference: DataFrame, e
     return rows.withColumn("exclusion_reason", reason).drop("__events", "__echo", "ref_date")
 
 
-def build_landmarks(patients: DataFrame, studies: DataFrame, labs: DataFrame, exposures: DataFrame, events: DataFrame, horizon: float = 5.0, least_days: int = 1, label_policy: str = "primary", override: DataFrame | None = None, with_features: bool = True, patient: str = "patient_id", seq: str = "seq", staged: DataFrame | None = None) -> DataFrame:
-    """Landmark rows; ``staged`` (from :func:`adjudicate.staged_studies`) saves staging the studies again. A landmark lies on or after the reference and strictly before the endpoint, a censoring candidate,
+def build_landmarks(patients: DataFrame, studies: DataFrame, labs: DataFrame, exposures: DataFrame, events: DataFrame, horizon: float = 5.0, least_days: int = 1, label_policy: str = "primary", override: DataFrame | None = None, with_features: bool = True, patient: str = "patient_id", seq: str = "seq", staged: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
+    """Landmark rows; ``staged`` (from :func:`adjudicate.staged_studies`) saves staging the studies again, ``history`` (a value and
+    an episode a row) stands for ``labs`` and ``exposures`` where both come of the same rows. A landmark lies on or after the reference and strictly before the endpoint, a censoring candidate,
     death, replacement and the end of follow-up."""
     if staged is None:
         staged = adj.staged_studies(studies, asof.select_reference(studies, patients, patient=patient, seq=seq), patient)
@@ -121,16 +122,15 @@ def build_landmarks(patients: DataFrame, studies: DataFrame, labs: DataFrame, ex
     if "first_thrombosis_date" in rows.columns:
         rows = rows.withColumn("__s", adj.secondary_outcome(F.col("landmark_date"), F.col("first_thrombosis_date"), F.col("end_date"), horizon)).withColumn("time_thromb", F.col("__s.time")).withColumn("event_thromb", F.col("__s.event")).drop("__s", "first_thrombosis_date")
     rows = rows.drop("__o", "svd_date", "censor_date", "death_date", "replacement_date", "end_date").withColumn("t_lm", years_between(F.col("landmark_date"), F.col("ref_date"))).drop("ref_date")
-    if with_features:
-        rows = static_features(rows, patients, patient)
-        rows = asof.latest_as_of(rows, labs, list(LAB_ANALYTES), patient, seq=seq).drop(*(f"{a}_day" for a in LAB_ANALYTES))
-        rows = asof.slope_as_of(rows, labs, "egfr", "egfr_slope", patient=patient)
-        rows = asof.exposure_features(rows, exposures, patient, seq=seq)
-        rows = rows.withColumn("overdue_flag", F.col("time_since_last_echo_years") > 1.25)
-    else:
+    share = (1.0 / F.count("*").over(Window.partitionBy(patient))).alias("row_weight_patient_balanced")
+    if not with_features:
         rows = rows.join(patients.select(patient, *(c for c in ("route", "design_class") if c in patients.columns)), patient)
-    per_patient = Window.partitionBy(patient)
-    return rows.withColumn("row_weight_patient_balanced", 1.0 / F.count("*").over(per_patient))
+        return rows.select("*", share)
+    # the weight joins while rows lie by patient
+    rows = static_features(rows, patients, patient).select("*", share)
+    rows = asof.history_features(rows, [labs, exposures] if history is None else [history], list(LAB_ANALYTES), {"egfr": "egfr_slope"}, patient=patient, seq=seq)
+    rows = rows.withColumn("overdue_flag", F.col("time_since_last_echo_years") > 1.25)
+    return rows.select(*(c for c in rows.columns if c != "row_weight_patient_balanced"), "row_weight_patient_balanced")
 
 
 def exclusions(patients: DataFrame, studies: DataFrame, events: DataFrame, label_policy: str = "primary", patient: str = "patient_id", seq: str = "seq") -> DataFrame:

@@ -42,6 +42,9 @@ select o.o_custkey as patient_id, l.l_orderkey * 10000 + l.l_partkey * 10 + l.l_
 from lineitem l join orders o on l.l_orderkey = o.o_orderkey
 """
 
+#: Laboratory values and exposure episodes side by side, as every line item gives one of each: one join for both.
+HISTORY = LABS.rsplit("\nfrom", 1)[0] + "," + EXPOSURES.split(" as seq,", 1)[1]
+
 TERMINAL = """
 select o_custkey as patient_id, max(cast(o_orderdate as date)) + 30 as end_followup_date,
        case when o_custkey % 10 < 3 then max(cast(o_orderdate as date)) + 10 end as death_date,
@@ -88,8 +91,8 @@ from orders o join (select o_orderkey, row_number() over (partition by o_custkey
 SPARK_DAYS = ("epoch_days(m.last_date) - epoch_days(o.o_orderdate)", "datediff(m.last_date, o.o_orderdate)")
 DUCK_DAYS = (SPARK_DAYS[0], "datediff('day', o.o_orderdate, m.last_date)")
 
-ROLES = {"patients": PATIENTS, "studies": STUDIES, "labs": LABS, "exposures": EXPOSURES, "terminal": TERMINAL, "mechanism": MECHANISM, "surv": SURVIVAL, "notes": NOTES, "obs": OBSERVATIONS}
-_READS = {"patients": ("customer", "orders"), "studies": ("orders",), "labs": ("lineitem", "orders"), "exposures": ("lineitem", "orders"), "terminal": ("orders",), "mechanism": ("orders",), "surv": ("orders",), "notes": ("orders",), "obs": ("orders",)}
+ROLES = {"patients": PATIENTS, "studies": STUDIES, "labs": LABS, "exposures": EXPOSURES, "history": HISTORY, "terminal": TERMINAL, "mechanism": MECHANISM, "surv": SURVIVAL, "notes": NOTES, "obs": OBSERVATIONS}
+_READS = {"patients": ("customer", "orders"), "studies": ("orders",), "labs": ("lineitem", "orders"), "exposures": ("lineitem", "orders"), "history": ("lineitem", "orders"), "terminal": ("orders",), "mechanism": ("orders",), "surv": ("orders",), "notes": ("orders",), "obs": ("orders",)}
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -156,8 +156,8 @@ def events_of(spark: SparkSession, sf_dir: str, staged: DataFrame | None = None)
 
 def landmarks_of(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     patients, studies, staged = written_staged_of(spark, sf_dir)
-    labs, exposures = roles(spark, sf_dir, "labs", "exposures")
-    return landmark.build_landmarks(patients, studies, labs, exposures, events_of(spark, sf_dir, staged), staged=staged, **options)
+    labs, exposures, history = roles(spark, sf_dir, "labs", "exposures", "history")
+    return landmark.build_landmarks(patients, studies, labs, exposures, events_of(spark, sf_dir, staged), staged=staged, history=history, **options)
 
 
 @query(with_roles("patients", "studies") + _REF + " select patient_id, date as ref_date, seq as ref_seq, mean_gradient as ref_mean_gradient, eoa as ref_eoa, dvi as ref_dvi from ref")
@@ -338,9 +338,11 @@ def f9_landmark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full landmark table: series, static, laboratory and exposure features, and both outcomes."""
     rows = landmarks_of(spark, sf_dir)
     slopes = ("gradient_slope", "egfr_slope")
+    # what the SQL rounds; all else is whole numbers and tenths as read
+    computed = ("delta_eoa", "delta_dvi", "last_change_interval_years", "time", "time_thromb", "t_lm", "ieoa", "valve_age_years", "row_weight_patient_balanced")
     # slopes are ratios of whole numbers of days and often halves of the last digit: what summing leaves in the far digits goes first
-    plain = lambda c: F.round(F.col(c).cast("decimal(30,7)"), 4).cast("double").alias(c) if c in slopes else r6(c)
-    return rows.select(*(plain(c) if t == "double" else c for c, t in rows.dtypes))
+    plain = lambda c: F.round(F.col(c).cast("decimal(30,7)"), 4).cast("double").alias(c) if c in slopes else r6(c) if c in computed else F.col(c)
+    return rows.select(*(plain(c) for c in rows.columns))
 
 
 _AJ = """, tt as (select {g} as g, time, sum(count(*)) over (partition by {g} order by time desc) as n, count(*) filter (where event <> 0) as d, count(*) filter (where event = 1) as d1, count(*) filter (where event = 2) as d2, count(*) filter (where event = 3) as d3 from {t} group by {g}, time),
